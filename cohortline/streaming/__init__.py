@@ -1,0 +1 @@
+"""The workload this engine covers is batch only, so there are no streaming operators."""
