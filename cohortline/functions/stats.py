@@ -19,7 +19,7 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     d = 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
     h = d.copy()
-    for m in range(1, 400):
+    for m in range(1, 300):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                     -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1.0 + num * d
@@ -27,7 +27,7 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             c = 1.0 + num / c
             c = np.where(np.abs(c) < tiny, tiny, c)
             h = h * d * c
-        if np.all(np.abs(d * c - 1.0) < 1e-15):
+        if np.all(np.abs(d * c - 1.0) < 1e-14):
             break
     return h
 
@@ -54,31 +54,43 @@ def t_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return np.where(ok, p, np.where(np.isinf(t), 0.0, np.nan))
 
 
-def best_split(values: np.ndarray) -> tuple[int, float]:
-    """Position and p-value of the split with the smallest Welch p-value, three points at least on each side.
+def _segment(x: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and squared standard error of the first ``k`` points of every row; constant parts have exactly none."""
+    total, squares = np.cumsum(x, axis=1)[:, k - 1], np.cumsum(x * x, axis=1)[:, k - 1]
+    flat = np.minimum.accumulate(x, axis=1)[:, k - 1] == np.maximum.accumulate(x, axis=1)[:, k - 1]
+    mean = total / k
+    var = np.where(flat, 0.0, np.maximum(squares - k * mean * mean, 0.0) / (k - 1))
+    return mean, var / k
 
-    The first of equal splits counts; (-1, 1.0) when no split gives a p-value below 1.
+
+def best_splits(rows: np.ndarray, limit: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+    """Per row: position and p-value of the split with the smallest Welch p-value, three points at least on each side.
+
+    All rows have one length. The first of equal splits counts; (-1, 1.0) when no
+    split is significant at ``limit``. A statistic that would not be significant
+    even for a normal distribution is not evaluated further.
     """
-    n = len(values)
+    n = rows.shape[1]
+    at, best = np.full(len(rows), -1), np.ones(len(rows))
     cuts = np.arange(3, n - 2)
     if len(cuts) == 0:
-        return -1, 1.0
-    left = np.arange(n)[None, :] < cuts[:, None]
-    stats = []
-    for side in (left, ~left):
-        k = side.sum(axis=1)
-        mean = (side * values).sum(axis=1) / k
-        var = (side * (values - mean[:, None]) ** 2).sum(axis=1) / (k - 1)
-        stats.append((k, mean, var / k))
-    (na, ma, va), (nb, mb, vb) = stats
+        return at, best
+    x = rows - rows.mean(axis=1, keepdims=True)
+    ma, va = _segment(x, cuts)
+    mb, vb = (v[:, ::-1] for v in _segment(x[:, ::-1], (n - cuts)[::-1]))
     with np.errstate(divide="ignore", invalid="ignore"):
         t = (ma - mb) / np.sqrt(va + vb)
-        df = (va + vb) ** 2 / (va**2 / (na - 1) + vb**2 / (nb - 1))
+        df = (va + vb) ** 2 / (va**2 / (cuts - 1) + vb**2 / (n - cuts - 1))
     df = np.where(np.isnan(df), 1.0, df)
-    p = t_two_sided(t, df)
+    floor = {0.05: 1.9599, 0.01: 2.5758}.get(limit, 0.0)
+    near = np.abs(t) > floor
+    p = np.full(t.shape, 2.0)
+    p[near] = t_two_sided(t[near], df[near])
     p = np.where(np.isnan(p), 2.0, p)
-    at = int(np.argmin(p))
-    return (int(cuts[at]), float(p[at])) if p[at] < 1.0 else (-1, 1.0)
+    first = np.argmin(p, axis=1)
+    low = p[np.arange(len(rows)), first]
+    found = low < limit
+    return np.where(found, cuts[first], at), np.where(found, low, best)
 
 
 def t_pvalue():
@@ -92,11 +104,15 @@ def t_pvalue():
 
 
 def split_search():
-    """Arrow function (series) -> (position, p-value) of its best split."""
+    """Arrow function (series) -> (position, p-value) of its best significant split; series of one length go together."""
 
     @F.pandas_udf("at int, p double")
     def search(series: pd.Series) -> pd.DataFrame:
-        found = [best_split(np.asarray(v, dtype=float)) if v is not None else (-1, 1.0) for v in series]
-        return pd.DataFrame(found, columns=["at", "p"])
+        at, p = np.full(len(series), -1, dtype="int32"), np.ones(len(series))
+        sizes = np.array([0 if v is None else len(v) for v in series])
+        for n in np.unique(sizes[sizes >= 6]):
+            where = np.flatnonzero(sizes == n)
+            at[where], p[where] = best_splits(np.stack([np.asarray(series.iloc[i], dtype=float) for i in where]))
+        return pd.DataFrame({"at": at, "p": p})
 
     return search

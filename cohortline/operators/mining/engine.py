@@ -27,17 +27,20 @@ class Mined:
 def mine(view: DataFrame, spec: ViewSpec, gamma: float = scoring.GAMMA, width: int = 6) -> Mined:
     """Evaluate everything: no time budget, so the result does not depend on the machine.
 
-    The cells (a small table next to the view) and the evaluated scopes are each
-    read several times and are therefore written to the checkpoint folder once.
+    What is read several times is written to the checkpoint folder once: the
+    columns of the view that matter (one read per group of column sets), the
+    cells, the evaluated scopes, and the candidates.
     """
-    cells = cut_lineage(scopes.cells(view, spec, width))
+    narrow = cut_lineage(view.select(*spec.columns, *dict.fromkeys(m.name for m in spec.measures)))
+    cells = cut_lineage(scopes.cells(narrow, spec, width))
     spaces = scopes.subspaces(cells, spec)
     spread = scopes.distributions(cells, spec, scopes.live_filters(spaces, spec))
     evaluated = cut_lineage(evaluate(spread).drop("dist"))
     rows = groups.members(evaluated, spaces, spec)
     common = groups.triggered(groups.commonness(rows, spec), evaluated, spaces, spec)
     told = groups.exceptions(common, rows, spaces, spec)
-    return Mined(spec, cells, spaces, spread, evaluated, rows, scoring.scored(told, spaces, spec, gamma))
+    candidates = cut_lineage(scoring.scored(told, spaces, spec, gamma))
+    return Mined(spec, cells, spaces, spread, evaluated, rows, candidates)
 
 
 def flat(candidates: DataFrame) -> DataFrame:

@@ -61,30 +61,31 @@ def _extremes(p: DataFrame) -> DataFrame:
     return p.withColumns(ends)
 
 
-# Conditions as SQL over the prepared columns, with the highlight each pattern reports.
+# Conditions as SQL over the prepared columns, with the highlight each pattern reports. Quotients are null rather than
+# an error on a zero divisor: the planner may evaluate a shared quotient ahead of the test that guards it.
 _CATEGORICAL_RULES = {
     "OUTSTANDING_1": (
-        "n >= 3 and total <> 0 and if(dn1_s > 0, (hi0 - dn1_m) / dn1_s >= 2.0, hi0 > dn1_m)"
-        " and not (hi1 > 0 and hi0 / hi1 < 1.5)",
-        "array(dn[0].label)"),
+        "n >= 3 and total <> 0 and if(dn1_s > 0, try_divide(hi0 - dn1_m, dn1_s) >= 2.0, hi0 > dn1_m)"
+        " and not (hi1 > 0 and try_divide(hi0, hi1) < 1.5)",
+        "array(get(dn, 0).label)"),
     "OUTSTANDING_LAST": (
-        "n >= 3 and total <> 0 and if(up1_s > 0, (lo0 - up1_m) / up1_s <= -2.0, lo0 < up1_m)"
-        " and not (lo1 > 0 and lo0 / lo1 > 0.67)",
-        "array(up[0].label)"),
+        "n >= 3 and total <> 0 and if(up1_s > 0, try_divide(lo0 - up1_m, up1_s) <= -2.0, lo0 < up1_m)"
+        " and not (lo1 > 0 and try_divide(lo0, lo1) > 0.67)",
+        "array(get(up, 0).label)"),
     "TOP_TWO": (
-        "n >= 4 and total <> 0 and if(dn2_s > 0, (hi0 - dn2_m) / dn2_s >= 1.5 and (hi1 - dn2_m) / dn2_s >= 1.5, hi1 > dn2_m)"
-        " and not (hi2 > 0 and hi1 / hi2 < 1.3)",
-        "array_sort(array(dn[0].label, dn[1].label))"),
+        "n >= 4 and total <> 0 and if(dn2_s > 0, try_divide(hi0 - dn2_m, dn2_s) >= 1.5"
+        " and try_divide(hi1 - dn2_m, dn2_s) >= 1.5, hi1 > dn2_m) and not (hi2 > 0 and try_divide(hi1, hi2) < 1.3)",
+        "array_sort(array(get(dn, 0).label, get(dn, 1).label))"),
     "LAST_TWO": (
-        "n >= 4 and total <> 0 and if(up2_s > 0, (lo0 - up2_m) / up2_s <= -1.5 and (lo1 - up2_m) / up2_s <= -1.5, lo1 < up2_m)"
-        " and not (lo2 > 0 and lo1 / lo2 > 0.77)",
-        "array_sort(array(up[0].label, up[1].label))"),
+        "n >= 4 and total <> 0 and if(up2_s > 0, try_divide(lo0 - up2_m, up2_s) <= -1.5"
+        " and try_divide(lo1 - up2_m, up2_s) <= -1.5, lo1 < up2_m) and not (lo2 > 0 and try_divide(lo1, lo2) > 0.77)",
+        "array_sort(array(get(up, 0).label, get(up, 1).label))"),
     "EVENNESS": (
-        "n >= 3 and xs_m <> 0 and xs_s / xs_m < 0.15 and not (hi0 / total > 2.0D / n)",
+        "n >= 3 and xs_m <> 0 and try_divide(xs_s, xs_m) < 0.15 and not (try_divide(hi0, total) > try_divide(2.0D, n))",
         "array('EVEN')"),
     "ATTRIBUTION": (
-        "n >= 3 and total <> 0 and hi0 / total > 0.5 and not (hi1 > 0 and hi0 / hi1 < 2.0)",
-        "array(dn[0].label)"),
+        "n >= 3 and total <> 0 and try_divide(hi0, total) > 0.5 and not (hi1 > 0 and try_divide(hi0, hi1) < 2.0)",
+        "array(get(dn, 0).label)"),
 }
 
 
@@ -97,7 +98,7 @@ def categorical(scopes: DataFrame) -> DataFrame:
 
 def _lag_correlation(k: int) -> str:
     """Correlation of the series with itself ``k`` steps later; null for a constant part."""
-    a, b = f"slice(xs, 1, n - {k})", f"slice(xs, {k + 1}, n - {k})"
+    a, b = f"slice(xs, 1, greatest(n - {k}, 0))", f"slice(xs, {k + 1}, greatest(n - {k}, 0))"
     return (f"transform(array(struct({a} as a, {b} as b)), s -> struct(s.a as a, s.b as b, {_mean('s.a')} as ma, {_mean('s.b')} as mb))")
 
 
@@ -108,7 +109,8 @@ def _pearson(s: str) -> str:
 
 def _steps(part: str, sign: str) -> str:
     """Share of the steps of a part of the series that go in one direction."""
-    diffs = f"zip_with(slice({part}, 1, size({part}) - 1), slice({part}, 2, size({part}) - 1), (x, y) -> y - x)"
+    k = f"greatest(size({part}) - 1, 0)"
+    diffs = f"zip_with(slice({part}, 1, {k}), slice({part}, 2, {k}), (x, y) -> y - x)"
     return f"try_divide(size(filter({diffs}, d -> d {sign} 0)), size({part}) - 1)"
 
 
@@ -126,13 +128,13 @@ def temporal(scopes: DataFrame) -> DataFrame:
     p = p.withColumns({
         "rr": F.expr("aggregate(rk, 0D, (a, x) -> a + x * x)"), "tt": F.expr("n * (n * n - 1D) / 12D"),
         "rt": F.expr("aggregate(transform(rk, (x, i) -> x * (i + 1 - (n + 1) / 2D)), 0D, (a, x) -> a + x)")})
-    p = p.withColumn("rho", F.expr("case when n >= 4 and rr > 0 then greatest(-1D, least(1D, rt / sqrt(rr * tt))) end"))
-    t = F.expr("case when abs(rho) < 1 then rho * sqrt((n - 2) / ((1 - rho) * (1 + rho))) end")
+    p = p.withColumn("rho", F.expr("case when n >= 4 and rr > 0 then greatest(-1D, least(1D, try_divide(rt, sqrt(rr * tt)))) end"))
+    t = F.expr("case when abs(rho) < 1 then rho * sqrt(try_divide(greatest(n - 2, 0), (1 - rho) * (1 + rho))) end")
     p = p.withColumn("trend_p", F.when(F.abs("rho") == 1, F.lit(0.0)).otherwise(
         t_pvalue()(F.coalesce(t, F.lit(0.0)), F.greatest(F.col("n") - 2, F.lit(1)).cast("double"))))
 
     # Outliers beyond three deviations, at most a fifth of the points.
-    far = ("filter(pts, q -> abs((q.value - xs_m) / xs_s) > 3.0)")
+    far = ("filter(pts, q -> abs(try_divide(q.value - xs_m, xs_s)) > 3.0)")
     p = p.withColumn("far", F.expr(f"case when n >= 5 and xs_s <> 0 then {far} end"))
 
     # Seasons: the strongest lag correlation.
@@ -153,15 +155,15 @@ def temporal(scopes: DataFrame) -> DataFrame:
         p = p.withColumns({f"{name}_lo": F.expr(_steps(f"{name}_l", left)), f"{name}_ro": F.expr(_steps(f"{name}_r", right))})
         fits = f"n >= 5 and {name} between 2 and n - 1 and {name}_lo >= 0.7 and {name}_ro >= 0.7"
         p = p.withColumn(f"{name}_sc", F.expr(f"case when {fits} then ({name}_lo + {name}_ro) / 2 end"))
-    shape = F.expr("case when peak_sc >= coalesce(dip_sc, 0D) then array('PEAK', labels[cast(peak - 1 as int)])"
-                   " when dip_sc is not null then array('VALLEY', labels[cast(dip - 1 as int)]) end")
+    shape = F.expr("case when peak_sc >= coalesce(dip_sc, 0D) then array('PEAK', get(labels, cast(peak - 1 as int)))"
+                   " when dip_sc is not null then array('VALLEY', get(labels, cast(dip - 1 as int))) end")
 
     out = p.withColumns({
         "TREND": F.expr("case when trend_p < 0.05 and abs(rho) >= 0.5 then array(if(rho > 0, 'INCREASING', 'DECREASING')) end"),
         "OUTLIER": F.expr("case when size(far) > 0 and size(far) <= 0.2D * n then array_sort(transform(far, q -> "
                           "concat(q.label, ' ', if(q.value > xs_m, 'ABOVE', 'BELOW')))) end"),
         "SEASONALITY": F.when(F.col("acf").isNotNull(), F.array(season)),
-        "CHANGE_POINT": F.expr("case when cut.p < 0.01 and cut.at >= 0 then array(labels[cut.at]) end"),
+        "CHANGE_POINT": F.expr("case when cut.p < 0.01 and cut.at >= 0 then array(get(labels, cut.at)) end"),
         "UNIMODALITY": shape,
     })
     return out.select(*scopes.columns, *TEMPORAL)

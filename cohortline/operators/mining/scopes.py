@@ -17,31 +17,50 @@ from .spec import ViewSpec
 PAIR = "struct<dim:string,value:string>"
 
 
-def cells(view: DataFrame, spec: ViewSpec, width: int = 6) -> DataFrame:
-    """Sums and counts of every measure for every combination of values of every needed column set.
+# Separators inside a cell key: control characters that do not occur in labels.
+_EQUALS, _AND = "\u0001", "\u0002"
+
+
+def _cell_key(columns: list[str]) -> Column:
+    """Key of the cell a row belongs to in one column set; null when the row has no value in one of the columns."""
+    if not columns:
+        return F.lit("")
+    parts = []
+    for i, c in enumerate(columns):
+        parts += [F.lit(("" if i == 0 else _AND) + c + _EQUALS), F.col(c)]
+    return F.concat(*parts)
 
-    Column sets are aggregated in groups. Each group first reduces the view to
-    the combinations of its few columns (bounded by their cardinalities, combined
-    before the shuffle) and forms its grouping sets from that small table, so the
-    expansion factor of the sets never meets the rows of the view. Rows without a
-    value in a set's column belong to no cell of that set.
+
+def cells(view: DataFrame, spec: ViewSpec, width: int = 6) -> DataFrame:
+    """Sums (and counts, for averages) of every measure for every combination of values of every needed column set.
+
+    Column sets are served in groups. Each group first reduces the view to the
+    combinations of its few columns (bounded by their cardinalities, combined
+    before the shuffle); only these rows are repeated, once per set of the group,
+    so the number of sets never multiplies the rows of the view. One last
+    aggregation by cell merges all groups. Rows without a value in a column of a
+    set belong to no cell of that set.
     """
     names = [m.name for m in spec.measures]
+    averaged = [m.name for m in spec.measures if m.agg == "avg"]
     base = view.select(*[F.col(c).cast("string").alias(c) for c in spec.columns],
                        *[F.col(m).cast("double").alias(f"m_{m}") for m in names])
     parts = []
     for columns, sets in spec.blocks(width):
         small = base.groupBy(*columns).agg(
-            *[F.sum(f"m_{m}").alias(f"s_{m}") for m in names], *[F.count(f"m_{m}").alias(f"c_{m}") for m in names])
-        grouped = small.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in columns]).agg(
-            *[F.grouping(c).alias(f"g_{c}") for c in columns],
-            *[F.sum(f"s_{m}").alias(f"s_{m}") for m in names], *[F.sum(f"c_{m}").alias(f"c_{m}") for m in names])
-        pairs = F.array(*[
-            F.when(F.col(f"g_{c}") == 0, F.struct(F.lit(c).alias("dim"), F.col(c).alias("value"))) for c in columns])
-        known = F.filter(pairs, lambda p: p.isNotNull()).cast(f"array<{PAIR}>")
-        parts.append(grouped.select(known.alias("pairs"), *[F.col(f"{k}_{m}") for m in names for k in ("s", "c")])
-                     .where(~F.exists("pairs", lambda p: p["value"].isNull())))
-    return reduce(DataFrame.unionByName, parts)
+            *[F.sum(f"m_{m}").alias(f"s_{m}") for m in names], *[F.count(f"m_{m}").alias(f"c_{m}") for m in averaged])
+        keys = F.filter(F.array(*[_cell_key(s) for s in sets]), lambda k: k.isNotNull())
+        parts.append(small.select(F.explode(keys).alias("cell"), *[f"s_{m}" for m in names], *[f"c_{m}" for m in averaged]))
+    merged = reduce(DataFrame.unionByName, parts).groupBy("cell").agg(
+        *[F.sum(f"s_{m}").alias(f"s_{m}") for m in names], *[F.sum(f"c_{m}").alias(f"c_{m}") for m in averaged])
+
+    def pair(text):
+        return F.struct(F.split_part(text, F.lit(_EQUALS), F.lit(1)).alias("dim"),
+                        F.split_part(text, F.lit(_EQUALS), F.lit(2)).alias("value"))
+
+    pairs = F.when(F.col("cell") == "", F.array().cast(f"array<{PAIR}>")).otherwise(
+        F.transform(F.split("cell", _AND), pair))
+    return merged.select(pairs.alias("pairs"), *[f"s_{m}" for m in names], *[f"c_{m}" for m in averaged])
 
 
 def subspaces(cell_rows: DataFrame, spec: ViewSpec) -> DataFrame:
@@ -101,7 +120,9 @@ def distributions(cell_rows: DataFrame, spec: ViewSpec, keep: DataFrame | None =
     if keep is not None:
         rows = rows.join(keep, "filters", "left_semi")
     names = [m.name for m in spec.measures]
-    gathered = rows.groupBy("filters", "breakdown").agg(
+    # The tests that follow are heavy for their bytes: fix the number of tasks instead of leaving it to the data size.
+    tasks = 3 * rows.sparkSession.sparkContext.defaultParallelism
+    gathered = rows.repartition(tasks, "filters", "breakdown").groupBy("filters", "breakdown").agg(
         F.sort_array(F.collect_list(F.struct("label", *names))).alias("points"))
 
     def series(name):

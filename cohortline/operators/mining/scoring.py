@@ -41,7 +41,9 @@ def conciseness(gamma: float | Column = GAMMA, tau: float = 0.5, r: float = 1.0,
 
 
 def with_impact(candidates: DataFrame, spaces: DataFrame, spec: ViewSpec) -> DataFrame:
-    """The largest impact over the impact measures, and the measure that gives it (the first of equals).
+    """The largest impact over the impact measures, and the measure that gives it.
+
+    The first of equals counts; impacts closer than 1e-9 are equal, since sums of shares differ in their last digits.
 
     A group that varies a filter adds up its members' impacts, at most 1; other groups have their subspace's.
     """
@@ -57,7 +59,7 @@ def with_impact(candidates: DataFrame, spaces: DataFrame, spec: ViewSpec) -> Dat
     best, which = F.lit(0.0), F.lit(spec.impact[0])
     for m, c in zip(spec.impact, names):
         value = F.coalesce(F.col(c), F.lit(0.0))
-        which = F.when(value > best, F.lit(m)).otherwise(which)
+        which = F.when(value > best + 1e-9, F.lit(m)).otherwise(which)
         best = F.greatest(best, value)
     return both.withColumns({"impact": best, "impact_measure": which}).drop(*names)
 

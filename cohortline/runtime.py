@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,8 +41,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder, so that a lost executor costs a re-read, not a re-run."""
+    """Write ``df`` as a table in the checkpoint folder and read it back.
+
+    Later steps start from the table: a lost executor costs a re-read, not a
+    re-run, and columns and row groups can be skipped when it is read again.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_dir(spark)}/cohortline-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
