@@ -20,7 +20,7 @@ def identified(candidates: DataFrame) -> DataFrame:
 
 def prefilter(candidates: DataFrame, limit: int = 5000) -> DataFrame:
     """The ``limit`` best by score; the key settles ties."""
-    return identified(candidates).orderBy(F.col("score").desc(), F.col("cid")).limit(limit)
+    return identified(candidates).orderBy(rnd("score", 9).desc(), F.col("cid")).limit(limit)
 
 
 def overlap_ratio(a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -115,7 +115,7 @@ def diversity(selected: DataFrame) -> DataFrame:
 
 def top_by_gamma(rescored: DataFrame, k: int = 15) -> DataFrame:
     """The first ``k`` candidates by score for every gamma."""
-    order = Window.partitionBy("gamma").orderBy(F.col("score").desc(), F.col("cid"))
+    order = Window.partitionBy("gamma").orderBy(rnd("score", 9).desc(), F.col("cid"))
     return identified(rescored).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -151,5 +151,5 @@ def score_histogram(candidates: DataFrame) -> DataFrame:
 def best_per(candidates: DataFrame, facet: str, n: int = 10, actionable: bool = True) -> DataFrame:
     """The ``n`` best candidates of every value of a facet, by default only those with exceptions."""
     rows = identified(candidates.where(F.size("exceptions") > 0) if actionable else candidates)
-    order = Window.partitionBy(facet).orderBy(F.col("score").desc(), F.col("cid"))
+    order = Window.partitionBy(facet).orderBy(rnd("score", 9).desc(), F.col("cid"))
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)

@@ -188,10 +188,10 @@ SQL = {
     "M14_conciseness": f"{SCORED} SELECT {_FLATKEY}, ROUND(conciseness, 6) AS conciseness FROM found",
     "M15_impact": f"{SCORED} SELECT {_FLATKEY}, ROUND(impact, 6) AS impact, impact_measure FROM found",
     "M16_scored_candidates": f"{SCORED} SELECT {_FLAT} FROM found",
-    "M17_prefilter": f"{SCORED} SELECT {_FLAT} FROM (SELECT * FROM found ORDER BY score DESC, cid LIMIT 100) x",
-    "M18_overlaps": f"{SCORED}, pk AS (SELECT * FROM found ORDER BY score DESC, cid LIMIT 5) SELECT a.cid, b.cid AS pick, ROUND({_RATIO}, 6) AS ratio, ROUND(LEAST(a.score, b.score) * "
+    "M17_prefilter": f"{SCORED} SELECT {_FLAT} FROM (SELECT * FROM found ORDER BY ROUND(score, 9) DESC, cid LIMIT 100) x",
+    "M18_overlaps": f"{SCORED}, pk AS (SELECT * FROM found ORDER BY ROUND(score, 9) DESC, cid LIMIT 5) SELECT a.cid, b.cid AS pick, ROUND({_RATIO}, 6) AS ratio, ROUND(LEAST(a.score, b.score) * "
                     f"({_RATIO}), 6) AS overlap FROM found a JOIN pk b ON {_PAIR} AND a.cid <> b.cid",
-    "M20_total_use": f"{SCORED}, pk AS (SELECT * FROM found ORDER BY score DESC, cid LIMIT 15) SELECT n, ROUND(ss, 6) AS score_sum, ROUND(o, 6) AS overlap_sum, ROUND(ss - o, 6) AS "
+    "M20_total_use": f"{SCORED}, pk AS (SELECT * FROM found ORDER BY ROUND(score, 9) DESC, cid LIMIT 15) SELECT n, ROUND(ss, 6) AS score_sum, ROUND(o, 6) AS overlap_sum, ROUND(ss - o, 6) AS "
                      f"total_use FROM (SELECT COUNT(*) AS n, SUM(score) AS ss FROM pk) x, (SELECT COALESCE(SUM(LEAST(a.score, b.score) * ({_RATIO})), 0) AS o FROM pk a JOIN pk b ON "
                      f"{_PAIR} AND a.cid < b.cid) y",
     "M21_rescored": f"{SCORED} " + " UNION ALL ".join(
@@ -200,12 +200,12 @@ SQL = {
     "M24_type_statistics": f"{SCORED} {_facets()}",
     "M24_score_histogram": f"{SCORED} SELECT ROUND(b / 5.0, 1) AS from_score, ROUND((b + 1) / 5.0, 1) AS to_score, COUNT(*) AS candidates FROM (SELECT LEAST(4, CAST(floor(score * 5) "
                            "AS INT)) AS b FROM found) x GROUP BY b",
-    "M24_best_per_breakdown": f"{SCORED} SELECT breakdown, rank, cid, ROUND(score, 6) AS score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY breakdown ORDER BY score DESC, cid) AS "
+    "M24_best_per_breakdown": f"{SCORED} SELECT breakdown, rank, cid, ROUND(score, 6) AS score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY breakdown ORDER BY ROUND(score, 9) DESC, cid) AS "
                               "rank FROM found WHERE n_hc + n_tc + n_np > 0) x WHERE rank <= 10",
     "M25_diversity": f"{SCORED} SELECT COUNT(DISTINCT pattern_type) AS n_types, string_agg(DISTINCT pattern_type, ', ' ORDER BY pattern_type) AS types, COUNT(DISTINCT ext_dim) AS "
                      "n_dims, string_agg(DISTINCT ext_dim, ', ' ORDER BY ext_dim) AS dims, COUNT(DISTINCT NULLIF(measure, '(varies)')) AS n_measures, COALESCE(string_agg(DISTINCT "
                      "NULLIF(measure, '(varies)'), ', ' ORDER BY NULLIF(measure, '(varies)')), '') AS measures, COUNT(CASE WHEN n_hc + n_tc + n_np > 0 THEN 1 END) AS actionable, "
-                     "COUNT(*) AS selected FROM (SELECT * FROM found ORDER BY score DESC, cid LIMIT 15) x",
+                     "COUNT(*) AS selected FROM (SELECT * FROM found ORDER BY ROUND(score, 9) DESC, cid LIMIT 15) x",
 }
 for _i, _name in enumerate(_R, 1):
     SQL[f"M6_{_i}_{_name.lower()}"] = f"{BASE}, {LISTS}, {HITS} SELECT subspace, breakdown, measure, highlight FROM hit WHERE type = '{_name}'"

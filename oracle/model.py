@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import duckdb
+
 from cohortline.sources.driver_binding import BINDING, binding_sql
 
 # Joins that many questions share, named for the check only.
@@ -144,3 +146,31 @@ def best(inner: str, order: str, limit: int, drop: str = "") -> str:
         (o[1:] + " DESC" if o.startswith("-") else o + " ASC") + " NULLS LAST" for o in order.split())
     cols = f"* EXCLUDE ({drop})" if drop else "*"
     return f"SELECT {cols} FROM (SELECT * FROM ({inner}) q ORDER BY {ordering} LIMIT {limit}) z"
+
+
+STAR_DDL = {
+    "region": "r_regionkey INT, r_name VARCHAR",
+    "nation": "n_nationkey INT, n_name VARCHAR, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name VARCHAR, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment VARCHAR",
+    "supplier": "s_suppkey BIGINT, s_name VARCHAR, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name VARCHAR, p_brand VARCHAR, p_type VARCHAR, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus VARCHAR, o_totalprice DOUBLE, o_orderdate TIMESTAMP, o_orderpriority VARCHAR",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_extendedprice DOUBLE, "
+                "l_discount DOUBLE, l_tax DOUBLE, l_returnflag VARCHAR, l_linestatus VARCHAR, l_shipdate TIMESTAMP",
+    "events": "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR",
+    "embeddings": "vec_id BIGINT, embedding FLOAT[], label INT",
+    "documents": "doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT",
+}
+
+
+def rounded(queries: dict[str, str], digits: int = 6) -> dict[str, str]:
+    """The same queries with every double column to six places; types are read from empty tables."""
+    con = duckdb.connect()
+    for name, columns in STAR_DDL.items():
+        con.execute(f"CREATE TABLE {name} ({columns})")
+    out = {}
+    for key, sql in queries.items():
+        doubles = [r[0] for r in con.execute(f"DESCRIBE {sql}").fetchall() if r[1] in ("DOUBLE", "FLOAT")]
+        fixed = ", ".join(f'ROUND("{c}", {digits}) AS "{c}"' for c in doubles)
+        out[key] = f"SELECT * REPLACE ({fixed}) FROM ({sql}) rounded_result" if doubles else sql
+    return out
