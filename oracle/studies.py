@@ -153,8 +153,7 @@ X["g_surge"] = (f"SELECT {_BL}, month, disease_category, COUNT(*) AS n FROM g_ca
 X["g_a7s"] = (
     f"SELECT {_PL}, meets_threshold, seasonality_index, peak_to_trough_ratio, CASE WHEN sn THEN months END AS peak_months, CASE WHEN sn THEN dc END AS peak_disease_category, sn AS is_seasonal FROM (SELECT "
     f"a.*, d.dc, meets_threshold AND months IS NOT NULL AS sn FROM (SELECT {_PL}, BOOL_OR(ok) AS meets_threshold, CASE WHEN BOOL_OR(ok) AND MAX(av) > 0 THEN MAX(sd) / MAX(av) END AS seasonality_index, CASE "
-    "WHEN BOOL_OR(ok) AND MAX(busy) >= 2 THEN CAST(MAX(total_cases) AS DOUBLE) / MIN(CASE WHEN total_cases > 0 THEN total_cases END) END AS peak_to_trough_ratio, string_agg(DISTINCT CASE WHEN z > 1.5 THEN "
-    f"CAST(CAST(month[6:7] AS INT) AS VARCHAR) END, ',' ORDER BY CASE WHEN z > 1.5 THEN CAST(CAST(month[6:7] AS INT) AS VARCHAR) END) AS months FROM g_mon GROUP BY 1, 2, 3) a LEFT JOIN (SELECT {_BL}, "
+    f"WHEN BOOL_OR(ok) AND MAX(busy) >= 2 THEN CAST(MAX(total_cases) AS DOUBLE) / MIN(CASE WHEN total_cases > 0 THEN total_cases END) END AS peak_to_trough_ratio, array_to_string([CAST(m AS VARCHAR) FOR m IN list_sort(list(DISTINCT CAST(month[6:7] AS INT)) FILTER (WHERE z > 1.5))], ',') AS months FROM g_mon GROUP BY 1, 2, 3) a LEFT JOIN (SELECT {_BL}, "
     f"disease_category AS dc FROM (SELECT {_BL}, disease_category, ROW_NUMBER() OVER (PARTITION BY {_BL} ORDER BY SUM(n) DESC, disease_category) AS rn FROM g_surge GROUP BY 1, 2, 3) q WHERE rn = 1) d USING "
     f"({_BL})) x")
 X["g_a8"] = (
