@@ -509,8 +509,7 @@ def district_against_state(t: Model, district: str) -> DataFrame:
         "beneficiary_id", "left")
     state = three_metrics(everything, F.countDistinct("_known"))
     enrolled = at(t.members, HOME["district"], district).agg(n("c")).scalar()
-    local = three_metrics(at(t.cases, CARE["district"], district).join(claims, "case_id", "left").withColumn(
-        "_base", enrolled), F.max("_base"))
+    local = three_metrics(at(t.cases, CARE["district"], district).join(claims, "case_id", "left"), enrolled)
     names = ["utilization_per_1000", "approval_rate_pct", "avg_tat_days"]
     mine = local.unpivot([], names, "metric", "district_value")
     out = mine.join(state.unpivot([], names, "metric", "state_avg"), "metric")

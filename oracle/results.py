@@ -54,7 +54,9 @@ SQL = {
                 "WHERE k = top AND k > 1",
     "O11_count_distinct": f"SELECT CAST(COUNT(DISTINCT division_name) AS DOUBLE) AS value FROM {_S}",
     "O12_share_of_total": f"SELECT *, ROUND(total_cases / SUM(CAST(total_cases AS DOUBLE)) OVER () * 100.0, 2) AS share_of_total_cases_pct FROM {_S}",
-    "O13_percent_change": f"SELECT f AS first, l AS last, ROUND((l - f) / NULLIF(ABS(f), 0) * 100.0, 2) AS value, CAST(NULL AS VARCHAR) AS refused FROM (SELECT min_by(CAST(case_count AS DOUBLE), month) AS f, "
+    "O13_percent_change": "SELECT f AS first, l AS last, CASE WHEN n >= 2 THEN ROUND((l - f) / NULLIF(ABS(f), 0) * 100.0, 2) END AS value, "
+                          "CASE WHEN n < 2 THEN 'too few values' WHEN f = 0 THEN 'zero start' END AS refused FROM (SELECT COUNT(*) AS n, "
+                          "min_by(CAST(case_count AS DOUBLE), month) AS f, "
                           f"max_by(CAST(case_count AS DOUBLE), month) AS l FROM ({CATALOGUE['T05']}) t) x",
     "O14_sort": f"SELECT * FROM {_S}",
     "O15_top_n": f"SELECT * FROM {_S} ORDER BY total_cases DESC, district_name LIMIT 5",
