@@ -102,6 +102,15 @@ UNIMODAL = (f"{BASE}, {_POINTS}, dd AS (SELECT *, value - LAG(value) OVER (PARTI
             f"UNION ALL {_shape('VALLEY', 'ASC', '<', '>')}) SELECT {_G}, highlight FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {_G} ORDER BY sc DESC, k) AS rk "
             "FROM sh) x WHERE rk = 1")
 
+# Trend: rank correlation with time; the two-sided t probability for whole degrees of freedom is a finite sum.
+_RANKED = (f"rk AS (SELECT {_G}, i, n, RANK() OVER (PARTITION BY {_G} ORDER BY value) + (COUNT(*) OVER (PARTITION BY {_G}, value) - 1) / 2.0 AS r FROM pt WHERE n >= 4), "
+           f"rho AS (SELECT {_G}, n - 2 AS v, corr(r, i) AS rho FROM rk GROUP BY {_G}, n HAVING MIN(r) < MAX(r)), "
+           f"ang AS (SELECT {_G}, v, rho, atan(abs(rho) / sqrt((1 - rho) * (1 + rho))) AS a FROM rho WHERE abs(rho) < 1 - 1e-12 AND abs(rho) >= 0.5)")
+_ODD = "(2 / pi()) * (a + sin(a) * COALESCE(list_sum([exp(2 * k * ln(2) + 2 * lgamma(k + 1) - lgamma(2 * k + 2)) * cos(a) ** (2 * k + 1) for k in range(0, (v - 1) // 2)]), 0))"
+_EVEN = "sin(a) * list_sum([exp(lgamma(2 * k + 1) - 2 * k * ln(2) - 2 * lgamma(k + 1)) * cos(a) ** (2 * k) for k in range(0, v // 2)])"
+TREND = (f"{BASE}, {_POINTS}, {_RANKED} SELECT {_G}, CASE WHEN rho > 0 THEN 'INCREASING' ELSE 'DECREASING' END AS highlight FROM (SELECT {_G}, rho FROM rho WHERE abs(rho) >= "
+         f"1 - 1e-12 UNION ALL SELECT {_G}, rho FROM ang WHERE 1 - CASE WHEN v % 2 = 1 THEN {_ODD} ELSE {_EVEN} END < 0.05) x")
+
 # Sibling groups on categorical breakdowns.
 _B2 = "COALESCE({d} || '=' || {v}, '{{*}}')"
 MEMBER = (
@@ -129,6 +138,20 @@ GROUPS = (
     f"p.pattern_type = c.pattern_type WHERE c.mi >= {SMALL.min_impact} OR p.base IS NOT NULL)"
 )
 
+# Sibling groups of every scope that is evaluated: strong subspaces, their siblings, and what lies right below them.
+LIVE = (
+    f"{BASE}, ext AS MATERIALIZED (SELECT subspace, max_impact, d1 AS dim, " + _B2.format(d="d2", v="v2") + " AS base FROM space WHERE d1 IS NOT NULL UNION ALL SELECT subspace, "
+    "max_impact, d2, " + _B2.format(d="d1", v="v1") + f" FROM space WHERE d2 IS NOT NULL), live AS (SELECT subspace FROM space WHERE max_impact >= {SMALL.min_impact} UNION SELECT "
+    f"subspace FROM ext JOIN (SELECT base, dim FROM ext GROUP BY 1, 2 HAVING MAX(max_impact) >= {SMALL.min_impact}) b USING (base, dim) UNION SELECT e.subspace FROM ext e JOIN "
+    f"space s ON s.subspace = e.base WHERE s.max_impact >= {SMALL.min_impact}), eligible AS MATERIALIZED (SELECT DISTINCT subspace, breakdown, is_temporal, measure FROM dist JOIN live "
+    f"USING (subspace)), {DOMAIN}")
+_BY_SUBSPACE = (f"{LIVE} SELECT e.dim AS ext_dim, s.breakdown, s.measure, e.base, CAST(d.hdp_size AS INT) AS hdp_size, COUNT(*) AS with_data FROM eligible s JOIN ext e USING (subspace) "
+                f"JOIN dom d ON d.ext_dim = e.dim WHERE d.hdp_size >= {SMALL.min_members} GROUP BY 1, 2, 3, 4, 5")
+_BY_MEASURE = (f"{LIVE} SELECT 'measure' AS ext_dim, breakdown, '(varies)' AS measure, subspace AS base, CAST({len(SMALL.measures)} AS INT) AS hdp_size, COUNT(*) AS with_data "
+               "FROM eligible GROUP BY 2, 4")
+_BY_GRAIN = (f"{LIVE} SELECT 'temporal_grain' AS ext_dim, '(varies)' AS breakdown, measure, subspace AS base, CAST({len(TIME)} AS INT) AS hdp_size, COUNT(*) AS with_data "
+             "FROM eligible WHERE is_temporal GROUP BY 3, 4")
+
 
 def _plogp(x: str) -> str:
     return f"CASE WHEN {x} > 0 THEN -({x}) * log2({x}) ELSE 0 END"
@@ -180,11 +203,15 @@ SQL = {
     "M8_three_way_label": f"{BASE}, {LISTS}, {HITS} SELECT s.subspace, s.breakdown, s.measure, CASE WHEN COUNT(CASE WHEN h.type = 'EVENNESS' THEN 1 END) > 0 THEN 'EVENNESS' WHEN "
                           "COUNT(h.type) > 0 THEN 'OTHER_PATTERN' ELSE 'NO_PATTERN' END AS label FROM (SELECT DISTINCT subspace, breakdown, measure FROM dist WHERE NOT is_temporal) s "
                           "LEFT JOIN hit h ON h.subspace = s.subspace AND h.breakdown = s.breakdown AND h.measure = s.measure GROUP BY 1, 2, 3",
+    "M6_7_trend": TREND,
     "M6_8_outlier": OUTLIER,
     "M6_9_seasonality": SEASON,
     "M6_11_unimodality": UNIMODAL,
+    "M9_subspace_groups": _BY_SUBSPACE,
+    "M10_measure_groups": _BY_MEASURE,
+    "M11_breakdown_groups": _BY_GRAIN,
     "M12_commonness_and_exceptions": f"{SCORED} SELECT {_FLATKEY}, hdp_size, common, n_highlight_change, n_type_change, n_no_pattern FROM found",
-    "M13_group_dedup": "SELECT CAST(1 AS BIGINT) AS most_copies FROM (SELECT COUNT(*) AS n FROM cm_case) x WHERE n > 0",
+    "M13_group_dedup": f"{SCORED} SELECT MAX(n) AS most_copies FROM (SELECT COUNT(*) AS n FROM found GROUP BY {_FLATKEY}) x",
     "M14_conciseness": f"{SCORED} SELECT {_FLATKEY}, ROUND(conciseness, 6) AS conciseness FROM found",
     "M15_impact": f"{SCORED} SELECT {_FLATKEY}, ROUND(impact, 6) AS impact, impact_measure FROM found",
     "M16_scored_candidates": f"{SCORED} SELECT {_FLAT} FROM found",

@@ -94,7 +94,8 @@ def sibling_groups(strategy):
     def build(t):
         m = mined(t)
         rows = m.members.where(F.col("strategy") == strategy)
-        return text_filters(rows.groupBy(*groups.KEY, "hdp_size").agg(F.count(F.lit(1)).alias("with_data")), "base").drop("strategy")
+        return rows.groupBy(*groups.KEY, "hdp_size").agg(F.count(F.lit(1)).alias("with_data")).withColumn(
+            "base", scopes.subspace_text("base")).drop("strategy")
 
     return build
 
