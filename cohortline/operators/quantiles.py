@@ -2,52 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+ACCURACY = 10_000
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
-    """Linear-interpolated percentiles of ``value`` per ``keys``; ``points`` maps result column to p.
+    """Linear-interpolated percentiles of ``value`` per ``keys``; ``points`` maps result column to p."""
+    return order_statistics(df, keys, value, {name: (p, p * (F.col("_n") - 1)) for name, p in points.items()})
 
-    Values are counted per distinct value, spread over equal-width buckets
-    between the group's extremes, and located by running bucket counts (at most
-    ``BUCKETS`` rows per group). Only the values of the buckets that hold a
-    wanted rank are then ordered, so a hot group is never sorted as a whole.
+
+def order_statistics(df: DataFrame, keys: list[str], value: str, points: dict[str, tuple[float, Column]]) -> DataFrame:
+    """Values at given positions of the ascending order, one column per point.
+
+    A point is a share p and its zero-based position, an expression over the
+    group size ``_n`` within two places of ``p * _n``; between two places the
+    value is interpolated. A quantile sketch, whose error is at most one in
+    ``ACCURACY`` of the group, brackets each position. Everything below a bracket
+    shrinks to one count and everything above is dropped before the shuffle, so
+    that only the few values inside are ordered, however large the group.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c"))
-    span = counted.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
-    placed = _join(counted, span, keys).withColumn(
-        "_b",
-        F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
-            F.least(F.lit(BUCKETS - 1),
-                    F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BUCKETS).cast("int"))),
-    )
-    running = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    buckets = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_in"), F.max("_n").alias("_n")).withColumn(
-        "_before", F.sum("_in").over(running) - F.col("_in"))
-    wanted = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("name"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("at"))
-        for name, p in points.items()]))
-    ranks = (
-        buckets.select(*keys, "_b", "_in", "_before", wanted.alias("_w"))
-        .select(*keys, "_b", "_in", "_before", F.col("_w.name").alias("_p"), F.col("_w.at").alias("_at"),
-                F.explode(F.array_distinct(F.array(F.floor("_w.at"), F.ceil("_w.at")))).alias("_rank"))
-        .where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_in")))
-    )
-    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    needed = ranks.select(*keys, "_b", "_before").distinct()
-    steps = _join(placed.select(*keys, "_b", "_v", "_c"), needed, [*keys, "_b"]).withColumn(
-        "_upto", F.col("_before") + F.sum("_c").over(inside))
-    hits = _join(ranks.drop("_in", "_before"), steps.drop("_before"), [*keys, "_b"]).where(
-        (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c")))
-    frac = F.col("_at") - F.floor("_at")
-    both = hits.groupBy(*keys, "_p", "_at").agg(F.min_by("_v", "_rank").alias("_a"), F.max_by("_v", "_rank").alias("_z"))
-    picked = both.withColumn("_q", F.col("_a") + (F.col("_z") - F.col("_a")) * frac)
-    return picked.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("_p") == name, F.col("_q"))).alias(name) for name in points])
+    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    margin = 4.0 / ACCURACY
+    edges = [e for p, _ in points.values() for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    sketch = known.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+        F.percentile_approx("_v", edges, ACCURACY).alias("_e"))
+
+    def bracket(i: int, p: float) -> tuple[Column, Column]:
+        few = F.col("_n") <= ACCURACY
+        low = F.col("_lo") if p <= margin else F.when(few, F.col("_lo")).otherwise(F.col("_e")[2 * i])
+        high = F.col("_hi") if p >= 1 - margin else F.when(few, F.col("_hi")).otherwise(F.col("_e")[2 * i + 1])
+        return low, high
+
+    wanted = []
+    for i, (name, (p, at)) in enumerate(points.items()):
+        low, high = bracket(i, p)
+        wanted.append(F.struct(F.lit(name).alias("name"), at.cast("double").alias("at"), low.alias("low"), high.alias("high")))
+    spans = sketch.select(*keys, F.array(*wanted).alias("_w"))
+    counted = known.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    near = _join(counted, spans, keys).select(*keys, "_v", "_c", F.explode("_w").alias("_w")).where(F.col("_v") <= F.col("_w.high"))
+    steps = near.groupBy(
+        *keys, F.col("_w.name").alias("_p"), F.col("_w.at").alias("_at"),
+        F.when(F.col("_v") >= F.col("_w.low"), F.col("_v")).alias("_v")).agg(F.sum("_c").alias("_c"))
+    running = Window.partitionBy(*keys, "_p").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = steps.withColumn("_upto", F.sum("_c").over(running))
+
+    def at_place(name: str, place: Column) -> Column:
+        here = (F.col("_p") == name) & (place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_c"))
+        return F.max(F.when(here, F.col("_v")))
+
+    out = []
+    for name in points:
+        a, z = at_place(name, F.floor("_at")), at_place(name, F.ceil("_at"))
+        part = F.max(F.when(F.col("_p") == name, F.col("_at") - F.floor("_at")))
+        out.append((a + (z - a) * part).alias(name))
+    return placed.groupBy(*keys).agg(*out)
 
 
 def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

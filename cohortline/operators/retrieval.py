@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import order_statistics
+
 QUERY_LIMIT = 2000
 
 
@@ -94,15 +96,13 @@ def gold_ranks(catalogue: DataFrame, queries: DataFrame, limit: int = QUERY_LIMI
 
 def recall_report(ranks: DataFrame, ks: list[int]) -> DataFrame:
     """Share of queries whose gold entry is within the first k, and order statistics of its rank."""
-    n = F.count(F.lit(1))
-
-    def at(p: float) -> Column:
-        ordered = F.array_sort(F.collect_list("rank"))
-        return F.get(ordered, F.least(n - 1, F.floor(n * p)).cast("int"))
+    def place(p: float):
+        return p, F.least(F.col("_n") - 1, F.floor(F.col("_n") * p))
 
-    return ranks.agg(
-        n.alias("queries"), *[F.avg(F.when(F.col("rank") < k, 1.0).otherwise(0.0)).alias(f"recall_{k}") for k in ks],
-        at(0.5).alias("median_rank"), at(0.9).alias("p90_rank"), at(0.99).alias("p99_rank"), F.max("rank").alias("worst_rank"))
+    orders = order_statistics(ranks, [], "rank", {"median_rank": place(0.5), "p90_rank": place(0.9), "p99_rank": place(0.99)})
+    shares = ranks.agg(F.count(F.lit(1)).alias("queries"), *[
+        F.avg(F.when(F.col("rank") < k, 1.0).otherwise(0.0)).alias(f"recall_{k}") for k in ks], F.max("rank").alias("worst_rank"))
+    return shares.withColumns({c: orders.select(F.col(c).cast("long")).scalar() for c in orders.columns})
 
 
 def crowding(top: DataFrame, query_family: DataFrame, entry_family: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ...operators.quantiles import order_statistics
 from .base import (
     CARE, HOME, SITE, Model, agg_by, at, days, either, mean, month_of, n, n_if, named_hospital, nd, nd_if, ordered, pct,
     per, quantile, reg, rnd, share, top, total,
@@ -559,15 +560,20 @@ _CONC = "expenditure_concentration"
 def payment_tiers(t: Model) -> DataFrame:
     """Hospitals in tiers by payments received, and each tier's share of all payments.
 
-    Only the per-hospital totals are ranked: one row per registered hospital.
+    The tenth, fifth and half of the hospitals end at an order statistic of the
+    payments: equal payments share a tier, and no ranking of all hospitals is needed.
     """
     paid = at(t.case_payments, "payment_status", "SUCCESS").groupBy("hospital_id").agg(
         F.sum("amount_paid").alias("paid")).join(t.hospitals.select("hospital_id"), "hospital_id")
-    rank = F.rank().over(Window.partitionBy().orderBy(F.col("paid").desc_nulls_last()))
-    ranked = paid.withColumns({"rk": rank, "sites": paid.agg(n("c")).scalar()})
-    tier = (F.when(F.col("rk") <= F.ceil(F.col("sites") * 0.10), "Top 10%")
-            .when(F.col("rk") <= F.ceil(F.col("sites") * 0.20), "Next 10% (11-20%)")
-            .when(F.col("rk") <= F.ceil(F.col("sites") * 0.50), "Middle 30% (21-50%)").otherwise("Bottom 50%"))
+    ranked = paid.withColumn("size", F.coalesce("paid", F.lit(float("-inf"))))
+
+    def last_of(share: float):
+        return 1 - share, F.col("_n") - F.ceil(F.col("_n") * F.lit(share))
+
+    ends = order_statistics(ranked, [], "size", {"e10": last_of(0.10), "e20": last_of(0.20), "e50": last_of(0.50)})
+    ranked = ranked.withColumns({c: ends.select(c).scalar() for c in ends.columns})
+    tier = (F.when(F.col("size") >= F.col("e10"), "Top 10%").when(F.col("size") >= F.col("e20"), "Next 10% (11-20%)")
+            .when(F.col("size") >= F.col("e50"), "Middle 30% (21-50%)").otherwise("Bottom 50%"))
     out = agg_by(ranked, [tier.alias("hospital_tier")], n("hospital_count"), F.sum("paid").alias("p"))
     out = out.withColumns({"tier_total_paid": rnd("p"), "share_of_total_pct": pct("p", paid.agg(F.sum("paid")).scalar(), 2)})
     return ordered(out.drop("p"), "-share_of_total_pct", "hospital_tier")
@@ -578,18 +584,34 @@ def spend_by_hospital(t: Model, cases: DataFrame, *extra: str) -> DataFrame:
     return cases.groupBy(*extra, "hospital_id").agg(F.sum("approved").alias("spend"), F.sum("n_claims").alias("k"))
 
 
+def with_first_rows(sizes: DataFrame, by: str, size: str, k: int) -> DataFrame:
+    """All rows, with no ``rn``, and once more the k largest of each group with their place in ``rn``.
+
+    One aggregation over both gives totals and the share of the first; only the
+    k largest per task reach the ranking. The hospital id settles ties.
+    """
+    order = Window.partitionBy(by).orderBy(F.col(size).desc_nulls_last(), F.col("hospital_id").asc_nulls_last())
+    first = sizes.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
+    return sizes.withColumn("rn", F.lit(None).cast("int")).unionByName(first)
+
+
+def of_all(size: str) -> Column:
+    return F.sum(F.when(F.col("rn").isNull(), F.col(size)))
+
+
+def of_first(size: str, k: int) -> Column:
+    return F.sum(F.when(F.col("rn") <= k, F.col(size)))
+
+
 def ranked_spend(t: Model, cases: DataFrame) -> DataFrame:
-    """Per district: hospitals that have claims, ranked by approved amount (hospital id settles ties)."""
+    """Per district: approved amount of the hospitals that have claims, and of the five largest."""
     spend = spend_by_hospital(t, cases, "hospital_district").where(F.col("k") > 0)
-    order = Window.partitionBy("hospital_district").orderBy(F.col("spend").desc_nulls_last(),
-                                                            F.col("hospital_id").asc_nulls_last())
-    return spend.withColumn("rn", F.row_number().over(order))
+    return with_first_rows(spend, "hospital_district", "spend", 5)
 
 
 def top_five_share(t: Model) -> DataFrame:
     rows = ranked_spend(t, t.claimed_cases)
-    out = agg_by(rows, "hospital_district as district",
-                 F.sum(F.when(F.col("rn") <= 5, F.col("spend")).otherwise(0.0)).alias("five"), F.sum("spend").alias("all"))
+    out = agg_by(rows, "hospital_district as district", F.coalesce(of_first("spend", 5), F.lit(0.0)).alias("five"), of_all("spend").alias("all"))
     return ordered(out.select("district", rnd("five").alias("top5_spend"), rnd("all").alias("district_total_spend"),
                               pct("five", "all", 1).alias("top5_concentration_pct")),
                    "-top5_concentration_pct", "district")
@@ -630,20 +652,15 @@ def running_share(t: Model, district: str) -> DataFrame:
 
 def compare_concentration(t: Model, p: dict) -> DataFrame:
     rows = ranked_spend(t, either(t.claimed_cases, CARE["district"], p))
-
-    def first(k):
-        return F.sum(F.when(F.col("rn") <= k, F.col("spend")))
-
-    out = agg_by(rows, "hospital_district as district", F.sum("spend").alias("total_spend"), first(1).alias("top1_spend"),
-                 first(3).alias("top3_spend"), first(5).alias("top5_spend"))
+    out = agg_by(rows, "hospital_district as district", of_all("spend").alias("total_spend"),
+                 *[of_first("spend", k).alias(f"top{k}_spend") for k in (1, 3, 5)])
     return ordered(out.withColumn("top5_share_pct", pct("top5_spend", "total_spend", 1)), "-top5_share_pct", "district")
 
 
 def compare_dependence(t: Model, p: dict) -> DataFrame:
     visits = either(t.cases, CARE["district"], p).groupBy("hospital_district", "hospital_id").agg(n("k"))
-    order = Window.partitionBy("hospital_district").orderBy(F.col("k").desc(), F.col("hospital_id").asc_nulls_last())
-    out = agg_by(visits.withColumn("rn", F.row_number().over(order)), "hospital_district as district",
-                 F.sum("k").alias("total_cases"), F.sum(F.when(F.col("rn") <= 5, F.col("k"))).alias("top5_cases"))
+    out = agg_by(with_first_rows(visits, "hospital_district", "k", 5), "hospital_district as district",
+                 of_all("k").alias("total_cases"), of_first("k", 5).alias("top5_cases"))
     return ordered(out.withColumn("top5_share_pct", pct("top5_cases", "total_cases", 1)), "-top5_share_pct", "district")
 
 
@@ -685,10 +702,8 @@ _HC = "hospital_concentration"
 
 def top_three(t: Model) -> DataFrame:
     visits = t.cases.groupBy("hospital_district", "hospital_id").agg(n("k"))
-    order = Window.partitionBy("hospital_district").orderBy(F.col("k").desc(), F.col("hospital_id").asc_nulls_last())
-    out = agg_by(visits.withColumn("rn", F.row_number().over(order)), "hospital_district as district",
-                 F.sum(F.when(F.col("rn") <= 3, F.col("k")).otherwise(0)).alias("top3_cases"),
-                 F.sum("k").alias("district_total"))
+    out = agg_by(with_first_rows(visits, "hospital_district", "k", 3), "hospital_district as district",
+                 of_first("k", 3).alias("top3_cases"), of_all("k").alias("district_total"))
     return top(out.withColumn("top3_concentration_pct", pct("top3_cases", "district_total", 1)), 20,
                "-top3_concentration_pct", "district")
 

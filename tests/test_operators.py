@@ -40,6 +40,16 @@ def test_exact_quantiles_equal_linear_interpolation(spark):
     assert exact_quantiles(df, [], "v", {"m": 0.5}).first()["m"] == pytest.approx(float(np.median(whole)))
 
 
+def test_exact_quantiles_of_a_large_group_with_far_outliers(spark):
+    rng = np.random.default_rng(8)
+    values = np.concatenate([rng.lognormal(0, 3, 40_000), [1e15] * 3, np.round(rng.normal(5, 1, 20_000), 2)])
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double")
+    points = {"a": 0.0, "b": 0.01, "c": 0.5, "d": 0.9, "e": 0.9999, "f": 1.0}
+    got = exact_quantiles(rows.withColumn("k", F.lit("x")), ["k"], "v", points).first()
+    for name, p in points.items():
+        assert got[name] == pytest.approx(float(np.quantile(values, p)), rel=1e-12), name
+
+
 def _visits(spark, n=400):
     rng = random.Random(5)
     rows = []
