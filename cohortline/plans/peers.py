@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import safe_div
+from ..operators.quantiles import ACCURACY, exact_quantiles
 from ..runtime import cut_lineage
 from .gap import yes
 
 PAIR = ["hospital_id", "hbp_procedure_code"]
 PEER = ["hbp_procedure_code", "hospital_type"]
+SLICES = 256
 
 # Metric and the direction that is an improvement.
 TREND_METRICS = {
@@ -33,10 +35,11 @@ DESCRIPTORS = ("hospital_name", "hospital_type", "hospital_sub_type", "block", "
 
 def peer_stats(df: DataFrame, metric: str, prefix: str) -> DataFrame:
     """Mean, deviation, quartiles and size of the peer group. A peer group has one row per hospital."""
-    stats = df.where(F.col("hbp_procedure_code").isNotNull() & F.col("hospital_type").isNotNull()).groupBy(*PEER).agg(
-        F.avg(metric).alias(f"{prefix}_avg"), F.percentile(metric, F.lit(0.5)).alias(f"{prefix}_median"),
-        F.stddev(metric).alias(f"{prefix}_std"), F.percentile(metric, F.lit(0.25)).alias(f"{prefix}_p25"),
-        F.percentile(metric, F.lit(0.75)).alias(f"{prefix}_p75"), F.count(metric).alias("peer_hospital_count"))
+    known = df.where(F.col("hbp_procedure_code").isNotNull() & F.col("hospital_type").isNotNull())
+    quarters = exact_quantiles(known, list(PEER), metric, {f"{prefix}_median": 0.5, f"{prefix}_p25": 0.25, f"{prefix}_p75": 0.75})
+    stats = known.groupBy(*PEER).agg(
+        F.avg(metric).alias(f"{prefix}_avg"), F.stddev(metric).alias(f"{prefix}_std"), F.count(metric).alias("peer_hospital_count"))
+    stats = cut_lineage(stats.join(quarters, list(PEER), "left"))
     return df.join(stats, PEER, "left").withColumn("small_peer_group", yes(F.col("peer_hospital_count") < 3))
 
 
@@ -50,12 +53,22 @@ def peer_z(metric: str, prefix: str) -> Column:
 def percentile_of_score(df: DataFrame, metric: str, name: str) -> DataFrame:
     """Percentage of the peer group below a value, ties counted half (mean of the strict and the weak rank).
 
-    Ranks run over counts per distinct value: rows below, rows equal.
+    Ranks run over counts per distinct value: rows below, rows equal. A large
+    group is cut by its own quantile sketch into slices of like size, ranked
+    apart, and the slices are set off by the counts of the slices below.
     """
-    counts = df.where(F.col(metric).isNotNull()).groupBy(*PEER, metric).agg(F.count(F.lit(1)).alias("_eq"))
-    upto = Window.partitionBy(*PEER).orderBy(metric).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*PEER)
-    ranks = counts.withColumns({"_le": F.sum("_eq").over(upto), "_n": F.sum("_eq").over(whole)})
+    known = df.where(F.col(metric).isNotNull() & F.col("hbp_procedure_code").isNotNull() & F.col("hospital_type").isNotNull())
+    edges = F.percentile_approx(metric, [i / SLICES for i in range(1, SLICES)], ACCURACY)
+    sizes = known.groupBy(*PEER).agg(F.count(F.lit(1)).alias("_n"), edges.alias("_edges"))
+    sizes = sizes.withColumn("_edges", F.when(F.col("_n") > ACCURACY, F.col("_edges")).otherwise(F.array().cast("array<double>")))
+    slice_of = F.size(F.filter("_edges", lambda e: e < F.col(metric)))
+    counts = known.groupBy(*PEER, metric).agg(F.count(F.lit(1)).alias("_eq")).join(sizes, list(PEER)).withColumn(
+        "_slice", slice_of).drop("_edges")
+    lower = Window.partitionBy(*PEER).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = counts.groupBy(*PEER, "_slice").agg(F.sum("_eq").alias("_in")).withColumn(
+        "_under", F.coalesce(F.sum("_in").over(lower), F.lit(0))).drop("_in")
+    upto = Window.partitionBy(*PEER, "_slice").orderBy(metric).rowsBetween(Window.unboundedPreceding, 0)
+    ranks = counts.join(slices, [*PEER, "_slice"]).withColumn("_le", F.col("_under") + F.sum("_eq").over(upto))
     below = F.col("_le") - F.col("_eq")
     share = (below + F.col("_le") + F.when(F.col("_eq") > 0, 1).otherwise(0)) * 50.0 / F.col("_n")
     return df.join(ranks.select(*PEER, metric, share.alias(name)), [*PEER, metric], "left")

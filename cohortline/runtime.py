@@ -23,6 +23,13 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, app: str = "coho
     )
 
 
+def for_hot_keys(spark: SparkSession) -> SparkSession:
+    """Let adaptive execution split hot join keys even where that costs a further shuffle."""
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    return spark
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts, as the cluster names it in ``spark.checkpoint.dir``.
 
