@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortline.llm import jaccard
+from cohortline.llm import jaccard, suffix
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +21,14 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-byte strings that a smaller document has as well."""
+    return suffix.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_ngram_jaccard,)}
+    return {f.__name__: f for f in (op4_ngram_jaccard, op10_suffix_repeats)}
 
 
 def llm_sql() -> dict[str, str]:
