@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.llm import jaccard, suffix
+from cohortline.llm import jaccard, mixing, packing, suffix
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    """The vocabulary file of the packing query; the operator takes any."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens, a row per piece."""
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary()).select(
+        "doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the words that the mix of their source takes of them."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the size of its set of 5-word shingles and its class at similarity 0.75."""
     return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
@@ -28,7 +46,7 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_ngram_jaccard, op10_suffix_repeats)}
+    return {f.__name__: f for f in (op1_cost_balanced_packing, op3_source_mixing, op4_ngram_jaccard, op10_suffix_repeats)}
 
 
 def llm_sql() -> dict[str, str]:
