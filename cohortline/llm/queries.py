@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.llm import chat, common, jaccard, mixing, packing, quality, suffix
+from cohortline.runtime import checkpoint_dir
+from cohortline.llm import chat, common, jaccard, mixing, packing, quality, suffix, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +53,20 @@ def op6_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op8_indexed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back by the index; a revisit has what its response's payload says."""
+    folder = f"{checkpoint_dir(spark)}/cohortline-warc-{uuid.uuid4().hex}"
+    records = warc.read_records(warc.write_archive(table(spark, sf_dir, "pages"), folder), folder)
+    slim = common.cut(records.select("page_id", "record_type", "refers_to", "digest", F.octet_length("payload").cast("long").alias("bytes"),
+                                     F.sha1("payload").alias("sha1")))
+    whole = slim.where("record_type = 'response'").groupBy(F.col("page_id").alias("of_page"), F.col("digest").alias("of_digest")).agg(
+        F.first("bytes").alias("of_bytes"), F.first("sha1").alias("of_sha1"))
+    revisits = slim.where("record_type = 'revisit'").join(whole, (F.col("refers_to") == F.col("of_page")) & (F.col("digest") == F.col("of_digest")), "left")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return slim.where("record_type = 'response'").withColumnsRenamed({"bytes": "payload_bytes", "sha1": "payload_digest"}).select(*columns).union(
+        revisits.withColumnsRenamed({"of_bytes": "payload_bytes", "of_sha1": "payload_digest"}).select(*columns))
+
+
 def op9_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score for every document, learnt from the labels of two thirds of the ids."""
     held_out = common.crc_of("doc_id", 3) == 1
@@ -65,7 +81,8 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_cost_balanced_packing, op3_source_mixing, op4_ngram_jaccard, op6_prefix_target_chat, op9_quadratic_quality, op10_suffix_repeats)}
+    return {f.__name__: f for f in (op1_cost_balanced_packing, op3_source_mixing, op4_ngram_jaccard, op6_prefix_target_chat, op8_indexed_warc,
+                                   op9_quadratic_quality, op10_suffix_repeats)}
 
 
 def llm_sql() -> dict[str, str]:
