@@ -96,9 +96,8 @@ def _dealt(size: int, buckets: int, known):
                     yield set_number(k), s[~often]
 
         def frequent() -> pa.RecordBatch:
-            owners = np.fromiter(passed, np.int64, len(passed))
-            return common.as_batch(postings.DEALT, bucket=(buckets + owners % buckets).astype(np.int32), owners=[o.tobytes() for o in owners],
-                                   counts=[np.uint32(len(e)).tobytes() for e in passed.values()], keys=[e.tobytes() for e in passed.values()])
+            counts = np.fromiter(map(len, passed.values()), np.int64, len(passed))
+            return postings.known(np.fromiter(passed, np.int64, len(passed)), counts, np.concatenate(list(passed.values())), buckets)
 
         for batch in postings.dealt(owned(), buckets):
             yield batch
@@ -118,32 +117,14 @@ def _within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[at] == values
 
 
-def _shared(buckets: int):
-    def run(pdf):
-        import pandas as pd
-
-        bucket = int(pdf.bucket.iloc[0])
-        if bucket >= buckets:  # frequent n-grams of an owner, as often as a portion had it
-            owner = np.concatenate([np.frombuffer(x, np.int64) for x in pdf.owners])
-            _, once = np.unique(owner, return_index=True)
-            keys = pdf["keys"].iloc[once]
-            return pd.DataFrame({"owner": owner[once], "n": (keys.str.len() // postings.ELEMENT.itemsize).astype(np.int32), "keys": keys})
-        owner, n, element = postings.shared_in_bucket(bucket, list(pdf.owners), list(pdf["counts"]), list(pdf["keys"]))
-        ends = np.cumsum(n) * element.dtype.itemsize
-        raw = element.tobytes()
-        return pd.DataFrame({"owner": owner, "n": n.astype(np.int32), "keys": [raw[a:b] for a, b in zip(np.r_[0, ends[:-1]], ends)] if len(n) else []})
-
-    return run
-
-
 def _rows(threshold: int):
     """Rows of the matrix: the shared n-grams of a set, rarest first, and how many of them its size puts into the prefix."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.column(1).to_numpy()
             prefix, keys = [], []
-            for size, parts in zip(n, batch.column(2).to_pylist()):
-                element = np.concatenate([np.frombuffer(p, postings.ELEMENT) for p in parts])
+            for size, own in zip(n, batch.column(2).to_pylist()):
+                element = np.frombuffer(own, postings.ELEMENT)
                 element = element[np.lexsort((element["key"], element["owners"]))]
                 alone = int(size) - len(element)
                 prefix.append(int(size) - -(-threshold * int(size) // 100) + 1 - alone)
@@ -252,11 +233,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 75) -> D
 
     filled = members.where("n_shingles > 0")
     sets = filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
-    shared = texts.mapInArrow(_dealt(size, buckets, known), postings.DEALT_DDL).groupBy("bucket").applyInPandas(_shared(buckets), postings.SHARED_DDL)
+    shared = postings.shared_keys(texts.mapInArrow(_dealt(size, buckets, known), postings.DEALT_DDL), buckets)
     numbered = sets.where("rep IS NOT NULL").withColumn(
         "owner", F.expr("conv(hex(substring(set_key, 1, 8)), 16, -10)").cast("long"))
-    rows = (shared.groupBy("owner").agg(F.sum("n").alias("kept"), F.collect_list("keys").alias("keys"))
-            .join(numbered, "owner").where(F.col("kept") * 100 >= F.col("n") * threshold).select("rep", "n", "keys"))
+    rows = (shared.withColumnRenamed("n", "kept").join(numbered, "owner").where(F.col("kept") * 100 >= F.col("n") * threshold)
+            .select("rep", "n", "keys"))
     rows = common.cut(rows.mapInArrow(_rows(threshold), ROW_DDL))
 
     prefixes = rows.select("rep", "prefix", "keys").mapInArrow(_prefixes, "key long, rep long")

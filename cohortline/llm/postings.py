@@ -2,7 +2,9 @@
 
 Keys are 64-bit hashes. A task gathers the keys of many owners, sorts them into
 buckets and sends one row per bucket, so that a key costs six bytes rather than
-a row. A bucket then holds all owners of its keys.
+a row. A bucket then holds all owners of its keys, and answers with a row per block
+of owners; a block puts the answers of all buckets together for each owner.
+Neither the rows of a step nor its bytes grow faster than the documents.
 """
 
 from __future__ import annotations
@@ -11,11 +13,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 DEALT = pa.schema([("bucket", pa.int32()), ("owners", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
 DEALT_DDL = "bucket int, owners binary, counts binary, keys binary"
-SHARED = pa.schema([("owner", pa.int64()), ("n", pa.int32()), ("keys", pa.binary())])
-SHARED_DDL = "owner long, n int, keys binary"
+REPLY_DDL = "block int, owners binary, counts binary, keys binary"
+OWNED = pa.schema([("owner", pa.int64()), ("n", pa.int32()), ("keys", pa.binary())])
+OWNED_DDL = "owner long, n int, keys binary"
 ELEMENT = np.dtype([("key", "<u8"), ("owners", "<u4")])
 LOW = np.uint64((1 << 48) - 1)
 
@@ -104,3 +108,56 @@ def shared_in_bucket(bucket: int, owners: list[bytes], counts: list[bytes], keys
     back = np.argsort(whose, kind="stable")
     owner, n = np.unique(whose[back], return_counts=True)
     return who[owner], n, element[back]
+
+
+def known(owners: np.ndarray, counts: np.ndarray, elements: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows of DEALT for elements that need no bucket: they pass on to the blocks of their owners."""
+    rows = [(buckets + block, *blobs) for block, *blobs in _by_block(owners, counts, elements, buckets)]
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), DEALT)], schema=DEALT)
+
+
+def _by_block(owners: np.ndarray, counts: np.ndarray, elements: np.ndarray, blocks: int) -> list[tuple]:
+    order = np.argsort(owners % blocks, kind="stable")
+    begin = np.r_[0, np.cumsum(counts)]
+    moved = np.repeat(begin[:-1][order] - np.r_[0, np.cumsum(counts[order])[:-1]], counts[order]) + np.arange(begin[-1])
+    owners, counts, elements = owners[order], counts[order].astype(np.uint32), elements[moved]
+    begin = np.r_[0, np.cumsum(counts.astype(np.int64))]
+    return [(b, owners[i:j].tobytes(), counts[i:j].tobytes(), elements[begin[i]:begin[j]].tobytes()) for b, i, j in slices(owners % blocks)]
+
+
+def answers(buckets: int):
+    """For the rows of one bucket: which of its keys have several owners, a row per block of owners."""
+    def run(pdf):
+        import pandas as pd
+
+        bucket = int(pdf.bucket.iloc[0])
+        if bucket >= buckets:
+            return pd.DataFrame({"block": bucket - buckets, "owners": pdf.owners, "counts": pdf["counts"], "keys": pdf["keys"]})
+        owner, n, element = shared_in_bucket(bucket, list(pdf.owners), list(pdf["counts"]), list(pdf["keys"]))
+        return pd.DataFrame(_by_block(owner, n, element, buckets), columns=["block", "owners", "counts", "keys"])
+
+    return run
+
+
+def gathered(pdf):
+    """For the rows of one block: every owner with its elements. An element that came more than once for an owner is left once."""
+    import pandas as pd
+
+    owners = np.concatenate([np.frombuffer(x, np.int64) for x in pdf.owners])
+    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["counts"]]).astype(np.int64)
+    elements = np.concatenate([np.frombuffer(x, ELEMENT) for x in pdf["keys"]])
+    whose = np.repeat(owners, counts)
+    order = np.lexsort((elements["key"], whose))
+    whose, elements = whose[order], elements[order]
+    new = np.r_[True, (whose[1:] != whose[:-1]) | (elements["key"][1:] != elements["key"][:-1])] if len(whose) else np.empty(0, bool)
+    whose, elements = whose[new], elements[new]
+    owner, n = np.unique(whose, return_counts=True)
+    ends = np.cumsum(n) * ELEMENT.itemsize
+    raw = elements.tobytes()
+    return pd.DataFrame({"owner": owner, "n": n.astype(np.int32), "keys": [raw[a:b] for a, b in zip(np.r_[0, ends[:-1]], ends)] if len(n) else []})
+
+
+def shared_keys(dealt_rows: DataFrame, buckets: int) -> DataFrame:
+    """``(owner, n, keys)``: for every owner its keys that others have too, with their number of owners where a bucket has counted them."""
+    return (dealt_rows.groupBy("bucket").applyInPandas(answers(buckets), REPLY_DDL)
+            .groupBy("block").applyInPandas(gathered, OWNED_DDL))

@@ -43,8 +43,8 @@ BYTE_HASH = common.mixed(np.arange(1, 257, dtype=np.uint64))
 LAST = (1 << 63) - 1  # stands for a missing id, which comes last
 READS = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("texts", pa.binary()), ("at", pa.binary()), ("ends", pa.binary()), ("reads", pa.binary())])
 READS_DDL = "bucket int, docs binary, texts binary, at binary, ends binary, reads binary"
-SPANS = pa.schema([("doc", pa.int64()), ("text_key", pa.int64()), ("spans", pa.binary())])
-SPANS_DDL = "doc long, text_key long, spans binary"
+SPANS_DDL = "block int, docs binary, texts binary, starts binary, ends binary"
+MARKED_DDL = "doc long, text_key long, spans binary"
 
 
 def _slide(op, values: np.ndarray, width: int) -> np.ndarray:
@@ -114,10 +114,7 @@ def _dealt(buckets: int, match: int, gram: int):
                 element["key"] = postings.key_of(hashes[known], buckets)
                 element["owners"] = 0
                 at, n = np.unique(whose[known], return_counts=True)
-                ends = np.r_[0, np.cumsum(n)]
-                ids = np.asarray([owners[i] for i in at], np.int64)
-                yield common.as_batch(postings.DEALT, bucket=(buckets + ids % buckets).astype(np.int32), owners=[x.tobytes() for x in ids],
-                                      counts=[b""] * len(ids), keys=[element[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])])
+                yield postings.known(np.asarray(owners, np.int64)[at], n, element, buckets)
 
         for owner, hashes in _owned(batches, match, gram):
             if len(hashes):
@@ -132,31 +129,23 @@ def _dealt(buckets: int, match: int, gram: int):
     return run
 
 
-def _shared(buckets: int):
-    def run(pdf):
-        import pandas as pd
+def _by_block(docs: np.ndarray, texts: np.ndarray, starts: np.ndarray, ends: np.ndarray, blocks: int) -> list[tuple]:
+    """Spans dealt by their texts: (block, documents, texts, first bytes, end bytes)."""
+    order = np.argsort(texts % blocks, kind="stable")
+    columns = [x[order].astype(t) for x, t in ((docs, "<i8"), (texts, "<i8"), (starts, "<u4"), (ends, "<u4"))]
+    return [(b, *(x[i:j].tobytes() for x in columns)) for b, i, j in postings.slices(texts[order] % blocks)]
 
-        bucket = int(pdf.bucket.iloc[0])
-        if bucket >= buckets:
-            return pd.DataFrame({"owner": np.concatenate([np.frombuffer(x, np.int64) for x in pdf.owners]),
-                                 "n": (pdf["keys"].str.len() // postings.ELEMENT.itemsize).astype(np.int32).to_numpy(), "keys": list(pdf["keys"])})
-        owner, n, element = postings.shared_in_bucket(bucket, list(pdf.owners), list(pdf["counts"]), list(pdf["keys"]))
-        ends = np.cumsum(n) * element.dtype.itemsize
-        raw = element.tobytes()
-        return pd.DataFrame({"owner": owner, "n": n.astype(np.int32), "keys": [raw[a:b] for a, b in zip(np.r_[0, ends[:-1]], ends)] if len(n) else []})
 
-    return run
+def _marked(pdf):
+    """The spans of a block of texts, a row per document."""
+    import pandas as pd
 
-
-def _spans_of(docs: np.ndarray, texts: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch | None:
-    """One row per document with its spans of bytes."""
-    if not len(docs):
-        return None
+    docs, texts, starts, ends = (np.concatenate([np.frombuffer(x, t) for x in pdf[c]]) for c, t in
+                                 (("docs", "<i8"), ("texts", "<i8"), ("starts", "<u4"), ("ends", "<u4")))
     order = np.lexsort((texts, docs))
-    docs, texts, pairs = docs[order], texts[order], np.stack([starts[order], ends[order]], 1).astype(np.uint32)
+    docs, texts, pairs = docs[order], texts[order], np.stack([starts[order], ends[order]], 1)
     first = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (texts[1:] != texts[:-1])])
-    return common.as_batch(SPANS, doc=docs[first], text_key=texts[first],
-                           spans=common.binary_array(pairs.reshape(-1), 2 * np.diff(np.r_[first, len(docs)])))
+    return pd.DataFrame({"doc": docs[first], "text_key": texts[first], "spans": [pairs[i:j].tobytes() for i, j in zip(first, np.r_[first[1:], len(docs)])]})
 
 
 def _reads(buckets: int, match: int, gram: int):
@@ -184,11 +173,10 @@ def _reads(buckets: int, match: int, gram: int):
             head = np.r_[True, digest[order][1:] != digest[order][:-1]]
             smallest = doc[order][head][np.cumsum(head) - 1]
             later = order[doc[order] > smallest]
-            settled = _spans_of(doc[later], text[later], np.maximum(at[later] - before, 0), np.minimum(at[later] - before + length, n[later]))
-            if settled is not None:
-                yield common.as_batch(READS, bucket=(-1 - settled.column(0).to_numpy() % buckets).astype(np.int32), docs=[x.tobytes() for x in settled.column(0).to_numpy()],
-                                      texts=[x.tobytes() for x in settled.column(1).to_numpy()], at=settled.column(2),
-                                      ends=[b""] * settled.num_rows, reads=[b""] * settled.num_rows)
+            if len(later):
+                settled = _by_block(doc[later], text[later], np.maximum(at[later] - before, 0), np.minimum(at[later] - before + length, n[later]), buckets)
+                rows = [(-1 - block, *blobs, b"") for block, *blobs in settled]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), READS)], schema=READS)
             stay = order[doc[order] == smallest]
             where = (key[stay] >> np.uint64(48)).astype(np.uint16)
             stay = stay[np.argsort(where, kind="stable")]
@@ -202,7 +190,7 @@ def _reads(buckets: int, match: int, gram: int):
                                                    batch.column(columns["shared"]).to_pylist(), common.column_bytes(batch.column(columns["text"]))):
                 at, hashes = anchors(text, match, gram)
                 key = postings.key_of(hashes, buckets)
-                wanted = np.isin(key, np.concatenate([np.frombuffer(x, postings.ELEMENT)["key"] for x in shared]))
+                wanted = np.isin(key, np.frombuffer(shared, postings.ELEMENT)["key"])
                 at, key = at[wanted], key[wanted]
                 if not len(at):
                     continue
@@ -267,28 +255,28 @@ def repeated_windows(reads: np.ndarray, docs: np.ndarray, first: np.ndarray, las
     return repeated
 
 
-def _settle(match: int, gram: int):
+def _settle(buckets: int, match: int, gram: int):
     before, length = match - gram, 2 * match - gram
+    names = ["block", "docs", "texts", "starts", "ends"]
 
     def run(pdf):
-        if int(pdf.bucket.iloc[0]) < 0:
-            import pandas as pd
+        import pandas as pd
 
-            return pd.DataFrame({"doc": np.concatenate([np.frombuffer(x, np.int64) for x in pdf.docs]),
-                                 "text_key": np.concatenate([np.frombuffer(x, np.int64) for x in pdf.texts]), "spans": list(pdf["at"])})
+        bucket = int(pdf.bucket.iloc[0])
+        if bucket < 0:
+            return pd.DataFrame({"block": -1 - bucket, "docs": pdf.docs, "texts": pdf.texts, "starts": pdf["at"], "ends": pdf.ends})
         doc, text, at, n = (np.concatenate([np.frombuffer(x, t) for x in pdf[c]]) for c, t in
                             (("docs", "<i8"), ("texts", "<i8"), ("at", "<u4"), ("ends", "<u4")))
         at, n = at.astype(np.int64), n.astype(np.int64)
         reads = np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["reads"]]).reshape(-1, length)
-        first = np.maximum(before - at, 0)
-        found = repeated_windows(reads, doc, first, np.minimum(n - at + before, length), match)
+        found = repeated_windows(reads, doc, np.maximum(before - at, 0), np.minimum(n - at + before, length), match)
         row, column = np.nonzero(found)
-        new = np.r_[True, (row[1:] != row[:-1]) | (column[1:] != column[:-1] + 1)] if len(row) else np.empty(0, bool)
-        a = np.flatnonzero(new)
-        b = np.r_[a[1:], len(row)] - 1
-        who = row[a]
-        spans = _spans_of(doc[who], text[who], at[who] - before + column[a], at[who] - before + column[b] + match) if len(a) else None
-        return (spans if spans is not None else pa.RecordBatch.from_pylist([], schema=SPANS)).to_pandas()
+        if not len(row):
+            return pd.DataFrame([], columns=names)
+        new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (column[1:] != column[:-1] + 1)])
+        end = np.r_[new[1:], len(row)] - 1
+        who = row[new]
+        return pd.DataFrame(_by_block(doc[who], text[who], at[who] - before + column[new], at[who] - before + column[end] + match, buckets), columns=names)
 
     return run
 
@@ -307,7 +295,7 @@ def _kept(match: int):
                 elif copy or not spans:
                     out.append((len(text), 0, 0, text))
                 else:
-                    pairs = np.concatenate([np.frombuffer(s, np.uint32) for s in spans]).reshape(-1, 2).astype(np.int64)
+                    pairs = np.frombuffer(spans, np.uint32).reshape(-1, 2).astype(np.int64)
                     depth = np.zeros(len(text) + 1, np.int64)
                     np.add.at(depth, pairs[:, 0], 1)
                     np.add.at(depth, pairs[:, 1], -1)
@@ -337,12 +325,11 @@ def remove_repeats(docs: DataFrame, match: int = 50, gram: int = 24) -> DataFram
     text = ["doc", "text_key"]
     single = keyed.join(first, text, "left_semi")
 
-    shared = (single.select("text_key", "text").mapInArrow(_dealt(buckets, match, gram), postings.DEALT_DDL)
-              .groupBy("bucket").applyInPandas(_shared(buckets), postings.SHARED_DDL)
-              .groupBy(F.col("owner").alias("text_key")).agg(F.collect_list("keys").alias("shared")).join(first, "text_key"))
+    dealt = single.select("text_key", "text").mapInArrow(_dealt(buckets, match, gram), postings.DEALT_DDL)
+    shared = postings.shared_keys(dealt, buckets).select(F.col("owner").alias("text_key"), F.col("keys").alias("shared")).join(first, "text_key")
     reads = keyed.join(shared, text).select("doc", "text_key", "shared", "text").mapInArrow(_reads(buckets, match, gram), READS_DDL)
-    spans = (reads.groupBy("bucket").applyInPandas(_settle(match, gram), SPANS_DDL)
-             .groupBy("doc", "text_key").agg(F.collect_list("spans").alias("spans")))
+    spans = (reads.groupBy("bucket").applyInPandas(_settle(buckets, match, gram), SPANS_DDL)
+             .groupBy("block").applyInPandas(_marked, MARKED_DDL))
     marked = first.select("doc", "text_key", F.lit(False).alias("copy")).join(spans, text, "left")
     kept, ddl = _kept(match)
     out = (keyed.join(marked, text, "left").select("doc", F.coalesce("copy", F.lit(True)).alias("copy"), "spans", "text")
