@@ -9,7 +9,8 @@ above the query's bound by more than the rotation's chance error allows.
 
 The index is fitted on a bounded sample (``SAMPLE`` vectors): the centroids, and how
 many lists hold the neighbours that a sampled query looks for. Every vector is indexed.
-A query's first bound is its k-th distance within the sample, which no true neighbour exceeds.
+A query's first bound is its k-th distance within the sample, which no true neighbour exceeds;
+the k found there are candidates like those of the lists.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ class Index:
 
     def __init__(self, ids: np.ndarray, sample: np.ndarray, longest: float, n: int, k: int, aim: float, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.k, self.longest, self.ids = k, longest, ids
+        self.k, self.longest, self.ids, self.points = k, longest, ids, sample
         dim = sample.shape[1] + 1
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         self.sample = self.lengthened(sample)
@@ -45,6 +46,13 @@ class Index:
         self.centroids = self._centroids(rng, lists)
         self.probes = self._probes(sample, aim)
 
+    @classmethod
+    def received(cls, parts: dict) -> Index:
+        """The index from its arrays; these are what is broadcast."""
+        index = cls.__new__(cls)
+        vars(index).update(parts)
+        return index
+
     def lengthened(self, x: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(self.longest ** 2 - np.einsum("ij,ij->i", x, x), 0))
         return np.concatenate([x, rest[:, None]], 1) @ self.rotation
@@ -74,42 +82,48 @@ class Index:
         needed = np.sort(np.take_along_axis(rank, where[nearest], 1).ravel())
         return int(needed[min(len(needed) - 1, int(aim * len(needed)))]) + 1 if len(needed) else len(self.centroids)
 
-    def bounds(self, q: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """Each query's k-th squared distance within the sample, itself left out."""
-        near = squared(q, self.sample)
+    def within_sample(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Each query's k-th squared distance within the sample, itself left out, and (query, vec_id, score) of those k."""
+        near = squared(self.query(x), self.sample)
         near[own[:, None] == self.ids[None]] = np.inf
-        if near.shape[1] <= self.k:
-            return np.full(len(q), np.inf)
-        return np.partition(near, self.k - 1, 1)[:, self.k - 1]
+        k = min(self.k, near.shape[1])
+        first = np.argpartition(near, k - 1, 1)[:, :k]
+        distance = np.take_along_axis(near, first, 1)
+        bound = distance.max(1) if k == self.k else np.full(len(x), np.inf)
+        row, column = np.nonzero(np.isfinite(distance))
+        found = first[row, column]
+        return bound, (own[row], self.ids[found], np.einsum("ij,ij->i", x[row], self.points[found]))
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(np.einsum("ij,ij->i", a, a)[:, None] - 2 * (a @ b.T) + np.einsum("ij,ij->i", b, b)[None], 0)
 
 
-ASSIGNED = pa.schema([("list", pa.int32()), ("role", pa.int32()), ("vec_id", pa.int64()), ("bound", pa.float64()), ("vec", pa.binary())])
-ASSIGNED_DDL = "list int, role int, vec_id long, bound double, vec binary"
+ASSIGNED = pa.schema([("list", pa.int32()), ("role", pa.int32()), ("vec_id", pa.int64()), ("bound", pa.float64()), ("vec", pa.binary()), ("other", pa.int64())])
+ASSIGNED_DDL = "list int, role int, vec_id long, bound double, vec binary, other long"
 
 
 def _assign(index, kind: np.dtype, every: int):
-    """Every vector to its list (role 0) and every query, with its bound, to the lists it probes (role 1)."""
+    """Every vector to its list (role 0) and every query, with its bound, to the lists it probes (role 1), and its k nearest in the sample with their scores (role 2)."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted: Index = index.value
+        fitted = Index.received(index.value)
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
                 ids, raw = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(part.column(2).to_pylist(), object)
                 x = vectors.matrix(part.column(2), kind)
                 nearest = squared(fitted.lengthened(x), fitted.centroids).argmin(1)
-                yield common.as_batch(ASSIGNED, list=nearest.astype(np.int32), role=np.zeros(len(ids), np.int32), vec_id=ids, bound=np.zeros(len(ids)), vec=raw.tolist())
+                yield common.as_batch(ASSIGNED, list=nearest.astype(np.int32), role=np.zeros(len(ids), np.int32), vec_id=ids, bound=np.zeros(len(ids)), vec=raw.tolist(), other=ids)
                 asking = np.flatnonzero(ids % every == 0)
                 if len(asking):
                     q = fitted.query(x[asking])
                     probed = np.argsort(squared(q, fitted.centroids), 1, kind="stable")[:, :fitted.probes]
-                    bound = fitted.bounds(q, ids[asking])
+                    bound, (query, found, score) = fitted.within_sample(x[asking], ids[asking])
                     n = probed.shape[1]
                     yield common.as_batch(ASSIGNED, list=probed.ravel().astype(np.int32), role=np.ones(probed.size, np.int32), vec_id=np.repeat(ids[asking], n),
-                                          bound=np.repeat(bound, n), vec=np.repeat(raw[asking], n).tolist())
+                                          bound=np.repeat(bound, n), vec=np.repeat(raw[asking], n).tolist(), other=np.repeat(ids[asking], n))
+                    yield common.as_batch(ASSIGNED, list=np.zeros(len(query), np.int32), role=np.full(len(query), 2, np.int32), vec_id=query,
+                                          bound=score, vec=[b""] * len(query), other=found)
 
     return run
 
@@ -152,7 +166,7 @@ def _search(index, kind: np.dtype):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted: Index = index.value
+        fitted = Index.received(index.value)
         current, pending, held, originals, ids = None, [], [], None, None
         for (list_, split, role), part in common.runs(batches, ["list", "split", "role"]):
             if (list_, split) != current:
@@ -184,7 +198,8 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, aim: float = 0.97) ->
     ``rows`` has vec_id and embedding. Vectors that are null, empty or zero or hold
     null or non-finite components take no part, nor do rows without id and vectors of another length than the most
     frequent one (the smaller on a tie). Scores are inner products of the original vectors in double precision; ties go to the smaller
-    vec_id. A query never finds rows of its own id; a repeated id is found as often as it occurs, and asks once.
+    vec_id. A query never finds rows of its own id; a repeated id is found
+    once, by the best of its rows, and asks with all of them.
     ``aim`` is the share of neighbours in a sample that the probed lists hold. Other
     columns are not looked at; an empty table gives an empty result.
     """
@@ -209,7 +224,7 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, aim: float = 0.97) ->
                 yield pa.RecordBatch.from_arrays([pa.array([float(np.sqrt(np.einsum("ij,ij->i", x, x).max()))])], names=["longest"])
 
     longest = clean.select("vec").mapInArrow(lengths, "longest double").agg(F.max("longest")).first()[0]
-    index = spark.sparkContext.broadcast(Index(np.asarray([r.vec_id for r in sample]), points, longest, n, k, aim))
+    index = spark.sparkContext.broadcast(vars(Index(np.asarray([r.vec_id for r in sample]), points, longest, n, k, aim)))
     assigned = common.cut(clean.mapInArrow(_assign(index, kind, every), ASSIGNED_DDL))
     splits = assigned.where("role = 0").groupBy("list").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("splits"))
     placed = assigned.join(splits, "list")
@@ -218,5 +233,7 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, aim: float = 0.97) ->
     columns = ["list", "split", "role", "vec_id", "bound", "vec"]
     found = (held.select(*columns).union(asked.select(*columns)).repartition(common.partitions(rows), "list", "split")
              .sortWithinPartitions("list", "split", "role").mapInArrow(_search(index, kind), "query_id long, vec_id long, score double"))
+    sampled = assigned.where("role = 2").select(F.col("vec_id").alias("query_id"), F.col("other").alias("vec_id"), F.col("bound").alias("score"))
+    found = found.union(sampled).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortline.runtime import checkpoint_dir
-from cohortline.llm import chat, common, jaccard, mixing, packing, quality, suffix, warc
+from cohortline.llm import chat, common, jaccard, mixing, neighbours, packing, quality, suffix, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,11 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_adaptive_scan_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found for every twentieth vector, against all others."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts imitate the template, formatted and read back."""
     said = "<|im_end|><|im_start|>assistant ok"
@@ -81,7 +86,7 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_cost_balanced_packing, op3_source_mixing, op4_ngram_jaccard, op6_prefix_target_chat, op8_indexed_warc,
+    return {f.__name__: f for f in (op1_cost_balanced_packing, op3_source_mixing, op4_ngram_jaccard, op5_adaptive_scan_neighbours, op6_prefix_target_chat, op8_indexed_warc,
                                    op9_quadratic_quality, op10_suffix_repeats)}
 
 
