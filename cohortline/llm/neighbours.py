@@ -204,7 +204,7 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, aim: float = 0.97) ->
     columns are not looked at; an empty table gives an empty result.
     """
     spark = rows.sparkSession
-    clean, kind = vectors.usable(rows.where("vec_id IS NOT NULL"))
+    clean, kind = vectors.read(rows.where("vec_id IS NOT NULL"))
     clean = common.cut(clean)
     dims = clean.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
     if dims is None:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortline.runtime import checkpoint_dir
-from cohortline.llm import chat, common, jaccard, mixing, neighbours, packing, quality, suffix, warc
+from cohortline.llm import chat, common, jaccard, mixing, neighbours, packing, quality, rangejoin, suffix, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,11 @@ def op6_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op7_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors with their links at cosine 0.9 and their class."""
+    return rangejoin.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_indexed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives and read back by the index; a revisit has what its response's payload says."""
     folder = f"{checkpoint_dir(spark)}/cohortline-warc-{uuid.uuid4().hex}"
@@ -86,7 +91,7 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_cost_balanced_packing, op3_source_mixing, op4_ngram_jaccard, op5_adaptive_scan_neighbours, op6_prefix_target_chat, op8_indexed_warc,
+    return {f.__name__: f for f in (op1_cost_balanced_packing, op3_source_mixing, op4_ngram_jaccard, op5_adaptive_scan_neighbours, op6_prefix_target_chat, op7_metric_range_join, op8_indexed_warc,
                                    op9_quadratic_quality, op10_suffix_repeats)}
 
 
