@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortline.runtime import checkpoint_dir
-from cohortline.llm import chat, common, jaccard, mixing, neighbours, packing, quality, rangejoin, suffix, warc
+from cohortline.llm import chat, common, jaccard, lm, mixing, neighbours, packing, quality, rangejoin, suffix, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,13 @@ def op1_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by what four fifths of the ids teach."""
+    held_out = common.crc_of("doc_id", 5) == 1
+    return lm.score(table(spark, sf_dir, "documents"), ~held_out).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that the mix of their source takes of them."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -91,7 +98,7 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_cost_balanced_packing, op3_source_mixing, op4_ngram_jaccard, op5_adaptive_scan_neighbours, op6_prefix_target_chat, op7_metric_range_join, op8_indexed_warc,
+    return {f.__name__: f for f in (op1_cost_balanced_packing, op2_log_frequency_bloom, op3_source_mixing, op4_ngram_jaccard, op5_adaptive_scan_neighbours, op6_prefix_target_chat, op7_metric_range_join, op8_indexed_warc,
                                    op9_quadratic_quality, op10_suffix_repeats)}
 
 
