@@ -256,3 +256,19 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 75) -> D
         "set_key", F.coalesce("component", "rep").alias("component_id"))
     return filled.join(named, "set_key").select("doc_id", "n_shingles", "set_key", "component_id").union(
         members.where("n_shingles = 0").select("doc_id", "n_shingles", "set_key", F.col("doc_id").alias("component_id")))
+
+
+def without_duplicates(docs: DataFrame, size: int = 5, threshold: int = 75) -> DataFrame:
+    """The rows of ``docs``, all columns, whose doc_id is the smallest of its class.
+
+    Of rows that repeat a doc_id one stays if their texts are in one class, that with the first text.
+    Documents with an empty set and those without id stay.
+    """
+    classes = jaccard_components(docs, size, threshold)
+    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
+    again = classes.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    single = kept.join(again, "doc_id", "left_anti")
+    repeated = kept.join(again, "doc_id", "left_semi")
+    first = repeated.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.coalesce("text", F.lit("")))).alias("row")).select("row.*")
+    return single.select(*docs.columns).union(first.select(*docs.columns))

@@ -118,6 +118,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
     Documents are met by doc_id and size: of several with the same id, each of the same
     size comes as often as the mix says for one of them. Rows without id are met likewise.
+    ``n_chars``, if there is one, counts the cut text.
     """
     plan = mix(docs, **how).groupBy(F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_size")).agg(
         F.max("epochs").alias("mix_epochs"), F.max("extra").alias("mix_extra"))
@@ -128,4 +129,8 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     text = F.when(F.col("mix_take") >= F.col("mix_words"), F.col("text")).otherwise(
         F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("mix_take"), F.lit(1)).cast("int")), " "))
-    return takes.withColumn("text", text).select(*docs.columns)
+    cut = takes.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        whole = (F.col("mix_take") >= F.col("mix_words")) | F.col("n_chars").isNull()
+        cut = cut.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return cut.select(*docs.columns)
