@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_lgamma = np.frompyfunc(math.lgamma, 1, 1)
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(v) for v in x.ravel()]).reshape(x.shape)
 
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -36,7 +37,7 @@ def beta_regularised(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Regularised incomplete beta function for positive ``a``, ``b`` and ``x`` in [0, 1]."""
     a, b, x = (np.asarray(v, dtype=float) for v in np.broadcast_arrays(a, b, x))
     inside = np.clip(x, 1e-308, 1 - 1e-16)
-    log_front = (_lgamma(a + b) - _lgamma(a) - _lgamma(b)).astype(float) + a * np.log(inside) + b * np.log1p(-inside)
+    log_front = _lgamma(a + b) - _lgamma(a) - _lgamma(b) + a * np.log(inside) + b * np.log1p(-inside)
     front = np.exp(log_front)
     flip = inside > (a + 1.0) / (a + b + 2.0)
     lower = front * _beta_fraction(a, b, np.where(flip, 0.5, inside)) / a

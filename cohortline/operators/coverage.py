@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
-
-SITE_LIMIT = 5000
+from ..runtime import cut_lineage
 
 
 def grid_cells(pixels: DataFrame, height: int, width: int, origin_lat: float, origin_lng: float, pixel_deg: float,
@@ -28,58 +28,51 @@ def grid_cells(pixels: DataFrame, height: int, width: int, origin_lat: float, or
         F.round(F.lit(origin_lng) + (F.col("c") + 0.5) * size, 4).alias("lng"))
 
 
-def _sites_array(sites: DataFrame, *columns: str) -> Column:
-    return sites.agg(F.collect_list(F.struct(*columns))).scalar()
-
+def _best_by_rings(cells: DataFrame, places: DataFrame, value: Callable[[Column, Column], Column], first_deg: float) -> DataFrame:
+    """``(lat, lng, best)``: the largest ``value`` of any place for every distinct cell, exactly.
 
-def nearest_site(cells: DataFrame, sites: DataFrame, limit: int = SITE_LIMIT, none_km: float = 500.0) -> DataFrame:
-    """Distance from every cell to its nearest site; ``none_km`` when there is no site at all.
-
-    Sites are reduced to distinct places. A counted, small number of them travels
-    to the cells as one array; more are met through a grid, so that neither side
-    is ever paired with all of the other.
+    ``value`` takes a distance in km and a strength, and falls with the distance. Cells meet places
+    by grids of growing squares. A cell is settled when its best is at least what a place could have that
+    lies just beyond the squares it has seen and is as strong as the strongest of all; the rest go on to
+    squares four times as wide. What is settled and what goes on is written after each ring, so that no ring is computed
+    twice. For regions that do not cross the date line.
     """
-    places = sites.select("lat", "lng").distinct()
-    n = places.limit(limit + 1).count()
-    if n == 0:
-        return cells.withColumn("dist_km", F.lit(float(none_km)))
-    if n > limit:
-        return nearest_by_rings(cells, places)
-    everything = _sites_array(places, "lat", "lng")
-    return cells.withColumn("_s", everything).withColumn("dist_km", F.array_min(F.transform(
-        "_s", lambda s: haversine_km(F.col("lat"), F.col("lng"), s["lat"], s["lng"])))).drop("_s")
-
-
-def nearest_by_rings(cells: DataFrame, places: DataFrame, first_deg: float = 0.5) -> DataFrame:
-    """Nearest place by grids of growing squares. Exact: a cell is settled only when its best distance is no longer
-    than the least distance at which an unseen place could lie; the rest go on to squares twice as wide.
-
-    For regions that do not cross the date line.
-    """
-    open_cells = cells.select("lat", "lng").distinct()
-    settled = None
-    deg = first_deg
+    strongest = places.agg(F.max("strength")).scalar()
+    open_cells, settled, deg = cells.select("lat", "lng").distinct(), None, first_deg
     while True:
         whole = deg >= 360.0
         near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
         asked = open_cells.select("lat", "lng", near.alias("o")).select(
             "lat", "lng", (F.floor(F.col("lat") / deg) + F.col("o.i")).alias("gi"),
             (F.floor(F.col("lng") / deg) + F.col("o.j")).alias("gj"))
-        known = places.select(F.col("lat").alias("s_lat"), F.col("lng").alias("s_lng"),
+        known = places.select(F.col("lat").alias("s_lat"), F.col("lng").alias("s_lng"), "strength",
                               F.floor(F.col("lat") / deg).alias("gi"), F.floor(F.col("lng") / deg).alias("gj"))
         best = asked.join(known, ["gi", "gj"], "left").groupBy("lat", "lng").agg(
-            F.min(haversine_km("lat", "lng", "s_lat", "s_lng")).alias("dist_km"))
+            F.max(value(haversine_km("lat", "lng", "s_lat", "s_lng"), F.col("strength"))).alias("best"))
         # Places outside the 3 x 3 squares are at least one square away, measured where longitudes are closest together.
         widest = F.least(F.abs(F.col("lat")) + deg, F.lit(90.0))
         reach = F.lit(deg * math.pi / 180.0 * 6371.0) * F.cos(F.radians(widest)) * 0.99
-        done = F.lit(True) if whole else F.coalesce(F.col("dist_km") <= reach, F.lit(False))
-        here = best.where(done)
+        done = F.lit(True) if whole else F.coalesce(F.col("best") >= value(reach, strongest), F.lit(False))
+        ring = cut_lineage(best.withColumn("done", done))
+        here = ring.where("done").select("lat", "lng", "best")
         settled = here if settled is None else settled.unionByName(here)
-        if whole:
-            break
-        open_cells = best.where(~done).select("lat", "lng")
+        open_cells = ring.where(~F.col("done")).select("lat", "lng")
+        if whole or open_cells.isEmpty():
+            return settled
         deg *= 4
-    return cells.join(settled, ["lat", "lng"])
+
+
+def nearest_by_rings(cells: DataFrame, places: DataFrame, first_deg: float = 0.5) -> DataFrame:
+    """Distance from every cell to its nearest place; cells drop out when there is no place at all."""
+    settled = _best_by_rings(cells, places.select("lat", "lng").distinct().withColumn("strength", F.lit(1.0)), lambda km, _: -km, first_deg)
+    return cells.join(settled.where(F.col("best").isNotNull()).withColumn("best", -F.col("best")).withColumnRenamed("best", "dist_km"), ["lat", "lng"])
+
+
+def nearest_site(cells: DataFrame, sites: DataFrame, none_km: float = 500.0) -> DataFrame:
+    """Distance from every cell to its nearest site; ``none_km`` when there is no site at all."""
+    found = nearest_by_rings(cells.select("lat", "lng").distinct(), sites)
+    out = cells.join(found, ["lat", "lng"], "left").withColumn("dist_km", F.coalesce("dist_km", F.lit(float(none_km))))
+    return out.select(*cells.columns, "dist_km")
 
 
 def need(cells: DataFrame) -> DataFrame:
@@ -89,21 +82,13 @@ def need(cells: DataFrame) -> DataFrame:
     return out.withColumn("score", F.when(top > 0, F.col("raw") / top).otherwise(0.0))
 
 
-def coverage(cells: DataFrame, sites: DataFrame, decay_km: float = 50.0, limit: int = SITE_LIMIT) -> DataFrame:
-    """Largest strength of any site after exponential decay with distance, at most 1.
+def coverage(cells: DataFrame, sites: DataFrame, decay_km: float = 50.0) -> DataFrame:
+    """Largest strength of any site after exponential decay with distance, at most 1; 0 without sites.
 
-    Sites at one place with one strength count once. Beyond the limit the sites
-    are taken in hashed portions, each within the limit, and the largest value kept.
+    Sites at one place with one strength count once. A far site is left out of
+    sight only where even the strongest one could not beat what is nearer.
     """
     places = sites.groupBy("lat", "lng").agg(F.max("strength").alias("strength"))
-    n = places.count()
-    portions = max(1, math.ceil(2 * n / limit)) if n > limit else 1
-    best = F.lit(0.0)
-    out = cells
-    for i in range(portions):
-        part = places if portions == 1 else places.where(F.pmod(F.xxhash64("lat", "lng"), F.lit(portions)) == i)
-        out = out.withColumn(f"_s{i}", _sites_array(part, "lat", "lng", "strength"))
-        score = F.array_max(F.transform(f"_s{i}", lambda s: s["strength"] * F.exp(
-            -haversine_km(F.col("lat"), F.col("lng"), s["lat"], s["lng"]) / decay_km)))
-        best = F.greatest(best, F.coalesce(score, F.lit(0.0)))
-    return out.withColumn("coverage", F.least(F.lit(1.0), best)).drop(*[f"_s{i}" for i in range(portions)])
+    settled = _best_by_rings(cells, places, lambda km, strength: strength * F.exp(-km / decay_km), 0.5)
+    out = cells.join(settled, ["lat", "lng"], "left")
+    return out.select(*cells.columns, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("best", F.lit(0.0)))).alias("coverage"))

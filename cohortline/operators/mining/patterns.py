@@ -134,7 +134,7 @@ def temporal(scopes: DataFrame) -> DataFrame:
         t_pvalue()(F.coalesce(t, F.lit(0.0)), F.greatest(F.col("n") - 2, F.lit(1)).cast("double"))))
 
     # Outliers beyond three deviations, at most a fifth of the points.
-    far = ("filter(pts, q -> abs(try_divide(q.value - xs_m, xs_s)) > 3.0)")
+    far = "filter(pts, q -> round(abs(try_divide(q.value - xs_m, xs_s)), 9) > 3.0)"  # three deviations to the last digit are three
     p = p.withColumn("far", F.expr(f"case when n >= 5 and xs_s <> 0 then {far} end"))
 
     # Seasons: the strongest lag correlation.

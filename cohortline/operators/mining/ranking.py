@@ -18,7 +18,7 @@ def identified(candidates: DataFrame) -> DataFrame:
                                                     subspace_text("base")))
 
 
-def prefilter(candidates: DataFrame, limit: int = 5000) -> DataFrame:
+def prefilter(candidates: DataFrame, limit: int) -> DataFrame:
     """The ``limit`` best by score; the key settles ties."""
     return identified(candidates).orderBy(rnd("score", 9).desc(), F.col("cid")).limit(limit)
 
@@ -58,37 +58,28 @@ def overlaps(candidates: DataFrame, picks: DataFrame) -> DataFrame:
                         (F.least("score", "p_score") * ratio).alias("overlap"))
 
 
-def _literal(row) -> dict[str, Column]:
-    out = {c: F.lit(row[c]) for c in IDENTITY if c != "base"}
-    out["base"] = F.array(*[F.struct(F.lit(p["dim"]).alias("dim"), F.lit(p["value"]).alias("value")) for p in row["base"]]
-                          ) if row["base"] else F.array().cast("array<struct<dim:string,value:string>>")
-    return out
-
-
-def greedy_rank(candidates: DataFrame, k: int = 15, limit: int = 5000) -> DataFrame:
+def greedy_rank(candidates: DataFrame, k: int = 15) -> DataFrame:
     """The best candidate first, then each time the one that adds most score net of its overlap with those chosen.
 
-    Stops after ``k`` or when nothing adds anything. The pool is prefiltered, so
-    a round is one pass over at most ``limit`` rows, and only the row picked comes
-    to the driver.
+    Stops after ``k`` or when nothing adds anything. All candidates take part:
+    a round finds the best one by an aggregate and takes its overlap off the gains of
+    the others, as a one-row value of the plan; nothing comes to the driver.
     """
-    pool = cut_lineage(prefilter(candidates, limit))
-    picked = []
-    gain = F.col("score")
-    for _ in range(k):
-        rest = pool.where(~F.col("cid").isin([r["cid"] for r in picked])) if picked else pool
-        best = rest.withColumn("gain", gain).orderBy(F.col("gain").desc(), F.col("score").desc(), F.col("cid")).limit(1).collect()
-        if not best or (picked and best[0]["gain"] <= 0):
-            break
-        row = best[0]
-        picked.append(row)
-        gain = gain - F.least(F.col("score"), F.lit(row["score"])) * overlap_ratio(_columns(), _literal(row))
-    rank = F.lit(None).cast("int")
-    net = F.lit(None).cast("double")
-    for i, row in enumerate(picked):
-        rank = F.when(F.col("cid") == row["cid"], i + 1).otherwise(rank)
-        net = F.when(F.col("cid") == row["cid"], F.lit(float(row["gain"]))).otherwise(net)
-    return pool.withColumns({"rank": rank, "gain": net}).where(F.col("rank").isNotNull())
+    pool = cut_lineage(identified(candidates).withColumns({"gain": F.col("score"), "rank": F.lit(None).cast("int")}))
+    described = F.struct(*IDENTITY, "score", "gain", "cid")
+    for i in range(1, k + 1):
+        # the least of (-gain, -score, cid) among what is not chosen; later ones must add something
+        open_ = pool.where(F.col("rank").isNull() & ((F.col("gain") > 0) if i > 1 else F.lit(True)))
+        best = open_.agg(F.min_by(described, F.struct(-F.col("gain"), -F.col("score"), "cid")).alias("b"))
+        met = pool.withColumn("_b", best.scalar())
+        pick = {c: F.col("_b")[c] for c in IDENTITY}
+        loss = F.least(F.col("score"), F.col("_b.score")) * overlap_ratio(_columns(), pick)
+        chosen = F.coalesce(F.col("cid") == F.col("_b.cid"), F.lit(False))
+        later = F.col("rank").isNull() & ~chosen & F.col("_b").isNotNull()
+        pool = cut_lineage(met.withColumns({
+            "gain": F.when(later, F.col("gain") - loss).otherwise(F.col("gain")),
+            "rank": F.when(F.col("rank").isNull() & chosen, i).otherwise(F.col("rank"))}).drop("_b"))
+    return pool.where(F.col("rank").isNotNull())
 
 
 def total_use(selected: DataFrame) -> DataFrame:

@@ -19,9 +19,10 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, points: dict[st
     A point is a share p and its zero-based position, an expression over the
     group size ``_n`` within two places of ``p * _n``; between two places the
     value is interpolated. A quantile sketch, whose error is at most one in
-    ``ACCURACY`` of the group, brackets each position. Everything below a bracket
-    shrinks to one count and everything above is dropped before the shuffle, so
-    that only the few values inside are ordered, however large the group.
+    ``ACCURACY`` of the group, brackets each position. The brackets, one small row per
+    group, are joined to the rows as they are read: everything below a bracket is counted
+    where it lies and everything above is dropped, so that only counts and the few
+    values inside are shuffled by value and ordered, however large the group.
     """
     known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     margin = 4.0 / ACCURACY
@@ -41,11 +42,10 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, points: dict[st
         low, high = bracket(i, p)
         wanted.append(F.struct(F.lit(name).alias("name"), at.cast("double").alias("at"), low.alias("low"), high.alias("high")))
     spans = sketch.select(*keys, F.array(*wanted).alias("_w"))
-    counted = known.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    near = _join(counted, spans, keys).select(*keys, "_v", "_c", F.explode("_w").alias("_w")).where(F.col("_v") <= F.col("_w.high"))
+    near = _join(known, spans, keys).select(*keys, "_v", F.explode("_w").alias("_w")).where(F.col("_v") <= F.col("_w.high"))
     steps = near.groupBy(
         *keys, F.col("_w.name").alias("_p"), F.col("_w.at").alias("_at"),
-        F.when(F.col("_v") >= F.col("_w.low"), F.col("_v")).alias("_v")).agg(F.sum("_c").alias("_c"))
+        F.when(F.col("_v") >= F.col("_w.low"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     running = Window.partitionBy(*keys, "_p").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     placed = steps.withColumn("_upto", F.sum("_c").over(running))
 

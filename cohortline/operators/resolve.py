@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-REGISTRY_LIMIT = 20000
+from ..runtime import cut_lineage
+
+BLOCK = 4096  # names of a block, about
 
 
 def registry(columns: dict[str, tuple[DataFrame, str]], fixed: dict[str, list[str]] | None = None) -> DataFrame:
@@ -27,16 +30,15 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def resolve(raw: DataFrame, column: str, values: DataFrame, aliases: dict[str, str] | None = None, cutoff: float = 0.8,
-            limit: int = REGISTRY_LIMIT) -> DataFrame:
+            block: int = BLOCK) -> DataFrame:
     """One row per distinct raw value: what it resolves to and how, or three suggestions.
 
-    Exact matches (ignoring case and surrounding space) and aliases are joins.
-    Only what they leave is compared by spelling, with the registry as one array
-    of counted, bounded size; nothing is paired and no candidate is dropped.
+    Exact matches (ignoring case and surrounding space) and aliases are joins. Only
+    what they leave is compared by spelling: with one block of the registry at a
+    time, each of which passes on its three best. A cut-off of 1 means no fuzzy step
+    but suggestions only.
     """
     names = values.select("value").distinct()
-    if names.limit(limit + 1).count() > limit:
-        raise ValueError(f"the registry of one entity type holds more than {limit} names; split it")
     asked = raw.select(F.col(column).alias("raw")).where(F.col("raw").isNotNull()).distinct().withColumn(
         "norm", F.lower(F.trim("raw")))
     exact = names.select(F.lower("value").alias("norm"), F.col("value")).groupBy("norm").agg(F.min("value").alias("exact"))
@@ -45,19 +47,22 @@ def resolve(raw: DataFrame, column: str, values: DataFrame, aliases: dict[str, s
     if aliases:
         table = F.create_map(*[F.lit(x) for k, v in aliases.items() for x in (k.lower(), v)])
         alias = F.element_at(table, F.col("norm"))
-    found = found.withColumn("alias", alias)
+    found = cut_lineage(found.withColumn("alias", alias))
     known = found.where(F.col("exact").isNotNull() | F.col("alias").isNotNull()).select(
         "raw", F.coalesce("exact", "alias").alias("resolved"),
         F.when(F.col("exact").isNotNull(), "exact").otherwise("alias").alias("confidence"),
         F.lit(None).cast("string").alias("suggestions"))
-    array = names.agg(F.collect_list("value")).scalar()
-    rest = found.where(F.col("exact").isNull() & F.col("alias").isNull()).withColumn("_all", array)
-    scored = F.array_sort(F.transform("_all", lambda v: F.struct(
-        (-F.round(similarity(F.col("norm"), F.lower(v)), 9)).alias("neg"), v.alias("value"))))
-    rest = rest.withColumn("best", F.slice(scored, 1, 3))
-    top = F.get("best", F.lit(0))
-    near = -top["neg"] >= cutoff
-    spelled = rest.select(
-        "raw", F.when(near, top["value"]).alias("resolved"), F.when(near, "fuzzy").otherwise("unmatched").alias("confidence"),
-        F.when(~near, F.array_join(F.transform("best", lambda b: b["value"]), ";")).alias("suggestions"))
+    rest = found.where(F.col("exact").isNull() & F.col("alias").isNull()).select("raw", "norm")
+    blocks = max(1, math.ceil(names.count() / block))
+    dealt = names.withColumn("_b", F.pmod(F.xxhash64("value"), F.lit(blocks)).cast("int"))
+    met = rest.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "_b")
+    scored = met.select("raw", "value", F.round(similarity(F.col("norm"), F.lower("value")), 9).alias("sim"))
+    best = Window.partitionBy("raw").orderBy(F.desc("sim"), "value")
+    three = scored.withColumn("rk", F.row_number().over(best)).where(F.col("rk") <= 3).groupBy("raw").agg(
+        F.max(F.when(F.col("rk") == 1, F.col("sim"))).alias("sim"), F.max(F.when(F.col("rk") == 1, F.col("value"))).alias("value"),
+        F.array_sort(F.collect_list(F.struct("rk", "value"))).alias("best"))
+    near = F.coalesce((F.col("sim") >= cutoff) & F.lit(cutoff < 1), F.lit(False))
+    spelled = rest.join(three, "raw", "left").select(
+        "raw", F.when(near, F.col("value")).alias("resolved"), F.when(near, "fuzzy").otherwise("unmatched").alias("confidence"),
+        F.when(~near, F.coalesce(F.array_join(F.transform("best", lambda b: b["value"]), ";"), F.lit(""))).alias("suggestions"))
     return known.unionByName(spelled)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .quantiles import order_statistics
 
-QUERY_LIMIT = 2000
+BLOCK = 4096  # rows of a block, about; two blocks meet in one matrix product
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -20,77 +19,65 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(norm == 0, 1.0, norm)
 
 
-def _portions(queries: DataFrame, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The queries as (ids, unit vectors), at most about ``limit`` at a time."""
-    n = queries.count()
-    parts = max(1, math.ceil(2 * n / limit)) if n > limit else 1
-    for i in range(parts):
-        part = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
-        rows = part.select("query_id", "vector").collect()
-        if rows:
-            yield (np.array([r["query_id"] for r in rows]),
-                   _unit(np.array([list(r["vector"]) for r in rows], dtype=float)))
+def _matrix(column: pd.Series) -> np.ndarray:
+    return _unit(np.stack(column.to_numpy()).astype(float))
 
 
-def top_k_cosine(catalogue: DataFrame, queries: DataFrame, k: int, limit: int = QUERY_LIMIT) -> DataFrame:
+def _met(queries: DataFrame, catalogue: DataFrame, block: int):
+    """Queries and catalogue dealt into blocks, every block of the one grouped with every block of the other."""
+    def parts(df: DataFrame) -> int:
+        return max(1, math.ceil(df.count() / block))
+
+    q, c = parts(queries), parts(catalogue)
+    asked = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(q)).cast("int")).withColumn(
+        "_c", F.explode(F.sequence(F.lit(0), F.lit(c - 1))))
+    held = catalogue.withColumn("_c", F.pmod(F.xxhash64("entry_id"), F.lit(c)).cast("int")).withColumn(
+        "_q", F.explode(F.sequence(F.lit(0), F.lit(q - 1))))
+    return asked.groupBy("_q", "_c").cogroup(held.groupBy("_q", "_c"))
+
+
+def top_k_cosine(catalogue: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """The ``k`` catalogue entries (``entry_id``, ``vector``) most similar to each query (``query_id``, ``vector``).
 
-    A batch of the catalogue is compared with the queries as one matrix product
-    and passes on only its own ``k`` best per query, so pairs are never
-    materialised. The query side is small by nature; a long one goes in portions.
+    Exact, for any number of queries: a block of queries meets a block of the
+    catalogue in one matrix product, which passes on its own ``k`` best per query.
     """
     kind = dict(queries.dtypes)["query_id"], dict(catalogue.dtypes)["entry_id"]
-    schema = f"query_id {kind[0]}, entry_id {kind[1]}, score double"
-    found = None
-    for ids, vectors in _portions(queries, limit):
-
-        def best(batches, ids=ids, vectors=vectors):
-            for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                scores = _unit(np.stack(pdf["vector"].to_numpy()).astype(float)) @ vectors.T
-                keep = min(k, len(pdf))
-                entries = pdf["entry_id"].to_numpy()
-                order = np.lexsort((np.broadcast_to(entries[:, None], scores.shape).T, -scores.T))[:, :keep]
-                at = np.repeat(np.arange(len(ids)), keep)
-                pick = order.reshape(-1)
-                yield pd.DataFrame({"query_id": ids[at], "entry_id": entries[pick], "score": scores[pick, at]})
-
-        part = catalogue.select("entry_id", "vector").mapInPandas(best, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return catalogue.sparkSession.createDataFrame([], schema + ", rank int")
+
+    def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(held):
+            return pd.DataFrame({"query_id": [], "entry_id": [], "score": []})
+        scores = _matrix(asked["vector"]) @ _matrix(held["vector"]).T
+        keep = min(k, len(held))
+        entries = held["entry_id"].to_numpy()
+        order = np.lexsort((np.broadcast_to(entries, scores.shape), -scores))[:, :keep]
+        return pd.DataFrame({"query_id": np.repeat(asked["query_id"].to_numpy(), keep), "entry_id": entries[order].reshape(-1),
+                             "score": np.take_along_axis(scores, order, 1).reshape(-1)})
+
+    found = _met(queries.select("query_id", "vector"), catalogue.select("entry_id", "vector"), block).applyInPandas(
+        best, f"query_id {kind[0]}, entry_id {kind[1]}, score double")
     order = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), F.col("entry_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def gold_ranks(catalogue: DataFrame, queries: DataFrame, limit: int = QUERY_LIMIT) -> DataFrame:
+def gold_ranks(catalogue: DataFrame, queries: DataFrame, block: int = BLOCK) -> DataFrame:
     """Zero-based rank of each query's gold entry: the number of entries scoring higher.
 
-    ``queries`` carry ``gold_id``. Batches only report counts per query.
+    ``queries`` carry ``gold_id``. Blocks only report counts per query.
     """
-    gold = queries.join(catalogue.select(F.col("entry_id").alias("gold_id"), F.col("vector").alias("gold_vector")), "gold_id")
-    n = gold.count()
-    parts = max(1, math.ceil(2 * n / limit)) if n > limit else 1
+    gold = queries.join(catalogue.select(F.col("entry_id").alias("gold_id"), F.col("vector").alias("gold_vector")), "gold_id").select(
+        "query_id", "vector", "gold_vector")
     kind = dict(queries.dtypes)["query_id"]
-    counted = None
-    for i in range(parts):
-        part = gold if parts == 1 else gold.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
-        rows = part.select("query_id", "vector", "gold_vector").collect()
-        if not rows:
-            continue
-        ids = np.array([r["query_id"] for r in rows])
-        q = _unit(np.array([list(r["vector"]) for r in rows], dtype=float))
-        bar = (q * _unit(np.array([list(r["gold_vector"]) for r in rows], dtype=float))).sum(axis=1)
-
-        def higher(batches, ids=ids, q=q, bar=bar):
-            for pdf in batches:
-                if len(pdf):
-                    scores = _unit(np.stack(pdf["vector"].to_numpy()).astype(float)) @ q.T
-                    yield pd.DataFrame({"query_id": ids, "above": (scores > bar + 1e-12).sum(axis=0)})
-
-        one = catalogue.select("vector").mapInPandas(higher, f"query_id {kind}, above long")
-        counted = one if counted is None else counted.unionByName(one)
+
+    def higher(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked):
+            return pd.DataFrame({"query_id": [], "above": []})
+        q = _matrix(asked["vector"])
+        bar = (q * _matrix(asked["gold_vector"])).sum(axis=1)
+        above = (q @ _matrix(held["vector"]).T > bar[:, None] + 1e-12).sum(axis=1) if len(held) else np.zeros(len(q), int)
+        return pd.DataFrame({"query_id": asked["query_id"].to_numpy(), "above": above})
+
+    counted = _met(gold, catalogue.select("entry_id", "vector"), block).applyInPandas(higher, f"query_id {kind}, above long")
     return counted.groupBy("query_id").agg(F.sum("above").alias("rank"))
 
 

@@ -419,7 +419,7 @@ def quiet_blocks(t: Model) -> DataFrame:
 
 reg("D123", _NOHOSP, "", lambda t, p: unserved_people(t, p.get("more_than", 100)))
 reg("D124", _NOHOSP, "", lambda t, p: unserved_cases(t))
-reg("T179", _NOHOSP, "district", lambda t, p: unserved_in(t, p["district"]))
+reg("T179", _NOHOSP, "district", lambda t, p: unserved_in(t, p["district"]), dated=None)
 reg("D80", _ZEROUSE, "", lambda t, p: quiet_blocks(t))
 reg("T180", _ZEROUSE, "district",
     lambda t, p: top(block_rates(t, p["district"]), 15, "cases_per_1000", "block_name"))

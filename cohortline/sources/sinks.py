@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,17 +74,25 @@ def load_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     return spark.read.schema(schema).json(path)
 
 
-def materialise(queries: dict[str, DataFrame], out: str, limit: int = 500) -> DataFrame:
-    """Write each result (its first ``limit`` rows, as the dashboards show) under its id, with a status row each."""
+def materialise(spark: SparkSession, queries: dict[str, Callable[[], DataFrame]], out: str, together: int = 4) -> DataFrame:
+    """Write each result whole under its id, with a status row each: FRESH, or ERROR where it fails or has no rows.
+
+    ``queries`` builds each result when its turn comes, so that one that cannot be built doesn't stop the others;
+    ``together`` of them run at a time.
+    """
     if not queries:
         raise ValueError("nothing to materialise")
-    spark = next(iter(queries.values())).sparkSession
-    rows = []
-    for qid, df in queries.items():
+
+    def one(qid: str) -> tuple[str, int, str]:
         path = f"{out}/query_id={qid}"
         try:
-            df.limit(limit).write.mode("overwrite").parquet(path)
-            rows.append((qid, spark.read.parquet(path).count(), "FRESH"))
-        except PySparkException as e:
-            rows.append((qid, 0, f"ERROR: {type(e).__name__}"))
+            df = queries[qid]()
+            df.write.mode("overwrite").parquet(path)
+            n = spark.read.schema(df.schema).parquet(path).count()
+            return qid, n, "FRESH" if n else "ERROR: no rows"
+        except (PySparkException, ValueError, KeyError) as e:
+            return qid, 0, f"ERROR: {type(e).__name__}"
+
+    with ThreadPoolExecutor(together) as pool:
+        rows = list(pool.map(one, queries))
     return spark.createDataFrame(rows, "query_id string, row_count long, status string")

@@ -81,7 +81,7 @@ _POINTS = ("pt AS (SELECT subspace, breakdown, measure, label, value, ROW_NUMBER
            "NOT NULL WINDOW p AS (PARTITION BY subspace, breakdown, measure), w AS (PARTITION BY subspace, breakdown, measure ORDER BY label))")
 _G = "subspace, breakdown, measure"
 OUTLIER = (f"{BASE}, {_POINTS}, z AS (SELECT *, (value - AVG(value) OVER p) / NULLIF(STDDEV(value) OVER p, 0) AS z FROM pt WINDOW p AS (PARTITION BY {_G})) "
-           f"SELECT {_G}, string_agg(label || CASE WHEN z > 0 THEN ' ABOVE' ELSE ' BELOW' END, ',' ORDER BY label) AS highlight FROM z WHERE n >= 5 AND abs(z) > 3 "
+           f"SELECT {_G}, string_agg(label || CASE WHEN z > 0 THEN ' ABOVE' ELSE ' BELOW' END, ',' ORDER BY label) AS highlight FROM z WHERE n >= 5 AND ROUND(abs(z), 9) > 3 "
            f"GROUP BY {_G}, n HAVING COUNT(*) <= 0.2 * n")
 SEASON = (f"{BASE}, {_POINTS}, c AS (" + " UNION ALL ".join(
     f"SELECT a.subspace, a.breakdown, a.measure, {k} AS lag, corr(a.value, b.value) AS r FROM pt a JOIN pt b ON a.subspace = b.subspace AND a.breakdown = "

@@ -40,6 +40,12 @@ _WRITTEN = ("(SELECT DISTINCT CASE c_custkey % 6 WHEN 0 THEN n_name WHEN 1 THEN
 _SIM = "1 - levenshtein(lower(trim(raw)), lower(n_name)) / CAST(GREATEST(length(trim(raw)), length(n_name)) AS DOUBLE)"
 _ALIAS = "CASE lower(trim(raw)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ALIASES.items()) + " END"
 
+def _zones(clear: float, margin: float) -> str:
+    return (f"{_COS}, t AS (SELECT query_id, MAX(CASE WHEN rank = 1 THEN score END) AS first, MAX(CASE WHEN rank = 2 THEN score END) AS second FROM rk WHERE "
+            f"rank <= 2 GROUP BY 1) SELECT *, CASE WHEN first < 0.3 THEN 'no_match' WHEN first < {clear} AND first - second < {margin} THEN 'ambiguous' "
+            "ELSE 'proceed' END AS zone FROM t")
+
+
 SQL = {
     "O1_sum": f"SELECT SUM(amount_claimed) AS value FROM {_S}",
     "O2_average": f"SELECT AVG(total_cases) AS value FROM {_S}",
@@ -73,8 +79,8 @@ SQL = {
     "C6_recall": f"{_GOLD} SELECT COUNT(*) AS queries, " + ", ".join(f"AVG(CASE WHEN rank < {k} THEN 1 ELSE 0 END) AS recall_{k}" for k in (5, 10, 20, 30))
                  + f", {_at(0.5)} AS median_rank, {_at(0.9)} AS p90_rank, {_at(0.99)} AS p99_rank, MAX(rank) AS worst_rank FROM gr",
     "C6_crowding": f"{_COS} SELECT AVG(s) AS mean_same, MAX(s) AS max_same FROM (SELECT query_id, COUNT(CASE WHEN label = query_id THEN 1 END) AS s FROM rk WHERE rank <= 30 GROUP BY 1) x",
-    "C7_zones": f"{_COS}, t AS (SELECT query_id, MAX(CASE WHEN rank = 1 THEN score END) AS first, MAX(CASE WHEN rank = 2 THEN score END) AS second FROM rk WHERE rank <= 2 GROUP BY 1) SELECT *, CASE WHEN first < 0.3 "
-                "THEN 'no_match' WHEN first < 1.0 AND first - second < 0.02 THEN 'ambiguous' ELSE 'proceed' END AS zone FROM t",
+    "C7_zones": _zones(1.0, 0.02),
+    "C7_zones_as_declared": _zones(0.5, 0.015),
     "C8_resolve_names": f"WITH w AS {_WRITTEN}, x AS (SELECT raw, (SELECT MIN(n_name) FROM nation WHERE lower(n_name) = lower(trim(raw))) AS ex, {_ALIAS} AS al FROM w), f AS (SELECT raw, n_name, ROUND({_SIM}, 9) AS "
                         f"sim, ROW_NUMBER() OVER (PARTITION BY raw ORDER BY ROUND({_SIM}, 9) DESC, n_name) AS rk FROM w, nation), b AS (SELECT raw, MAX(CASE WHEN rk = 1 THEN sim END) AS sim, MAX(CASE WHEN rk = 1 THEN "
                         "n_name END) AS nm, string_agg(n_name, ';' ORDER BY rk) AS sg FROM f WHERE rk <= 3 GROUP BY 1) SELECT raw, CASE WHEN ex IS NOT NULL THEN ex WHEN al IS NOT NULL THEN al WHEN sim >= 0.8 THEN nm "

@@ -76,7 +76,7 @@ def test_preceded_within_equals_comparing_all_pairs(spark):
     assert got == want
 
 
-def test_each_quality_check_finds_its_planted_fault(spark):
+def test_each_quality_check_finds_its_planted_fault(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", T0, None), (1, "b", T0 + timedelta(days=40), None), (2, "q", T0, 3)],
                                "id int, kind string, t timestamp, v int")
     parent = spark.createDataFrame([("a",), ("b",)], "kind string")
@@ -89,9 +89,10 @@ def test_each_quality_check_finds_its_planted_fault(spark):
     ]
     for check in checks:
         assert check.where(~F.col("passed")).count() == 1, check.collect()
-    with pytest.raises(quality.ChecksFailed):
-        quality.require_passed(checks[1])
-    quality.require_passed(quality.unique_key(parent, "p", ["kind"]))
+    with pytest.raises(quality.ChecksFailed, match="1 checks failed"):
+        quality.require_passed(checks[1], str(tmp_path / "failed"))
+    assert spark.read.parquet(str(tmp_path / "failed")).count() == 1
+    quality.require_passed(quality.unique_key(parent, "p", ["kind"]), str(tmp_path / "none"))
 
 
 def test_parity_tolerance(spark):
@@ -126,19 +127,23 @@ def test_nearest_site_by_rings_equals_brute_force(spark):
         h = np.sin((lb - la) / 2) ** 2 + np.cos(la) * np.cos(lb) * np.sin(np.radians(b[1] - a[1]) / 2) ** 2
         return 6371 * 2 * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
 
-    for found in (coverage.nearest_by_rings(c, s), coverage.nearest_site(c, s), coverage.nearest_site(c, s, limit=10)):
+    for found in (coverage.nearest_by_rings(c, s), coverage.nearest_site(c, s)):
         got = {(r["lat"], r["lng"]): r["dist_km"] for r in found.collect()}
         assert len(got) == len(cells)
         for p in cells:
             assert got[p] == pytest.approx(min(km(p, q) for q in sites), rel=1e-9)
-    few = coverage.coverage(c, s.withColumn("strength", F.lit(0.8))).select("lat", "lng", "coverage")
-    many = coverage.coverage(c, s.withColumn("strength", F.lit(0.8)), limit=7).select("lat", "lng", "coverage")
-    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    strong = {q: 0.2 + 0.05 * (i % 15) for i, q in enumerate(sites)}
+    held = spark.createDataFrame([(*q, v) for q, v in strong.items()], "lat double, lng double, strength double")
+    for decay in (50.0, 5000.0):
+        got = {(r["lat"], r["lng"]): r["coverage"] for r in coverage.coverage(c, held, decay).collect()}
+        assert all(got[p] == pytest.approx(max(v * np.exp(-km(p, q) / decay) for q, v in strong.items()), rel=1e-9, abs=1e-300) for p in cells)
+    assert {r["dist_km"] for r in coverage.nearest_site(c, s.where("false")).collect()} == {500.0}
+    assert {r["coverage"] for r in coverage.coverage(c, held.where("false")).collect()} == {0.0}
 
 
 def test_names_resolve_by_exact_alias_and_spelling(spark):
     raw = spark.createDataFrame([("Delhi",), (" delhi ",), ("dilli",), ("Dehli",), ("Mombai",), ("zzz",), (None,)], "n string")
     names = spark.createDataFrame([("Delhi",), ("Mumbai",), ("Pune",)], "value string")
-    got = {r["raw"]: (r["resolved"], r["confidence"]) for r in resolve.resolve(raw, "n", names, {"Dilli": "Delhi"}, 0.6).collect()}
+    got = {r["raw"]: (r["resolved"], r["confidence"]) for r in resolve.resolve(raw, "n", names, {"Dilli": "Delhi"}, 0.6, block=2).collect()}
     assert got == {"Delhi": ("Delhi", "exact"), " delhi ": ("Delhi", "exact"), "dilli": ("Delhi", "alias"), "Dehli": ("Delhi", "fuzzy"),
                    "Mombai": ("Mumbai", "fuzzy"), "zzz": (None, "unmatched")}

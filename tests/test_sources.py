@@ -46,8 +46,9 @@ def test_missing_tables_are_named(spark, tmp_path):
 def test_materialise_reports_errors(spark, tmp_path):
     good = spark.range(7).withColumnRenamed("id", "n")
     bad = spark.range(3).select(F.raise_error(F.lit("no")).alias("n"))
-    got = {r["query_id"]: (r["row_count"], r["status"][:5]) for r in sinks.materialise({"g": good, "b": bad}, str(tmp_path), limit=5).collect()}
-    assert got == {"g": (5, "FRESH"), "b": (0, "ERROR")}
+    got = {r["query_id"]: (r["row_count"], r["status"][:5]) for r in sinks.materialise(
+        spark, {"g": lambda: good, "b": lambda: bad, "e": lambda: good.where("false"), "n": lambda: good.select("no_such")}, str(tmp_path)).collect()}
+    assert got == {"g": (7, "FRESH"), "b": (0, "ERROR"), "e": (0, "ERROR"), "n": (0, "ERROR")}
 
 
 def test_declarations_are_consistent():

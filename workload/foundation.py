@@ -12,6 +12,7 @@ from cohortline.functions.text import normalise
 from cohortline.operators import quality, repair, select
 from cohortline.plans import views
 from cohortline.plans.catalogue import ask
+from cohortline.plans.catalogue.base import QUESTIONS
 from cohortline.runtime import checkpoint_dir
 from cohortline.sources import readers, schema, sinks
 
@@ -68,8 +69,9 @@ def written_view(t):
 
 
 def dashboards(t):
-    chosen = ("D04", "D09", "D18", "D20", "D24", "D26", "D28", "D64")
-    return sinks.materialise({q: ask(t, q) for q in chosen}, f"{scratch(t.spark)}/dashboards")
+    """Every dashboard question, whole; what cannot be built or has no rows is an ERROR."""
+    chosen = [q for q, said in QUESTIONS.items() if q.startswith("D") and not said.params]
+    return sinks.materialise(t.spark, {q: lambda q=q: ask(t, q) for q in chosen}, f"{scratch(t.spark)}/dashboards")
 
 
 def loaded(spark, sf_dir):
@@ -184,7 +186,7 @@ def two_copies(t):
 def strict(t):
     return quality.require_passed(quality.stack([
         quality.unique_key(t.cm_case, "cm_case.case_id", ["case_id"]),
-        quality.value_domain(t.cm_case, "admission_type", schema.DOMAINS["cm_case", "admission_type"], "cm_case.admission_type")]))
+        quality.value_domain(t.cm_case, "admission_type", schema.DOMAINS["cm_case", "admission_type"], "cm_case.admission_type")]), f"{scratch(t.spark)}/failed")
 
 
 # -- repair

@@ -141,6 +141,7 @@ def result_queries() -> dict[str, Query]:
         "C6_recall": b(recall),
         "C6_crowding": b(crowd),
         "C7_zones": b(lambda t: retrieval.zones(nearest(t, 2), clear=1.0, margin=0.02)),
+        "C7_zones_as_declared": b(lambda t: retrieval.zones(nearest(t, 2))),
         "C8_resolve_names": b(lambda t: resolve.resolve(spelled(t), "written", t.nation.select(F.col("n_name").alias("value")), ALIASES)),
         "C9_entity_registry": b(entity_registry),
         "C10_date_range": b(lambda t: ask(t, "T02", dates=("1997-01-01", "1997-12-31"), **params)),
