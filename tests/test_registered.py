@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import pytest
 
@@ -27,9 +28,20 @@ def registered():
     return entry.queries(), entry.oracle_sql(), duck(SMALL)
 
 
-def test_every_sql_belongs_to_a_query(registered):
+#: Statuses of written files, sampling, t tests, ranking, figures and sentences; tested against brute force elsewhere in this folder.
+WITHOUT_SQL = {
+    "S7_candidate_json", "S8_materialised_dashboards", "Q8b_sample", "M6_10_change_point", "M7_type_eligibility", "M16_hospital_performance_mined",
+    "M16_district_month_mined", "M19_greedy_ranking", "M21_gamma_changes", "M22_figures", "M23_summaries", "O0_additivity_guard",
+}
+#: Their parameters do not occur in the smallest tables.
+EMPTY = {"T02_claims_summary", "T284_multi_metric_rank", "O18_compare"}
+CORPUS = re.compile(r"op\d+_|pipeline$")  # registered if they are there, with tests of their own
+
+
+def test_every_query_but_the_named_ones_has_sql(registered):
     queries, sqls, _ = registered
-    assert set(sqls) <= set(queries) and len(queries) - len(sqls) < 20
+    assert set(sqls) <= set(queries)
+    assert {k for k in queries if k not in sqls and not CORPUS.match(k)} == WITHOUT_SQL
 
 
 def test_entry_returns_rows(spark):
@@ -47,4 +59,4 @@ def test_every_registered_query_is_lazy_enough_to_explain(spark, registered):
 def test_values_equal_the_sql(spark, registered, name):
     queries, sqls, con = registered
     problem, rows, _ = check(spark, con, SMALL, queries[name], sqls[name])
-    assert problem == "" and rows >= 0
+    assert problem == "" and (rows > 0 or name in EMPTY)
