@@ -37,6 +37,14 @@ def column_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
 def chunks(batches: Iterable[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches whose texts take ``limit`` bytes, or that hold one row."""
     for batch in batches:
@@ -138,8 +146,14 @@ def crc_of(doc_id: Column | str, modulus: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % modulus, F.lit(0).cast("long"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    return cut_lineage(df)
+def slim(df: DataFrame) -> DataFrame:
+    """Rows of a few numbers each, in a sixteenth of the usual number of partitions: they are written as few files."""
+    return df.hint("rebalance").coalesce(max(1, partitions(df) // 16))
+
+
+def cut(df: DataFrame, few: bool = True) -> DataFrame:
+    """``df`` written to the checkpoint folder and read back; as few files unless its rows are large."""
+    return cut_lineage(slim(df) if few else df)
 
 
 def partitions(df: DataFrame) -> int:

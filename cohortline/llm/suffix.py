@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortline.llm import common, postings
 
@@ -79,19 +80,35 @@ def anchors(text: bytes, match: int, gram: int) -> tuple[np.ndarray, np.ndarray]
     least = _slide(np.minimum, h, width)
     border = np.zeros(width - 1, np.uint64)
     at = np.flatnonzero(h == _slide(np.maximum, np.concatenate([border, least, border]), width))
-    return at, h[at]
+    return at, common.mixed(h[at] ^ np.uint64(0x5851F42D4C957F2D))  # the least hashes are no longer spread evenly
 
 
-def _owned(batches: Iterable[pa.RecordBatch], match: int, gram: int) -> Iterator[tuple[int, np.ndarray]]:
+def _squeezed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts go through shuffles compressed; the other columns as they are."""
+    for part, texts in common.chunks(batches, "text"):
+        at = part.schema.get_field_index("text")
+        packed = pa.array([common.squeezed(t) for t in texts], pa.binary())
+        yield part.set_column(at, "text", packed)
+
+
+def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[dict, list[bytes]]]:
+    """The columns of portions of rows and their texts."""
     for batch in batches:
-        owners = batch.column(batch.schema.get_field_index("text_key")).to_numpy()
-        for owner, text in zip(owners, common.column_bytes(batch.column(batch.schema.get_field_index("text")))):
-            yield int(owner), np.unique(anchors(text, match, gram)[1])
+        for a in range(0, batch.num_rows, 256):
+            part = batch.slice(a, 256)
+            columns = {f.name: part.column(i) for i, f in enumerate(part.schema)}
+            yield columns, [common.unsqueezed(x) for x in columns["text"].to_pylist()]
+
+
+def _owned(batches: Iterable[pa.RecordBatch], match: int, gram: int) -> Iterator[tuple[int, np.ndarray]]:
+    for columns, texts in _texts(batches):
+        for owner, text in zip(columns["text_key"].to_pylist(), texts):
+            yield owner, np.unique(anchors(text, match, gram)[1])
 
 
 def _dealt(buckets: int, match: int, gram: int):
     """Anchors of a portion: those that several of its documents have are answered at once and sent for one of them only."""
-    held = 1 << 20
+    held = 1 << 19
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         portion: dict[int, list[np.ndarray]] = {}
@@ -151,7 +168,7 @@ def _marked(pdf):
 def _reads(buckets: int, match: int, gram: int):
     """Reads round the shared anchors of each text, and the spans that a portion can settle by itself (negative buckets)."""
     before, length = match - gram, 2 * match - gram
-    held = 1 << 17
+    held = 1 << 16
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list[np.ndarray] = []
@@ -180,14 +197,13 @@ def _reads(buckets: int, match: int, gram: int):
             stay = order[doc[order] == smallest]
             where = (key[stay] >> np.uint64(48)).astype(np.uint16)
             stay = stay[np.argsort(where, kind="stable")]
-            rows = [(b, *(x[stay[i:j]].astype(t).tobytes() for x, t in ((doc, "<i8"), (text, "<i8"), (at, "<u4"), (n, "<u4"), (read, "u1"))))
+            rows = [(b, *(x[stay[i:j]].astype(t).tobytes() for x, t in ((doc, "<i8"), (text, "<i8"), (at, "<u4"), (n, "<u4"))),
+                     common.squeezed(read[stay[i:j]].tobytes()))
                     for b, i, j in postings.slices(np.sort(where, kind="stable"))]
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), READS)], schema=READS)
 
-        for batch in batches:
-            columns = {f.name: i for i, f in enumerate(batch.schema)}
-            for doc, text_key, shared, text in zip(batch.column(columns["doc"]).to_pylist(), batch.column(columns["text_key"]).to_pylist(),
-                                                   batch.column(columns["shared"]).to_pylist(), common.column_bytes(batch.column(columns["text"]))):
+        for columns, whole in _texts(batches):
+            for doc, text_key, shared, text in zip(*(columns[c].to_pylist() for c in ("doc", "text_key", "shared")), whole):
                 at, hashes = anchors(text, match, gram)
                 key = postings.key_of(hashes, buckets)
                 wanted = np.isin(key, np.frombuffer(shared, postings.ELEMENT)["key"])
@@ -268,7 +284,7 @@ def _settle(buckets: int, match: int, gram: int):
         doc, text, at, n = (np.concatenate([np.frombuffer(x, t) for x in pdf[c]]) for c, t in
                             (("docs", "<i8"), ("texts", "<i8"), ("at", "<u4"), ("ends", "<u4")))
         at, n = at.astype(np.int64), n.astype(np.int64)
-        reads = np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["reads"]]).reshape(-1, length)
+        reads = np.concatenate([np.frombuffer(common.unsqueezed(x), np.uint8) for x in pdf["reads"]]).reshape(-1, length)
         found = repeated_windows(reads, doc, np.maximum(before - at, 0), np.minimum(n - at + before, length), match)
         row, column = np.nonzero(found)
         if not len(row):
@@ -281,13 +297,14 @@ def _settle(buckets: int, match: int, gram: int):
     return run
 
 
-def _kept(match: int):
+def _kept(match: int, rest: T.StructType | None):
     """The text without its repeated bytes, from the merged spans."""
-    schema = pa.schema([("doc", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+    schema = pa.schema([("doc", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string() if rest else pa.binary())])
+    out_type = T.StructType([T.StructField("doc", T.LongType()), *(T.StructField(c, T.LongType()) for c in schema.names[1:4]), T.StructField("kept", T.StringType() if rest else T.BinaryType()),
+                             *([T.StructField("rest", rest)] if rest else [])])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in common.chunks(batches, "text"):
-            columns = {f.name: part.column(i) for i, f in enumerate(part.schema)}
+        for columns, texts in _texts(batches):
             out: list[tuple] = []
             for copy, spans, text in zip(columns["copy"].to_pylist(), columns["spans"].to_pylist(), texts):
                 if copy and len(text) >= match:
@@ -302,9 +319,12 @@ def _kept(match: int):
                     gone = np.cumsum(depth[:-1]) > 0
                     out.append((len(text), int(gone.sum()), int(np.count_nonzero(gone & ~np.r_[False, gone[:-1]])),
                                 np.frombuffer(text, np.uint8)[~gone].tobytes()))
-            yield pa.RecordBatch.from_arrays([columns["doc"], *(pa.array(x, f.type) for x, f in zip(zip(*out), list(schema)[1:]))], schema=schema)
+            if rest:  # as text, without the bytes of characters that were cut through
+                out = [(*numbers, left.decode("utf-8", "ignore")) for *numbers, left in out]
+            arrays = [columns["doc"], *(pa.array(x, f.type) for x, f in zip(zip(*out), list(schema)[1:]))]
+            yield pa.RecordBatch.from_arrays(arrays + ([columns["rest"]] if rest else []), names=schema.names + (["rest"] if rest else []))
 
-    return run, "doc long, n_bytes long, n_removed long, n_spans long, kept binary"
+    return run, out_type
 
 
 def remove_repeats(docs: DataFrame, match: int = 50, gram: int = 24) -> DataFrame:
@@ -318,20 +338,41 @@ def remove_repeats(docs: DataFrame, match: int = 50, gram: int = 24) -> DataFram
     after all others (and is kept as 2**63 - 1 meanwhile). Rows with the same doc_id do not repeat one another.
     Other columns are not looked at; an empty table gives an empty result.
     """
+    return _removed(docs.select("doc_id", "text"), match, gram, []).select(
+        F.nullif("doc", F.lit(LAST)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+
+
+def without_repeats(docs: DataFrame, match: int = 50, gram: int = 24) -> DataFrame:
+    """The rows of ``docs``, all columns, with the text that ``remove_repeats`` leaves; ``n_chars``, if there is one, counts it.
+
+    Bytes of a character that was cut through go as well. A row of which nothing is left stays, with an empty text, as does one with a null text.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    out = _removed(docs, match, gram, others)
+    return out.select(*[F.col("kept").alias(c) if c == "text" else F.length("kept").cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
+                        else F.col("rest").getField(c).alias(c) for c in docs.columns])
+
+
+def _removed(docs: DataFrame, match: int, gram: int, others: list[str]) -> DataFrame:
+    """``remove_repeats`` with the columns ``others`` as a struct ``rest``. The compressed texts are shuffled once and read three times."""
     buckets = min(common.partitions(docs), 1 << 15)
-    keyed = (docs.select(F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-             .withColumn("text_key", F.xxhash64(F.lit(7), "text")))
-    first = keyed.groupBy("text_key").agg(F.min("doc").alias("doc"))
+    rest = [F.struct(*others).alias("rest")] if others else []
+    kept_with = ["rest"] if others else []
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"), *rest).withColumn(
+        "text_key", F.xxhash64(F.lit(7), "text"))
+    first = rows.groupBy("text_key").agg(F.min("doc").alias("doc"))
+    plain = rows.select("doc", "text_key", *kept_with, "text")
+    packed = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == "text" else f.dataType) for f in plain.schema])
+    keyed = plain.mapInArrow(_squeezed, packed).where("doc IS NOT NULL AND text_key IS NOT NULL")  # so that all joins read the same shuffle
     text = ["doc", "text_key"]
     single = keyed.join(first, text, "left_semi")
 
-    dealt = single.select("text_key", "text").mapInArrow(_dealt(buckets, match, gram), postings.DEALT_DDL)
+    dealt = single.select("text_key", *kept_with, "text").mapInArrow(_dealt(buckets, match, gram), postings.DEALT_DDL)
     shared = postings.shared_keys(dealt, buckets).select(F.col("owner").alias("text_key"), F.col("keys").alias("shared")).join(first, "text_key")
-    reads = keyed.join(shared, text).select("doc", "text_key", "shared", "text").mapInArrow(_reads(buckets, match, gram), READS_DDL)
+    reads = keyed.join(shared, text).select("doc", "text_key", "shared", *kept_with, "text").mapInArrow(_reads(buckets, match, gram), READS_DDL)
     spans = (reads.groupBy("bucket").applyInPandas(_settle(buckets, match, gram), SPANS_DDL)
              .groupBy("block").applyInPandas(_marked, MARKED_DDL))
     marked = first.select("doc", "text_key", F.lit(False).alias("copy")).join(spans, text, "left")
-    kept, ddl = _kept(match)
-    out = (keyed.join(marked, text, "left").select("doc", F.coalesce("copy", F.lit(True)).alias("copy"), "spans", "text")
-           .mapInArrow(kept, ddl))
-    return out.select(F.nullif("doc", F.lit(LAST)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+    kept, out_type = _kept(match, rows.schema["rest"].dataType if others else None)
+    return (keyed.join(marked, text, "left").select("doc", F.coalesce("copy", F.lit(True)).alias("copy"), "spans", *kept_with, "text")
+            .mapInArrow(kept, out_type))
