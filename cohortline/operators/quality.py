@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import rnd
+from ..runtime import cut_lineage
 from .quantiles import exact_quantiles
 
 COLUMNS = ["check", "subject", "value", "passed"]
@@ -52,8 +53,10 @@ def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str
         F.coalesce(F.sum(F.when(F.col("_known").isNull(), F.col("_n"))), F.lit(0)).alias("lost"),
         F.coalesce(F.sum("_n"), F.lit(0)).alias("n"))
     pct = F.when(F.col("n") > 0, rnd(F.col("lost") / F.col("n") * 100.0, 6)).otherwise(0.0)
-    return _result(joined, "orphans", subject, F.col("lost"), F.col("lost") == 0).unionByName(
-        _result(joined, "orphan_pct", subject, pct, F.col("lost") == 0))
+    # both rows from the one aggregated row: the child is read once
+    both = F.array(*[F.struct(F.lit(c).alias("check"), F.lit(subject).alias("subject"), v.cast("double").alias("value"), (F.col("lost") == 0).alias("passed"))
+                     for c, v in (("orphans", F.col("lost")), ("orphan_pct", pct))])
+    return joined.select(F.explode(both).alias("r")).select("r.*")
 
 
 def null_rates(df: DataFrame, subject: str, threshold_pct: float = 20) -> DataFrame:
@@ -120,7 +123,8 @@ def top_values(df: DataFrame, columns: list[str], limit: int = 5) -> DataFrame:
 
 def measure_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """Min, mean, median, max, standard deviation and nulls per measure, from one long table."""
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "measure", "v")
+    # the columns are read three times below and may come from a long join: it runs once
+    rows = cut_lineage(df.select(*[F.col(c).cast("double").alias(c) for c in columns])).unpivot([], columns, "measure", "v")
     moments = rows.groupBy("measure").agg(
         rnd(F.min("v")).alias("min"), rnd(F.avg("v")).alias("mean"), rnd(F.max("v")).alias("max"),
         rnd(F.stddev("v")).alias("std"), F.count(F.when(F.col("v").isNull(), 1)).alias("nulls"))

@@ -176,6 +176,16 @@ def full_cube(t):
     return flat(engine.mine(views.district_month_cube(t), spec.DISTRICT_MONTH_CUBE).candidates)
 
 
+def full_journey(t):
+    """Everything the beneficiary journey has to say."""
+    return flat(engine.mine(views.beneficiary_journey(t), spec.BENEFICIARY_JOURNEY).candidates)
+
+
+def full_lifecycle(t):
+    """Everything the claims lifecycle has to say: 13 dimensions, 3 times, 12 measures."""
+    return flat(engine.mine(views.claims_lifecycle(t), spec.CLAIMS_LIFECYCLE).candidates)
+
+
 def mining_queries() -> dict[str, Query]:
     b = bound
     out = {
@@ -199,7 +209,9 @@ def mining_queries() -> dict[str, Query]:
         "M15_impact": b(lambda t: flat(categorical_candidates(t)).select(
             "strategy", "ext_dim", "pattern_type", "breakdown", "measure", "base", "impact", "impact_measure")),
         "M16_scored_candidates": b(lambda t: flat(categorical_candidates(t))),
-                "M16_hospital_performance_mined": b(full_view),
+        "M16_hospital_performance_mined": b(full_view),
+        "M16_beneficiary_journey_mined": b(full_journey),
+        "M16_claims_lifecycle_mined": b(full_lifecycle),
         "M16_district_month_mined": b(full_cube),
         "M17_prefilter": b(lambda t: flat(ranking.prefilter(categorical_candidates(t), 100))),
         "M18_overlaps": b(lambda t: ranking.overlaps(categorical_candidates(t), ranking.prefilter(categorical_candidates(t), 5)).select(
