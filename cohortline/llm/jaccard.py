@@ -214,9 +214,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 75) -> D
     sets of distinct runs of ``size`` words; ``component_id`` is the smallest
     doc_id reachable by links. A text with fewer words is one run of all of
     them; a null text or one without words has an empty set, links with nothing
-    and keeps its own id. Rows with the same doc_id are documents of their own
-    that share a node; a null doc_id takes the component of its set, and null if
-    it has no other. Columns other than the two are not looked at. An empty
+    and keeps its own id. Rows with the same doc_id and other texts are documents of
+    their own (sets whose smallest id is the same count as one); a null doc_id takes the
+    component of its set, and null if that has no id. Columns other than the two are not looked at. An empty
     table gives an empty result.
     """
     spark = docs.sparkSession
@@ -238,7 +238,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 75) -> D
         "owner", F.expr("conv(hex(substring(set_key, 1, 8)), 16, -10)").cast("long"))
     rows = (shared.withColumnRenamed("n", "kept").join(numbered, "owner").where(F.col("kept") * 100 >= F.col("n") * threshold)
             .select("rep", "n", "keys"))
-    rows = common.cut(rows.mapInArrow(_rows(threshold), ROW_DDL))
+    rows = common.cut(rows.mapInArrow(_rows(threshold), ROW_DDL), few=False)
 
     prefixes = rows.select("rep", "prefix", "keys").mapInArrow(_prefixes, "key long, rep long")
     least = prefixes.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")

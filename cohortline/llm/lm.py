@@ -319,7 +319,7 @@ def score(docs: DataFrame, learn_from: Column | None = None) -> DataFrame:
     spark = docs.sparkSession
     buckets = min(common.partitions(docs), 1 << 15)
     chosen = docs if learn_from is None else docs.where(learn_from)
-    slices = common.cut(chosen.select("text").mapInArrow(_count(buckets), COUNTED_DDL).groupBy("bucket").applyInPandas(_slice(buckets), SLICE_DDL))
+    slices = common.cut(chosen.select("text").mapInArrow(_count(buckets), COUNTED_DDL).groupBy("bucket").applyInPandas(_slice(buckets), SLICE_DDL), few=False)
     bits = np.zeros((buckets, FILTER_BITS // buckets // 8), np.uint8)
     head: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.uint64), np.empty(0, np.int64))]
     n = v = 0

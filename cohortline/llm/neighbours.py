@@ -205,7 +205,7 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, aim: float = 0.97) ->
     """
     spark = rows.sparkSession
     clean, kind = vectors.read(rows.where("vec_id IS NOT NULL"))
-    clean = common.cut(clean)
+    clean = common.cut(clean, few=False)
     dims = clean.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
     if dims is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -225,7 +225,7 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, aim: float = 0.97) ->
 
     longest = clean.select("vec").mapInArrow(lengths, "longest double").agg(F.max("longest")).first()[0]
     index = spark.sparkContext.broadcast(vars(Index(np.asarray([r.vec_id for r in sample]), points, longest, n, k, aim)))
-    assigned = common.cut(clean.mapInArrow(_assign(index, kind, every), ASSIGNED_DDL))
+    assigned = common.cut(clean.mapInArrow(_assign(index, kind, every), ASSIGNED_DDL), few=False)
     splits = assigned.where("role = 0").groupBy("list").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("splits"))
     placed = assigned.join(splits, "list")
     held = placed.where("role = 0").withColumn("split", F.pmod(F.xxhash64(F.lit(6), "vec_id", "vec"), F.col("splits")).cast("int"))

@@ -34,23 +34,23 @@ def op1_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by what four fifths of the ids teach."""
     held_out = common.crc_of("doc_id", 5) == 1
-    return lm.score(table(spark, sf_dir, "documents"), ~held_out).select(
-        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return common.slim(lm.score(table(spark, sf_dir, "documents"), ~held_out).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"))
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that the mix of their source takes of them."""
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return common.slim(mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken"))
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the size of its set of 5-word shingles and its class at similarity 0.75."""
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return common.slim(jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id"))
 
 
 def op5_adaptive_scan_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found for every twentieth vector, against all others."""
-    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+    return common.slim(neighbours.nearest(table(spark, sf_dir, "embeddings")))
 
 
 def op6_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def op6_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors with their links at cosine 0.9 and their class."""
-    return rangejoin.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return common.slim(rangejoin.near_duplicates(table(spark, sf_dir, "embeddings")))
 
 
 def op8_indexed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,21 +80,22 @@ def op8_indexed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.first("bytes").alias("of_bytes"), F.first("sha1").alias("of_sha1"))
     revisits = slim.where("record_type = 'revisit'").join(whole, (F.col("refers_to") == F.col("of_page")) & (F.col("digest") == F.col("of_digest")), "left")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return slim.where("record_type = 'response'").withColumnsRenamed({"bytes": "payload_bytes", "sha1": "payload_digest"}).select(*columns).union(
-        revisits.withColumnsRenamed({"of_bytes": "payload_bytes", "of_sha1": "payload_digest"}).select(*columns))
+    responses = slim.where("record_type = 'response'").withColumnsRenamed({"bytes": "payload_bytes", "sha1": "payload_digest"})
+    return common.slim(responses.select(*columns).union(
+        revisits.withColumnsRenamed({"of_bytes": "payload_bytes", "of_sha1": "payload_digest"}).select(*columns)))
 
 
 def op9_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score for every document, learnt from the labels of two thirds of the ids."""
     held_out = common.crc_of("doc_id", 3) == 1
     scores = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn_from=~held_out)
-    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return common.slim(scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")))
 
 
 def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 50-byte strings that a smaller document has as well."""
-    return suffix.remove_repeats(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return common.slim(suffix.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")))
 
 
 def llm_queries() -> dict[str, Query]:
