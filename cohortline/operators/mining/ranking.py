@@ -12,10 +12,16 @@ from .scopes import subspace_text
 IDENTITY = ["strategy", "pattern_type", "ext_dim", "breakdown", "measure", "base"]
 
 
+def _told(text: Column) -> Column:
+    """Text with the signs of a key marked, so that two keys are equal only if all their parts are."""
+    return F.regexp_replace(text, r"([\\|=])", r"\\$1")
+
+
 def identified(candidates: DataFrame) -> DataFrame:
     """Candidates with a readable key that tells them apart."""
-    return candidates.withColumn("cid", F.concat_ws("|", "pattern_type", "strategy", "ext_dim", "breakdown", "measure",
-                                                    subspace_text("base")))
+    parts = [_told(F.col(c)) for c in ("pattern_type", "strategy", "ext_dim", "breakdown", "measure")]
+    base = subspace_text(F.transform("base", lambda p: F.struct(_told(p["dim"]).alias("dim"), _told(p["value"]).alias("value"))))
+    return candidates.withColumn("cid", F.concat_ws("|", *parts, base))
 
 
 def prefilter(candidates: DataFrame, limit: int) -> DataFrame:

@@ -17,8 +17,20 @@ from .spec import ViewSpec
 PAIR = "struct<dim:string,value:string>"
 
 
-# Separators inside a cell key: control characters that do not occur in labels.
-_EQUALS, _AND = "\u0001", "\u0002"
+# Separators inside a cell key; where they occur in a label they are written as the third sign and a letter.
+_EQUALS, _AND, _SIGN = "\u0001", "\u0002", "\u0003"
+
+
+def _held(label: Column) -> Column:
+    for sign, letter in ((_SIGN, "c"), (_EQUALS, "a"), (_AND, "b")):
+        label = F.replace(label, F.lit(sign), F.lit(_SIGN + letter))
+    return label
+
+
+def _freed(text: Column) -> Column:
+    for sign, letter in ((_EQUALS, "a"), (_AND, "b"), (_SIGN, "c")):
+        text = F.replace(text, F.lit(_SIGN + letter), F.lit(sign))
+    return text
 
 
 def _cell_key(columns: list[str]) -> Column:
@@ -43,7 +55,7 @@ def cells(view: DataFrame, spec: ViewSpec, width: int = 6) -> DataFrame:
     """
     names = [m.name for m in spec.measures]
     averaged = [m.name for m in spec.measures if m.agg == "avg"]
-    base = view.select(*[F.col(c).cast("string").alias(c) for c in spec.columns],
+    base = view.select(*[_held(F.col(c).cast("string")).alias(c) for c in spec.columns],
                        *[F.col(m).cast("double").alias(f"m_{m}") for m in names])
     parts = []
     for columns, sets in spec.blocks(width):
@@ -56,7 +68,7 @@ def cells(view: DataFrame, spec: ViewSpec, width: int = 6) -> DataFrame:
 
     def pair(text):
         return F.struct(F.split_part(text, F.lit(_EQUALS), F.lit(1)).alias("dim"),
-                        F.split_part(text, F.lit(_EQUALS), F.lit(2)).alias("value"))
+                        _freed(F.split_part(text, F.lit(_EQUALS), F.lit(2))).alias("value"))
 
     pairs = F.when(F.col("cell") == "", F.array().cast(f"array<{PAIR}>")).otherwise(
         F.transform(F.split("cell", _AND), pair))

@@ -29,40 +29,61 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1.0 - F.levenshtein(a, b) / longest)
 
 
-def resolve(raw: DataFrame, column: str, values: DataFrame, aliases: dict[str, str] | None = None, cutoff: float = 0.8,
-            block: int = BLOCK) -> DataFrame:
-    """One row per distinct raw value: what it resolves to and how, or three suggestions.
+# The cut-off of the fuzzy step in percent, by type of entity; 100 means no such step.
+CUTOFFS = {"district": 85, "district_2": 85, "division": 85, "division_2": 85, "block": 80, "specialty": 90, "hospital": 72,
+           "claim_status": 85, "diagnosis_category": 85, "year": 100, "month": 100, "hospital_type": 100}
+# Words that mean the whole state and are no place.
+WHOLE_STATE = ("up", "uttar pradesh", "state", "all", "entire state")
+PLACES = ("district", "district_2", "block", "division", "division_2")
+
 
-    Exact matches (ignoring case and surrounding space) and aliases are joins. Only
-    what they leave is compared by spelling: with one block of the registry at a
-    time, each of which passes on its three best. A cut-off of 1 means no fuzzy step
-    but suggestions only.
+def resolve_entities(raw: DataFrame, values: DataFrame, aliases: dict[str, dict[str, str]] | None = None,
+                     cutoffs: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
+    """``(entity_type, raw, resolved, confidence, suggestions)``, a row per distinct ``(entity_type, raw)`` of ``raw``.
+
+    ``values`` is a registry of (entity_type, value). Exact matches (ignoring case and surrounding
+    space) and the type's aliases are joins. Only what they leave is compared by spelling, with
+    one block of its type's registry at a time, each of which passes on its three
+    best. ``cutoffs`` are in percent and by type (85 where none is given). Words for the whole state
+    are refused for places.
     """
-    names = values.select("value").distinct()
-    asked = raw.select(F.col(column).alias("raw")).where(F.col("raw").isNotNull()).distinct().withColumn(
-        "norm", F.lower(F.trim("raw")))
-    exact = names.select(F.lower("value").alias("norm"), F.col("value")).groupBy("norm").agg(F.min("value").alias("exact"))
-    found = asked.join(exact, "norm", "left")
-    alias = F.lit(None).cast("string")
-    if aliases:
-        table = F.create_map(*[F.lit(x) for k, v in aliases.items() for x in (k.lower(), v)])
-        alias = F.element_at(table, F.col("norm"))
-    found = cut_lineage(found.withColumn("alias", alias))
-    known = found.where(F.col("exact").isNotNull() | F.col("alias").isNotNull()).select(
-        "raw", F.coalesce("exact", "alias").alias("resolved"),
-        F.when(F.col("exact").isNotNull(), "exact").otherwise("alias").alias("confidence"),
+    cutoffs = CUTOFFS if cutoffs is None else cutoffs
+    names = values.select("entity_type", "value").distinct()
+    asked = raw.select("entity_type", "raw").where(F.col("raw").isNotNull()).distinct().withColumn("norm", F.lower(F.trim("raw")))
+    key = ["entity_type", "norm"]
+    exact = names.groupBy("entity_type", F.lower("value").alias("norm")).agg(F.min("value").alias("exact"))
+    found = asked.join(exact, key, "left")
+    told = [(kind, k.lower(), v) for kind, table in (aliases or {}).items() for k, v in table.items()]
+    other = raw.sparkSession.createDataFrame(told, "entity_type string, norm string, alias string")
+    state = F.col("entity_type").isin(*PLACES) & F.col("norm").isin(*WHOLE_STATE)
+    found = cut_lineage(found.join(other, key, "left").withColumn("refused", F.coalesce(state, F.lit(False))))
+    known = found.where(F.col("refused") | F.col("exact").isNotNull() | F.col("alias").isNotNull()).select(
+        "entity_type", "raw", F.when(~F.col("refused"), F.coalesce("exact", "alias")).alias("resolved"),
+        F.when(F.col("refused"), "refused").when(F.col("exact").isNotNull(), "exact").otherwise("alias").alias("confidence"),
         F.lit(None).cast("string").alias("suggestions"))
-    rest = found.where(F.col("exact").isNull() & F.col("alias").isNull()).select("raw", "norm")
-    blocks = max(1, math.ceil(names.count() / block))
-    dealt = names.withColumn("_b", F.pmod(F.xxhash64("value"), F.lit(blocks)).cast("int"))
-    met = rest.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "_b")
-    scored = met.select("raw", "value", F.round(similarity(F.col("norm"), F.lower("value")), 9).alias("sim"))
-    best = Window.partitionBy("raw").orderBy(F.desc("sim"), "value")
-    three = scored.withColumn("rk", F.row_number().over(best)).where(F.col("rk") <= 3).groupBy("raw").agg(
+
+    rest = found.where(~F.col("refused") & F.col("exact").isNull() & F.col("alias").isNull()).select("entity_type", "raw", "norm")
+    sizes = names.groupBy("entity_type").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    dealt = names.join(sizes, "entity_type").withColumn("_b", F.pmod(F.xxhash64("value"), F.col("_blocks")).cast("int")).drop("_blocks")
+    met = rest.join(sizes, "entity_type").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).join(dealt, ["entity_type", "_b"])
+    scored = met.select("entity_type", "raw", "value", F.round(similarity(F.col("norm"), F.lower("value")), 9).alias("sim"))
+    best = Window.partitionBy("entity_type", "raw").orderBy(F.desc("sim"), "value")
+    three = scored.withColumn("rk", F.row_number().over(best)).where(F.col("rk") <= 3).groupBy("entity_type", "raw").agg(
         F.max(F.when(F.col("rk") == 1, F.col("sim"))).alias("sim"), F.max(F.when(F.col("rk") == 1, F.col("value"))).alias("value"),
         F.array_sort(F.collect_list(F.struct("rk", "value"))).alias("best"))
-    near = F.coalesce((F.col("sim") >= cutoff) & F.lit(cutoff < 1), F.lit(False))
-    spelled = rest.join(three, "raw", "left").select(
-        "raw", F.when(near, F.col("value")).alias("resolved"), F.when(near, "fuzzy").otherwise("unmatched").alias("confidence"),
+    cutoff = F.lit(85.0)
+    for kind, percent in cutoffs.items():
+        cutoff = F.when(F.col("entity_type") == kind, float(percent)).otherwise(cutoff)
+    near = F.coalesce((cutoff < 100) & (F.col("sim") * 100 >= cutoff), F.lit(False))
+    spelled = rest.join(three, ["entity_type", "raw"], "left").select(
+        "entity_type", "raw", F.when(near, F.col("value")).alias("resolved"), F.when(near, "fuzzy").otherwise("unmatched").alias("confidence"),
         F.when(~near, F.coalesce(F.array_join(F.transform("best", lambda b: b["value"]), ";"), F.lit(""))).alias("suggestions"))
     return known.unionByName(spelled)
+
+
+def resolve(raw: DataFrame, column: str, values: DataFrame, aliases: dict[str, str] | None = None, cutoff: float = 0.8,
+            block: int = BLOCK) -> DataFrame:
+    """``resolve_entities`` for a single type: one row per distinct value of ``column``, the cut-off as a share."""
+    kind = F.lit("").alias("entity_type")
+    return resolve_entities(raw.select(kind, F.col(column).alias("raw")), values.select(kind, "value"), {"": aliases or {}},
+                            {"": cutoff * 100}, block).drop("entity_type")

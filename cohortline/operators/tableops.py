@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import parse_number, rnd
+from .quantiles import exact_quantiles
 
 ROLE = "role"
 
@@ -96,6 +97,53 @@ def label_column(df: DataFrame) -> str | None:
     return next((c for c, r in roles(df).items() if r == "dimension"), None)
 
 
+def matched_column(df: DataFrame, wanted: str) -> str | None:
+    """A column by a loose name: exact but for case and spaces, else the first that contains it or is contained in it."""
+    name = wanted.strip().lower().replace(" ", "_")
+    exact = [c for c in df.columns if c.lower() == name]
+    part = [c for c in df.columns if name in c.lower() or c.lower() in name]
+    return (exact + part + [None])[0]
+
+
+def resolved_column(df: DataFrame, wanted: str | None = None) -> str:
+    """The column meant; without a name the first that holds numbers, amounts ahead of counts, stocks and ratios."""
+    if wanted:
+        found = matched_column(df, wanted)
+        if found is None:
+            raise Refused(f"no column like {wanted}")
+        return found
+    known = roles(df)
+    order = ["additive_value", "additive_count", "snapshot_stock", "ratio"]
+    ranked = sorted(df.columns, key=lambda c: order.index(known[c]) if known[c] in order else len(order))
+    filled = df.agg(*[F.count(number(df, c)).alias(str(i)) for i, c in enumerate(ranked)]).first()
+    for i, c in enumerate(ranked):
+        if filled[str(i)]:
+            return c
+    raise Refused("the table has no numeric column")
+
+
+def operate(df: DataFrame, operation: str, column: str | None = None, n: float | None = None) -> DataFrame:
+    """One of the operations on a single table by its name. An empty table is refused, a column may be named loosely or left out."""
+    if df.isEmpty():
+        raise Refused("the table is empty")
+    if operation == "count":
+        return count_rows(df)
+    if operation in ("mode", "count_distinct"):
+        found = matched_column(df, column) if column else label_column(df)
+        if found is None:
+            raise Refused(f"no column like {column}")
+        return frequencies(df, operation, found)
+    many = 5 if n is None else int(n)
+    run: dict[str, Callable[[str], DataFrame]] = {
+        **{o: lambda c: scalar(df, operation, c) for o in ("sum", "average", "min", "max")},
+        **{o: lambda c: spread(df, operation, c, n) for o in ("median", "stdev", "percentile", "range")},
+        "share_of_total": lambda c: share_of_total(df, c), "percent_change": lambda c: percent_change(df, c),
+        "sort": lambda c: sort_rows(df, c), "top_n": lambda c: first_rows(df, operation, c, many), "bottom_n": lambda c: first_rows(df, operation, c, many)}
+    if operation not in run:
+        raise Refused(f"{operation} is not an operation")
+    return run[operation](resolved_column(df, column))
+
+
 def scalar(df: DataFrame, operation: str, column: str) -> DataFrame:
     """sum, average, min or max as one row; min and max name the row they come from."""
     guard(df, operation, column)
@@ -116,18 +164,22 @@ def count_rows(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, operation: str, column: str, n: float | None = None) -> DataFrame:
-    """median, stdev (two values at least), percentile (linear) or range of the rows shown."""
+    """median, stdev (two values at least), percentile (linear) or range, with its ends and the rows they come from, of the rows shown."""
     guard(df, operation, column)
     v = number(df, column)
     if operation == "median":
-        return df.agg(F.percentile(v, F.lit(0.5)).alias("value"))
+        return exact_quantiles(df.select(v.alias("v")), [], "v", {"value": 0.5})
     if operation == "stdev":
         return df.agg(F.when(F.count(v) >= 2, F.stddev_samp(v)).alias("value"))
     if operation == "percentile":
         if n is None or not 0 <= n <= 100:
             raise Refused(f"{n} is not a percentile")
-        return df.agg(F.percentile(v, F.lit(n / 100.0)).alias("value"))
-    return df.agg((F.max(v) - F.min(v)).alias("value"), F.min(v).alias("low"), F.max(v).alias("high"))
+        return exact_quantiles(df.select(v.alias("v")), [], "v", {"value": n / 100.0})
+    label = label_column(df)
+    named = F.col(label).cast("string") if label else F.lit(None).cast("string")
+    return df.where(v.isNotNull()).agg(
+        (F.max(v) - F.min(v)).alias("value"), F.min(v).alias("low"), F.max(v).alias("high"),
+        F.min_by(named, F.struct(v, named)).alias("low_label"), F.min_by(named, F.struct(-v, named)).alias("high_label"))
 
 
 def frequencies(df: DataFrame, operation: str, column: str) -> DataFrame:

@@ -55,7 +55,10 @@ SQL = {
     "O6_median": f"SELECT quantile_cont(CAST(total_cases AS DOUBLE), 0.5) AS value FROM {_S}",
     "O7_stdev": f"SELECT STDDEV(total_cases) AS value FROM {_S}",
     "O8_percentile": f"SELECT quantile_cont(CAST(total_cases AS DOUBLE), 0.9) AS value FROM {_S}",
-    "O9_range": f"SELECT CAST(MAX(total_cases) - MIN(total_cases) AS DOUBLE) AS value, CAST(MIN(total_cases) AS DOUBLE) AS low, CAST(MAX(total_cases) AS DOUBLE) AS high FROM {_S}",
+    "O9_range": f"SELECT CAST(MAX(total_cases) - MIN(total_cases) AS DOUBLE) AS value, CAST(MIN(total_cases) AS DOUBLE) AS low, CAST(MAX(total_cases) AS DOUBLE) AS high, "
+                f"arg_min(district_name, (total_cases, district_name)) AS low_label, arg_min(district_name, (-total_cases, district_name)) AS high_label FROM {_S}",
+    "O9_operate_default_column": f"SELECT SUM(amount_claimed) AS value FROM {_S}",
+    "O9_operate_loose_name": f"SELECT CAST(MAX(total_cases) AS DOUBLE) AS value, arg_min(district_name, (-total_cases, district_name)) AS label FROM {_S}",
     "O10_mode": f"SELECT COALESCE(string_agg(v, ';' ORDER BY v), '') AS modes, COUNT(*) AS ties, MAX(k) AS rows FROM (SELECT division_name AS v, COUNT(*) AS k, MAX(COUNT(*)) OVER () AS top FROM {_S} GROUP BY 1) x "
                 "WHERE k = top AND k > 1",
     "O11_count_distinct": f"SELECT CAST(COUNT(DISTINCT division_name) AS DOUBLE) AS value FROM {_S}",

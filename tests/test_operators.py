@@ -147,3 +147,19 @@ def test_names_resolve_by_exact_alias_and_spelling(spark):
     got = {r["raw"]: (r["resolved"], r["confidence"]) for r in resolve.resolve(raw, "n", names, {"Dilli": "Delhi"}, 0.6, block=2).collect()}
     assert got == {"Delhi": ("Delhi", "exact"), " delhi ": ("Delhi", "exact"), "dilli": ("Delhi", "alias"), "Dehli": ("Delhi", "fuzzy"),
                    "Mombai": ("Mumbai", "fuzzy"), "zzz": (None, "unmatched")}
+
+
+def test_entities_resolve_by_the_rules_of_their_type(spark):
+    values = spark.createDataFrame([("district", "Agra"), ("district", "Meerut"), ("month", "11"), ("month", "12"), ("hospital", "City Care Hospital"),
+                                    ("hospital_type", "PUBLIC")], "entity_type string, value string")
+    raw = spark.createDataFrame([("district", "agra"), ("district", "Merut"), ("district", "UP"), ("district", "Mxrxxt"), ("month", "111"), ("month", "november"),
+                                 ("hospital", "City Care Hosp"), ("hospital_type", "Publik"), ("hospital_type", "govt"), ("planet", "Mars"), ("block", None)],
+                                "entity_type string, raw string")
+    aliases = {"month": {"November": "11"}, "hospital_type": {"govt": "PUBLIC"}}
+    for block in (1, 100):
+        got = {(r["entity_type"], r["raw"]): (r["resolved"], r["confidence"]) for r in resolve.resolve_entities(raw, values, aliases, block=block).collect()}
+        # Merut is 5 of 6 letters (83 %), below the 85 of a district; a hospital needs 72; months and types of hospital have no fuzzy step
+        assert got == {("district", "agra"): ("Agra", "exact"), ("district", "Merut"): (None, "unmatched"), ("district", "UP"): (None, "refused"),
+                       ("district", "Mxrxxt"): (None, "unmatched"), ("month", "111"): (None, "unmatched"), ("month", "november"): ("11", "alias"),
+                       ("hospital", "City Care Hosp"): ("City Care Hospital", "fuzzy"), ("hospital_type", "Publik"): (None, "unmatched"),
+                       ("hospital_type", "govt"): ("PUBLIC", "alias"), ("planet", "Mars"): (None, "unmatched")}

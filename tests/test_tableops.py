@@ -101,3 +101,17 @@ def test_compare_tags_and_stacks(spark):
     assert [(r["place"], r["compared_value"]) for r in got] == [("a", "a"), ("b", "b")]
     with pytest.raises(ops.Refused):
         ops.compare(ask, "place", list("abcde"))
+
+
+def test_operate_resolves_columns_and_refuses(table):
+    assert ops.operate(table, "sum").first()["value"] == ops.scalar(table, "sum", "total_claimed").first()["value"]
+    assert ops.operate(table, "max", " Case Count").first()["label"] == "Beta"
+    assert ops.operate(table, "max", "case").first()["value"] == ops.scalar(table, "max", "case_count").first()["value"]
+    ends = ops.operate(table, "range", "case_count").first()
+    assert (ends["low_label"], ends["high_label"]) == ("Alpha", "Beta") and ends["high"] - ends["low"] == ends["value"]
+    assert ops.operate(table, "count").first()["value"] == 3.0
+    assert ops.operate(table, "count_distinct", "hospital").first()["value"] == 3.0
+    for bad in (lambda: ops.operate(table.where("false"), "sum"), lambda: ops.operate(table, "sum", "nothing like it"), lambda: ops.operate(table, "cube"),
+                lambda: ops.operate(table, "sum", "approval rate")):
+        with pytest.raises(ops.Refused):
+            bad()

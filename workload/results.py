@@ -121,6 +121,8 @@ def result_queries() -> dict[str, Query]:
         "O7_stdev": b(lambda t: spread(summary(t), "stdev", "total_cases")),
         "O8_percentile": b(lambda t: spread(summary(t), "percentile", "total_cases", 90)),
         "O9_range": b(lambda t: spread(summary(t), "range", "total_cases")),
+        "O9_operate_default_column": b(lambda t: tableops.operate(summary(t), "sum")),
+        "O9_operate_loose_name": b(lambda t: tableops.operate(summary(t), "max", "Total Cases")),
         "O10_mode": b(lambda t: tableops.frequencies(summary(t), "mode", "division_name")),
         "O11_count_distinct": b(lambda t: tableops.frequencies(summary(t), "count_distinct", "division_name")),
         "O12_share_of_total": b(lambda t: tableops.share_of_total(summary(t), "total_cases")),
