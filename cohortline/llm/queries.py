@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortline.runtime import checkpoint_dir
-from cohortline.llm import chat, common, jaccard, lm, mixing, neighbours, packing, quality, rangejoin, suffix, warc
+from cohortline.llm import chat, common, jaccard, lm, mixing, neighbours, oracle, packing, quality, rangejoin, suffix, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,4 +104,5 @@ def llm_queries() -> dict[str, Query]:
 
 
 def llm_sql() -> dict[str, str]:
-    return {}
+    """For the five that SQL can say; tokenizers, models, seeded draws and approximate search are tested against brute force."""
+    return dict(oracle.SQL)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cohortline.llm import chat, components, neighbours, queries, rangejoin, warc
+from tests.check_sql import compare, duck
 from tests.llm.conftest import SMALL
 
 needs_tables = pytest.mark.skipif(not os.path.isdir(SMALL), reason="driver tables not present")
@@ -231,4 +232,9 @@ def test_pipeline_stages(spark):
 @pytest.mark.parametrize("name", list(queries.llm_queries()))
 def test_every_query_returns_its_rows(spark, name):
     df = queries.llm_queries()[name](spark, SMALL)
-    assert df.count() > 0 and len(set(df.columns)) == len(df.columns)
+    assert len(set(df.columns)) == len(df.columns)
+    rows = [tuple(r) for r in df.collect()]
+    assert rows
+    if name in queries.llm_sql():
+        said = duck(SMALL).execute(queries.llm_sql()[name])
+        assert compare(df.columns, rows, [d[0] for d in said.description], said.fetchall()) == ""
