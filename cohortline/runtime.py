@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_FALLBACK: dict[str, str] = {}  # by application, the folder of a local session that names none
+
+
 def local_session(cpus: str = "*", shuffle_partitions: int = 8, app: str = "cohortline") -> SparkSession:
     """A session for tests and the benchmark; a cluster brings its own."""
     return (
@@ -44,7 +47,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="cohortline-checkpoint-")
+    app = spark.sparkContext.applicationId
+    if app not in _FALLBACK:
+        _FALLBACK[app] = tempfile.mkdtemp(prefix="cohortline-checkpoint-")
+    return _FALLBACK[app]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -52,8 +58,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Later steps start from the table: a lost executor costs a re-read, not a
     re-run, and columns and row groups can be skipped when it is read again.
+    The tables stay until ``release``, as results are built on them.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/cohortline-cut-{uuid.uuid4().hex}"
+    path = f"{cuts(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def cuts(spark: SparkSession) -> str:
+    """Where this application's lineage cuts lie."""
+    return f"{checkpoint_dir(spark)}/cohortline-cut-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this application's lineage cuts, once no result that was built on them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(cuts(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -163,3 +163,13 @@ def test_entities_resolve_by_the_rules_of_their_type(spark):
                        ("district", "Mxrxxt"): (None, "unmatched"), ("month", "111"): (None, "unmatched"), ("month", "november"): ("11", "alias"),
                        ("hospital", "City Care Hosp"): ("City Care Hospital", "fuzzy"), ("hospital_type", "Publik"): (None, "unmatched"),
                        ("hospital_type", "govt"): ("PUBLIC", "alias"), ("planet", "Mars"): (None, "unmatched")}
+
+
+def test_lineage_cuts_are_released(spark, tmp_path, monkeypatch):
+    from cohortline import runtime
+
+    assert runtime.cuts(spark) == runtime.cuts(spark)
+    monkeypatch.setattr(runtime, "cuts", lambda _: str(tmp_path / "cuts"))
+    assert runtime.cut_lineage(spark.range(3)).count() == 3 and len(list((tmp_path / "cuts").iterdir())) == 1
+    runtime.release(spark)
+    assert not (tmp_path / "cuts").exists()
