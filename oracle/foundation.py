@@ -233,11 +233,13 @@ for _w, _f in ABBREVIATIONS.items():
     _rep = f"regexp_replace({_rep}, '\\b{_w}\\b', '{_f}', 'g')"
 
 SQL: dict[str, str] = {
-    "S1_raw_text": "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment FROM customer",
+    "S1_raw_text": "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment FROM customer",
     "S2_declared_types": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, "
                          "o_orderpriority FROM orders",
     "S3_inferred_types": "SELECT * FROM customer",
-    "S4_csv_to_parquet": "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment FROM customer",
+    "S4_csv_to_parquet": "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment FROM customer",
+    "S4_csv_folder": "SELECT name, 'ok' AS status, CAST(columns AS INT) AS columns, row_count FROM (SELECT 'region' AS name, 2 AS columns, (SELECT COUNT(*) FROM region) AS row_count UNION ALL "
+                     "SELECT 'nation', 3, (SELECT COUNT(*) FROM nation) UNION ALL SELECT 'supplier', (SELECT COUNT(*) FROM (DESCRIBE supplier)), (SELECT COUNT(*) FROM supplier)) x",
     "S5_stored_types": "SELECT * FROM supplier",
     "S6_written_view": VIEW3,
     "S9_checked_loader": "SELECT r_name, COUNT(*) AS nations FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1",

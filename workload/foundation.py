@@ -33,7 +33,7 @@ def scratch(spark) -> str:
 
 
 def raw_text(spark, sf_dir):
-    return readers.read_raw(spark, f"{sf_dir}/customer.parquet").drop("c_acctbal")
+    return readers.read_raw(spark, f"{sf_dir}/customer.parquet")
 
 
 def typed_orders(spark, sf_dir):
@@ -54,8 +54,15 @@ def inferred_csv(spark, sf_dir):
 
 def csv_parquet(spark, sf_dir):
     path = _csv(spark, sf_dir, "customer")
-    done = sinks.csv_to_parquet(spark, path, path[:-4] + ".parquet", path[:-4] + ".staging")
-    return done.drop("c_acctbal")
+    return sinks.csv_to_parquet(spark, path, path[:-4] + ".parquet", path[:-4] + ".staging")
+
+
+def csv_folder(spark, sf_dir):
+    """A folder of CSV files converted, with what each became."""
+    out = scratch(spark)
+    done = sinks.csv_dir_to_parquet(spark, {n: _csv(spark, sf_dir, n) for n in ("region", "nation", "supplier")}, out, f"{out}/staging")
+    rows = [spark.read.parquet(f"{out}/{n}.parquet").agg(F.lit(n).alias("name"), F.count("*").alias("row_count")) for n in ("region", "nation", "supplier")]
+    return done.join(quality.stack(rows), "name")
 
 
 def stored_types(spark, sf_dir):
@@ -215,6 +222,7 @@ def foundation_queries() -> dict[str, Query]:
         "S2_declared_types": typed_orders,
         "S3_inferred_types": inferred_csv,
         "S4_csv_to_parquet": csv_parquet,
+        "S4_csv_folder": csv_folder,
         "S5_stored_types": stored_types,
         "S6_written_view": b(written_view),
         "S8_materialised_dashboards": b(dashboards),
