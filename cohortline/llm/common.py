@@ -8,7 +8,9 @@ about n**2 / 2**65.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -140,6 +142,44 @@ def groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple
         yield current, pa.Table.from_batches(held)
 
 
+def give_back() -> None:
+    """Return memory that is free to the system: Python workers stay for later tasks, and would keep what one task needed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A function over batches that gives its memory back at its end."""
+    def tidied(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
+def tidy_group(run: Callable):
+    """The same for a function over the rows of a group."""
+    def tidied(rows):
+        out = run(rows)
+        del rows
+        give_back()
+        return out
+
+    return tidied
+
+
+def tidy_groups(run: Callable):
+    """The same for a function over the rows of two groups that belong together."""
+    def tidied(left, right):
+        out = run(left, right)
+        del left, right
+        give_back()
+        return out
+
+    return tidied
+
+
 def crc_of(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; 0 for a missing id."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -151,6 +191,12 @@ def slim(df: DataFrame) -> DataFrame:
     return df.hint("rebalance").coalesce(max(1, partitions(df) // 16))
 
 
+def fewer(df: DataFrame) -> DataFrame:
+    """Rows with texts, in an eighth of the usual number of partitions but enough for all cores: no shuffle, and fewer files."""
+    enough = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(min(partitions(df), enough), partitions(df) // 8))
+
+
 def cut(df: DataFrame, few: bool = True) -> DataFrame:
     """``df`` written to the checkpoint folder and read back; as few files unless its rows are large."""
     return cut_lineage(slim(df) if few else df)

@@ -222,7 +222,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 75) -> D
     spark = docs.sparkSession
     buckets = min(common.partitions(docs), 1 << 16)
     texts = docs.select("text")
-    seen = common.cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_members(size), MEMBER_DDL))
+    seen = common.cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.tidy(_members(size)), MEMBER_DDL))
     members = seen.where("set_key IS NOT NULL").drop("gram", "documents")
     top = (seen.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("documents").alias("documents"))
            .orderBy(F.desc("documents"), "gram").limit(FREQUENT).collect())
@@ -233,12 +233,12 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 75) -> D
 
     filled = members.where("n_shingles > 0")
     sets = filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
-    shared = postings.shared_keys(texts.mapInArrow(_dealt(size, buckets, known), postings.DEALT_DDL), buckets)
+    shared = postings.shared_keys(texts.mapInArrow(common.tidy(_dealt(size, buckets, known)), postings.DEALT_DDL), buckets)
     numbered = sets.where("rep IS NOT NULL").withColumn(
         "owner", F.expr("conv(hex(substring(set_key, 1, 8)), 16, -10)").cast("long"))
     rows = (shared.withColumnRenamed("n", "kept").join(numbered, "owner").where(F.col("kept") * 100 >= F.col("n") * threshold)
             .select("rep", "n", "keys"))
-    rows = common.cut(rows.mapInArrow(_rows(threshold), ROW_DDL), few=False)
+    rows = common.cut(rows.mapInArrow(common.tidy(_rows(threshold)), ROW_DDL), few=False)
 
     prefixes = rows.select("rep", "prefix", "keys").mapInArrow(_prefixes, "key long, rep long")
     least = prefixes.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
@@ -249,7 +249,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 75) -> D
     pairs = (row.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "keys"))
     links = (pairs.repartition(buckets, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-             .mapInArrow(_products(threshold), "u long, v long"))
+             .mapInArrow(common.tidy(_products(threshold)), "u long, v long"))
     joined = connected(links)
 
     named = sets.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select(

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +40,10 @@ class Encoder:
         import json
 
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
+        self.path = path
         self.special = [t["content"] for t in said.get("added_tokens", [])]
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letters = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printable)}
@@ -51,6 +51,13 @@ class Encoder:
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed: that of byte-level BPE
         self.quick = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def whole(self):
+        """The library's own tokenizer, read when a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, text: str) -> list[int]:
         if (text.isascii() or max(text) < "ɐ") and not any(s in text for s in self.special):
             return self.quick.encode_ordinary(text)
@@ -152,4 +159,4 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end: int = 0, l
     repeated rows are documents of their own. Other columns are not looked at; an
     empty table gives no pieces.
     """
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pack(vocabulary, capacity, end, linear, quadratic), PIECE_DDL)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(common.tidy(_pack(vocabulary, capacity, end, linear, quadratic)), PIECE_DDL)

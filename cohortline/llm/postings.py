@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from cohortline.llm.common import tidy_group
+
 DEALT = pa.schema([("bucket", pa.int32()), ("owners", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
 DEALT_DDL = "bucket int, owners binary, counts binary, keys binary"
 REPLY_DDL = "block int, owners binary, counts binary, keys binary"
@@ -159,5 +161,5 @@ def gathered(pdf):
 
 def shared_keys(dealt_rows: DataFrame, buckets: int) -> DataFrame:
     """``(owner, n, keys)``: for every owner its keys that others have too, with their number of owners where a bucket has counted them."""
-    return (dealt_rows.groupBy("bucket").applyInPandas(answers(buckets), REPLY_DDL)
-            .groupBy("block").applyInPandas(gathered, OWNED_DDL))
+    return (dealt_rows.groupBy("bucket").applyInPandas(tidy_group(answers(buckets)), REPLY_DDL)
+            .groupBy("block").applyInPandas(tidy_group(gathered), OWNED_DDL))

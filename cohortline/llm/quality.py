@@ -153,7 +153,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", l
     empty and has a score. Rows without id are scored and never learnt from; repeated rows
     are scored alike. Without any labels all scores are 0.5. An empty table gives an empty result.
     """
-    stats = common.cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_statistics, "doc_id long, stats binary"))
+    stats = common.cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.tidy(_statistics), "doc_id long, stats binary"))
     known = labels.select(F.col("doc_id").cast("long"), F.col(label).alias("label"))
     model = train(stats, known if learn_from is None else known.where(learn_from))
     return stats.mapInArrow(_score(model), "doc_id long, score double")
@@ -165,7 +165,7 @@ def kept_by_quality(docs: DataFrame, labels: DataFrame, label: str = "quality",
     The model is small and goes to the rows: texts are never shuffled, only the statistics of labelled ones.
     Texts and ids are met as in ``quality_scores``.
     """
-    stats = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_statistics, "doc_id long, stats binary")
+    stats = common.cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.tidy(_statistics), "doc_id long, stats binary"))
     model = train(stats, labels.select(F.col("doc_id").cast("long"), F.col(label).alias("label")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,4 +173,4 @@ def kept_by_quality(docs: DataFrame, labels: DataFrame, label: str = "quality",
             score = model.score(np.stack([statistics(t) for t in texts]))
             yield part.filter(pa.array(score >= reject_below))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.tidy(run), docs.schema)

@@ -363,16 +363,16 @@ def _removed(docs: DataFrame, match: int, gram: int, others: list[str]) -> DataF
     first = rows.groupBy("text_key").agg(F.min("doc").alias("doc"))
     plain = rows.select("doc", "text_key", *kept_with, "text")
     packed = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == "text" else f.dataType) for f in plain.schema])
-    keyed = plain.mapInArrow(_squeezed, packed).where("doc IS NOT NULL AND text_key IS NOT NULL")  # so that all joins read the same shuffle
+    keyed = plain.mapInArrow(common.tidy(_squeezed), packed).where("doc IS NOT NULL AND text_key IS NOT NULL")  # so that all joins read the same shuffle
     text = ["doc", "text_key"]
     single = keyed.join(first, text, "left_semi")
 
-    dealt = single.select("text_key", *kept_with, "text").mapInArrow(_dealt(buckets, match, gram), postings.DEALT_DDL)
+    dealt = single.select("text_key", *kept_with, "text").mapInArrow(common.tidy(_dealt(buckets, match, gram)), postings.DEALT_DDL)
     shared = postings.shared_keys(dealt, buckets).select(F.col("owner").alias("text_key"), F.col("keys").alias("shared")).join(first, "text_key")
-    reads = keyed.join(shared, text).select("doc", "text_key", "shared", *kept_with, "text").mapInArrow(_reads(buckets, match, gram), READS_DDL)
-    spans = (reads.groupBy("bucket").applyInPandas(_settle(buckets, match, gram), SPANS_DDL)
-             .groupBy("block").applyInPandas(_marked, MARKED_DDL))
+    reads = keyed.join(shared, text).select("doc", "text_key", "shared", *kept_with, "text").mapInArrow(common.tidy(_reads(buckets, match, gram)), READS_DDL)
+    spans = (reads.groupBy("bucket").applyInPandas(common.tidy_group(_settle(buckets, match, gram)), SPANS_DDL)
+             .groupBy("block").applyInPandas(common.tidy_group(_marked), MARKED_DDL))
     marked = first.select("doc", "text_key", F.lit(False).alias("copy")).join(spans, text, "left")
     kept, out_type = _kept(match, rows.schema["rest"].dataType if others else None)
     return (keyed.join(marked, text, "left").select("doc", F.coalesce("copy", F.lit(True)).alias("copy"), "spans", *kept_with, "text")
-            .mapInArrow(kept, out_type))
+            .mapInArrow(common.tidy(kept), out_type))
