@@ -20,17 +20,17 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: that with the smallest id."""
-    return jaccard.without_duplicates(docs)
+    return common.fewer(jaccard.without_duplicates(docs))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings an earlier one has; what is left empty goes."""
-    return suffix.without_repeats(docs)
+    """Documents without the strings that one with a smaller id has as well."""
+    return common.fewer(suffix.without_repeats(docs))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of their source takes them."""
-    return mixing.mixed_documents(docs)
+    return common.fewer(mixing.mixed_documents(docs))
 
 
 def cost_balanced_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences from the whole table of documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = common.cut(stage(spark, docs, sf_dir))
+        docs = common.cut(stage(spark, docs, sf_dir), few=False)
     return docs
 
 
