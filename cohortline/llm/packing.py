@@ -155,6 +155,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end: int = 0, l
     block. Ids are numbered from the task's number on, so that a task that is run
     again on the same rows gives the same sequences.
 
+    ``vocabulary`` is a file of the `tokenizers` library that every executor can open.
     A null text is empty: one piece with ``end`` alone. A null doc_id stays null and
     repeated rows are documents of their own. Other columns are not looked at; an
     empty table gives no pieces.
