@@ -38,6 +38,7 @@ HASHES = 5
 HEAD = 1 << 18
 SCALE = 1.5  # of the levels
 DEPTH, BEND = 4.0, 0.8
+MASKS = (128 >> np.arange(8)).astype(np.uint8)
 END = common.mixed(np.asarray([0xE0D], np.uint64))[0]
 BEGIN = common.mixed(np.asarray([0xB0], np.uint64))[0]
 HELD = 1 << 21  # words of a portion that is counted together
@@ -72,7 +73,7 @@ def _entry(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _place(entry: np.ndarray, bits: int) -> np.ndarray:
-    return ((entry >> np.uint64(11)) % np.uint64(bits)).astype(np.int64)
+    return ((entry >> np.uint64(32)) * np.uint64(bits) >> np.uint64(32)).astype(np.int64)
 
 
 def built(keys: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
@@ -98,21 +99,22 @@ class Filter:
     """The slices side by side; bit ``at`` of a slice counts from the left."""
 
     def __init__(self, slices: np.ndarray):
-        self.slices, self.buckets, self.bits = slices, len(slices), slices.shape[1] * 8
+        self.flat, self.buckets, self.bits = slices.reshape(-1), len(slices), slices.shape[1] * 8
         self.least, most = level_bounds()
         self.most = np.where(np.isfinite(most), most, self.least * SCALE)
 
     def level(self, hashes: np.ndarray) -> np.ndarray:
         """The level of each n-gram: membership is probed from level 1 on until it fails; 0 if it is in none."""
         out = np.zeros(len(hashes), np.int64)
-        keys, bucket = postings.key_of(hashes, self.buckets), postings.bucket_of(hashes, self.buckets).astype(np.int64)
-        alive = np.arange(len(hashes))
+        alive, keys = np.arange(len(hashes)), postings.key_of(hashes, self.buckets)
+        begin = postings.bucket_of(hashes, self.buckets).astype(np.int64) * self.bits
         for level in range(1, len(self.least) + 1):
-            entry, step = _entry(keys[alive], level)
+            entry, step = _entry(keys, level)
             for _ in range(HASHES):
-                at = _place(entry, self.bits)
-                there = (self.slices[bucket[alive], at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-                alive, entry, step = alive[there], entry[there], step[there]
+                at = begin + _place(entry, self.bits)
+                there = np.flatnonzero(MASKS[at & 7] & self.flat[at >> 3])
+                if len(there) < len(alive):
+                    alive, keys, begin, entry, step = (x[there] for x in (alive, keys, begin, entry, step))
                 entry = entry + step
             if not len(alive):
                 break
@@ -319,7 +321,7 @@ def score(docs: DataFrame, learn_from: Column | None = None) -> DataFrame:
     spark = docs.sparkSession
     buckets = min(common.partitions(docs), 1 << 15)
     chosen = docs if learn_from is None else docs.where(learn_from)
-    slices = common.cut(chosen.select("text").mapInArrow(_count(buckets), COUNTED_DDL).groupBy("bucket").applyInPandas(_slice(buckets), SLICE_DDL), few=False)
+    slices = common.cut(chosen.select("text").mapInArrow(common.tidy(_count(buckets)), COUNTED_DDL).groupBy("bucket").applyInPandas(common.tidy_group(_slice(buckets)), SLICE_DDL), few=False)
     bits = np.zeros((buckets, FILTER_BITS // buckets // 8), np.uint8)
     head: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.uint64), np.empty(0, np.int64))]
     n = v = 0
@@ -330,8 +332,8 @@ def score(docs: DataFrame, learn_from: Column | None = None) -> DataFrame:
     keys, counts = map(np.concatenate, zip(*head))
     order = np.argsort(keys)
     model = spark.sparkContext.broadcast((bits, keys[order], counts[order], n, v))
-    parts = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_score(model, buckets), PART_DDL)
+    parts = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.tidy(_score(model, buckets)), PART_DDL)
     sums = parts.groupBy("bucket").cogroup(slices.select("bucket", "tail_keys", "tail_counts").groupBy("bucket")).applyInPandas(
-        _looked_up(buckets, n + 0.5 * (v + 1)), SUM_DDL)
-    out = sums.groupBy("block").applyInPandas(_summed, "doc_id long, n_tokens long, n_known long, base double, score double")
+        common.tidy_groups(_looked_up(buckets, n + 0.5 * (v + 1))), SUM_DDL)
+    out = sums.groupBy("block").applyInPandas(common.tidy_group(_summed), "doc_id long, n_tokens long, n_known long, base double, score double")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
