@@ -186,17 +186,10 @@ def _orphan(c: str, cc: str, p: str, pc: str) -> str:
 
 
 def _null_rates() -> str:
-    cols = {
-        "bm_beneficiary": "beneficiary_id household_id gender yob dob mobile photo_uri bis_record_status is_duplicate created_at updated_at",
-        "hm_hospital": "hospital_id hospital_name hospital_type hospital_sub_type district_name division_name block_name total_bed_strength "
-                       "inpatient_beds delisted_from_gov_schemes has_fully_equipped_ot has_icu_with_ac has_casualty has_opd has_hdu "
-                       "has_general_ward has_labour_room accreditation_board accreditation_level accreditation_valid_upto created_at updated_at",
-        "cm_claim": "claim_id case_id preauth_id claim_status submitted_at settled_at amount_claimed amount_approved settlement_tat_days "
-                    "query_count is_portability_claim",
-        "cm_preauth_request": "preauth_id case_id status auto_approval_type initiated_at ppd_decision_at",
-    }
-    pct = "ROUND(CAST(COUNT(*) - COUNT({c}) AS DOUBLE) / COUNT(*) * 100.0, 6)"
-    return _union(_rows("null_rate", f"{n}.{c}", pct.format(c=c), f"{pct.format(c=c)} <= 20", n) for n, cs in cols.items() for c in cs.split())
+    missing = r"(UNPIVOT (SELECT CAST(COLUMNS('(.*)') IS NULL AS INT) AS '\1' FROM {n}) ON COLUMNS(*) INTO NAME c VALUE v)"
+    pct = "ROUND(CAST(SUM(v) AS DOUBLE) / COUNT(*) * 100.0, 6)"
+    return _union(f"SELECT 'null_rate' AS \"check\", '{n}.' || c AS subject, {pct} AS value, {pct} <= 20 AS passed FROM {missing.format(n=n)} GROUP BY c"
+                  for n in schema.PRIMARY_KEYS)
 
 
 def _span(n: str, c: str) -> str:

@@ -275,7 +275,7 @@ def foundation_queries() -> dict[str, Query]:
         "Q3_orphans": b(lambda t: quality.stack(
             quality.orphans(getattr(t, c), cc, getattr(t, p), pc, f"{c}.{cc}") for c, cc, p, pc in schema.FOREIGN_KEYS)),
         "Q4_null_rates": b(lambda t: quality.stack(
-            quality.null_rates(getattr(t, n), n) for n in ("bm_beneficiary", "hm_hospital", "cm_claim", "cm_preauth_request"))),
+            quality.null_rates(df, n) for n, df in tables(t).items())),
         "Q5_value_domains": b(lambda t: quality.stack(
             quality.value_domain(getattr(t, n), c, allowed, f"{n}.{c}") for (n, c), allowed in schema.DOMAINS.items())),
         "Q6_date_spans": b(lambda t: quality.stack(
