@@ -177,3 +177,12 @@ def evaluate(scopes: DataFrame) -> DataFrame:
 
     return hits(categorical(scopes.where(~F.col("is_temporal"))), CATEGORICAL).unionByName(
         hits(temporal(scopes.where("is_temporal")), TEMPORAL))
+
+
+def three_way(evaluated: DataFrame, kind: str) -> DataFrame:
+    """Evaluated scopes that ``kind`` can be asked of, with a label: the kind itself, OTHER_PATTERN, or NO_PATTERN."""
+    if kind not in CATEGORICAL + TEMPORAL:
+        raise ValueError(f"{kind} is not a pattern")
+    rows = evaluated.where(F.col("is_temporal") == F.lit(kind in TEMPORAL))
+    own = F.exists("hits", lambda h: h["type"] == kind)
+    return rows.withColumn("label", F.when(own, kind).when(F.size("hits") > 0, "OTHER_PATTERN").otherwise("NO_PATTERN"))

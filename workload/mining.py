@@ -82,12 +82,9 @@ def eligibility(t):
     return found.groupBy("is_temporal").agg(F.array_join(F.array_sort(F.collect_set("h.type")), ",").alias("types"))
 
 
-def three_way(t):
-    """Label of every categorical scope for one requested type."""
-    rows = every_scope(t).where(~F.col("is_temporal"))
-    own = F.exists("hits", lambda h: h["type"] == "EVENNESS")
-    label = F.when(own, "EVENNESS").when(F.size("hits") > 0, "OTHER_PATTERN").otherwise("NO_PATTERN")
-    return text_filters(rows).select("subspace", "breakdown", "measure", label.alias("label"))
+def three_way(kind):
+    """Label of every scope that one requested type can be asked of."""
+    return lambda t: text_filters(patterns.three_way(every_scope(t), kind)).select("subspace", "breakdown", "measure", "label")
 
 
 def sibling_groups(strategy):
@@ -198,7 +195,8 @@ def mining_queries() -> dict[str, Query]:
             F.count(F.lit(1)).alias("scopes"), F.countDistinct("breakdown").alias("breakdowns"))),
         "M5_distributions": b(long_distribution),
         "M7_type_eligibility": b(eligibility),
-        "M8_three_way_label": b(three_way),
+        "M8_three_way_label": b(three_way("EVENNESS")),
+        "M8_three_way_label_in_time": b(three_way("OUTLIER")),
         "M9_subspace_groups": b(sibling_groups("subspace")),
         "M10_measure_groups": b(sibling_groups("measure")),
         "M11_breakdown_groups": b(sibling_groups("breakdown")),
