@@ -12,10 +12,10 @@ Counts above the line are a level's least, those below the line its greatest val
 probabilities after a word add up to one at most, but for the filter's chance
 errors (below 1 % a probe).
 
-The filter has FILTER_BITS bits whatever the size of the corpus, as it is broadcast; each of its
-slices holds the n-grams of one hash bucket and is built where these are counted. All n-grams of all training texts
-are counted. A slice takes those from the smallest count upwards at which its share of
-the bits suffices (BITS_EACH bits for an entry).
+All n-grams of all training texts are counted, and all are in the filter. Each of its slices holds the n-grams
+of one hash bucket, is built where these are counted and has BITS_EACH bits for an entry (together FILTER_BITS at
+least), so that the filter grows with the corpus. It is broadcast in passes of PASS_BYTES; a portion of texts meets
+them one after the other, and a worker holds one at a time.
 
 The base score needs exact counts of words: those of the HEAD most frequent ones are
 broadcast, occurrences of all others are dealt by hash to the tasks that hold their counts.
@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 
 from cohortline.llm import common, postings
 
-FILTER_BITS = 1 << 28
+FILTER_BITS = 1 << 28  # at least
 BITS_EACH = 12
+PASS_BYTES = 1 << 25
+PORTION = 1 << 19  # tokens that meet the passes together, if there are several
 HASHES = 5
 HEAD = 1 << 18
 SCALE = 1.5  # of the levels
@@ -58,6 +60,12 @@ def level_bounds() -> tuple[np.ndarray, np.ndarray]:
     return least, np.r_[least[1:] - 1, np.inf]
 
 
+def likely() -> tuple[np.ndarray, np.ndarray]:
+    """Counts that stand for each level above and below the line."""
+    least, most = level_bounds()
+    return least, np.where(np.isfinite(most), most, least * SCALE)
+
+
 def levels(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(level_bounds()[0], counts, side="right")
 
@@ -72,8 +80,13 @@ def _entry(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     return entry, common.mixed(entry) | np.uint64(1)
 
 
-def _place(entry: np.ndarray, bits: int) -> np.ndarray:
-    return ((entry >> np.uint64(32)) * np.uint64(bits) >> np.uint64(32)).astype(np.int64)
+def _place(entry: np.ndarray, bits: np.ndarray | int) -> np.ndarray:
+    return ((entry >> np.uint64(32)) * np.asarray(bits, np.uint64) >> np.uint64(32)).astype(np.int64)
+
+
+def enough(counts: np.ndarray, least: int) -> int:
+    """Bits, in whole bytes, that a slice needs for all n-grams with these counts."""
+    return max(least // 8 * 8, 8, -(-int(levels(counts).sum()) * BITS_EACH // 8) * 8)
 
 
 def built(keys: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
@@ -96,25 +109,32 @@ def built(keys: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Filter:
-    """The slices side by side; bit ``at`` of a slice counts from the left."""
+    """The slices side by side; bit ``at`` of a slice counts from the left.
+
+    ``where`` and ``sizes`` are the buckets and bytes of slices that are not one for every bucket or not of one size.
+    """
 
-    def __init__(self, slices: np.ndarray):
-        self.flat, self.buckets, self.bits = slices.reshape(-1), len(slices), slices.shape[1] * 8
-        self.least, most = level_bounds()
-        self.most = np.where(np.isfinite(most), most, self.least * SCALE)
+    def __init__(self, slices: np.ndarray, where: np.ndarray | None = None, sizes: np.ndarray | None = None, buckets: int = 0):
+        if where is None:
+            where, sizes, buckets = np.arange(len(slices)), np.full(len(slices), slices.shape[1]), len(slices)
+        self.flat, self.buckets = slices.reshape(-1), buckets
+        self.begin, self.bits = np.zeros(buckets, np.int64), np.zeros(buckets, np.uint64)
+        self.begin[where], self.bits[where] = (np.cumsum(sizes) - sizes) * 8, sizes * 8
+        self.least, self.most = likely()
 
     def level(self, hashes: np.ndarray) -> np.ndarray:
         """The level of each n-gram: membership is probed from level 1 on until it fails; 0 if it is in none."""
         out = np.zeros(len(hashes), np.int64)
-        alive, keys = np.arange(len(hashes)), postings.key_of(hashes, self.buckets)
-        begin = postings.bucket_of(hashes, self.buckets).astype(np.int64) * self.bits
+        bucket = postings.bucket_of(hashes, self.buckets)
+        alive = np.flatnonzero(self.bits[bucket])
+        keys, begin, bits = postings.key_of(hashes[alive], self.buckets), self.begin[bucket[alive]], self.bits[bucket[alive]]
         for level in range(1, len(self.least) + 1):
             entry, step = _entry(keys, level)
             for _ in range(HASHES):
-                at = begin + _place(entry, self.bits)
+                at = begin + _place(entry, bits)
                 there = np.flatnonzero(MASKS[at & 7] & self.flat[at >> 3])
                 if len(there) < len(alive):
-                    alive, keys, begin, entry, step = (x[there] for x in (alive, keys, begin, entry, step))
+                    alive, keys, begin, bits, entry, step = (x[there] for x in (alive, keys, begin, bits, entry, step))
                 entry = entry + step
             if not len(alive):
                 break
@@ -122,6 +142,58 @@ class Filter:
         return out
 
 
+class Passes:
+    """The whole filter, as broadcast slices: (bytes, buckets, sizes) each."""
+
+    def __init__(self, passes: list, of_bucket: np.ndarray):
+        self.passes, self.of_bucket, self.whole = passes, of_bucket, None
+
+    def _filter(self, k: int) -> Filter:
+        if self.whole is not None:
+            return self.whole
+        found = Filter(*self.passes[k].value, len(self.of_bucket))
+        if len(self.passes) == 1:
+            self.whole = found
+        elif getattr(self.passes[k], "_path", None):
+            del self.passes[k]._value  # it is read again from its file
+        return found
+
+    def level(self, hashes: np.ndarray) -> np.ndarray:
+        """As of a filter, from the pass that has the n-gram's slice."""
+        if len(self.passes) == 1:
+            return self._filter(0).level(hashes)
+        out = np.zeros(len(hashes), np.int64)
+        which = self.of_bucket[postings.bucket_of(hashes, len(self.of_bucket))]
+        order = np.argsort(which, kind="stable")
+        for k, a, b in postings.slices(which[order]):
+            if k >= 0:
+                out[order[a:b]] = self._filter(k).level(hashes[order[a:b]])
+        return out
+
+
+def _broadcast(spark, slices: Iterable[tuple[int, bytes]], buckets: int) -> tuple[list, np.ndarray]:
+    """Slices (bucket, bytes) as broadcast passes, and the pass of each bucket (-1: it has no n-grams). The driver holds one pass."""
+    passes, of_bucket = [], np.full(buckets, -1, np.int64)
+    held: list[tuple[int, np.ndarray]] = []
+    size = 0
+
+    def send() -> None:
+        where, parts = np.asarray([b for b, _ in held]), [x for _, x in held]
+        of_bucket[where] = len(passes)
+        passes.append(spark.sparkContext.broadcast((np.concatenate(parts), where, np.asarray([len(x) for x in parts]))))
+        held.clear()
+
+    for bucket, data in slices:
+        if held and size + len(data) > PASS_BYTES:
+            send()
+            size = 0
+        held.append((bucket, np.frombuffer(data, np.uint8)))
+        size += len(data)
+    if held:
+        send()
+    return passes, of_bucket
+
+
 def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each token, an end after each text; of the token before it; and the text it is in."""
     hashes, bounds = common.words(texts)
@@ -132,6 +204,26 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return token, before, text
 
 
+def _portions(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids and _tokens of so many chunks of texts that there are ``least`` tokens."""
+    held: list[tuple] = []
+    texts_held = size = 0
+
+    def joined() -> tuple:
+        ids, *found = zip(*held)
+        return pa.concat_arrays(ids), *map(np.concatenate, found)
+
+    for part, texts in common.chunks(batches, "text"):
+        token, before, text = _tokens(texts)
+        held.append((part.column(0), token, before, text + texts_held))
+        texts_held, size = texts_held + len(texts), size + len(token)
+        if size >= least:
+            yield joined()
+            held, texts_held, size = [], 0, 0
+    if held:
+        yield joined()
+
+
 def _count(buckets: int):
     """Counts of words (words 1) and pairs (words 2), put together per portion."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +269,8 @@ def _slice(buckets: int):
 
         bucket = int(pdf.bucket.iloc[0])
         (word, count), (pair, times) = (_added(list(pdf["keys"][pdf.words == n]), list(pdf["counts"][pdf.words == n]), bucket) for n in (1, 2))
-        bits = built(np.concatenate([word, pair]), np.concatenate([count, times]), FILTER_BITS // buckets // 8 * 8)
+        every = np.concatenate([count, times])
+        bits = built(np.concatenate([word, pair]), every, enough(every, FILTER_BITS // buckets))
         head = np.zeros(len(word), bool)
         head[np.lexsort((word, -count))[:max(1, HEAD // buckets)]] = True
         return pd.DataFrame([{"bucket": bucket, "tokens": int(count.sum()), "words": len(word), "bits": bits.tobytes(),
@@ -187,14 +280,14 @@ def _slice(buckets: int):
     return run
 
 
-def _score(model, buckets: int):
+def _score(model, passes: list, buckets: int):
     """Scores of documents (buckets from ``buckets`` on, by block), and the words whose counts are elsewhere (by bucket)."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        slices, head_keys, head_counts, n, v = model.value
-        bloom, total = Filter(slices), n + 0.5 * (v + 1)
-        end_level = bloom.level(np.asarray([END], np.uint64))
+        of_bucket, head_keys, head_counts, n, v = model.value
+        bloom, total = Passes(passes, of_bucket), n + 0.5 * (v + 1)
+        least, most = likely()
         task = TaskContext.get()
         next_row = (task.partitionId() if task else 0) << 33
         documents: list[np.ndarray] = []
@@ -211,38 +304,38 @@ def _score(model, buckets: int):
                      for b, i, j in postings.slices(_bucket(key))]
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), PART)], schema=PART)
 
-        for part, texts in common.chunks(batches, "text"):
-            token, before, text = _tokens(texts)
+        for ids, token, before, text in _portions(batches, PORTION if len(passes) > 1 else 1):
             word, which = np.unique(token, return_inverse=True)
-            level = bloom.level(word)
             pair, of_pair = np.unique(pair_hash(before, token), return_inverse=True)
-            pair_level = bloom.level(pair)[of_pair]
-            count = np.where(level > 0, bloom.least[level - 1], 0.0)[which]
+            level = bloom.level(np.concatenate([word, pair]))
+            pair_level, level = level[len(word):][of_pair], level[:len(word)]
+            end_level = level[np.searchsorted(word, END)]  # every text has an end
+            count = np.where(level > 0, least[level - 1], 0.0)[which]
             at_start = before == BEGIN
-            context = np.where(at_start, end_level[0], np.r_[0, level[which][:-1]])
-            context = np.where(context > 0, bloom.most[context - 1], 0.0)
+            context = np.where(at_start, end_level, np.r_[0, level[which][:-1]])
+            context = np.where(context > 0, most[context - 1], 0.0)
             single = (count + 0.5) / total
             depth = DEPTH * context ** BEND
-            both = np.where(pair_level > 0, bloom.least[pair_level - 1], 0.0)
+            both = np.where(pair_level > 0, least[pair_level - 1], 0.0)
             probability = np.where(context > 0, (np.minimum(both, context) + depth * single) / np.maximum(context + depth, 1e-300), single)
 
             keys = postings.key_of(word, buckets)
             at = np.minimum(np.searchsorted(head_keys, keys), max(0, len(head_keys) - 1))
             known = head_keys[at] == keys if len(head_keys) else np.zeros(len(keys), bool)
             base = np.where(known, np.log10(((head_counts[at] if len(head_keys) else np.zeros(len(keys))) + 0.5) / total), 0.0)[which]
-            document = np.zeros(len(texts), DOCUMENT)
-            document["row"] = next_row + np.arange(len(texts))
-            document["missing"] = part.column(0).is_null().to_numpy(zero_copy_only=False)
-            document["doc_id"] = part.column(0).fill_null(0).to_numpy()
-            document["score"] = np.bincount(text, np.log10(probability), len(texts))
-            document["base"] = np.bincount(text, base, len(texts))
-            document["n_tokens"] = np.bincount(text, minlength=len(texts))
-            document["n_known"] = np.bincount(text, known[which], len(texts))
+            document = np.zeros(len(ids), DOCUMENT)
+            document["row"] = next_row + np.arange(len(ids))
+            document["missing"] = ids.is_null().to_numpy(zero_copy_only=False)
+            document["doc_id"] = ids.fill_null(0).to_numpy()
+            document["score"] = np.bincount(text, np.log10(probability), len(ids))
+            document["base"] = np.bincount(text, base, len(ids))
+            document["n_tokens"] = np.bincount(text, minlength=len(ids))
+            document["n_known"] = np.bincount(text, known[which], len(ids))
             documents.append(document)
             elsewhere = ~known[which]
             code, times = np.unique(text[elsewhere] * len(word) + which[elsewhere], return_counts=True)
             tail.append((next_row + code // len(word), keys[code % len(word)], times))
-            next_row += len(texts)
+            next_row += len(ids)
             size += len(token)
             if size >= HELD:
                 yield flush()
@@ -322,17 +415,21 @@ def score(docs: DataFrame, learn_from: Column | None = None) -> DataFrame:
     buckets = min(common.partitions(docs), 1 << 15)
     chosen = docs if learn_from is None else docs.where(learn_from)
     slices = common.cut(chosen.select("text").mapInArrow(common.tidy(_count(buckets)), COUNTED_DDL).groupBy("bucket").applyInPandas(common.tidy_group(_slice(buckets)), SLICE_DDL), few=False)
-    bits = np.zeros((buckets, FILTER_BITS // buckets // 8), np.uint8)
     head: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.uint64), np.empty(0, np.int64))]
     n = v = 0
-    for r in slices.select("bucket", "tokens", "words", "bits", "head_keys", "head_counts").toLocalIterator():
-        bits[r.bucket] = np.frombuffer(r.bits, np.uint8)
-        head.append((np.frombuffer(r.head_keys, np.uint64), np.frombuffer(r.head_counts, np.int64)))
-        n, v = n + r.tokens, v + r.words
+
+    def read() -> Iterator[tuple[int, bytes]]:
+        nonlocal n, v
+        for r in slices.select("bucket", "tokens", "words", "bits", "head_keys", "head_counts").toLocalIterator():
+            head.append((np.frombuffer(r.head_keys, np.uint64), np.frombuffer(r.head_counts, np.int64)))
+            n, v = n + r.tokens, v + r.words
+            yield r.bucket, r.bits
+
+    passes, of_bucket = _broadcast(spark, read(), buckets)
     keys, counts = map(np.concatenate, zip(*head))
     order = np.argsort(keys)
-    model = spark.sparkContext.broadcast((bits, keys[order], counts[order], n, v))
-    parts = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.tidy(_score(model, buckets)), PART_DDL)
+    model = spark.sparkContext.broadcast((of_bucket, keys[order], counts[order], n, v))
+    parts = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.tidy(_score(model, passes, buckets)), PART_DDL)
     sums = parts.groupBy("bucket").cogroup(slices.select("bucket", "tail_keys", "tail_counts").groupBy("bucket")).applyInPandas(
         common.tidy_groups(_looked_up(buckets, n + 0.5 * (v + 1))), SUM_DDL)
     out = sums.groupBy("block").applyInPandas(common.tidy_group(_summed), "doc_id long, n_tokens long, n_known long, base double, score double")

@@ -131,6 +131,18 @@ def test_full_slice_keeps_the_most_frequent():
     assert (level[:100] >= lm.levels(np.array([50]))[0]).all() and (level[100:] > 0).mean() < 0.05
 
 
+def test_no_ngram_is_left_out_of_a_full_filter(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * 100 + j}" for j in range(100)) + " the end of it") for i in range(40)], "doc_id long, text string")
+    score = lambda: {r.doc_id: (r.score, r.n_known) for r in lm.score(docs).collect()}
+    want = score()
+    monkeypatch.setattr(lm, "FILTER_BITS", 1 << 12)  # less than the n-grams need
+    got = score()
+    assert all(got[i][0] == pytest.approx(want[i][0], rel=0.02) and got[i][1] == want[i][1] == 105 for i in want)
+    for size in (1, 1 << 12):
+        monkeypatch.setattr(lm, "PASS_BYTES", size)
+        assert score() == got
+
+
 @needs_tables
 def test_model_beats_the_base_on_held_out_texts(spark):
     got = queries.op2_log_frequency_bloom(spark, SMALL).toPandas()
