@@ -108,6 +108,17 @@ def test_range_join_of_odd_vectors(spark, monkeypatch):
     assert rangejoin.near_duplicates(df.where("false")).count() == 0
 
 
+def test_range_join_of_vectors_that_differ_in_the_last_bit(spark, monkeypatch):
+    monkeypatch.setattr(rangejoin, "CELL", 8)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=6)
+    near = base * (1 + rng.integers(-3, 4, (120, 6)) * 2.0 ** -52) * rng.uniform(0.5, 2, (120, 1))
+    turned = [base / np.linalg.norm(base) + rng.normal(size=6) * 0.18 for _ in range(80)]
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate([*near, *turned])]
+    got = rangejoin.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == brute_links(rows)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, 2000 + i) for i in range(50)] + [(7, 7), (None, 3)]
