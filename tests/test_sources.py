@@ -55,3 +55,14 @@ def test_declarations_are_consistent():
     tables = set(schema.CASTS)
     assert set(schema.PRIMARY_KEYS) <= tables and len(tables) == 21 and len(schema.FOREIGN_KEYS) == 21
     assert all(child in tables and parent in tables for child, _, parent, _ in schema.FOREIGN_KEYS)
+
+
+def test_every_dashboard_question_is_materialised(spark, monkeypatch):
+    from cohortline.plans.catalogue import QUESTIONS
+    from cohortline.sources.driver_binding import BoundTables
+    from workload import foundation
+
+    monkeypatch.setattr(foundation.sinks, "materialise", lambda spark, queries, out: queries)
+    built = foundation.dashboards(BoundTables(spark, "/root/testdata/sf0.001"))
+    assert set(built) == {q for q in QUESTIONS if q.startswith("D")} and len(built) == 133
+    assert all(built[q]().columns for q in built if QUESTIONS[q].params)

@@ -10,10 +10,13 @@ from .common import Query, bound
 _EXTRA = {"D123": ("more_than",), "T182": ("fewer_cases", "more_people")}
 
 
+def arguments(qid: str) -> dict[str, object]:
+    """What a question is asked with."""
+    return {p: PARAMS[p] for p in (*QUESTIONS[qid].params, *_EXTRA.get(qid, ()))}
+
+
 def catalogue_queries() -> dict[str, Query]:
     out = {}
     for qid, question in QUESTIONS.items():
-        names = (*question.params, *_EXTRA.get(qid, ()))
-        params = {p: PARAMS[p] for p in names}
-        out[f"{qid}_{question.family}"] = bound(lambda t, q=qid, kw=params: ask(t, q, **kw))
+        out[f"{qid}_{question.family}"] = bound(lambda t, q=qid, kw=arguments(qid): ask(t, q, **kw))
     return out

@@ -16,6 +16,7 @@ from cohortline.plans.catalogue.base import QUESTIONS
 from cohortline.runtime import checkpoint_dir
 from cohortline.sources import readers, schema, sinks
 
+from .catalogue import arguments
 from .common import Query, bound, plain
 
 AS_OF = "2001-06-30"
@@ -76,9 +77,9 @@ def written_view(t):
 
 
 def dashboards(t):
-    """Every dashboard question, whole; what cannot be built or has no rows is an ERROR."""
-    chosen = [q for q, said in QUESTIONS.items() if q.startswith("D") and not said.params]
-    return sinks.materialise(t.spark, {q: lambda q=q: ask(t, q) for q in chosen}, f"{scratch(t.spark)}/dashboards")
+    """Every dashboard question, whole, with the arguments of its own query; what cannot be built or has no rows is an ERROR."""
+    chosen = [q for q in QUESTIONS if q.startswith("D")]
+    return sinks.materialise(t.spark, {q: lambda q=q: ask(t, q, **arguments(q)) for q in chosen}, f"{scratch(t.spark)}/dashboards")
 
 
 def loaded(spark, sf_dir):
