@@ -196,8 +196,8 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, aim: float = 0.97) ->
     """``(query_id, rank, vec_id, score)``: for each vector whose id is divisible by ``every``, the ``k`` found nearest by inner product.
 
     ``rows`` has vec_id and embedding. Vectors that are null, empty or zero or hold
-    null or non-finite components take no part, nor do rows without id and vectors of another length than the most
-    frequent one (the smaller on a tie). Scores are inner products of the original vectors in double precision; ties go to the smaller
+    null or non-finite components take no part, nor do rows without id. A vector finds those of its own length;
+    each length has an index of its own. Scores are inner products of the original vectors in double precision; ties go to the smaller
     vec_id. A query never finds rows of its own id; a repeated id is found
     once, by the best of its rows, and asks with all of them.
     ``aim`` is the share of neighbours in a sample that the probed lists hold. Other
@@ -206,11 +206,17 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, aim: float = 0.97) ->
     spark = rows.sparkSession
     clean, kind = vectors.read(rows.where("vec_id IS NOT NULL"))
     clean = common.cut(clean, few=False)
-    dims = clean.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    if dims is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n = dims
-    clean = clean.where(F.col("dim") == dim)
+    found = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    for dim, n in [tuple(r) for r in clean.groupBy("dim").agg(F.count("*")).where("count(1) > 1").orderBy("dim").collect()]:
+        found = found.union(_of_length(clean.where(F.col("dim") == dim), n, k, every, aim, kind))
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _of_length(clean: DataFrame, n: int, k: int, every: int, aim: float, kind: np.dtype) -> DataFrame:
+    """``(query_id, vec_id, score)`` of what is found among the vectors of one length, in any order and more than once."""
+    spark = clean.sparkSession
     drawn = F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(1 << 20)) < min(1 << 20, -(-2 * SAMPLE * (1 << 20) // n))
     sample = clean.where(drawn).orderBy(F.xxhash64(F.lit(4), "vec_id"), "vec").limit(SAMPLE).select("vec_id", "vec").collect()
     if not sample:
@@ -231,9 +237,7 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, aim: float = 0.97) ->
     held = placed.where("role = 0").withColumn("split", F.pmod(F.xxhash64(F.lit(6), "vec_id", "vec"), F.col("splits")).cast("int"))
     asked = placed.where("role = 1").withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
     columns = ["list", "split", "role", "vec_id", "bound", "vec"]
-    found = (held.select(*columns).union(asked.select(*columns)).repartition(common.partitions(rows), "list", "split")
+    found = (held.select(*columns).union(asked.select(*columns)).repartition(common.partitions(clean), "list", "split")
              .sortWithinPartitions("list", "split", "role").mapInArrow(_search(index, kind), "query_id long, vec_id long, score double"))
     sampled = assigned.where("role = 2").select(F.col("vec_id").alias("query_id"), F.col("other").alias("vec_id"), F.col("bound").alias("score"))
-    found = found.union(sampled).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.union(sampled)

@@ -63,6 +63,16 @@ def test_neighbours_of_odd_vectors(spark, monkeypatch):
     assert [(r.query_id, r["rank"]) for r in sorted(few, key=lambda r: r["rank"])] == [(0, 1), (0, 2)]
 
 
+def test_neighbours_of_every_length(spark):
+    rng = np.random.default_rng(2)
+    x = {i: rng.standard_normal(6 if i < 20 else 4) for i in range(50)}
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in x.items()], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, k=3, every=10, aim=1.0).collect()
+    for q in range(0, 50, 10):
+        best = sorted((i for i in x if i != q and len(x[i]) == len(x[q])), key=lambda i: -(x[q] @ x[i]))[:3]
+        assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == best
+
+
 @needs_tables
 def test_recall_on_the_table(spark):
     got = queries.op5_adaptive_scan_neighbours(spark, SMALL).toPandas()
