@@ -186,6 +186,21 @@ def crc_of(doc_id: Column | str, modulus: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % modulus, F.lit(0).cast("long"))
 
 
+def exact(name: str) -> Column:
+    """The column of this very name, whatever signs it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def together(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """All columns (or those named) as one struct, so that names of further columns cannot clash with it."""
+    return F.struct(*[exact(c).alias(c) for c in (df.columns if columns is None else columns)])
+
+
+def apart(struct: str, columns: list[str]) -> list[Column]:
+    """The columns that ``together`` put into ``struct``."""
+    return [F.col(struct).getField(c).alias(c) for c in columns]
+
+
 def slim(df: DataFrame) -> DataFrame:
     """Rows of a few numbers each, in a sixteenth of the usual number of partitions: they are written as few files."""
     return df.hint("rebalance").coalesce(max(1, partitions(df) // 16))

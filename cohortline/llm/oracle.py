@@ -68,4 +68,36 @@ SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS
        sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)
 """
 
-SQL = {"op4_ngram_jaccard": JACCARD, "op6_prefix_target_chat": CHAT, "op7_metric_range_join": RANGE_JOIN, "op8_indexed_warc": WARC, "op10_suffix_repeats": REPEATS}
+RESAMPLING = rf"""
+WITH RECURSIVE t AS (SELECT 0 AS which, doc_id, coalesce(text, '') AS text FROM documents
+           UNION ALL SELECT 1, NULL, coalesce(text, '') FROM benchmark),
+w AS MATERIALIZED (SELECT which, doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM t),
+f AS MATERIALIZED (
+  SELECT which, doc_id, f, count(*) AS k FROM (
+    SELECT which, doc_id, unnest(w) AS f FROM w
+    UNION ALL SELECT which, doc_id, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) FROM w
+    UNION ALL SELECT which, doc_id, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) FROM w) x
+  GROUP BY 1, 2, 3),
+entry(b, k, c) AS (SELECT b, 0, b FROM range(256) r(b)
+                   UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM entry WHERE k < 8),
+tab AS MATERIALIZED (SELECT list(c ORDER BY b) AS tab FROM entry WHERE k = 8),
+h AS MATERIALIZED (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f) y),
+step(f, h, n, i, c) AS (
+  SELECT f, h, length(h) // 2, 0, 4294967295::BIGINT FROM h
+  UNION ALL
+  SELECT f, h, n, i + 1, xor(tab[(xor(c, ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) & 255) + 1], c >> 8) FROM step, tab WHERE i < n),
+b AS MATERIALIZED (SELECT f, xor(c, 4294967295) % 10000 AS bucket FROM step WHERE i = n),
+n AS (SELECT bucket, sum(k) FILTER (which = 0) AS s, sum(k) FILTER (which = 1) AS t FROM f JOIN b USING (f) GROUP BY 1),
+g AS MATERIALIZED (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (coalesce(sum(s) OVER (), 0) + 10000)::DOUBLE
+                  / ((coalesce(s, 0) + 1)::DOUBLE * (coalesce(sum(t) OVER (), 0) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM n),
+d AS (SELECT doc_id, sum(k) AS n_features, sum(k * gain) AS weight FROM f JOIN b USING (f) JOIN g USING (bucket) WHERE which = 0 GROUP BY 1),
+r AS (SELECT w.doc_id, len(w) >= 20 AS able, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+        CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || w.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+      FROM w LEFT JOIN d USING (doc_id) WHERE which = 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS k, count(*) OVER (PARTITION BY able) AS all_able FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND k <= 5 * all_able // 100 THEN k END AS rank FROM o
+"""
+
+SQL = {"op4_ngram_jaccard": JACCARD, "op6_prefix_target_chat": CHAT, "op7_metric_range_join": RANGE_JOIN, "op8_indexed_warc": WARC, "op10_suffix_repeats": REPEATS,
+       "op13_overlapped_resampling": RESAMPLING}

@@ -10,6 +10,7 @@ cost first, so that a block of sequences lacks less than one sequence's tokens.
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterable, Iterator
 from functools import cached_property
 
@@ -25,42 +26,74 @@ PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.
                    ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 PIECE_DDL = "doc_id long, start long, length long, tokens binary, doc_tokens long, sequence_id long, offset long"
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
+LONG_SPACE = 1 << 14  # white space from which on the quick path is not tried
 BLOCK = 2048  # rests of documents that are balanced against each other
 
 
 class Encoder:
     """Ids of texts by a file of the `tokenizers` library.
 
-    The quick path is the same vocabulary read as ranks, for texts of Latin
-    letters below U+0250 that hold none of the special tokens; it gives the same
-    ids (a test compares them). All other texts go through the library itself.
+    The quick path is the same vocabulary read as ranks. It is taken only for files that say no more than
+    byte-level BPE does (no normaliser, no prefix space, the byte-level pattern, merges in the order of their
+    ids), and for texts of Latin letters below U+0250 that hold no special token and no run of ``LONG_SPACE``
+    white-space characters; it gives the same ids there (a test compares them). All others go
+    through the library itself, as does a text at which the quick path fails. With ``plain`` the
+    strings of special tokens inside texts are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         import json
 
-        import tiktoken
-
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
-        self.path = path
+        self.path, self.plain = path, plain
         self.special = [t["content"] for t in said.get("added_tokens", [])]
+        self.quick = self._ranks(said) if self.byte_level(said) else None
+
+    @staticmethod
+    def byte_level(said: dict) -> bool:
+        """Whether ranks say all that the file says about a text without special tokens."""
+        model, before = said["model"], said.get("pre_tokenizer") or {}
+        if model.get("type", "BPE") != "BPE" or said.get("normalizer") or before.get("type") != "ByteLevel":
+            return False
+        if before.get("add_prefix_space", True) or not before.get("use_regex", True):
+            return False
+        if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            return False
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        ids = [model["vocab"][a + b] for a, b in pairs]
+        return all(x < y for x, y in zip(ids, ids[1:]))
+
+    def _ranks(self, said: dict):
+        import tiktoken
+
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letters = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printable)}
         ranks = {bytes(letters[c] for c in token): i for token, i in said["model"]["vocab"].items() if token not in self.special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed: that of byte-level BPE
-        self.quick = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     @cached_property
     def whole(self):
         """The library's own tokenizer, read when a text needs it."""
         from tokenizers import Tokenizer
 
-        return Tokenizer.from_file(self.path)
+        out = Tokenizer.from_file(self.path)
+        out.encode_special_tokens = self.plain
+        return out
+
+    def quickly(self, text: str) -> bool:
+        return (self.quick is not None and (text.isascii() or max(text) < "ɐ") and (self.plain or not any(s in text for s in self.special))
+                and (len(text) < LONG_SPACE or all(m.end() - m.start() < LONG_SPACE for m in re.finditer(r"\s{2,}", text))))
 
     def __call__(self, text: str) -> list[int]:
-        if (text.isascii() or max(text) < "ɐ") and not any(s in text for s in self.special):
-            return self.quick.encode_ordinary(text)
+        if self.quickly(text):
+            try:
+                return self.quick.encode_ordinary(text)
+            except (KeyboardInterrupt, SystemExit, GeneratorExit):
+                raise
+            except BaseException:  # a panic of the library is no Exception
+                self.quick = None
         return self.whole.encode(text, add_special_tokens=False).ids
 
 

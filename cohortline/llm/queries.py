@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.llm import chat, common, jaccard, lm, mixing, neighbours, oracle, packing, quality, rangejoin, suffix, warc
+from cohortline.llm import alignment, chat, common, jaccard, lm, mixing, neighbours, oracle, packing, quality, rangejoin, resampling, suffix, warc
 from cohortline.runtime import checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,11 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """The vocabulary file of the packing query; the operator takes any."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,11 +98,25 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")))
 
 
+def op12_diagonal_run_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens by two tokenizers, in groups and links, with how many documents hold its links."""
+    aligned = alignment.alignments(table(spark, sf_dir, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    links = common.cut(aligned.withColumn("groups_sha256", digest).drop("groups"), few=False)
+    return common.slim(alignment.with_counts(links).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"))
+
+
+def op13_overlapped_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's n-gram importance for the benchmark texts, and the rank of the twentieth that is drawn."""
+    scored = resampling.importance_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return common.slim(scored.select("doc_id", "n_features", "weight", "score", "rank"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_cost_balanced_packing, op2_log_frequency_bloom, op3_source_mixing, op4_ngram_jaccard, op5_adaptive_scan_neighbours, op6_prefix_target_chat, op7_metric_range_join, op8_indexed_warc,
-                                   op9_quadratic_quality, op10_suffix_repeats)}
+                                   op9_quadratic_quality, op10_suffix_repeats, op12_diagonal_run_alignment, op13_overlapped_resampling)}
 
 
 def llm_sql() -> dict[str, str]:
-    """For the five that SQL can say; tokenizers, models, seeded draws and approximate search are tested against brute force."""
+    """For those that SQL can say; tokenizers, models, seeded draws and approximate search are tested against brute force."""
     return dict(oracle.SQL)
