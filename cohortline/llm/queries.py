@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.llm import alignment, chat, common, jaccard, lm, mixing, neighbours, oracle, packing, quality, rangejoin, resampling, suffix, warc
+from cohortline.llm import alignment, chat, common, jaccard, lm, mixing, neighbours, oracle, packing, pii, quality, rangejoin, resampling, suffix, warc
 from cohortline.runtime import checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +98,21 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")))
 
 
+def op11_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data in every document: the base spans, and all with those that the trees add."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+
+    def said(spans: Column) -> Column:
+        name = F.array(*map(F.lit, pii.KINDS))
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(name, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [F.size(F.array_remove(kinds, k)).cast("long") for k in range(len(pii.KINDS))]
+    counts = [(F.size(base) - n).alias(f"n_{kind}") for n, kind in zip(counts, pii.KINDS)]
+    return common.slim(found.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans")))
+
+
 def op12_diagonal_run_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens by two tokenizers, in groups and links, with how many documents hold its links."""
     aligned = alignment.alignments(table(spark, sf_dir, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"))
@@ -114,7 +129,7 @@ def op13_overlapped_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_cost_balanced_packing, op2_log_frequency_bloom, op3_source_mixing, op4_ngram_jaccard, op5_adaptive_scan_neighbours, op6_prefix_target_chat, op7_metric_range_join, op8_indexed_warc,
-                                   op9_quadratic_quality, op10_suffix_repeats, op12_diagonal_run_alignment, op13_overlapped_resampling)}
+                                   op9_quadratic_quality, op10_suffix_repeats, op11_boosted_candidates, op12_diagonal_run_alignment, op13_overlapped_resampling)}
 
 
 def llm_sql() -> dict[str, str]:
