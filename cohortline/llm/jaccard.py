@@ -4,7 +4,8 @@ Method: blocked sparse matrix product of the incidence of documents and n-grams.
 Overlap counts are accumulated and pairs below the bounds given by the sizes of
 the two sets are discarded.
 
-1. Documents with the same set of n-grams become one row of the matrix.
+1. Documents with the same set of n-grams become one row of the matrix. A row is known by 64 bits of its set's hash, never by a
+   document: ids may repeat or be missing. The smallest doc_id of a class is looked up at the end.
 2. Columns with a single row cannot contribute to a product and are left out. A
    row that keeps less than the threshold's share of its n-grams cannot reach
    the threshold with any other and is left out as well.
@@ -24,14 +25,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.llm import common, postings
 from cohortline.llm.components import connected
 
-MEMBER = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("gram", pa.int64()), ("documents", pa.int64())])
-MEMBER_DDL = "doc_id long, n_shingles long, set_key binary, gram long, documents long"
+MEMBER = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("text_key", pa.binary()), ("gram", pa.int64()), ("documents", pa.int64())])
+MEMBER_DDL = "doc_id long, n_shingles long, set_key binary, text_key binary, gram long, documents long"
 ROW = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("prefix", pa.int32()), ("keys", pa.binary())])
 ROW_DDL = "rep long, n long, prefix int, keys binary"
 FREQUENT = 1 << 17  # rows of the table of frequent n-grams: 2 MB, broadcast
@@ -59,11 +60,13 @@ def _members(size: int):
             grams, n = np.unique(np.concatenate(list(portion.values())), return_counts=True)
             grams, n = grams[n >= SEEN], n[n >= SEEN]
             none = pa.nulls(len(grams), pa.int64())
-            return common.as_batch(MEMBER, doc_id=none, n_shingles=none, set_key=pa.nulls(len(grams), pa.binary()), gram=pa.array(grams.view(np.int64)), documents=n)
+            return common.as_batch(MEMBER, doc_id=none, n_shingles=none, set_key=pa.nulls(len(grams), pa.binary()),
+                                   text_key=pa.nulls(len(grams), pa.binary()), gram=pa.array(grams.view(np.int64)), documents=n)
 
         for part, sets, keys in _sets(batches, size):
             none = pa.nulls(len(sets), pa.int64())
-            yield common.as_batch(MEMBER, doc_id=part.column(0), n_shingles=[len(s) for s in sets], set_key=keys, gram=none, documents=none)
+            yield common.as_batch(MEMBER, doc_id=part.column(0), n_shingles=[len(s) for s in sets], set_key=keys, text_key=part.column(1),
+                                   gram=none, documents=none)
             for s, k in zip(sets, keys):
                 if len(s) and k not in portion:
                     portion[k] = s
@@ -207,22 +210,13 @@ def _products(threshold: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 75) -> DataFrame:
-    """``(doc_id, n_shingles, set_key, component_id)`` for every row of ``docs(doc_id, text)``.
-
-    Two documents link when 100 * |A and B| >= ``threshold`` * |A or B| for their
-    sets of distinct runs of ``size`` words; ``component_id`` is the smallest
-    doc_id reachable by links. A text with fewer words is one run of all of
-    them; a null text or one without words has an empty set, links with nothing
-    and keeps its own id. Rows with the same doc_id and other texts are documents of
-    their own (sets whose smallest id is the same count as one); a null doc_id takes the
-    component of its set, and null if that has no id. Columns other than the two are not looked at. An empty
-    table gives an empty result.
-    """
+def _classes(docs: DataFrame, size: int, threshold: int) -> DataFrame:
+    """``(doc_id, n_shingles, set_key, text_key, class, component_id)`` for every row; ``class`` is null for an empty set."""
     spark = docs.sparkSession
     buckets = min(common.partitions(docs), 1 << 16)
     texts = docs.select("text")
-    seen = common.cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.tidy(_members(size)), MEMBER_DDL))
+    keyed = docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("text_key"), "text")
+    seen = common.cut(keyed.mapInArrow(common.tidy(_members(size)), MEMBER_DDL))
     members = seen.where("set_key IS NOT NULL").drop("gram", "documents")
     top = (seen.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("documents").alias("documents"))
            .orderBy(F.desc("documents"), "gram").limit(FREQUENT).collect())
@@ -231,12 +225,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 75) -> D
     order = np.argsort(grams)
     known = spark.sparkContext.broadcast((grams[order], np.minimum(table[order, 1], (1 << 31) - 1).astype(np.uint32)))
 
-    filled = members.where("n_shingles > 0")
-    sets = filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
+    filled = members.where("n_shingles > 0").withColumn("rep", F.expr("conv(hex(substring(set_key, 1, 8)), 16, -10)").cast("long"))
+    sets = filled.groupBy("rep").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("least_id"))
     shared = postings.shared_keys(texts.mapInArrow(common.tidy(_dealt(size, buckets, known)), postings.DEALT_DDL), buckets)
-    numbered = sets.where("rep IS NOT NULL").withColumn(
-        "owner", F.expr("conv(hex(substring(set_key, 1, 8)), 16, -10)").cast("long"))
-    rows = (shared.withColumnRenamed("n", "kept").join(numbered, "owner").where(F.col("kept") * 100 >= F.col("n") * threshold)
+    rows = (shared.withColumnsRenamed({"n": "kept", "owner": "rep"}).join(sets, "rep").where(F.col("kept") * 100 >= F.col("n") * threshold)
             .select("rep", "n", "keys"))
     rows = common.cut(rows.mapInArrow(common.tidy(_rows(threshold)), ROW_DDL), few=False)
 
@@ -252,23 +244,55 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 75) -> D
              .mapInArrow(common.tidy(_products(threshold)), "u long, v long"))
     joined = connected(links)
 
-    named = sets.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "set_key", F.coalesce("component", "rep").alias("component_id"))
-    return filled.join(named, "set_key").select("doc_id", "n_shingles", "set_key", "component_id").union(
-        members.where("n_shingles = 0").select("doc_id", "n_shingles", "set_key", F.col("doc_id").alias("component_id")))
+    # sets without links are a class of their own and need no further look
+    linked = sets.join(joined.withColumnRenamed("id", "rep"), "rep").select("rep", F.col("component").alias("class"), "least_id")
+    smallest = linked.groupBy("class").agg(F.min("least_id").alias("class_id"))
+    named = sets.select("rep", "least_id").join(linked.join(smallest, "class").select("rep", "class", "class_id"), "rep", "left").select(
+        "rep", F.coalesce("class", "rep").alias("class"), F.when(F.col("class").isNull(), F.col("least_id")).otherwise(F.col("class_id")).alias("component_id"))
+    columns = ["doc_id", "n_shingles", "set_key", "text_key", "class", "component_id"]
+    return filled.join(named, "rep").select(*columns).union(
+        members.where("n_shingles = 0").withColumns({"class": F.lit(None).cast("long"), "component_id": F.col("doc_id")}).select(*columns))
+
+
+def text_key(text: Column) -> Column:
+    """128 bits of a text's hash; a null text is empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 75) -> DataFrame:
+    """``(doc_id, n_shingles, set_key, component_id)`` for every row of ``docs(doc_id, text)``.
+
+    Two documents link when 100 * |A and B| >= ``threshold`` * |A or B| for their
+    sets of distinct runs of ``size`` words; ``component_id`` is the smallest
+    doc_id reachable by links. A text with fewer words is one run of all of
+    them; a null text or one without words has an empty set, links with nothing
+    and keeps its own id. Rows with the same doc_id and other texts are documents of
+    their own. A row without doc_id links like any other and has the component of its class, which is null only
+    if no row of the class has an id. Columns other than the two are not looked at. An empty
+    table gives an empty result.
+    """
+    return _classes(docs, size, threshold).select("doc_id", "n_shingles", "set_key", "component_id")
 
 
 def without_duplicates(docs: DataFrame, size: int = 5, threshold: int = 75) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id is the smallest of its class.
+    """The rows of ``docs``, all columns, of which no class of near duplicates has a smaller one: one row of each class.
 
-    Of rows that repeat a doc_id one stays if their texts are in one class, that with the first text.
-    Documents with an empty set and those without id stay.
+    The smallest is that with the smallest doc_id (a missing one comes last), then with the smallest hash of its text; of rows
+    that agree in both any one. Rows are met by doc_id and text, so other texts with the id of a dropped one stay.
+    Rows with an empty set stay, all of them.
     """
-    classes = jaccard_components(docs, size, threshold)
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    again = classes.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    single = kept.join(again, "doc_id", "left_anti")
-    repeated = kept.join(again, "doc_id", "left_semi")
-    first = repeated.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.coalesce("text", F.lit("")))).alias("row")).select("row.*")
-    return single.select(*docs.columns).union(first.select(*docs.columns))
+    rows = common.cut(_classes(docs, size, threshold).select("doc_id", "n_shingles", "text_key", "class"))
+    filled = rows.where("n_shingles > 0")
+    first = filled.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_key")).alias("w")).select("w.doc_id", "w.text_key", F.lit(True).alias("one"))
+    empty = rows.where("n_shingles = 0").select("doc_id", "text_key").distinct().withColumn("one", F.lit(False))
+    times = filled.groupBy("doc_id", "text_key").agg(F.count("*").alias("times")).where("times > 1").select("doc_id", "text_key")
+
+    def met(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        return left.join(right, F.col("met_id").eqNullSafe(right["doc_id"]) & (F.col("met_key") == right["text_key"]), how)
+
+    again = met(first.withColumnsRenamed({"doc_id": "met_id", "text_key": "met_key"}), times, "left_semi").withColumnsRenamed({"met_id": "doc_id", "met_key": "text_key"})
+    single = met(first.withColumnsRenamed({"doc_id": "met_id", "text_key": "met_key"}), times, "left_anti").withColumnsRenamed({"met_id": "doc_id", "met_key": "text_key"})
+    asked = docs.select(F.col("doc_id").cast("long").alias("met_id"), text_key(F.col("text")).alias("met_key"), common.together(docs).alias("rest"))
+    kept = met(asked, single.union(empty), "left_semi").select("rest")
+    repeated = met(asked, again, "left_semi").groupBy("met_id", "met_key").agg(F.first("rest").alias("rest")).select("rest")
+    return kept.union(repeated).select(*common.apart("rest", docs.columns))

@@ -90,15 +90,8 @@ def enough(counts: np.ndarray, least: int) -> int:
 
 
 def built(keys: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
-    """A slice of the filter with the most frequent keys that its bits suffice for; equal counts stand or fall together."""
+    """A slice of the filter with all keys; ``enough`` says how many bits they need."""
     q = levels(counts)
-    order = np.argsort(-counts, kind="stable")
-    entries = np.cumsum(q[order])
-    room = bits // BITS_EACH
-    if len(entries) and entries[-1] > room:
-        lost = counts[order[np.searchsorted(entries, room, side="right")]]  # the largest count that does not fit
-        kept = counts > lost
-        keys, q = keys[kept], q[kept]
     field = np.zeros(bits, np.uint8)
     for level in range(1, int(q.max(initial=0)) + 1):
         entry, step = _entry(keys[q >= level], level)

@@ -66,7 +66,7 @@ def _range_sums(df: DataFrame, cell: str) -> DataFrame:
 
 def mix(docs: DataFrame, weight: Column | None = None, share: float = 1.5, most: float = 2.0, seed: int = 17,
         weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, epochs, extra, taken)`` for every row of ``docs(doc_id, text, source)``.
+    """``(doc_id, source, size, text_key, source_size, target, epochs, extra, taken)`` for every row of ``docs(doc_id, text, source)``.
 
     ``size`` counts the words of the text (null: 0), ``taken`` is ``epochs * size +
     extra``: complete epochs and the words of the fractional selection. A document at
@@ -82,7 +82,7 @@ def mix(docs: DataFrame, weight: Column | None = None, share: float = 1.5, most:
     drawn = (-F.log(u) / F.greatest(F.coalesce(quality, F.lit(0.0)), F.lit(1e-9))).alias("key")
     rows = common.cut(docs.select(
         F.col("doc_id").cast("long"), "source", F.when(F.col("source").isNull(), "0").otherwise(F.concat(F.lit("1"), "source")).alias("source_key"),
-        word_count("text").alias("size"), drawn)
+        word_count("text").alias("size"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_key"), drawn)
         .withColumn("place", F.col("key") / (1 + F.col("key")))
         .withColumn("cell", F.floor(F.col("place") * RANGES)).withColumn("fine", F.floor(F.col("place") * (RANGES * RANGES))))
     per_source = rows.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
@@ -96,12 +96,15 @@ def mix(docs: DataFrame, weight: Column | None = None, share: float = 1.5, most:
     inside = rows.join(ends.withColumnRenamed("left", "budget"), (rows.source_key == ends.source_key) & (rows.cell == ends.end_cell), "left_semi")
     at_end = inside.join(ends.select(F.col("source_key").alias("k"), F.col("left").alias("budget")), F.col("source_key") == F.col("k")).drop("k")
     finer = _range_sums(at_end, "fine")
-    last = (rows.select("source_key", "doc_id", "size", "key", "fine").join(
+    last = (rows.select("source_key", "doc_id", "size", "text_key", "key", "fine").join(
         finer.select(F.col("source_key").alias("k"), "end_cell", "left"), (F.col("source_key") == F.col("k")) & (F.col("fine") == F.col("end_cell"))).drop("k"))
-    upto = Window.partitionBy("source_key").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    settled = (last.withColumn("before", F.coalesce(F.sum("size").over(upto), F.lit(0)))
-               .withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("before"))).cast("long"))
-               .select("source_key", "doc_id", "size", "extra"))
+    # rows that repeat a document are ordered as one, and share what is taken of it one after the other
+    alike = last.groupBy("source_key", "doc_id", "size", "text_key", "key").agg(F.count("*").alias("times"), F.first("left").alias("left"))
+    upto = Window.partitionBy("source_key").orderBy("key", F.col("doc_id").asc_nulls_last(), "size", "text_key").rowsBetween(Window.unboundedPreceding, -1)
+    shared = alike.withColumn("share", F.col("left") - F.coalesce(F.sum(F.col("size") * F.col("times")).over(upto), F.lit(0)))
+    settled = (shared.withColumn("place", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+               .withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("share") - (F.col("place") - 1) * F.col("size"))).cast("long"))
+               .select("source_key", "doc_id", "size", "text_key", "extra"))
 
     cells = ends.select("source_key", F.col("end_cell").alias("cell_end")).join(
         finer.select("source_key", F.col("end_cell").alias("fine_end")), "source_key", "left")
@@ -109,28 +112,55 @@ def mix(docs: DataFrame, weight: Column | None = None, share: float = 1.5, most:
     whole = placed.where("cell_end IS NULL OR fine_end IS NULL OR fine <> fine_end").withColumn(
         "extra", F.when((F.col("cell") < F.col("cell_end")) | ((F.col("cell") == F.col("cell_end")) & (F.col("fine") < F.col("fine_end"))), F.col("size")).otherwise(0).cast("long"))
     ending = settled.join(budget, "source_key").join(per_source.select("source_key", "source"), "source_key")
-    columns = ["doc_id", "source", "size", "source_size", "target", "epochs", "extra"]
+    columns = ["doc_id", "source", "size", "text_key", "source_size", "target", "epochs", "extra"]
     return whole.select(*columns).union(ending.select(*columns)).withColumn("taken", F.col("epochs") * F.col("size") + F.col("extra"))
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word, as it is written."""
+    return F.regexp_substr(text, F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), n.cast("string"), F.lit("}+")))
+
+
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs``, all columns, as often as the mix takes them; the last document of a source is cut to its words.
+    """The rows of ``docs``, all columns, as often as the mix takes them; the last document of a source is cut at the end of a word.
 
-    Documents are met by doc_id and size: of several with the same id, each of the same
-    size comes as often as the mix says for one of them. Rows without id are met likewise.
-    ``n_chars``, if there is one, counts the cut text.
+    Documents are met by doc_id, source and text. Rows that agree in these three are numbered, and share
+    one after the other what the mix takes of them: the words that come out are those that the mix counts. ``n_chars``,
+    if there is one, counts the cut text.
     """
-    plan = mix(docs, **how).groupBy(F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_size")).agg(
-        F.max("epochs").alias("mix_epochs"), F.max("extra").alias("mix_extra"))
-    sized = docs.withColumn("mix_words", word_count("text"))
-    met = sized.join(plan, F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.col("mix_words") == F.col("mix_size")))
-    takes = met.withColumn("mix_take", F.explode(F.filter(F.concat(
-        F.array_repeat(F.col("mix_words"), F.col("mix_epochs").cast("int")), F.array(F.col("mix_extra"))), lambda x: x > 0)))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    text = F.when(F.col("mix_take") >= F.col("mix_words"), F.col("text")).otherwise(
-        F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("mix_take"), F.lit(1)).cast("int")), " "))
-    cut = takes.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        whole = (F.col("mix_take") >= F.col("mix_words")) | F.col("n_chars").isNull()
-        cut = cut.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return cut.select(*docs.columns)
+    same = ["met_id", "met_source", "met_key"]
+    plan = mix(docs, **how).groupBy(F.col("doc_id").alias("met_id"), F.col("source").alias("met_source"), F.col("text_key").alias("met_key")).agg(
+        F.first("size").alias("size"), F.first("epochs").alias("epochs"), F.sum("extra").alias("extra"), F.count("*").alias("times"))
+    plan = common.cut(plan.withColumnsRenamed({c: f"plan_{c}" for c in same}))
+    asked = docs.select(F.col("doc_id").cast("long").alias("met_id"), F.col("source").alias("met_source"),
+                        F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("met_key"), common.together(docs).alias("rest"))
+
+    def met(rows: DataFrame) -> DataFrame:
+        return asked.join(rows, F.col("met_id").eqNullSafe(F.col("plan_met_id")) & F.col("met_source").eqNullSafe(F.col("plan_met_source")) & (F.col("met_key") == F.col("plan_met_key")))
+
+    single = met(plan.where("times = 1 AND (epochs > 0 OR extra > 0)")).select("rest", "size", "epochs", "extra")
+    # few rows repeat; they are numbered within the partitions in which they are written, so a frequent one is no task of its own
+    many = common.cut(met(plan.where("times > 1 AND (epochs > 0 OR extra > 0)")).withColumn("part", F.spark_partition_id()).select(*same, "part", "rest", "size", "epochs", "extra"), few=False)
+    parts = many.groupBy(*same, "part").agg(F.count("*").alias("here"))
+    upto = Window.partitionBy(*same).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.withColumn("before", F.coalesce(F.sum("here").over(upto), F.lit(0))).select(*[F.col(c).alias(f"plan_{c}") for c in same], F.col("part").alias("plan_part"), "before")
+    inside = many.withColumn("place", F.row_number().over(Window.partitionBy(*same, "part").orderBy(F.lit(0))))
+    placed = inside.join(before, F.col("met_id").eqNullSafe(F.col("plan_met_id")) & F.col("met_source").eqNullSafe(F.col("plan_met_source"))
+                         & (F.col("met_key") == F.col("plan_met_key")) & (F.col("part") == F.col("plan_part")))
+    shared = F.col("extra") - (F.col("before") + F.col("place") - 1) * F.col("size")
+    repeated = placed.select("rest", "size", "epochs", F.greatest(F.lit(0), F.least(F.col("size"), shared)).cast("long").alias("extra"))
+
+    takes = single.union(repeated).withColumn("take", F.explode(F.filter(F.concat(
+        F.array_repeat(F.col("size"), F.col("epochs").cast("int")), F.array(F.col("extra"))), lambda x: x > 0)))
+    whole, text = F.col("take") >= F.col("size"), F.col("rest").getField("text")
+    left = F.when(whole, text).otherwise(first_words(text, F.col("take")))
+
+    def given(c: str) -> Column:
+        own = F.col("rest").getField(c)
+        if c == "text":
+            return left.alias(c)
+        if c == "n_chars":
+            return F.when(whole | own.isNull(), own).otherwise(F.length(left).cast(docs.schema[c].dataType)).alias(c)
+        return own.alias(c)
+
+    return takes.select(*map(given, docs.columns))

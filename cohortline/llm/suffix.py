@@ -212,18 +212,20 @@ def _reads(buckets: int, match: int, gram: int):
                     continue
                 padded = np.zeros(len(text) + 2 * length, np.uint8)
                 padded[before:before + len(text)] = np.frombuffer(text, np.uint8)
-                docs.append(np.full(len(at), doc, np.int64))
-                texts.append(np.full(len(at), text_key, np.int64))
-                places.append(at)
-                sizes.append(np.full(len(at), len(text), np.int64))
-                keys.append(key)
-                reads.append(padded[at[:, None] + np.arange(length)])
-                size += len(at)
-                if size >= held:
-                    yield from flush()
-                    for x in (docs, texts, places, sizes, keys, reads):
-                        x.clear()
-                    size = 0
+                for first in range(0, len(at), held):  # a long text may have an anchor at every byte
+                    here, own = at[first:first + held], key[first:first + held]
+                    docs.append(np.full(len(here), doc, np.int64))
+                    texts.append(np.full(len(here), text_key, np.int64))
+                    places.append(here)
+                    sizes.append(np.full(len(here), len(text), np.int64))
+                    keys.append(own)
+                    reads.append(padded[here[:, None] + np.arange(length)])
+                    size += len(here)
+                    if size >= held:
+                        yield from flush()
+                        for x in (docs, texts, places, sizes, keys, reads):
+                            x.clear()
+                        size = 0
         if size:
             yield from flush()
 
@@ -356,7 +358,7 @@ def without_repeats(docs: DataFrame, match: int = 50, gram: int = 24) -> DataFra
 def _removed(docs: DataFrame, match: int, gram: int, others: list[str]) -> DataFrame:
     """``remove_repeats`` with the columns ``others`` as a struct ``rest``. The compressed texts are shuffled once and read three times."""
     buckets = min(common.partitions(docs), 1 << 15)
-    rest = [F.struct(*others).alias("rest")] if others else []
+    rest = [common.together(docs, others).alias("rest")] if others else []
     kept_with = ["rest"] if others else []
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"), *rest).withColumn(
         "text_key", F.xxhash64(F.lit(7), "text"))

@@ -73,6 +73,20 @@ def test_quick_ids_are_those_of_the_library():
         assert encode(text) == encode.whole.encode(text, add_special_tokens=False).ids
 
 
+def test_long_white_space_goes_to_the_library():
+    encode = packing.Encoder(queries.vocabulary())
+    for gap in (" " * 1_200_000, "\n" * packing.LONG_SPACE, " \t" * packing.LONG_SPACE):
+        text = "before" + gap + "after"
+        assert not encode.quickly(text)
+        assert encode(text) == encode.whole.encode(text, add_special_tokens=False).ids
+    assert encode.quickly("a b" * packing.LONG_SPACE)
+
+
+def test_other_vocabularies_go_to_the_library():
+    encode = packing.Encoder(queries.vocabulary("word_bpe_49k.json"))
+    assert encode.quick is None and encode("Hello  World") == encode.whole.encode("Hello  World", add_special_tokens=False).ids
+
+
 def test_balanced_sequences():
     rng = np.random.default_rng(0)
     for _ in range(50):
@@ -124,13 +138,6 @@ def test_filter_gives_levels_back():
     assert bloom.bits == bits
 
 
-def test_full_slice_keeps_the_most_frequent():
-    keys = lm.postings.key_of(common.mixed(np.arange(1, 3001, dtype=np.uint64)), 1)
-    counts = np.r_[np.full(100, 50), np.full(2900, 1)]
-    level = lm.Filter(np.stack([lm.built(keys, counts, 1 << 14)])).level(common.mixed(np.arange(1, 3001, dtype=np.uint64)))
-    assert (level[:100] >= lm.levels(np.array([50]))[0]).all() and (level[100:] > 0).mean() < 0.05
-
-
 def test_no_ngram_is_left_out_of_a_full_filter(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(f"w{i * 100 + j}" for j in range(100)) + " the end of it") for i in range(40)], "doc_id long, text string")
     score = lambda: {r.doc_id: (r.score, r.n_known) for r in lm.score(docs).collect()}
@@ -197,9 +204,21 @@ def test_keys_prefer_good_documents_and_fill_the_budget_in_order(spark):
     assert share > 0.8
 
 
+def test_mixed_rows_that_repeat(spark):
+    text = "one two\nthree four  five\tsix seven eight nine ten"
+    rows = [(7, text, "a", 1.0, k) for k in range(90)] + [(k, f"{text} {k}", "b", 1.0, k) for k in range(100, 160)] + [(None, text, None, 0.0, 0), (7, text + " x", "a", 1.0, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `a.b` double, mix_words long").repartition(5)
+    got, plan = mixing.mixed_documents(docs), mixing.mix(docs)
+    assert got.schema == docs.schema
+    taken = {r.source: r.n for r in plan.groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    assert {r.source: r.n for r in got.groupBy("source").agg(F.sum(mixing.word_count("text")).alias("n")).collect()} == taken
+    assert all(text.startswith(r.text) or r.text.startswith(text) for r in got.collect())  # cut where a word ends, white space as it is
+    assert got.groupBy("source", "mix_words").agg(F.sum(mixing.word_count("text")).alias("n")).where("n > 42").count() == 0  # no row more than twice
+
+
 def test_mixed_rows(corpus):
-    got = mixing.mixed_documents(corpus.where("doc_id <> 19"))
-    plan = mixing.mix(corpus.where("doc_id <> 19"))
+    got = mixing.mixed_documents(corpus)
+    plan = mixing.mix(corpus)
     assert got.columns == corpus.columns
     assert got.agg(F.sum(mixing.word_count("text"))).first()[0] == plan.agg(F.sum("taken")).first()[0]
     assert got.where("text IS NOT NULL AND n_chars <> length(text)").count() == 0
@@ -220,31 +239,49 @@ def brute_classes(rows, size=5, threshold=75):
         return x
 
     sets = list(map(frozenset, sets))
-    least = {}
-    for (d, _, _), s in zip(rows, sets):
-        least[s] = min(d, least.get(s, d))
-    distinct = [s for s in least if s]
+    distinct = list(dict.fromkeys(s for s in sets if s))
     for i, a in enumerate(distinct):
-        for b in distinct[:i]:
+        for j, b in enumerate(distinct[:i]):
             common_ = len(a & b)
             if 100 * common_ >= threshold * (len(a) + len(b) - common_):
-                x, y = top(least[a]), top(least[b])
+                x, y = top(i), top(j)
                 up[max(x, y)] = min(x, y)
-    return sorted((d, len(s), top(least[s]) if s else d) for (d, _, _), s in zip(rows, sets))
+    number = {s: top(i) for i, s in enumerate(distinct)}
+    least = {}
+    for (d, _, _), s in zip(rows, sets):
+        if s and d is not None:
+            least[number[s]] = min(d, least.get(number[s], d))
+    return sorted(((d, len(s), least.get(number[s]) if s else d) for (d, _, _), s in zip(rows, sets)), key=str)
+
+
+def classes_of(docs):
+    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()), key=str)
+
+
+def test_repeated_and_missing_ids(spark):
+    near = lambda name, k=0: " ".join(f"{name}{i}" for i in range(60 - k))
+    cases = [
+        [(1, near("a")), (5, near("a")), (5, near("b"))],  # the clean text with the id of a copy stays
+        [(3, near("p")), (3, near("q")), (8, near("p", 2)), (9, near("q", 2))],  # one id, two classes
+        [(None, near("a", 1)), (4, near("a")), (7, near("a", 3)), (None, near("z")), (None, near("z"))],  # links without ids
+        [(2, near("a")), (2, near("a")), (2, near("a", 1)), (None, ""), (None, ""), (6, None)],
+    ]
+    left = [[(1, "a"), (5, "b")], [(3, "p"), (3, "q")], [(4, "a"), (None, "z")], [(2, "a"), (None, ""), (None, ""), (6, "")]]
+    for rows, want in zip(cases, left):
+        docs = spark.createDataFrame([(d, t, "s", 1, "c") for d, t in rows], "doc_id long, text string, source string, `a.b` int, class string")
+        assert classes_of(docs) == brute_classes([(d, t, "s") for d, t in rows])
+        kept = jaccard.without_duplicates(docs)
+        assert kept.schema == docs.schema
+        assert sorted(((r.doc_id, (r.text or "")[:1]) for r in kept.collect()), key=str) == sorted(want, key=str)
 
 
 def test_jaccard_classes_of_odd_rows(corpus, nothing):
-    known = corpus.where("doc_id IS NOT NULL")
-    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(known).collect())
-    assert got == brute_classes(rows_of(known))
-    all_rows = jaccard.jaccard_components(corpus).collect()
-    assert len(all_rows) == corpus.count()
-    assert {(r.n_shingles, r.component_id) for r in all_rows if r.doc_id is None} == {(396, -3), (0, None)}
+    assert classes_of(corpus) == brute_classes(rows_of(corpus))
     assert jaccard.jaccard_components(nothing).count() == 0
     kept = jaccard.without_duplicates(corpus)
     assert kept.columns == corpus.columns
     ids = [r.doc_id for r in kept.collect()]
-    assert 1 not in ids and -3 in ids and 5 in ids and ids.count(None) == 2
+    assert 1 not in ids and -3 in ids and 5 in ids and ids.count(None) == 1  # the copy without id goes, the empty text stays
 
 
 def test_jaccard_classes_of_near_copies(spark, monkeypatch):
@@ -260,8 +297,7 @@ def test_jaccard_classes_of_near_copies(spark, monkeypatch):
         rows.append((rng.randrange(10 ** 9), " ".join(w), "s"))
     rows += [(10 ** 9 + i, " ".join(f"u{rng.randrange(10 ** 6)}" for _ in range(50)) + " " + " ".join(base[:20]), "s") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
-    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect())
-    assert got == brute_classes(rows)
+    assert classes_of(docs) == brute_classes(rows)
 
 
 # repeated strings
@@ -297,6 +333,14 @@ def test_removal_from_odd_rows(corpus, nothing):
     assert left.where("n_chars <> length(text)").count() == 0
 
 
+def test_removal_from_a_long_run_of_equal_bytes(spark, monkeypatch):
+    rows = [(1, "b" * 60, "s"), (2, "a" * 200_000, "s"), (3, "x" * 10 + "a" * 300 + "y", "s")]
+    docs = spark.createDataFrame([(d, t, s, 1) for d, t, s in rows], "doc_id long, text string, source string, `a.b` int")
+    got = {r[0]: r[1:4] for r in removal(docs)}
+    assert got == {1: (60, 0, 0), 2: (200_000, 0, 0), 3: (311, 300, 1)}
+    assert suffix.without_repeats(docs).schema == docs.schema
+
+
 def test_removal_with_short_windows(spark):
     rng = random.Random(7)
     rows = [(rng.randrange(10 ** 6), "".join(rng.choice("ab\0") for _ in range(rng.randrange(40))), "s") for _ in range(80)]
