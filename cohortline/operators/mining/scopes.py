@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ...runtime import cut_lineage
 from .spec import ViewSpec
 
 PAIR = "struct<dim:string,value:string>"
@@ -43,28 +44,35 @@ def _cell_key(columns: list[str]) -> Column:
     return F.concat(*parts)
 
 
-def cells(view: DataFrame, spec: ViewSpec, width: int = 6) -> DataFrame:
+def cells(view: DataFrame, spec: ViewSpec, width: int = 10, inner: int = 5) -> DataFrame:
     """Sums (and counts, for averages) of every measure for every combination of values of every needed column set.
 
-    Column sets are served in groups. Each group first reduces the view to the
-    combinations of its few columns (bounded by their cardinalities, combined
-    before the shuffle); only these rows are repeated, once per set of the group,
-    so the number of sets never multiplies the rows of the view. One last
-    aggregation by cell merges all groups. Rows without a value in a column of a
-    set belong to no cell of that set.
+    A lattice of rollups. The view is read once per *wide* group of ``width`` columns, reduced to the combinations of
+    their values (combined before the shuffle) and written; a missing value is a value there. Every
+    narrower group, of ``inner`` columns, is summed from the smallest written group that has its columns, never from the view. Only
+    these few rows are repeated, once per column set, and one last aggregation by cell merges all groups. Rows
+    without a value in a column of a set belong to no cell of that set.
     """
     names = [m.name for m in spec.measures]
     averaged = [m.name for m in spec.measures if m.agg == "avg"]
+    summed = [*[f"s_{m}" for m in names], *[f"c_{m}" for m in averaged]]
     base = view.select(*[_held(F.col(c).cast("string")).alias(c) for c in spec.columns],
                        *[F.col(m).cast("double").alias(f"m_{m}") for m in names])
-    parts = []
+    first = [F.sum(f"m_{m}").alias(f"s_{m}") for m in names] + [F.count(f"m_{m}").alias(f"c_{m}") for m in averaged]
+    again = [F.sum(c).alias(c) for c in summed]
+    written, narrow = [], []
     for columns, sets in spec.blocks(width):
-        small = base.groupBy(*columns).agg(
-            *[F.sum(f"m_{m}").alias(f"s_{m}") for m in names], *[F.count(f"m_{m}").alias(f"c_{m}") for m in averaged])
+        wide = cut_lineage(base.groupBy(*columns).agg(*first))
+        written.append((wide.count(), set(columns), wide))
+        narrow += spec.blocks(min(inner, width), sets)
+    written.sort(key=lambda w: w[0])
+    parts = []
+    for columns, sets in narrow:
+        _, _, source = next(w for w in written if w[1] >= set(columns))
+        small = source.groupBy(*columns).agg(*again)
         keys = F.filter(F.array(*[_cell_key(s) for s in sets]), lambda k: k.isNotNull())
-        parts.append(small.select(F.explode(keys).alias("cell"), *[f"s_{m}" for m in names], *[f"c_{m}" for m in averaged]))
-    merged = reduce(DataFrame.unionByName, parts).groupBy("cell").agg(
-        *[F.sum(f"s_{m}").alias(f"s_{m}") for m in names], *[F.sum(f"c_{m}").alias(f"c_{m}") for m in averaged])
+        parts.append(small.select(F.explode(keys).alias("cell"), *summed))
+    merged = reduce(DataFrame.unionByName, parts).groupBy("cell").agg(*again)
 
     def pair(text):
         return F.struct(F.split_part(text, F.lit(_EQUALS), F.lit(1)).alias("dim"),
@@ -72,7 +80,7 @@ def cells(view: DataFrame, spec: ViewSpec, width: int = 6) -> DataFrame:
 
     pairs = F.when(F.col("cell") == "", F.array().cast(f"array<{PAIR}>")).otherwise(
         F.transform(F.split("cell", _AND), pair))
-    return merged.select(pairs.alias("pairs"), *[f"s_{m}" for m in names], *[f"c_{m}" for m in averaged])
+    return merged.select(pairs.alias("pairs"), *summed)
 
 
 def subspaces(cell_rows: DataFrame, spec: ViewSpec) -> DataFrame:

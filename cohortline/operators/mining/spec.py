@@ -35,19 +35,20 @@ class ViewSpec:
                  for c in combinations(self.dimensions, k)}
         return sorted(sets, key=lambda s: (len(s), sorted(s)))
 
-    def blocks(self, width: int) -> list[tuple[list[str], list[list[str]]]]:
-        """The column sets in groups that fit into ``width`` columns: (columns, sets) per group.
+    def blocks(self, width: int, sets: list | None = None) -> list[tuple[list[str], list[list[str]]]]:
+        """The column sets (all, or those given) in groups that fit into ``width`` columns: (columns, sets) per group.
 
         A group is grown from the largest set not yet placed, by the column that
-        brings in most sets; each set is placed once.
+        brings in most sets; each set is placed once, so a group of some sets has no other columns than theirs.
         """
         order = {c: i for i, c in enumerate(self.columns)}
-        left = set(self.column_sets())
+        left = {frozenset(s) for s in (self.column_sets() if sets is None else sets)}
+        known = {c for s in left for c in s}
         out = []
         while left:
             block = set(max(left, key=lambda s: (len(s), tuple(-order[c] for c in sorted(s, key=order.get)))))
             while len(block) < width:
-                gain = {c: sum(s <= block | {c} for s in left) for c in self.columns if c not in block}
+                gain = {c: sum(s <= block | {c} for s in left) for c in self.columns if c in known and c not in block}
                 if not gain:
                     break
                 block.add(max(gain, key=lambda c: (gain[c], -order[c])))
