@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+import uuid
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ...functions.numbers import rnd
-from ...runtime import cut_lineage
+from ...runtime import cuts
 from .scopes import subspace_text
 
 IDENTITY = ["strategy", "pattern_type", "ext_dim", "breakdown", "measure", "base"]
@@ -67,25 +70,56 @@ def overlaps(candidates: DataFrame, picks: DataFrame) -> DataFrame:
 def greedy_rank(candidates: DataFrame, k: int = 15) -> DataFrame:
     """The best candidate first, then each time the one that adds most score net of its overlap with those chosen.
 
-    Stops after ``k`` or when nothing adds anything. All candidates take part:
-    a round finds the best one by an aggregate and takes its overlap off the gains of
-    the others, as a one-row value of the plan; nothing comes to the driver.
+    Stops after ``k`` or when nothing adds anything. All candidates take part, as rows of key and score that are
+    written once, by strategy and pattern type: a choice takes from the gains of its own strategy and type only, so
+    there is a best candidate for each of these, and a round looks again at the one group whose best was
+    taken. What comes to the driver is a row per strategy and type, and a row per round. The candidates' nested parts
+    are joined to the ``k`` choices at the end.
     """
-    pool = cut_lineage(identified(candidates).withColumns({"gain": F.col("score"), "rank": F.lit(None).cast("int")}))
+    spark = candidates.sparkSession
+    named = identified(candidates)
+    path = f"{cuts(spark)}/pool-{uuid.uuid4().hex}"
+    named.select(*IDENTITY, "score", "cid").write.partitionBy("strategy", "pattern_type").parquet(path)
+    schema = named.select(*IDENTITY, "score", "cid").schema
+    pool = spark.read.schema(schema).parquet(path)
+    heads = {(r.strategy, r.pattern_type): r.b for r in pool.withColumn("gain", F.col("score")).groupBy("strategy", "pattern_type").agg(_best()).collect()}
+    chosen: list[Row] = []
+    while heads and len(chosen) < k:
+        best = min(heads.values(), key=lambda r: (-_ninth(r.gain), -_ninth(r.score), r.cid.encode()))
+        if chosen and best.gain <= 0:
+            break
+        chosen.append(best)
+        mine = [c for c in chosen if (c.strategy, c.pattern_type) == (best.strategy, best.pattern_type)]
+        group = pool.where((F.col("strategy") == best.strategy) & (F.col("pattern_type") == best.pattern_type) & ~F.col("cid").isin([c.cid for c in mine]))
+        gain = F.col("score")
+        for c in mine:
+            pick = {n: _literal(c[n], schema[n].dataType) for n in IDENTITY}
+            gain = gain - F.least(F.col("score"), F.lit(c.score)) * overlap_ratio(_columns(), pick)
+        head = group.withColumn("gain", gain).agg(_best()).first().b
+        if head is None:
+            del heads[best.strategy, best.pattern_type]
+        else:
+            heads[best.strategy, best.pattern_type] = head
+    picks = spark.createDataFrame([(c.cid, c.gain, i) for i, c in enumerate(chosen, 1)], "cid string, gain double, rank int")
+    return named.join(F.broadcast(picks), "cid")  # k rows
+
+
+def _best() -> Column:
+    """The candidate that comes first by gain, score and key, as a struct."""
     described = F.struct(*IDENTITY, "score", "gain", "cid")
-    for i in range(1, k + 1):
-        # the least of (-gain, -score, cid) among what is not chosen; later ones must add something
-        open_ = pool.where(F.col("rank").isNull() & ((F.col("gain") > 0) if i > 1 else F.lit(True)))
-        best = open_.agg(F.min_by(described, F.struct(-F.col("gain"), -F.col("score"), "cid")).alias("b"))
-        met = pool.withColumn("_b", best.scalar())
-        pick = {c: F.col("_b")[c] for c in IDENTITY}
-        loss = F.least(F.col("score"), F.col("_b.score")) * overlap_ratio(_columns(), pick)
-        chosen = F.coalesce(F.col("cid") == F.col("_b.cid"), F.lit(False))
-        later = F.col("rank").isNull() & ~chosen & F.col("_b").isNotNull()
-        pool = cut_lineage(met.withColumns({
-            "gain": F.when(later, F.col("gain") - loss).otherwise(F.col("gain")),
-            "rank": F.when(F.col("rank").isNull() & chosen, i).otherwise(F.col("rank"))}).drop("_b"))
-    return pool.where(F.col("rank").isNotNull())
+    return F.min_by(described, F.struct(-rnd("gain", 9), -rnd("score", 9), "cid")).alias("b")
+
+
+def _ninth(x: float) -> float:
+    """``rnd(x, 9)`` of a number."""
+    return math.copysign(math.floor(abs(x) * 1e9 + 0.5), x) / 1e9
+
+
+def _literal(value, kind) -> Column:
+    if isinstance(value, list):
+        parts = [F.struct(*[F.lit(v).alias(n) for n, v in zip(p.__fields__, p)]) for p in value]
+        return F.array(*parts).cast(kind)
+    return F.lit(value)
 
 
 def total_use(selected: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ...functions.numbers import rnd
 from ...runtime import cut_lineage
 from .spec import ViewSpec
 
@@ -121,16 +122,17 @@ def distributions(cell_rows: DataFrame, spec: ViewSpec, keep: DataFrame | None =
     """One row per scope: ``dist`` holds (label, value) sorted by label.
 
     Each cell serves once for every column that can be its breakdown. A sum over
-    rows without values is 0, an average over none is missing.
+    rows without values is 0, an average over none is missing. Averages are rounded to nine digits and sums
+    to four, so that equal values are equal in whatever order their rows were added up.
     """
     temporal = F.exists("pairs", _is_temporal(spec))
     at = F.when(temporal, F.array(F.size("pairs") - 1)).otherwise(F.sequence(F.lit(0), F.size("pairs") - 1))
     values = []
     for m in spec.measures:
         if m.agg == "avg":
-            v = F.when(F.col(f"c_{m.name}") > 0, F.col(f"s_{m.name}") / F.col(f"c_{m.name}"))
+            v = rnd(F.when(F.col(f"c_{m.name}") > 0, F.col(f"s_{m.name}") / F.col(f"c_{m.name}")), 9)
         else:
-            v = F.coalesce(F.col(f"s_{m.name}"), F.lit(0.0))
+            v = rnd(F.coalesce(F.col(f"s_{m.name}"), F.lit(0.0)), 4)
         values.append(v.alias(m.name))
     roles = cell_rows.where(F.size("pairs") > 0).select("pairs", *values, F.explode(at).alias("pos"))
     rows = roles.select(
