@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ...functions.stats import split_search, t_pvalue
+from ...functions.stats import split_search_sql, t_pvalue_sql
 
 CATEGORICAL = ("OUTSTANDING_1", "OUTSTANDING_LAST", "TOP_TWO", "LAST_TWO", "EVENNESS", "ATTRIBUTION")
 TEMPORAL = ("TREND", "OUTLIER", "SEASONALITY", "CHANGE_POINT", "UNIMODALITY")
@@ -129,9 +129,8 @@ def temporal(scopes: DataFrame) -> DataFrame:
         "rr": F.expr("aggregate(rk, 0D, (a, x) -> a + x * x)"), "tt": F.expr("n * (n * n - 1D) / 12D"),
         "rt": F.expr("aggregate(transform(rk, (x, i) -> x * (i + 1 - (n + 1) / 2D)), 0D, (a, x) -> a + x)")})
     p = p.withColumn("rho", F.expr("case when n >= 4 and rr > 0 then greatest(-1D, least(1D, try_divide(rt, sqrt(rr * tt)))) end"))
-    t = F.expr("case when abs(rho) < 1 then rho * sqrt(try_divide(greatest(n - 2, 0), (1 - rho) * (1 + rho))) end")
-    p = p.withColumn("trend_p", F.when(F.abs("rho") == 1, F.lit(0.0)).otherwise(
-        t_pvalue()(F.coalesce(t, F.lit(0.0)), F.greatest(F.col("n") - 2, F.lit(1)).cast("double"))))
+    p = p.withColumn("rho_t", F.expr("case when abs(rho) < 1 then rho * sqrt(try_divide(greatest(n - 2, 0), (1 - rho) * (1 + rho))) end"))
+    p = p.withColumn("trend_p", F.expr(f"case when abs(rho) = 1 then 0D when abs(rho) >= 0.5 then {t_pvalue_sql('rho_t', 'cast(n - 2 as double)')} end"))
 
     # Outliers beyond three deviations, at most a fifth of the points.
     far = "filter(pts, q -> round(abs(try_divide(q.value - xs_m, xs_s)), 9) > 3.0)"  # three deviations to the last digit are three
@@ -145,7 +144,7 @@ def temporal(scopes: DataFrame) -> DataFrame:
     season = F.coalesce(*[F.when(F.col(f"acf{k}") == F.col("acf"), F.lit(f"PERIOD_{k}")) for k in LAGS])
 
     # One change of level.
-    p = p.withColumn("cut", split_search()(F.when(F.col("n") >= 6, F.col("xs"))))
+    p = p.withColumn("cut", F.expr(split_search_sql("xs")))
 
     # One peak or valley, with at least 70 % of the steps leading to it and from it.
     p = p.withColumns({"peak": F.expr("array_position(xs, array_max(xs))"), "dip": F.expr("array_position(xs, array_min(xs))")})
@@ -163,7 +162,7 @@ def temporal(scopes: DataFrame) -> DataFrame:
         "OUTLIER": F.expr("case when size(far) > 0 and size(far) <= 0.2D * n then array_sort(transform(far, q -> "
                           "concat(q.label, ' ', if(q.value > xs_m, 'ABOVE', 'BELOW')))) end"),
         "SEASONALITY": F.when(F.col("acf").isNotNull(), F.array(season)),
-        "CHANGE_POINT": F.expr("case when cut.p < 0.01 and cut.at >= 0 then array(get(labels, cut.at)) end"),
+        "CHANGE_POINT": F.expr("case when cut is not null then array(get(labels, cut.at)) end"),
         "UNIMODALITY": shape,
     })
     return out.select(*scopes.columns, *TEMPORAL)

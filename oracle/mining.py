@@ -106,6 +106,34 @@ def texts(spec: ViewSpec, view: str) -> dict[str, str]:
     TREND = (f"{BASE}, {_POINTS}, {_RANKED} SELECT {_G}, CASE WHEN rho > 0 THEN 'INCREASING' ELSE 'DECREASING' END AS highlight FROM (SELECT {_G}, rho FROM rho WHERE abs(rho) >= "
              f"1 - 1e-12 UNION ALL SELECT {_G}, rho FROM ang WHERE 1 - CASE WHEN v % 2 = 1 THEN {_ODD} ELSE {_EVEN} END < 0.05) x")
 
+    # Change of level: Welch's test of every split; the two-sided probability is an incomplete beta function, whose
+    # continued fraction takes a step per round of the recursion.
+    def _welch() -> str:
+        first, rest = "ROWS UNBOUNDED PRECEDING", "ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING"
+        parts = ", ".join(f"{f}({x}) OVER ({w} {r}) AS {f}{n}{s}" for s, r in (("a", first), ("b", rest)) for f, x, n in (("SUM", "x", "1"), ("SUM", "x * x", "2"), ("MIN", "x", ""), ("MAX", "x", ""))
+                          for w in (f"PARTITION BY {_G} ORDER BY i",))
+        sums = f"sm AS (SELECT *, {parts}, LEAD(label) OVER (PARTITION BY {_G} ORDER BY i) AS next FROM (SELECT *, value - AVG(value) OVER (PARTITION BY {_G}) AS x FROM pt WHERE n >= 6) y)"
+        var = "CASE WHEN MIN{s} = MAX{s} THEN 0 ELSE GREATEST(SUM2{s} - SUM1{s} * SUM1{s} / {k}, 0) / ({k} - 1.0) END / {k}"
+        sides = (f"sd AS (SELECT {_G}, i, n, next, SUM1a / i - SUM1b / (n - i) AS d, {var.format(s='a', k='i')} AS va, {var.format(s='b', k='(n - i)')} AS vb "
+                 "FROM sm WHERE i BETWEEN 3 AND n - 3)")
+        tests = (f"tt AS (SELECT {_G}, i, next, CASE WHEN va + vb > 0 THEN abs(d) / sqrt(va + vb) WHEN d <> 0 THEN 1e300 END AS t, CASE WHEN va + vb > 0 THEN (va + vb) ** 2 / (va ** 2 / (i - 1) "
+                 "+ vb ** 2 / (n - i - 1)) ELSE 1 END AS df FROM sd)")
+        args = (f"ag AS (SELECT *, x > (a + 1) / (a + 2.5) AS flip FROM (SELECT {_G}, i, next, t, df / 2 AS a, df / (df + t * t) AS x, t * t / (df + t * t) AS y FROM tt WHERE t > 2.5758 AND t < 1e299) z)")
+        start = ("cf AS (SELECT *, 0 AS m, CAST(1 AS DOUBLE) AS c, 1 / (1 - (p + q) * u / (p + 1)) AS f, 1 / (1 - (p + q) * u / (p + 1)) AS h FROM (SELECT *, CASE WHEN flip THEN 0.5 ELSE a END AS p, "
+                 "CASE WHEN flip THEN a ELSE 0.5 END AS q, CASE WHEN flip THEN y ELSE x END AS u FROM ag) z")
+        keep = f"{_G}, i, next, t, a, x, y, flip"
+        even, odd = "(m + 1) * (q - m - 1) * u / ((p + 2 * m + 1) * (p + 2 * m + 2))", "-(p + m + 1) * (p + q + m + 1) * u / ((p + 2 * m + 2) * (p + 2 * m + 3))"
+        again = (f"UNION ALL SELECT {keep}, p, q, u, m + 1, 1 + o / c1, 1 / (1 + o * f1), h1 * (1 + o / c1) / (1 + o * f1) FROM (SELECT *, 1 + e / c AS c1, 1 / (1 + e * f) AS f1, h * (1 + e / c) / (1 + e * f) AS h1 "
+                 f"FROM (SELECT {keep}, p, q, u, m, c, f, h, {even} AS e, {odd} AS o FROM cf WHERE m < 60) z) z)")
+        start = start.replace("SELECT *, 0 AS m", f"SELECT {keep}, p, q, u, 0 AS m")
+        front = "exp(lgamma(a + 0.5) - lgamma(a) - lgamma(0.5) + a * ln(x) + 0.5 * ln(y)) * h / p"
+        return (f"{_POINTS}, {sums}, {sides}, {tests}, {args}, {start} {again}, pv AS (SELECT {_G}, i, next, CASE WHEN flip THEN 1 - {front} ELSE {front} END AS p FROM cf WHERE m = 60 "
+                f"UNION ALL SELECT {_G}, i, next, 0 FROM tt WHERE t >= 1e299)")
+
+    CHANGE = (f"{BASE.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_welch()} SELECT {_G}, next AS highlight FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {_G} ORDER BY ROUND(ln(GREATEST(p, 1e-300)), 6), i) AS k FROM pv WHERE p < 0.01) x WHERE k = 1")
+    _TIMED = "timed AS (" + " UNION ALL ".join(f"SELECT {_G}, '{t}' AS type FROM ({q}) z" for t, q in (
+        ("TREND", TREND), ("OUTLIER", OUTLIER), ("SEASONALITY", SEASON), ("CHANGE_POINT", CHANGE), ("UNIMODALITY", UNIMODAL))) + ")"
+
     # Sibling groups on categorical breakdowns.
     _B2 = "COALESCE({d} || '=' || {v}, '{{*}}')"
     MEMBER = (
@@ -199,6 +227,12 @@ def texts(spec: ViewSpec, view: str) -> dict[str, str]:
         "M8_three_way_label": f"{BASE}, {LISTS}, {HITS} SELECT s.subspace, s.breakdown, s.measure, CASE WHEN COUNT(CASE WHEN h.type = 'EVENNESS' THEN 1 END) > 0 THEN 'EVENNESS' WHEN "
                               "COUNT(h.type) > 0 THEN 'OTHER_PATTERN' ELSE 'NO_PATTERN' END AS label FROM (SELECT DISTINCT subspace, breakdown, measure FROM dist WHERE NOT is_temporal) s "
                               "LEFT JOIN hit h ON h.subspace = s.subspace AND h.breakdown = s.breakdown AND h.measure = s.measure GROUP BY 1, 2, 3",
+        "M7_type_eligibility": f"{BASE}, {LISTS}, {HITS}, {_TIMED} SELECT is_temporal, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM (SELECT FALSE AS is_temporal, type FROM hit "
+                               "UNION ALL SELECT TRUE, type FROM timed) x GROUP BY 1",
+        "M8_three_way_label_in_time": f"{BASE}, {_TIMED} SELECT s.subspace, s.breakdown, s.measure, CASE WHEN COUNT(CASE WHEN h.type = 'OUTLIER' THEN 1 END) > 0 THEN 'OUTLIER' WHEN COUNT(h.type) > 0 "
+                                      "THEN 'OTHER_PATTERN' ELSE 'NO_PATTERN' END AS label FROM (SELECT DISTINCT subspace, breakdown, measure FROM dist WHERE is_temporal) s LEFT JOIN timed h "
+                                      "ON h.subspace = s.subspace AND h.breakdown = s.breakdown AND h.measure = s.measure GROUP BY 1, 2, 3",
+        "M6_10_change_point": f"SELECT * FROM ({CHANGE}) z",
         "M6_7_trend": TREND,
         "M6_8_outlier": OUTLIER,
         "M6_9_seasonality": SEASON,

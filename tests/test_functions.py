@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortline.functions import derive
 from cohortline.functions.numbers import parse_number, pct, rnd, safe_div
-from cohortline.functions.stats import best_splits, t_two_sided
+from cohortline.functions.stats import best_splits, split_search_sql, t_pvalue_sql, t_two_sided
 from cohortline.functions.text import normalise
 
 
@@ -70,3 +70,17 @@ def test_best_split_matches_a_plain_search():
             assert a == best[1] and q == pytest.approx(best[0], rel=1e-6)
         else:
             assert a == -1
+
+
+def test_probabilities_and_splits_in_the_jvm(spark):
+    rng = np.random.default_rng(1)
+    t, df = rng.normal(0, 4, 500), rng.uniform(0.7, 90, 500)
+    rows = [(float(a), float(b)) for a, b in zip(t, df)] + [(0.0, 3.0), (1e9, 2.0), (-1e9, 2.0)]
+    got = np.array([r.p for r in spark.createDataFrame(rows, "t double, df double").selectExpr(f"{t_pvalue_sql('t', 'df')} AS p").collect()])
+    assert np.allclose(got[:500], t_two_sided(t, df), rtol=1e-9, atol=0) and got[500] == 1 and (got[501:] < 1e-15).all()
+    series = [(rng.normal(0, 1, n) + np.where(np.arange(n) > n // 2, rng.choice([0, 0, 2, 5]), 0)).tolist() for n in rng.integers(3, 60, 150)]
+    series += [[1.0] * 10, [0.0] * 3 + [5.0] * 3, [0.0, 0.0, 0.0, 1.0, 3.0, 1.0, 0.0, 0.0, 0.0], [1.0] * 4 + [2.0] * 4 + [3.0], []]
+    found = spark.createDataFrame([(x,) for x in series], "xs array<double>").selectExpr(f"{split_search_sql('xs')} AS c").collect()
+    for x, r in zip(series, found):
+        at, p = best_splits(np.array([x])) if len(x) >= 6 else ([-1], [1.0])
+        assert (r.c is None and at[0] == -1) or (r.c["at"] == at[0] and abs(r.c["p"] - p[0]) < 1e-9)

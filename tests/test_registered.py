@@ -30,7 +30,7 @@ def registered():
 
 #: Statuses of written files, sampling, t tests, ranking, figures and sentences; tested against brute force elsewhere in this folder.
 WITHOUT_SQL = {
-    "S7_candidate_json", "S8_materialised_dashboards", "Q8b_sample", "M6_10_change_point", "M7_type_eligibility", "M8_three_way_label_in_time",
+    "S7_candidate_json", "S8_materialised_dashboards", "Q8b_sample", 
     "M16_district_month_mined", "M16_beneficiary_journey_mined", "M16_claims_lifecycle_mined", "M22_figures", "M23_summaries", "O0_additivity_guard",
 }
 #: Their parameters do not occur in the smallest tables.
