@@ -1,9 +1,9 @@
 """Two tokenizers' tokens of the same text, aligned.
 
 Method: diagonal run skipping. Both token sequences spell the same bytes, so each is known by the byte offsets at
-which its tokens end. At the current shift between the two indices, stretches of 1, 2, 4, ... ends are compared as a whole;
+which its tokens end. At the current shift between the two indices, stretches of 8, 16, 32, ... ends are compared as a whole;
 as long as they agree, each A token is exactly one B token, and the stretch is jumped. Where they stop agreeing, the
-stretch is halved down to the first difference, the irregular group there is resolved token by token until both end at
+stretch is halved down to the few ends that hold the first difference, the irregular group there is resolved token by token until both end at
 the same byte, and the shift is what this group leaves. Groups, and all pairs of tokens whose bytes overlap, come out of this one walk.
 
 How many documents hold a pair linked is counted over the corpus: tasks count the pairs of all their documents, the
@@ -13,7 +13,9 @@ sums are combined by Spark. The counts go back to the documents in two ways: the
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from cohortline.llm import common
 from cohortline.llm.packing import Encoder
 
+SHORT = 8  # ends of the first stretch
 HEAD = 1 << 17  # pairs that are broadcast: 2.2 MB
 HELD = 1 << 20  # distinct pairs that a task counts before it passes them on
 ALIGNED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")],
@@ -73,17 +76,23 @@ def stretches(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, list[
     i = j = 0
     n = len(a)
     while i < n:
-        first, width = i, 1
-        while i < n and a[i:i + width] == b[j:j + width]:
+        first, width = i, SHORT
+        while a[i:i + width] == b[j:j + width]:
             step = min(width, n - i)
             i += step
             j += step
+            if i == n:
+                break
             width *= 2
-        while width > 1 and i < n:
-            width //= 2
-            if a[i:i + width] == b[j:j + width]:
-                i += width
-                j += width
+        else:
+            while width > SHORT:
+                width //= 2
+                if a[i:i + width] == b[j:j + width]:
+                    i += width
+                    j += width
+            while a[i] == b[j]:  # the first difference lies within the next few
+                i += 1
+                j += 1
         if i > first:
             yield first, j - (i - first), i - first, [], []
         if i < n:
@@ -102,40 +111,51 @@ def stretches(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, list[
             i, j = p + 1, q + 1
 
 
-def aligned(ids_a: list[int], ids_b: list[int], spelt_a: list[bytes], spelt_b: list[bytes], names_a: list[str], names_b: list[str],
-            whole: bytes) -> tuple[list[str], np.ndarray] | None:
+class Vocabulary:
+    """What the alignment needs of each id, looked up rather than made: its bytes, their number and the id as text."""
+
+    def __init__(self, spelt: list[bytes]):
+        self.spelt = spelt
+        self.size = np.fromiter(map(len, spelt), np.int64, len(spelt))
+        self.name = [str(i) for i in range(len(spelt))]
+        self.open = [f"{i}|" for i in range(len(spelt))]
+
+
+def aligned(ids_a: list[int], ids_b: list[int], one: Vocabulary, other: Vocabulary, whole: bytes) -> tuple[list[str], np.ndarray] | None:
     """Groups as ``a1,a2|b1`` and links as ``a << 32 | b``, one for each overlapping pair; None where the tokens do not spell ``whole``."""
-    said_a, said_b = [spelt_a[i] for i in ids_a], [spelt_b[i] for i in ids_b]
-    if not ids_a or not ids_b or b"".join(said_a) != whole or b"".join(said_b) != whole:
+    if not ids_a or not ids_b or b"".join(map(one.spelt.__getitem__, ids_a)) != whole or b"".join(map(other.spelt.__getitem__, ids_b)) != whole:
         return None
-    a = np.cumsum(np.fromiter(map(len, said_a), np.int64, len(said_a))).tolist()
-    b = np.cumsum(np.fromiter(map(len, said_b), np.int64, len(said_b))).tolist()
-    text_a, text_b = [names_a[i] for i in ids_a], [names_b[i] for i in ids_b]
+    own_a, own_b = np.asarray(ids_a), np.asarray(ids_b)
+    a, b = np.cumsum(one.size[own_a]).tolist(), np.cumsum(other.size[own_b]).tolist()
     groups: list[str] = []
+    runs: list[tuple[int, int, int]] = []
     at_a: list[int] = []
     at_b: list[int] = []
     for i, j, k, links_a, links_b in stretches(a, b):
         if k:
-            groups.extend(map("|".join, zip(text_a[i:i + k], text_b[j:j + k])))
-            at_a.extend(range(i, i + k))
-            at_b.extend(range(j, j + k))
+            groups += map(add, map(one.open.__getitem__, ids_a[i:i + k]), map(other.name.__getitem__, ids_b[j:j + k]))
+            runs.append((i, j, k))
         else:
-            groups.append(",".join(text_a[i:links_a[-1] + 1]) + "|" + ",".join(text_b[j:links_b[-1] + 1]))
+            groups.append(",".join(map(one.name.__getitem__, ids_a[i:links_a[-1] + 1])) + "|" + ",".join(map(other.name.__getitem__, ids_b[j:links_b[-1] + 1])))
             at_a += links_a
             at_b += links_b
-    own_a, own_b = np.asarray(ids_a, np.uint64)[at_a], np.asarray(ids_b, np.uint64)[at_b]
-    return groups, own_a << np.uint64(32) | own_b
+    first_a, first_b, many = np.asarray(runs, np.int64).reshape(-1, 3).T
+    step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    place_a = np.concatenate([np.repeat(first_a, many) + step, np.asarray(at_a, np.int64)])
+    place_b = np.concatenate([np.repeat(first_b, many) + step, np.asarray(at_b, np.int64)])
+    return groups, own_a[place_a].astype(np.uint64) << np.uint64(32) | own_b[place_b].astype(np.uint64)
 
 
 def _alignments(first: str, second: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, other = ByteLevel(first), Pieces(second)
-        names_a, names_b = [str(i) for i in range(len(one.spelt))], [str(i) for i in range(len(other.spelt))]
+        first_words, second_words = Vocabulary(one.spelt), Vocabulary(other.spelt)
+        gc.freeze()  # the vocabularies stay as they are: no need to look through them again and again
         for part, raw in common.chunks(batches, "text", 1 << 18):
             texts = [t.decode() for t in raw]
             columns: dict[str, list] = {f.name: [] for f in list(ALIGNED)[2:]}
             for text, ids_a, ids_b in zip(raw, one.encode(texts), other.encode(texts)):
-                found = aligned(ids_a, ids_b, one.spelt, other.spelt, names_a, names_b, b" " + text) if text else None
+                found = aligned(ids_a, ids_b, first_words, second_words, b" " + text) if text else None
                 groups, links = found or ([], np.empty(0, np.uint64))
                 pairs, times = np.unique(links, return_counts=True)
                 values = (len(ids_a) if found else 0, len(ids_b) if found else 0, len(groups), len(links), ";".join(groups),

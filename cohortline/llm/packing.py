@@ -26,6 +26,7 @@ PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.
                    ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 PIECE_DDL = "doc_id long, start long, length long, tokens binary, doc_tokens long, sequence_id long, offset long"
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
+BEYOND = re.compile("[^\x00-\u024f]")
 LONG_SPACE = 1 << 14  # white space from which on the quick path is not tried
 BLOCK = 2048  # rests of documents that are balanced against each other
 
@@ -83,7 +84,7 @@ class Encoder:
         return out
 
     def quickly(self, text: str) -> bool:
-        return (self.quick is not None and (text.isascii() or max(text) < "ɐ") and (self.plain or not any(s in text for s in self.special))
+        return (self.quick is not None and not BEYOND.search(text) and (self.plain or not any(s in text for s in self.special))
                 and (len(text) < LONG_SPACE or all(m.end() - m.start() < LONG_SPACE for m in re.finditer(r"\s{2,}", text))))
 
     def __call__(self, text: str) -> list[int]:
