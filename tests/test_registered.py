@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import re
+import shutil
+import subprocess
+import sys
 
 import pytest
 
@@ -44,6 +47,18 @@ def test_every_query_but_the_named_ones_has_sql(registered):
     assert {k for k in queries if k not in sqls and not CORPUS.match(k)} == WITHOUT_SQL
 
 
+def test_core_is_registered_without_the_corpus_operators(tmp_path, registered):
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    for folder in ("cohortline", "workload", "oracle"):
+        shutil.copytree(os.path.join(root, folder), tmp_path / folder, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for file in ("__spark_entry__.py", "corpus_pipeline.py"):
+        shutil.copy(os.path.join(root, file), tmp_path)
+    code = "import __spark_entry__ as e; print(*e.queries()); print(*e.oracle_sql())"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True).stdout.splitlines()
+    queries, sqls, _ = registered
+    assert [set(x.split()) for x in said[-2:]] == [{k for k in names if not CORPUS.match(k)} for names in (queries, sqls)]
+
+
 def test_entry_returns_rows(spark):
     df = entry.entry(spark)
     assert df.columns[:2] == ["district_name", "division_name"] and df.count() > 0
