@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut_lineage
 
-BLOCK = 4096  # names of a block, about
+TIGHT = 0.9  # names with a match this close are settled before looser matches are looked for
+HINTS = 3  # suggestions, and the rarest bigrams of a name that they come from
+NAME = ["entity_type", "norm"]
 
 
 def registry(columns: dict[str, tuple[DataFrame, str]], fixed: dict[str, list[str]] | None = None) -> DataFrame:
@@ -37,53 +38,103 @@ WHOLE_STATE = ("up", "uttar pradesh", "state", "all", "entire state")
 PLACES = ("district", "district_2", "block", "division", "division_2")
 
 
+def bigrams(text: Column) -> Column:
+    """Pairs of neighbouring signs, with a mark before the first and one after the last."""
+    marked = F.concat(F.lit("^"), text, F.lit("$"))
+    return F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.substring(marked, i, F.lit(2)))
+
+
+def _counted(held: DataFrame) -> DataFrame:
+    """How many names of a type hold each bigram."""
+    return held.select("entity_type", F.explode(F.array_distinct(bigrams(F.col("norm")))).alias("gram")).groupBy(
+        "entity_type", "gram").agg(F.count(F.lit(1)).alias("held"))
+
+
+def _by_rarity(names: DataFrame, counted: DataFrame) -> DataFrame:
+    """A row per bigram of a name and its position, numbered within the name from the rarest on."""
+    order = Window.partitionBy(*NAME).orderBy("held", "gram", "at")
+    return names.select(*NAME, F.posexplode(bigrams(F.col("norm"))).alias("at", "gram")).join(counted, ["entity_type", "gram"], "left").withColumn(
+        "held", F.coalesce("held", F.lit(0))).withColumn("place", F.row_number().over(order))
+
+
+def _alike(asked: DataFrame, held: DataFrame, share: Column) -> DataFrame:
+    """Pairs of an asked and a held name at least ``share`` alike, none missed.
+
+    An edit changes two bigrams, so two names k edits apart have one in common among the 2k + 1
+    rarest of each, k places apart at most. Only names that meet in this way are compared.
+    """
+    def edits(length: Column) -> Column:
+        return F.floor((1 - share) * length + 1e-6)
+
+    first = F.col("place") <= 2 * edits(F.length("norm") / share) + 1
+    a = asked.where(first & (F.col("held") > 0)).select("entity_type", "norm", "gram", F.col("at").alias("at_a"))
+    b = held.where(first).select("entity_type", "gram", F.col("norm").alias("other"), F.col("at").alias("at_b"))
+    k = edits(F.greatest(F.length("norm"), F.length("other")))
+    met = a.join(b, ["entity_type", "gram"]).where((F.abs(F.col("at_a") - F.col("at_b")) <= k) & (
+        F.abs(F.length("norm") - F.length("other")) <= k)).select("entity_type", "norm", "other").distinct()
+    return met.withColumn("sim", F.round(similarity(F.col("norm"), F.col("other")), 9)).where(F.col("sim") * 100 >= share * 100)
+
+
+def _hints(asked: DataFrame, held: DataFrame, values: DataFrame) -> DataFrame:
+    """Of the values that hold one of a name's rarest known bigrams those that share most bigrams with it."""
+    rare = asked.where(F.col("held") > 0).groupBy(*NAME).agg(F.slice(F.array_sort(F.collect_set(F.struct("held", "gram"))), 1, HINTS).alias("rare"))
+    met = rare.select(*NAME, F.explode("rare.gram").alias("gram")).join(
+        held.select("entity_type", "gram", F.col("norm").alias("other")), ["entity_type", "gram"]).select(*NAME, "other").distinct()
+    shared = F.size(F.array_intersect(bigrams(F.col("norm")), bigrams(F.col("other"))))
+    best = Window.partitionBy(*NAME).orderBy(F.desc("shared"), "other")
+    top = met.withColumn("shared", shared).withColumn("rk", F.row_number().over(best)).where(F.col("rk") <= HINTS)
+    return top.join(values, ["entity_type", "other"]).groupBy(*NAME).agg(F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct("rk", "value"))), lambda r: r["value"]), ";").alias("hints"))
+
+
 def resolve_entities(raw: DataFrame, values: DataFrame, aliases: dict[str, dict[str, str]] | None = None,
-                     cutoffs: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
+                     cutoffs: dict[str, float] | None = None) -> DataFrame:
     """``(entity_type, raw, resolved, confidence, suggestions)``, a row per distinct ``(entity_type, raw)`` of ``raw``.
 
     ``values`` is a registry of (entity_type, value). Exact matches (ignoring case and surrounding
-    space) and the type's aliases are joins. Only what they leave is compared by spelling, with
-    one block of its type's registry at a time, each of which passes on its three
-    best. ``cutoffs`` are in percent and by type (85 where none is given). Words for the whole state
-    are refused for places.
+    space) and the type's aliases are joins. What they leave meets by its rarest bigrams the names
+    that can be near enough: first those at least ``TIGHT`` alike, then, for names without one,
+    those down to the cut-off. ``cutoffs`` are in percent, 50 at least, and by type (85 where none
+    is given). A name that matches nothing gets up to three suggestions by shared bigrams. Words
+    for the whole state are refused for places.
     """
     cutoffs = CUTOFFS if cutoffs is None else cutoffs
-    names = values.select("entity_type", "value").distinct()
+    if any(percent < 50 for percent in cutoffs.values()):
+        raise ValueError("names less than half alike need not share a bigram: give a cut-off of 50 at least")
     asked = raw.select("entity_type", "raw").where(F.col("raw").isNotNull()).distinct().withColumn("norm", F.lower(F.trim("raw")))
-    key = ["entity_type", "norm"]
-    exact = names.groupBy("entity_type", F.lower("value").alias("norm")).agg(F.min("value").alias("exact"))
-    found = asked.join(exact, key, "left")
+    exact = values.where(F.col("value").isNotNull()).groupBy("entity_type", F.lower("value").alias("norm")).agg(F.min("value").alias("exact"))
+    found = asked.join(exact, NAME, "left")
     told = [(kind, k.lower(), v) for kind, table in (aliases or {}).items() for k, v in table.items()]
     other = raw.sparkSession.createDataFrame(told, "entity_type string, norm string, alias string")
     state = F.col("entity_type").isin(*PLACES) & F.col("norm").isin(*WHOLE_STATE)
-    found = cut_lineage(found.join(other, key, "left").withColumn("refused", F.coalesce(state, F.lit(False))))
+    found = cut_lineage(found.join(other, NAME, "left").withColumn("refused", F.coalesce(state, F.lit(False))))
     known = found.where(F.col("refused") | F.col("exact").isNotNull() | F.col("alias").isNotNull()).select(
         "entity_type", "raw", F.when(~F.col("refused"), F.coalesce("exact", "alias")).alias("resolved"),
         F.when(F.col("refused"), "refused").when(F.col("exact").isNotNull(), "exact").otherwise("alias").alias("confidence"),
         F.lit(None).cast("string").alias("suggestions"))
 
     rest = found.where(~F.col("refused") & F.col("exact").isNull() & F.col("alias").isNull()).select("entity_type", "raw", "norm")
-    sizes = names.groupBy("entity_type").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
-    dealt = names.join(sizes, "entity_type").withColumn("_b", F.pmod(F.xxhash64("value"), F.col("_blocks")).cast("int")).drop("_blocks")
-    met = rest.join(sizes, "entity_type").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).join(dealt, ["entity_type", "_b"])
-    scored = met.select("entity_type", "raw", "value", F.round(similarity(F.col("norm"), F.lower("value")), 9).alias("sim"))
-    best = Window.partitionBy("entity_type", "raw").orderBy(F.desc("sim"), "value")
-    three = scored.withColumn("rk", F.row_number().over(best)).where(F.col("rk") <= 3).groupBy("entity_type", "raw").agg(
-        F.max(F.when(F.col("rk") == 1, F.col("sim"))).alias("sim"), F.max(F.when(F.col("rk") == 1, F.col("value"))).alias("value"),
-        F.array_sort(F.collect_list(F.struct("rk", "value"))).alias("best"))
+    names = cut_lineage(exact)
+    counted = _counted(names)
+    held = cut_lineage(_by_rarity(names.select(*NAME), counted))
+    open_ = cut_lineage(_by_rarity(rest.select(*NAME).distinct(), counted))
     cutoff = F.lit(85.0)
     for kind, percent in cutoffs.items():
         cutoff = F.when(F.col("entity_type") == kind, float(percent)).otherwise(cutoff)
-    near = F.coalesce((cutoff < 100) & (F.col("sim") * 100 >= cutoff), F.lit(False))
-    spelled = rest.join(three, ["entity_type", "raw"], "left").select(
-        "entity_type", "raw", F.when(near, F.col("value")).alias("resolved"), F.when(near, "fuzzy").otherwise("unmatched").alias("confidence"),
-        F.when(~near, F.coalesce(F.array_join(F.transform("best", lambda b: b["value"]), ";"), F.lit(""))).alias("suggestions"))
+    fuzzy, share = cutoff < 100, cutoff / 100
+    near = cut_lineage(_alike(open_.where(fuzzy), held, F.greatest(share, F.lit(TIGHT))))
+    loose = _alike(open_.where(share < TIGHT).join(near, NAME, "left_anti"), held, share)
+    values_of = names.select("entity_type", F.col("norm").alias("other"), F.col("exact").alias("value"))
+    matched = near.unionByName(loose).join(values_of, ["entity_type", "other"]).groupBy(*NAME).agg(
+        F.min_by("value", F.struct(-F.col("sim"), F.col("value"))).alias("near"))
+    spelled = rest.join(matched, NAME, "left").join(_hints(open_, held, values_of), NAME, "left").select(
+        "entity_type", "raw", F.col("near").alias("resolved"), F.when(F.col("near").isNotNull(), "fuzzy").otherwise("unmatched").alias("confidence"),
+        F.when(F.col("near").isNull(), F.coalesce("hints", F.lit(""))).alias("suggestions"))
     return known.unionByName(spelled)
 
 
-def resolve(raw: DataFrame, column: str, values: DataFrame, aliases: dict[str, str] | None = None, cutoff: float = 0.8,
-            block: int = BLOCK) -> DataFrame:
+def resolve(raw: DataFrame, column: str, values: DataFrame, aliases: dict[str, str] | None = None, cutoff: float = 0.8) -> DataFrame:
     """``resolve_entities`` for a single type: one row per distinct value of ``column``, the cut-off as a share."""
     kind = F.lit("").alias("entity_type")
     return resolve_entities(raw.select(kind, F.col(column).alias("raw")), values.select(kind, "value"), {"": aliases or {}},
-                            {"": cutoff * 100}, block).drop("entity_type")
+                            {"": cutoff * 100}).drop("entity_type")

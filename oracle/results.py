@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from workload.results import ALIASES, GRID
+from cohortline.operators.resolve import CUTOFFS, PLACES, WHOLE_STATE
+from workload.results import ALIASES, ENTITY_ALIASES, FIXED_ENTITIES, GRID, HELD, WRITTEN
 
 from .catalogue import CARE, CD, SQL as CATALOGUE, summary
 from .model import complete, rounded
@@ -35,10 +36,36 @@ def _at(p: float) -> str:
     return f"(SELECT r[LEAST(n - 1, CAST(floor(n * {p}) AS BIGINT)) + 1] FROM ls)"
 
 
-_WRITTEN = ("(SELECT DISTINCT CASE c_custkey % 6 WHEN 0 THEN n_name WHEN 1 THEN ' ' || lower(n_name) || ' ' WHEN 2 THEN 'Seven' WHEN 3 THEN substr(n_name, 2, 20) WHEN 4 THEN n_name || 'x' ELSE c_mktsegment END "
+_WRITTEN = ("(SELECT DISTINCT 0 AS entity_type, CASE c_custkey % 6 WHEN 0 THEN n_name WHEN 1 THEN ' ' || lower(n_name) || ' ' WHEN 2 THEN 'Seven' WHEN 3 THEN substr(n_name, 2, 20) WHEN 4 THEN n_name || 'x' ELSE c_mktsegment END "
             "AS raw FROM customer JOIN nation ON c_nationkey = n_nationkey)")
-_SIM = "1 - levenshtein(lower(trim(raw)), lower(n_name)) / CAST(GREATEST(length(trim(raw)), length(n_name)) AS DOUBLE)"
-_ALIAS = "CASE lower(trim(raw)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ALIASES.items()) + " END"
+_ASKED = "(" + " UNION ALL ".join(f"SELECT DISTINCT '{kind}' AS entity_type, {said} AS raw FROM {table}" for kind, (table, said) in WRITTEN.items()) + ")"
+_HELD = ("(" + " UNION ALL ".join(f"SELECT DISTINCT '{kind}' AS entity_type, {column} AS value FROM {table} WHERE {column} IS NOT NULL" for kind, (table, column) in HELD.items())
+         + "".join(f" UNION ALL SELECT '{kind}', '{v}'" for kind, fixed in FIXED_ENTITIES.items() for v in fixed) + ")")
+
+
+def _grams(x: str) -> str:
+    return f"list_distinct([substr('^' || {x} || '$', i, 2) FOR i IN range(1, length({x}) + 2)])"
+
+
+def _resolved(asked: str, held: str, aliases: dict, cutoffs: dict) -> str:
+    """Every open name against every name of its type."""
+    alias = "CASE " + " ".join(f"WHEN entity_type = {k!r} AND norm = '{n.lower()}' THEN '{v}'" for k, table in aliases.items() for n, v in table.items()) + " END"
+    cutoff = "CASE entity_type " + " ".join(f"WHEN {k!r} THEN {v}" for k, v in cutoffs.items()) + " ELSE 85 END"
+    refused = f"entity_type IN {PLACES} AND norm IN {WHOLE_STATE}" if 0 not in cutoffs else "FALSE"
+    return (f"WITH w AS (SELECT *, lower(trim(raw)) AS norm FROM {asked} a WHERE raw IS NOT NULL), h AS (SELECT entity_type, lower(value) AS other, MIN(value) AS value, {_grams('lower(value)')} AS og "
+            f"FROM {held} v GROUP BY entity_type, lower(value)), x AS (SELECT w.*, value AS ex, {alias.replace('entity_type', 'w.entity_type')} AS al, {refused.replace('entity_type', 'w.entity_type')} AS refused FROM w LEFT JOIN h ON "
+            f"h.entity_type = w.entity_type AND other = norm), rest AS (SELECT entity_type, raw, norm, {_grams('norm')} AS g FROM x WHERE NOT refused AND ex IS NULL AND al IS NULL), "
+            "f AS (SELECT entity_type, raw, value, other, g, og, ROUND(1 - levenshtein(norm, other) / CAST(GREATEST(length(norm), length(other)) AS DOUBLE), 9) AS sim FROM rest JOIN h USING (entity_type)), "
+            f"m AS (SELECT entity_type, raw, arg_min(value, (-sim, value)) AS near FROM f WHERE {cutoff} < 100 AND sim * 100 >= {cutoff} GROUP BY ALL), "
+            "kn AS (SELECT entity_type, gram, COUNT(*) AS n FROM (SELECT entity_type, unnest(og) AS gram FROM h) u GROUP BY ALL), "
+            "ra AS (SELECT entity_type, raw, list(gram) AS rare FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY entity_type, raw ORDER BY n, gram) AS place FROM (SELECT entity_type, raw, unnest(g) AS gram FROM rest) u "
+            "JOIN kn USING (entity_type, gram)) p WHERE place <= 3 GROUP BY ALL), "
+            "s AS (SELECT entity_type, raw, string_agg(value, ';' ORDER BY rk) AS hints FROM (SELECT f.*, ROW_NUMBER() OVER (PARTITION BY entity_type, raw ORDER BY len(list_intersect(g, og)) DESC, other) AS rk FROM f JOIN ra "
+            "USING (entity_type, raw) WHERE list_has_any(og, rare)) q WHERE rk <= 3 GROUP BY ALL) "
+            "SELECT entity_type, raw, CASE WHEN NOT refused THEN COALESCE(ex, al, near) END AS resolved, CASE WHEN refused THEN 'refused' WHEN ex IS NOT NULL THEN 'exact' WHEN al IS NOT NULL THEN 'alias' WHEN near "
+            "IS NOT NULL THEN 'fuzzy' ELSE 'unmatched' END AS confidence, CASE WHEN NOT refused AND COALESCE(ex, al, near) IS NULL THEN COALESCE(hints, '') END AS suggestions FROM x LEFT JOIN m USING (entity_type, raw) "
+            "LEFT JOIN s USING (entity_type, raw)")
+
 
 def _zones(clear: float, margin: float) -> str:
     return (f"{_COS}, t AS (SELECT query_id, MAX(CASE WHEN rank = 1 THEN score END) AS first, MAX(CASE WHEN rank = 2 THEN score END) AS second FROM rk WHERE "
@@ -84,11 +111,8 @@ SQL = {
     "C6_crowding": f"{_COS} SELECT AVG(s) AS mean_same, MAX(s) AS max_same FROM (SELECT query_id, COUNT(CASE WHEN label = query_id THEN 1 END) AS s FROM rk WHERE rank <= 30 GROUP BY 1) x",
     "C7_zones": _zones(1.0, 0.02),
     "C7_zones_as_declared": _zones(0.5, 0.015),
-    "C8_resolve_names": f"WITH w AS {_WRITTEN}, x AS (SELECT raw, (SELECT MIN(n_name) FROM nation WHERE lower(n_name) = lower(trim(raw))) AS ex, {_ALIAS} AS al FROM w), f AS (SELECT raw, n_name, ROUND({_SIM}, 9) AS "
-                        f"sim, ROW_NUMBER() OVER (PARTITION BY raw ORDER BY ROUND({_SIM}, 9) DESC, n_name) AS rk FROM w, nation), b AS (SELECT raw, MAX(CASE WHEN rk = 1 THEN sim END) AS sim, MAX(CASE WHEN rk = 1 THEN "
-                        "n_name END) AS nm, string_agg(n_name, ';' ORDER BY rk) AS sg FROM f WHERE rk <= 3 GROUP BY 1) SELECT raw, CASE WHEN ex IS NOT NULL THEN ex WHEN al IS NOT NULL THEN al WHEN sim >= 0.8 THEN nm "
-                        "END AS resolved, CASE WHEN ex IS NOT NULL THEN 'exact' WHEN al IS NOT NULL THEN 'alias' WHEN sim >= 0.8 THEN 'fuzzy' ELSE 'unmatched' END AS confidence, CASE WHEN ex IS NULL AND al IS NULL AND "
-                        "sim < 0.8 THEN sg END AS suggestions FROM x JOIN b USING (raw)",
+    "C8_resolve_names": f"SELECT raw, resolved, confidence, suggestions FROM ({_resolved(_WRITTEN, '(SELECT 0 AS entity_type, n_name AS value FROM nation)', {0: ALIASES}, {0: 80})}) x",
+    "C8_resolve_entities": _resolved(_ASKED, _HELD, ENTITY_ALIASES, CUTOFFS),
     "C9_entity_registry": "SELECT DISTINCT 'district' AS entity_type, district_name AS value FROM hm_hospital UNION ALL SELECT DISTINCT 'division', division_name FROM hm_hospital UNION ALL SELECT DISTINCT 'specialty', "
                           "specialty_code FROM hm_specialty_offered UNION ALL SELECT DISTINCT 'hospital', hospital_name FROM hm_hospital UNION ALL SELECT 'month', CAST(i AS VARCHAR) FROM generate_series(1, 12) g(i)",
     "C10_date_range": summary("ccl", [CD], f"{CARE['district']} AND admission_datetime >= TIMESTAMP '1997-01-01' AND admission_datetime < TIMESTAMP '1998-01-01'", tat=True),

@@ -144,7 +144,7 @@ def test_nearest_site_by_rings_equals_brute_force(spark):
 def test_names_resolve_by_exact_alias_and_spelling(spark):
     raw = spark.createDataFrame([("Delhi",), (" delhi ",), ("dilli",), ("Dehli",), ("Mombai",), ("zzz",), (None,)], "n string")
     names = spark.createDataFrame([("Delhi",), ("Mumbai",), ("Pune",)], "value string")
-    got = {r["raw"]: (r["resolved"], r["confidence"]) for r in resolve.resolve(raw, "n", names, {"Dilli": "Delhi"}, 0.6, block=2).collect()}
+    got = {r["raw"]: (r["resolved"], r["confidence"]) for r in resolve.resolve(raw, "n", names, {"Dilli": "Delhi"}, 0.6).collect()}
     assert got == {"Delhi": ("Delhi", "exact"), " delhi ": ("Delhi", "exact"), "dilli": ("Delhi", "alias"), "Dehli": ("Delhi", "fuzzy"),
                    "Mombai": ("Mumbai", "fuzzy"), "zzz": (None, "unmatched")}
 
@@ -156,13 +156,39 @@ def test_entities_resolve_by_the_rules_of_their_type(spark):
                                  ("hospital", "City Care Hosp"), ("hospital_type", "Publik"), ("hospital_type", "govt"), ("planet", "Mars"), ("block", None)],
                                 "entity_type string, raw string")
     aliases = {"month": {"November": "11"}, "hospital_type": {"govt": "PUBLIC"}}
-    for block in (1, 100):
-        got = {(r["entity_type"], r["raw"]): (r["resolved"], r["confidence"]) for r in resolve.resolve_entities(raw, values, aliases, block=block).collect()}
-        # Merut is 5 of 6 letters (83 %), below the 85 of a district; a hospital needs 72; months and types of hospital have no fuzzy step
-        assert got == {("district", "agra"): ("Agra", "exact"), ("district", "Merut"): (None, "unmatched"), ("district", "UP"): (None, "refused"),
-                       ("district", "Mxrxxt"): (None, "unmatched"), ("month", "111"): (None, "unmatched"), ("month", "november"): ("11", "alias"),
-                       ("hospital", "City Care Hosp"): ("City Care Hospital", "fuzzy"), ("hospital_type", "Publik"): (None, "unmatched"),
-                       ("hospital_type", "govt"): ("PUBLIC", "alias"), ("planet", "Mars"): (None, "unmatched")}
+    rows = resolve.resolve_entities(raw, values, aliases).collect()
+    got = {(r["entity_type"], r["raw"]): (r["resolved"], r["confidence"]) for r in rows}
+    # Merut is 5 of 6 letters (83 %), below the 85 of a district; a hospital needs 72; months and types of hospital have no fuzzy step
+    assert got == {("district", "agra"): ("Agra", "exact"), ("district", "Merut"): (None, "unmatched"), ("district", "UP"): (None, "refused"),
+                   ("district", "Mxrxxt"): (None, "unmatched"), ("month", "111"): (None, "unmatched"), ("month", "november"): ("11", "alias"),
+                   ("hospital", "City Care Hosp"): ("City Care Hospital", "fuzzy"), ("hospital_type", "Publik"): (None, "unmatched"),
+                   ("hospital_type", "govt"): ("PUBLIC", "alias"), ("planet", "Mars"): (None, "unmatched")}
+    assert {(r["entity_type"], r["raw"]): r["suggestions"] for r in rows if r["confidence"] == "unmatched"} == {
+        ("district", "Merut"): "Meerut", ("district", "Mxrxxt"): "Meerut", ("month", "111"): "11;12", ("hospital_type", "Publik"): "PUBLIC", ("planet", "Mars"): ""}
+    with pytest.raises(ValueError, match="50"):
+        resolve.resolve_entities(raw, values, cutoffs={"district": 49})
+
+
+def test_bigram_filter_misses_no_similar_name(spark):
+    rng = random.Random(5)
+    held = sorted({"".join(rng.choices("abc", k=rng.randint(0, 9))) for _ in range(150)})
+    asked = sorted({"".join(rng.choices("abcd", k=rng.randint(0, 9))) for _ in range(150)} | {"", "d" * 40})
+    values = spark.createDataFrame([("t", v) for v in held], "entity_type string, value string")
+    raw = spark.createDataFrame([("t", v) for v in asked], "entity_type string, raw string")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    for percent in (50, 72, 85, 95):
+        got = {r["raw"]: r["resolved"] for r in resolve.resolve_entities(raw, values, cutoffs={"t": percent}).collect()}
+        for name in asked:
+            sim, best = min((-round(1 - distance(name, v) / max(len(name), len(v), 1), 9), v) for v in held)
+            assert got[name] == (best if -sim * 100 >= percent else None), (percent, name)
 
 
 def test_lineage_cuts_are_released(spark, tmp_path, monkeypatch):

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from cohortline.functions.geo import haversine_km
 from cohortline.functions.numbers import rnd
-from cohortline.operators import coverage, resolve, retrieval, tableops
+from cohortline.operators import coverage, quality, resolve, retrieval, tableops
 from cohortline.plans.catalogue import ask
+from cohortline.sources import schema
 from oracle.catalogue import PARAMS
 
 from .common import Query, bound
@@ -98,6 +99,32 @@ def spelled(t):
     return joined.select(text.alias("written"))
 
 
+#: Names as people write them, by type: the table, and what is written in its rows (the same text for both engines).
+WRITTEN = {
+    "hospital": ("hm_hospital", "CASE total_bed_strength % 5 WHEN 0 THEN ' ' || lower(hospital_name) || ' ' WHEN 1 THEN substr(hospital_name, 2, 40) WHEN 2 THEN "
+                                "replace(hospital_name, 'Supplier', 'The suplier') WHEN 3 THEN 'Clinic of ' || hospital_name ELSE hospital_name END"),
+    "district": ("hm_hospital", "CASE total_bed_strength % 4 WHEN 0 THEN district_name || 'x' WHEN 1 THEN substr(district_name, 2, 40) WHEN 2 THEN lower(district_name) ELSE 'All' END"),
+    "block": ("bm_household", "CASE WHEN home_block_name LIKE '%0 %' THEN replace(home_block_name, 'I', 'Y') WHEN home_block_name LIKE '%1 %' THEN 'seat of ' || home_block_name "
+                              "ELSE substr(home_block_name, 3, 60) END"),
+    "division": ("hm_hospital", "CASE total_bed_strength % 3 WHEN 0 THEN division_name || 'S' WHEN 1 THEN 'Entire State' ELSE upper(division_name) END"),
+    "specialty": ("hm_specialty_offered", "CASE WHEN specialty_code IN ('SP1', 'SP2') THEN 'Cardiology' WHEN specialty_code = 'SP3' THEN 'SP3x' ELSE lower(specialty_code) END"),
+    "claim_status": ("cm_claim", "CASE claim_status WHEN 'APPROVED' THEN 'approve' WHEN 'QUERY_RAISED' THEN 'query-raised' WHEN 'PENDING' THEN 'pendng' WHEN 'SETTLED' THEN "
+                                 "'setled ' ELSE 'lost' END"),
+    "hospital_type": ("hm_hospital", "CASE hospital_type WHEN 'PUBLIC' THEN 'govt' ELSE 'privat' END"),
+}
+ENTITY_ALIASES = {"specialty": {"cardiology": "SP1"}, "claim_status": {"Approve": "APPROVED"}, "hospital_type": {"govt": "PUBLIC"}}
+FIXED_ENTITIES = {"claim_status": schema.DOMAINS["cm_claim", "claim_status"], "hospital_type": schema.DOMAINS["hm_hospital", "hospital_type"]}
+HELD = {"district": ("hm_hospital", "district_name"), "division": ("hm_hospital", "division_name"), "block": ("bm_household", "home_block_name"),
+        "specialty": ("hm_specialty_offered", "specialty_code"), "hospital": ("hm_hospital", "hospital_name")}
+
+
+def resolved_entities(t):
+    """Written names of seven types against the registry of their type, by its cut-off and its aliases."""
+    raw = quality.stack([getattr(t, table).select(F.lit(kind).alias("entity_type"), F.expr(said).alias("raw")) for kind, (table, said) in WRITTEN.items()])
+    held = resolve.registry({kind: (getattr(t, table), column) for kind, (table, column) in HELD.items()}, FIXED_ENTITIES)
+    return resolve.resolve_entities(raw, held, ENTITY_ALIASES)
+
+
 def entity_registry(t):
     return resolve.registry({"district": (t.hm_hospital, "district_name"), "division": (t.hm_hospital, "division_name"),
                              "specialty": (t.hm_specialty_offered, "specialty_code"), "hospital": (t.hm_hospital, "hospital_name")},
@@ -145,6 +172,7 @@ def result_queries() -> dict[str, Query]:
         "C7_zones": b(lambda t: retrieval.zones(nearest(t, 2), clear=1.0, margin=0.02)),
         "C7_zones_as_declared": b(lambda t: retrieval.zones(nearest(t, 2))),
         "C8_resolve_names": b(lambda t: resolve.resolve(spelled(t), "written", t.nation.select(F.col("n_name").alias("value")), ALIASES)),
+        "C8_resolve_entities": b(resolved_entities),
         "C9_entity_registry": b(entity_registry),
         "C10_date_range": b(lambda t: ask(t, "T02", dates=("1997-01-01", "1997-12-31"), **params)),
     }
