@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.digest import digest
 from ..functions.numbers import rnd
 from ..runtime import cut_lineage
 from .quantiles import exact_quantiles
@@ -167,11 +168,12 @@ def order_violations(df: DataFrame, subject: str, bad: Column) -> DataFrame:
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
-def parity(old: DataFrame, new: DataFrame, keys: list[str], rtol: float = 1e-9, atol: float = 1e-6) -> DataFrame:
+def parity(old: DataFrame, new: DataFrame, keys: list[str], rtol: float = 1e-9, atol: float = 1e-6, buckets: int = 65536) -> DataFrame:
     """Row counts, columns, types and values by key of two copies of a table.
 
-    Numbers agree within ``atol + rtol * |new|``; null and NaN agree with
-    themselves. A key missing on one side counts as a difference of every column.
+    Numbers agree within ``atol + rtol * |new|``; null and NaN agree with themselves. A key missing on one side
+    counts as a difference of every column. Each side is digested by bucket of keys, numbers in steps of
+    half of ``atol``; only rows of buckets whose digests differ are joined and compared column by column.
     """
     spark = old.sparkSession
     a, b = dict(old.dtypes), dict(new.dtypes)
@@ -183,26 +185,37 @@ def parity(old: DataFrame, new: DataFrame, keys: list[str], rtol: float = 1e-9,
     if shape:
         out.append(spark.createDataFrame(shape, "check string, subject string, value double, passed boolean"))
     values = [c for c in shared if c not in keys]
-    left = old.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.lit(True).alias("in_old"),
-                      *[F.col(c).alias(f"o_{c}") for c in values])
-    right = new.select(*[F.col(k).alias(f"j{i}") for i, k in enumerate(keys)], F.lit(True).alias("in_new"),
-                       *[F.col(c).alias(f"n_{c}") for c in values])
-    on = reduce(lambda x, y: x & y, [F.col(f"k{i}").eqNullSafe(F.col(f"j{i}")) for i in range(len(keys))])
-    both = left.join(right, on, "full_outer")
+    numbers = {c for c in values if isinstance(old.schema[c].dataType, _NUMERIC) and isinstance(new.schema[c].dataType, _NUMERIC)}
+
+    def known(c: str) -> Column:
+        """A value as it is compared: numbers as doubles, NaN as null, all else as text."""
+        if c not in numbers:
+            return F.col(c).cast("string")
+        return F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+
+    def dealt(df: DataFrame, side: str) -> DataFrame:
+        names = [F.col(k).cast("string") for k in keys]
+        return df.select(F.pmod(F.xxhash64(*names), F.lit(buckets)).alias(f"{side}_bucket"), *[n.alias(f"{side}_key{i}") for i, n in enumerate(names)],
+                         F.lit(True).alias(f"in_{side}"), *[known(c).alias(f"{side}_{c}") for c in values])
+
+    def told(df: DataFrame, side: str) -> DataFrame:
+        steps = [F.round(F.col(f"{side}_{c}") / (atol / 2)) if c in numbers else F.col(f"{side}_{c}") for c in values]
+        return df.groupBy(F.col(f"{side}_bucket").alias("bucket")).agg(digest([*[F.col(f"{side}_key{i}") for i in range(len(keys))], *steps]).alias(side))
+
+    left, right = dealt(old, "old"), dealt(new, "new")
+    unequal = cut_lineage(told(left, "old").join(told(right, "new"), "bucket", "full_outer").where(~F.col("old").eqNullSafe(F.col("new"))).select("bucket"))
+    on = reduce(lambda x, y: x & y, [F.col(f"old_key{i}").eqNullSafe(F.col(f"new_key{i}")) for i in range(len(keys))])
+    both = left.join(unequal, left["old_bucket"] == unequal["bucket"], "left_semi").join(
+        right.join(unequal, right["new_bucket"] == unequal["bucket"], "left_semi"), on, "full_outer")
     alone = F.col("in_old").isNull() | F.col("in_new").isNull()
-    types = {f.name: f.dataType for f in old.schema.fields}
-    diffs = {}
+    diffs = []
     for c in values:
-        o, m = F.col(f"o_{c}"), F.col(f"n_{c}")
-        if isinstance(types[c], _NUMERIC) and isinstance(new.schema[c].dataType, _NUMERIC):
-            o, m = o.cast("double"), m.cast("double")
-            near = F.abs(o - m) <= F.lit(atol) + F.lit(rtol) * F.abs(m)
-            same = o.eqNullSafe(m) | F.coalesce(near, F.lit(False)) | (
-                (F.isnan(o) | o.isNull()) & (F.isnan(m) | m.isNull()))
-        else:
-            same = o.cast("string").eqNullSafe(m.cast("string"))
-        diffs[c] = F.count(F.when(alone | ~same, 1)).cast("double").alias(c)
-    rows = both.agg(*diffs.values()).unpivot([], values, "subject", "value")
+        o, m = F.col(f"old_{c}"), F.col(f"new_{c}")
+        same = o.eqNullSafe(m)
+        if c in numbers:
+            same = same | F.coalesce(F.abs(o - m) <= F.lit(atol) + F.lit(rtol) * F.abs(m), F.lit(False))
+        diffs.append(F.count(F.when(alone | ~same, 1)).cast("double").alias(c))
+    rows = both.agg(*diffs).unpivot([], values, "subject", "value")
     out.append(rows.select(F.lit("value").alias("check"), "subject", "value", (F.col("value") == 0).alias("passed")))
     return stack(out)
 

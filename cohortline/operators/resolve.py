@@ -67,11 +67,14 @@ def _alike(asked: DataFrame, held: DataFrame, share: Column) -> DataFrame:
         return F.floor((1 - share) * length + 1e-6)
 
     first = F.col("place") <= 2 * edits(F.length("norm") / share) + 1
-    a = asked.where(first & (F.col("held") > 0)).select("entity_type", "norm", "gram", F.col("at").alias("at_a"))
-    b = held.where(first).select("entity_type", "gram", F.col("norm").alias("other"), F.col("at").alias("at_b"))
+    # few rows go in and many pairs come out: the tasks are dealt by name, however small the input is
+    tasks = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = asked.where(first & (F.col("held") > 0)).repartition(tasks, *NAME).groupBy(*NAME, "gram").agg(F.collect_list("at").alias("at_a"))
+    b = held.where(first).groupBy("entity_type", F.col("norm").alias("other"), "gram").agg(F.collect_list("at").alias("at_b"))
     k = edits(F.greatest(F.length("norm"), F.length("other")))
-    met = a.join(b, ["entity_type", "gram"]).where((F.abs(F.col("at_a") - F.col("at_b")) <= k) & (
-        F.abs(F.length("norm") - F.length("other")) <= k)).select("entity_type", "norm", "other").distinct()
+    close = F.exists("at_a", lambda x: F.exists("at_b", lambda y: F.abs(x - y) <= k))
+    met = a.join(b, ["entity_type", "gram"]).where((F.abs(F.length("norm") - F.length("other")) <= k) & close).select(
+        "entity_type", "norm", "other").distinct()
     return met.withColumn("sim", F.round(similarity(F.col("norm"), F.col("other")), 9)).where(F.col("sim") * 100 >= share * 100)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.digest import digest
 from .readers import TYPE_KEY, read_inferred, read_raw, retype
 
 
@@ -17,16 +18,18 @@ class NotLossless(Exception):
     """The CSV cannot be converted without changing a value."""
 
 
-def same_rows(a: DataFrame, b: DataFrame) -> bool:
-    """Equal as multisets of rows."""
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+def digests(df: DataFrame, **groups: list) -> list:
+    """One digest per group of columns, all from one pass."""
+    row = df.agg(*[digest(columns).alias(name) for name, columns in groups.items()]).first()
+    return [row[name] for name in groups]
 
 
 def csv_to_parquet(spark: SparkSession, csv: str, out: str, staging: str) -> DataFrame:
     """Convert a CSV to text Parquet that remembers the inferred types, after proving that nothing changed.
 
     The conversion goes to ``staging`` first; ``out`` is only written once the
-    text and the re-typed values both equal the source, and no field is a quoted
+    text and the re-typed values both equal the source by their digests (source and copy are
+    read once each, nothing is shuffled), and no field is a quoted
     empty string (which text Parquet could not tell from a missing one).
     """
     raw, inferred = read_raw(spark, csv), read_inferred(spark, csv)
@@ -35,9 +38,11 @@ def csv_to_parquet(spark: SparkSession, csv: str, out: str, staging: str) -> Dat
     tagged.write.mode("overwrite").option("compression", "zstd").parquet(staging)
     stored = spark.read.parquet(staging)
     problems = []
-    if not same_rows(raw, stored):
+    back = retype(stored)
+    text, types = digests(stored, text=[F.col(c) for c in raw.columns], types=[F.col(c).cast(kinds[c]) for c in back.columns])
+    if digests(raw, text=[F.col(c) for c in raw.columns]) != [text]:
         problems.append("text differs")
-    if not same_rows(inferred, retype(stored)):
+    if digests(inferred, types=[F.col(c) for c in inferred.columns]) != [types] or back.dtypes != inferred.dtypes:
         problems.append("types differ")
     quoted_empty = F.col("value").rlike('(^|,)""(,|$)')
     if not spark.read.text(csv).where(quoted_empty).isEmpty():
@@ -91,7 +96,7 @@ def materialise(spark: SparkSession, queries: dict[str, Callable[[], DataFrame]]
             n = spark.read.schema(df.schema).parquet(path).count()
             return qid, n, "FRESH" if n else "ERROR: no rows"
         except (PySparkException, ValueError, KeyError) as e:
-            return qid, 0, f"ERROR: {type(e).__name__}"
+            return qid, 0, f"ERROR: {type(e).__name__}: {(str(e).splitlines() or [''])[0]}"
 
     with ThreadPoolExecutor(together) as pool:
         rows = list(pool.map(one, queries))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from cohortline.functions.derive import CLASS_BY_RANGE
 from cohortline.sources import schema
-from workload.foundation import ABBREVIATIONS, AS_OF, EXPECTED_ROWS
+from workload.foundation import ABBREVIATIONS, AS_OF, EXPECTED_ROWS, GIVEN, LEFT_OUT, SPOILT, TWICE
 
 from .model import complete, hits, isum, lit
 
@@ -225,6 +225,19 @@ _rep = "p_name"
 for _w, _f in ABBREVIATIONS.items():
     _rep = f"regexp_replace({_rep}, '\\b{_w}\\b', '{_f}', 'g')"
 
+def _spoilt() -> str:
+    """Every row against the row of its key, column by column."""
+    copy = ", ".join(f"{x} AS {c}" for c, x in SPOILT.items())
+    shared = [c for c in SPOILT if c not in ("claim_id", "batch")]
+    numbers = ("amount_claimed", "amount_approved", "settlement_tat_days", "query_count")
+    cells = ", ".join(f"CASE WHEN NOT isnan(CAST({a}.{c} AS DOUBLE)) THEN CAST({a}.{c} AS DOUBLE) END AS {a}_{c}" if c in numbers else f"{a}.{c} AS {a}_{c}" for c in shared for a in "om")
+    bad = {c: f"alone OR (o_{c} IS DISTINCT FROM m_{c}" + (f" AND NOT COALESCE(abs(o_{c} - m_{c}) <= 1e-6 + 1e-9 * abs(m_{c}), FALSE)" if c in numbers else "") + ")" for c in shared}
+    return (f"WITH c AS (SELECT {copy} FROM cm_claim WHERE NOT ({LEFT_OUT})), m AS (SELECT * FROM c UNION ALL SELECT * REPLACE (claim_id || 'n' AS claim_id) FROM c WHERE {TWICE}), "
+            f"j AS (SELECT o.claim_id IS NULL OR m.claim_id IS NULL AS alone, {cells} FROM cm_claim o FULL JOIN m ON o.claim_id = m.claim_id), n AS (SELECT (SELECT COUNT(*) FROM cm_claim) - (SELECT COUNT(*) FROM m) AS d) "
+            + _union([_rows("rows", "*", "d", "d = 0", "n")] + [f"SELECT '{k}', '{c}', CAST(1 AS DOUBLE), FALSE" for k, c in (("columns", "batch"), ("columns", "preauth_id"), ("type", "query_count"))]
+                     + [_rows("value", c, f"COUNT(CASE WHEN {x} THEN 1 END)", f"COUNT(CASE WHEN {x} THEN 1 END) = 0", "j") for c, x in bad.items()]))
+
+
 SQL: dict[str, str] = {
     "S1_raw_text": "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment FROM customer",
     "S2_declared_types": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, "
@@ -236,6 +249,7 @@ SQL: dict[str, str] = {
     "S5_stored_types": "SELECT * FROM supplier",
     "S6_written_view": VIEW3,
     "S9_checked_loader": "SELECT r_name, COUNT(*) AS nations FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1",
+    "S9_every_table": _union(f"SELECT '{n}' AS name, (SELECT COUNT(*) FROM {n}) AS row_count, CAST(COUNT(*) AS INT) AS column_count FROM (DESCRIBE {n}) d" for n in GIVEN),
     "B1_age_group": f"SELECT beneficiary_id, {AGE_GROUP} AS age_group FROM bm_beneficiary",
     "B1b_age_band": "SELECT beneficiary_id, " + _bands("2026 - yob", [(5, "0-5"), (14, "6-14"), (30, "15-30"), (45, "31-45"), (60, "46-60")], "60+")
                     + " AS age_band FROM bm_beneficiary",
@@ -320,6 +334,7 @@ SQL: dict[str, str] = {
     "Q11_parity": "SELECT 'rows' AS \"check\", '*' AS subject, CAST(0 AS DOUBLE) AS value, TRUE AS passed UNION ALL " + _union(
         [_rows("value", c, "0 * COUNT(*)", "TRUE", "cm_claim") for c in ("claim_status", "amount_claimed", "amount_approved")]
         + [_rows("value", "query_count", hits(_QUERIED), f"{hits(_QUERIED)} = 0", "cm_claim")]),
+    "Q11_parity_of_all_columns": _spoilt(),
     "Q12_strict": _union([_unique("cm_case", "case_id"), _domain("cm_case", "admission_type", ("EMERGENCY", "ELECTIVE"))]),
     "R1_date_into_window": "SELECT card_id, strftime(CASE WHEN bad AND lo < hi THEN make_timestamp(CAST(epoch_us(lo) + floor((epoch_us(hi) - epoch_us(lo)) / 2) AS "
                            "BIGINT)) WHEN bad THEN lo ELSE issued_at END, '%Y-%m-%d %H:%M:%S') AS issued_at FROM (SELECT card_id, issued_at, b.created_at + INTERVAL "
@@ -338,6 +353,9 @@ SQL: dict[str, str] = {
     "V3_hospital_performance": VIEW3,
     "V4_beneficiary_journey": VIEW4,
 }
+_CHECKED = ("Q1_row_counts", "Q2_unique_keys", "Q3_orphans", "Q4_null_rates", "Q5_value_domains", "Q6_date_spans", "Q10_time_order")
+SQL["Q12_strict_run"] = ("WITH k AS (" + _union(f'SELECT "check", subject, value, passed FROM ({SQL[q]}) x' for q in _CHECKED)
+                         + ") SELECT * FROM k WHERE NOT passed OR (SELECT bool_and(passed) FROM k)")
 
 
 def foundation_sql() -> dict[str, str]:

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortline.operators import coverage, quality, repair, resolve, select
+from cohortline.sources import sinks
 from cohortline.operators.history import preceded_within, with_previous
 from cohortline.operators.quantiles import exact_quantiles
 
@@ -106,6 +107,26 @@ def test_parity_tolerance(spark):
     assert {(r["check"], r["subject"]) for r in fewer.collect()} == {("rows", "*"), ("columns", "s"), ("value", "v")}
 
 
+def test_parity_looks_closer_only_where_digests_differ(spark):
+    rows = [(i, i / 7, None if i % 5 == 0 else f"t{i}", T0 + timedelta(days=i)) for i in range(300)]
+    a = spark.createDataFrame(rows, "id int, v double, s string, at timestamp")
+    for buckets in (1, 7, 65536):
+        assert quality.parity(a, a.orderBy(F.desc("id")), ["id"], buckets=buckets).where(~F.col("passed")).isEmpty()
+        b = a.where("id <> 9").withColumn("s", F.when(F.col("id") == 11, None).when(F.col("id") == 10, "t10").otherwise(F.col("s"))).withColumn(
+            "v", F.when(F.col("id") == 12, 0.0).otherwise(F.col("v"))).unionByName(a.where("id = 1").withColumn("id", F.lit(None).cast("int")))
+        got = {r["subject"]: r["value"] for r in quality.parity(a, b, ["id"], buckets=buckets).collect()}
+        assert got == {"*": 0.0, "v": 3.0, "s": 4.0, "at": 2.0}
+
+
+def test_digests_know_order_free_equality(spark):
+    a = spark.createDataFrame([("x", None), ("x", None), (None, "x")], "p string, q string")
+    def told(df):
+        return sinks.digests(df, all=[F.col(c) for c in df.columns])
+    assert told(a) == told(a.orderBy("p"))
+    assert told(a) != told(a.distinct()) and told(a) != told(a.select(F.col("q").alias("p"), F.col("p").alias("q")))
+    assert told(a.where("false")) == told(a.where("p = 'y'")) != told(a)
+
+
 def test_repair_moves_late_cards_into_their_window(spark):
     day = timedelta(days=1)
     rows = [("ok", T0, T0 + 2 * day, T0 + 9 * day), ("late", T0, T0 + 9 * day, T0 + 5 * day), ("tight", T0, T0 + 3 * day, T0 + day),
