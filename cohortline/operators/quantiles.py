@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import cut_lineage
+
 ACCURACY = 10_000
 
 
@@ -13,6 +15,21 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, points: dict[str
     return order_statistics(df, keys, value, {name: (p, p * (F.col("_n") - 1)) for name, p in points.items()})
 
 
+def thresholds(df: DataFrame, points: dict[str, tuple[str, float]]) -> dict[str, Column]:
+    """Percentiles of several columns from one pass, as scalars to compare rows with; ``points`` maps a name to (column, p).
+
+    The columns are stacked as (column, value) rows, so there is one sketch and one bracket per column
+    however many thresholds are asked for. A column without values has no threshold (null). ``df`` is read
+    twice and should be a written table.
+    """
+    columns = list(dict.fromkeys(c for c, _ in points.values()))
+    shares = {f"p{i}": p for i, p in enumerate(dict.fromkeys(p for _, p in points.values()))}
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "_column", "_value")
+    found = cut_lineage(exact_quantiles(long, ["_column"], "_value", shares))
+    at = {p: name for name, p in shares.items()}
+    return {name: found.where(F.col("_column") == c).select(at[p]).scalar() for name, (c, p) in points.items()}
+
+
 def order_statistics(df: DataFrame, keys: list[str], value: str, points: dict[str, tuple[float, Column]]) -> DataFrame:
     """Values at given positions of the ascending order, one column per point.
 

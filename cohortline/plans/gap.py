@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import derive
 from ..functions.numbers import rnd, safe_div
 from ..operators.history import with_previous
+from ..operators.quantiles import thresholds
 from ..operators.select import latest_excluding, latest_per_key, worst
 from ..runtime import cut_lineage
 
@@ -42,9 +43,10 @@ def total(column) -> Column:
     return F.coalesce(F.sum(column), F.lit(0))
 
 
-def above_p75(df: DataFrame, column: str) -> Column:
-    """Whether a row lies above the 75th percentile of a table with one row per block."""
-    return yes(F.col(column) > df.agg(F.percentile(column, F.lit(0.75))).scalar())
+def above_p75(df: DataFrame, **flags: str) -> DataFrame:
+    """Per flag whether a row lies above the 75th percentile of its column; ``df`` is a written table with one row per block."""
+    limits = thresholds(df, {flag: (c, 0.75) for flag, c in flags.items()})
+    return df.withColumns({flag: yes(F.col(c) > limits[flag]) for flag, c in flags.items()})
 
 
 class GapStudy:
@@ -242,25 +244,23 @@ class GapStudy:
                                               total("los_days").alias("bed_days_consumed"))
         out = base.join(used, BLOCK, "left")
         people = "total_beneficiaries_enrolled"
-        out = out.withColumns({
+        out = cut_lineage(out.withColumns({
             "overall_utilization_rate": safe_div("distinct_beneficiaries_with_cases", people),
             "cases_per_1000_enrolled": safe_div("total_cases_all_months", people) * 1000.0,
             "demand_intensity": safe_div("bed_days_consumed", people),
-            "local_bed_availability": safe_div("total_inpatient_beds", people) * 1000.0})
+            "local_bed_availability": safe_div("total_inpatient_beds", people) * 1000.0}))
+        scored = {"overall_utilization_rate": "z_utilization_rate", "cases_per_1000_enrolled": "z_cases_per_1000",
+                  "local_bed_availability": "z_local_bed_availability"}
+        moments = cut_lineage(out.agg(*[x for m in scored for x in (F.avg(m).alias(f"mean_{m}"), F.stddev(m).alias(f"sigma_{m}"))]))
         z = {}
-        for metric, name in (("overall_utilization_rate", "z_utilization_rate"), ("cases_per_1000_enrolled", "z_cases_per_1000"),
-                             ("local_bed_availability", "z_local_bed_availability")):
-            mean, sigma = out.agg(F.avg(metric)).scalar(), out.agg(F.stddev(metric)).scalar()
+        for metric, name in scored.items():
+            mean, sigma = moments.select(f"mean_{metric}").scalar(), moments.select(f"sigma_{metric}").scalar()
             z[name] = F.when(sigma.isNull() | (sigma == 0), 0.0).otherwise((F.col(metric) - mean) / F.nullif(sigma, F.lit(0.0)))
-
-        def at(column, p):
-            return out.agg(F.percentile(column, F.lit(p))).scalar()
-
+        at = thresholds(out, {"many_people": (people, 0.5), "little_use": ("overall_utilization_rate", 0.25),
+                              "many_cases": ("cases_per_1000_enrolled", 0.75), "few_beds": ("local_bed_availability", 0.25)})
         flags = {
-            "high_enrolment_low_utilization": yes((F.col(people) >= at(people, 0.5))
-                                                  & (F.col("overall_utilization_rate") < at("overall_utilization_rate", 0.25))),
-            "high_demand_low_local_supply": yes((F.col("cases_per_1000_enrolled") > at("cases_per_1000_enrolled", 0.75))
-                                                & (F.col("local_bed_availability") < at("local_bed_availability", 0.25))),
+            "high_enrolment_low_utilization": yes((F.col(people) >= at["many_people"]) & (F.col("overall_utilization_rate") < at["little_use"])),
+            "high_demand_low_local_supply": yes((F.col("cases_per_1000_enrolled") > at["many_cases"]) & (F.col("local_bed_availability") < at["few_beds"])),
             "zero_supply": F.coalesce("total_hospitals", F.lit(0)) == 0,
             "single_hospital_dependency": yes(F.col("total_hospitals") == 1)}
         return cut_lineage(out.withColumns({**z, **flags}))
@@ -269,7 +269,7 @@ class GapStudy:
     def specialty_matrix(self) -> DataFrame:
         """Severity of each gap, the money claimed where nothing is offered, and the next block that offers it."""
         sg = self.specialty_gap
-        limit = sg.where(F.col("demand_supply_ratio") > 0).agg(F.percentile("demand_supply_ratio", F.lit(0.75))).scalar()
+        limit = thresholds(sg.where(F.col("demand_supply_ratio") > 0), {"limit": ("demand_supply_ratio", 0.75)})["limit"]
         severity = (F.when(F.coalesce("cases_demanding", F.lit(0)) == 0, "NO_DEMAND").when(F.col("gap_flag"), "NO_SUPPLY")
                     .when(F.col("demand_supply_ratio") > limit, "UNDERSUPPLIED").otherwise("ADEQUATE"))
         served = sg.where(F.col("hospitals_offering") > 0)
@@ -363,8 +363,7 @@ class GapStudy:
             "card_activation_rate": safe_div("beneficiaries_with_active_card", "total_beneficiaries"),
             "enrolment_rejection_rate": safe_div("enrolment_rejected_count", "total_beneficiaries")}).withColumn(
             "drop_off_rate", 1 - F.col("card_activation_rate"))
-        return cut_lineage(out.withColumns({"high_drop_off": above_p75(out, "drop_off_rate"),
-                                            "high_rejection": above_p75(out, "enrolment_rejection_rate")}))
+        return above_p75(cut_lineage(out), high_drop_off="drop_off_rate", high_rejection="enrolment_rejection_rate")
 
     @cached_property
     def repeat_use(self) -> DataFrame:
@@ -387,10 +386,8 @@ class GapStudy:
                      + F.col("diff_proc_pairs_total"))
         out = out.withColumns({"repeat_rate": safe_div("repeat_beneficiaries", "total_beneficiaries_with_cases"),
                                "possible_treatment_failure_rate": safe_div("same_proc_same_hosp_pairs_total", pairs_all)})
-        return cut_lineage(out.withColumns({
-            "high_repeat_rate": above_p75(out, "repeat_rate"),
-            "possible_treatment_failure": yes(F.col("possible_treatment_failure_rate") > 0.5)
-            & (F.col("repeat_beneficiaries") >= 5)}))
+        return above_p75(cut_lineage(out), high_repeat_rate="repeat_rate").withColumn(
+            "possible_treatment_failure", yes(F.col("possible_treatment_failure_rate") > 0.5) & (F.col("repeat_beneficiaries") >= 5))
 
     @cached_property
     def monthly(self) -> DataFrame:
