@@ -59,7 +59,7 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, points: dict[st
         low, high = bracket(i, p)
         wanted.append(F.struct(F.lit(name).alias("name"), at.cast("double").alias("at"), low.alias("low"), high.alias("high")))
     spans = sketch.select(*keys, F.array(*wanted).alias("_w"))
-    near = _join(known, spans, keys).select(*keys, "_v", F.explode("_w").alias("_w")).where(F.col("_v") <= F.col("_w.high"))
+    near = same_keys(known, spans, keys).select(*keys, "_v", F.explode("_w").alias("_w")).where(F.col("_v") <= F.col("_w.high"))
     steps = near.groupBy(
         *keys, F.col("_w.name").alias("_p"), F.col("_w.at").alias("_at"),
         F.when(F.col("_v") >= F.col("_w.low"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
@@ -78,7 +78,7 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, points: dict[st
     return placed.groupBy(*keys).agg(*out)
 
 
-def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join on keys that may be null; no keys means one row on the right."""
     if not keys:
         return left.withColumns({c: right.select(c).scalar() for c in right.columns})

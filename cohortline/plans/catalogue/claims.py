@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ...operators.quantiles import order_statistics
+from ...operators.quantiles import exact_quantiles, order_statistics, same_keys
+from ...runtime import cut_lineage
 from .base import (
     CARE, HOME, SITE, Model, agg_by, at, days, either, mean, month_of, n, n_if, named_hospital, nd, nd_if, ordered, pct,
     per, quantile, reg, rnd, share, top, total,
@@ -407,16 +408,23 @@ _TAT = "settlement_tat_days"
 
 def turnaround(df: DataFrame, by, *, avg_name: str = "avg_tat", points: dict[str, float], high: bool = False,
                count: str | None = None, distinct: bool = False) -> DataFrame:
-    """Mean and percentiles of the settlement time of settled claims."""
+    """Mean and percentiles of the settlement time of settled claims.
+
+    The settled claims are written once as key and time; the percentiles come from order statistics of
+    what is written, so that no task holds all times of a group.
+    """
+    keys = [F.expr(k) if isinstance(k, str) else k for k in ([by] if isinstance(by, str) else by or [])]
+    settled = cut_lineage(df.where(F.col(_TAT).isNotNull()).select(*keys, "claim_id", F.col(_TAT).cast("double").alias(_TAT)))
+    names = [c for c in settled.columns if c not in ("claim_id", _TAT)]
     out = []
     if count:
         out.append(nd("claim_id", count) if distinct else n(count))
     if avg_name:
         out.append(mean(_TAT, avg_name))
-    out += [quantile(_TAT, q, name) for name, q in points.items()]
     if high:
         out.append(F.max(_TAT).alias("max_tat"))
-    return agg_by(df.where(F.col(_TAT).isNotNull()), by, *out)
+    placed = exact_quantiles(settled, names, _TAT, points).withColumns({name: rnd(name, 1) for name in points})
+    return same_keys(agg_by(settled, names, *(out or [n("_rows")])), placed, names).drop("_rows")
 
 
 _P = {"median_tat": 0.5, "p95_tat": 0.95}
