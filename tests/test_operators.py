@@ -9,8 +9,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortline.operators import coverage, quality, repair, resolve, select
-from cohortline.sources import sinks
 from cohortline.operators.history import preceded_within, with_previous
+from cohortline.operators.quantiles import thresholds
+from cohortline.sources import sinks
 from cohortline.operators.quantiles import exact_quantiles
 
 T0 = datetime(2020, 1, 1)
@@ -118,6 +119,16 @@ def test_parity_looks_closer_only_where_digests_differ(spark):
         assert got == {"*": 0.0, "v": 3.0, "s": 4.0, "at": 2.0}
 
 
+def test_thresholds_of_many_columns(spark):
+    rows = [(i % 17 / 3, None if i % 4 else float(i), None) for i in range(101)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    at = thresholds(df, {"low": ("a", 0.25), "mid": ("b", 0.5), "high": ("a", 0.9), "none": ("c", 0.5)})
+    got = df.limit(1).select(*[x.alias(n) for n, x in at.items()]).first()
+    a, b = [r[0] for r in rows], [r[1] for r in rows if r[1] is not None]
+    assert [got["low"], got["mid"], got["high"]] == pytest.approx([np.quantile(a, 0.25), np.quantile(b, 0.5), np.quantile(a, 0.9)])
+    assert got["none"] is None
+
+
 def test_digests_know_order_free_equality(spark):
     a = spark.createDataFrame([("x", None), ("x", None), (None, "x")], "p string, q string")
     def told(df):
