@@ -173,6 +173,36 @@ def test_nearest_site_by_rings_equals_brute_force(spark):
     assert {r["coverage"] for r in coverage.coverage(c, held.where("false")).collect()} == {0.0}
 
 
+def test_weak_sites_do_not_meet_far_cells(spark):
+    """One strong site far from 900 weak ones among 900 cells: few of the 811,801 pairs are looked at, and the result is exact."""
+    rng = random.Random(4)
+
+    def place():
+        return rng.uniform(0, 40), (rng.uniform(160, 220) + 180) % 360 - 180  # across the date line
+
+    cells = [place() for _ in range(900)] + [(20.0, -175.0)]
+    sites = [(*place(), 0.01 + 0.001 * (i % 7)) for i in range(900)] + [(80.0, 0.0, 1.0)]
+    c = spark.createDataFrame(cells, "lat double, lng double")
+    s = spark.createDataFrame(sites, "lat double, lng double, strength double")
+    at, of, v = np.radians(cells), np.radians([x[:2] for x in sites]), np.array([x[2] for x in sites])
+    h = np.sin((at[:, None, 0] - of[None, :, 0]) / 2) ** 2 + np.cos(at[:, None, 0]) * np.cos(of[None, :, 0]) * np.sin((at[:, None, 1] - of[None, :, 1]) / 2) ** 2
+    want = (v * np.exp(-6371 * 2 * np.arcsin(np.sqrt(h)) / 50)).max(axis=1)
+    got = {(r["lat"], r["lng"]): r["coverage"] for r in coverage.coverage(c, s).collect()}
+    assert [got[p] for p in cells] == pytest.approx(list(want), rel=1e-9, abs=1e-300)
+    met = coverage.squares_that_meet(c, s, lambda km, strength: F.log(strength) - km / 50)
+    assert sum(pairs.agg(F.coalesce(F.sum(F.col("c_n") * F.col("p_n")), F.lit(0))).first()[0] for _, pairs in met) < len(cells) * len(sites) / 8
+
+
+def test_sites_at_one_place_and_without_coordinates(spark):
+    c = spark.createDataFrame([(10.0, 179.9), (10.0, 179.9), (None, 3.0), (-90.0, 0.0)], "lat double, lng double")
+    s = spark.createDataFrame([(10.0, -179.9, 0.5)] * 3 + [(10.0, -179.9, None), (None, 1.0, 1.0), (0.0, 0.0, -1.0)], "lat double, lng double, strength double")
+    got = sorted(((r["lat"] or 0.0, round(r["coverage"], 6)) for r in coverage.coverage(c, s).collect()))
+    near = round(0.5 * float(np.exp(-2 * 6371 * np.arcsin(np.cos(np.radians(10.0)) * np.sin(np.radians(0.1))) / 50)), 6)
+    assert got == [(-90.0, 0.0), (0.0, 0.0), (10.0, near), (10.0, near)]
+    one = spark.createDataFrame([(5.0, 5.0)] * 50, "lat double, lng double")
+    assert {r["dist_km"] for r in coverage.nearest_site(one, one).collect()} == {0.0}
+
+
 def test_names_resolve_by_exact_alias_and_spelling(spark):
     raw = spark.createDataFrame([("Delhi",), (" delhi ",), ("dilli",), ("Dehli",), ("Mombai",), ("zzz",), (None,)], "n string")
     names = spark.createDataFrame([("Delhi",), ("Mumbai",), ("Pune",)], "value string")
