@@ -90,14 +90,16 @@ def stretches(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, list[
                 if a[i:i + width] == b[j:j + width]:
                     i += width
                     j += width
-            while a[i] == b[j]:  # the first difference lies within the next few
+            x, y = a[i], b[j]
+            while x == y:  # the first difference lies within the next few
                 i += 1
                 j += 1
+                x, y = a[i], b[j]
         if i > first:
             yield first, j - (i - first), i - first, [], []
         if i < n:
             at_a, at_b = [i], [j]
-            x, y, p, q = a[i], b[j], i, j
+            p, q = i, j
             while x != y:
                 if x < y:
                     p += 1
