@@ -101,11 +101,18 @@ class GapStudy:
 
     @cached_property
     def procedures(self) -> DataFrame:
-        """The active request of a case and its leading procedure."""
+        """The active request of a case and its leading procedure, written: three studies join it, and the lines are ranked only once."""
         request = latest_excluding(self.t.cm_preauth_request, ["case_id"], ["initiated_at", "preauth_id"], "status",
                                    ["REJECTED", "CANCELLED"], ["preauth_id", "status"])
         line = self.t.cm_preauth_procedure_line.where(F.col("procedure_rank") == 1).select("preauth_id", "hbp_procedure_code")
-        return request.withColumnRenamed("status", "preauth_status").join(line, "preauth_id", "left")
+        return cut_lineage(request.withColumnRenamed("status", "preauth_status").join(line, "preauth_id", "left").select(
+            "case_id", "preauth_status", "hbp_procedure_code"))
+
+    @cached_property
+    def master(self) -> DataFrame:
+        """The procedure master, written: its size is then known, and no table of cases is shuffled by its few codes."""
+        return cut_lineage(self.t.ref_hbp_procedure_master.select(
+            "hbp_procedure_code", "procedure_name", "specialty_code", "specialty_name", "base_package_price"))
 
     @cached_property
     def diseases(self) -> DataFrame:
@@ -157,13 +164,12 @@ class GapStudy:
     def hospital_performance(self) -> DataFrame:
         """Hospital, leading procedure and month; unknown hospitals and procedures are groups of their own."""
         ended = F.col("discharge_type")
-        master = self.t.ref_hbp_procedure_master.select("hbp_procedure_code", "procedure_name", "specialty_code",
-                                                        "specialty_name", "base_package_price")
         exits = self.t.cm_discharge.select("case_id", "biometric_auth_used", "provided_medicines_flag")
+        # Hardly two cases share a key, so nothing is combined before the shuffle: the rows themselves are dealt by key, once.
         rows = (
             self.cases.select("case_id", "hospital_id", "month", "discharge_type", "los_days")
-            .join(self.procedures, "case_id", "left").join(master, "hbp_procedure_code", "left").join(exits, "case_id", "left")
-            .join(self.claims_per_case, "case_id", "left"))
+            .join(self.procedures, "case_id", "left").join(exits, "case_id", "left").join(self.claims_per_case, "case_id", "left")
+            .repartition("hospital_id", "hbp_procedure_code", "month").join(self.master, "hbp_procedure_code", "left"))
         key = ["hospital_id", "hbp_procedure_code", "month"]
 
         def rate(cond):
@@ -173,9 +179,12 @@ class GapStudy:
             return F.avg(F.col(column).cast("int").cast("double"))
 
         ratio = safe_div("total_amount_approved", "total_amount_claimed")
-        out = rows.groupBy(*key).agg(
+        place = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("los_days").asc_nulls_last()))
+        known = F.count("los_days").over(Window.partitionBy(*key))
+        middle = F.abs(2 * F.col("_place") - F.col("_known") - 1) <= 1
+        out = rows.withColumns({"_place": place, "_known": known}).groupBy(*key).agg(
             F.count("case_id").alias("case_count"), F.avg("los_days").alias("avg_los_days"),
-            F.percentile("los_days", F.lit(0.5)).alias("median_los_days"),
+            F.avg(F.when(middle, F.col("los_days"))).alias("median_los_days"),
             F.avg("total_amount_claimed").alias("avg_amount_claimed"),
             F.avg("total_amount_approved").alias("avg_amount_approved"), F.avg(ratio).alias("avg_approval_ratio"),
             total("total_amount_claimed").cast("double").alias("total_amount_claimed"),
@@ -212,7 +221,7 @@ class GapStudy:
     @cached_property
     def specialty_gap(self) -> DataFrame:
         """Demand for a specialty by residents of a block against the hospitals of the block that offer it."""
-        master = self.t.ref_hbp_procedure_master.select("hbp_procedure_code", "specialty_code", "specialty_name")
+        master = self.master.select("hbp_procedure_code", "specialty_code", "specialty_name")
         demand = (
             self.cases.select("case_id", "beneficiary_id", *PLACE).join(self.procedures.select("case_id", "hbp_procedure_code"),
                                                                         "case_id", "left")
