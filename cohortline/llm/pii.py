@@ -30,7 +30,6 @@ from cohortline.llm import common
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 24  # code points on either side of a region that are looked at
-FIT_ROWS = 100_000  # decided candidates that the trees are fitted to, at most about so many, chosen by hash
 HELD_OUT = 5  # one in so many decided candidates calibrates the thresholds
 LEAST = 20  # held-out candidates of either class without which a kind is not calibrated
 UNCALIBRATED = 0.95  # threshold of such a kind
@@ -161,23 +160,19 @@ def _assembled(rows: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
 
 
-def boosted(spans: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[GBTClassificationModel, dict[int, float]] | None:
-    """Trees and a threshold per kind, from the candidates that a rule has decided; None where one of the classes is missing.
+def boosted(spans: DataFrame) -> tuple[GBTClassificationModel, dict[int, float]] | None:
+    """Trees and a threshold per kind, from all candidates that a rule has decided; None where one of the classes is missing.
 
-    About ``fit_rows`` of them are fitted to, whatever the input, chosen by a hash of the candidate and its context.
+    Equal rows are fitted to as one, weighted by their number, so that none is left out.
     """
     decided = spans.where("decided").withColumn("label", F.col("passes").cast("double")).withColumn("fold", F.pmod("draw", F.lit(HELD_OUT)))
-    n = {(bool(r.passes), r.fold == 0): r["n"] for r in decided.groupBy("passes", "fold").agg(F.count("*").alias("n")).groupBy("passes", (F.col("fold") == 0).cast("int").alias("fold0")).agg(
-        F.sum("n").alias("n")).select("passes", F.expr("1 - fold0").alias("fold"), "n").collect()}
-    if not n.get((True, False)) or not n.get((False, False)):
+    kept = decided.where(F.col("fold") != 0)
+    if len({r.label for r in kept.groupBy("label").count().collect()}) < 2:
         return None
-    slot = F.pmod(F.shiftright("draw", 8), F.lit(1 << 20))
-    share = min(1.0, fit_rows / (n[True, False] + n[False, False]))
-    chosen = _assembled(decided.where((F.col("fold") != 0) & (slot < int(share * (1 << 20)) + 1)).select("label", *FEATURES)).select("label", "features")
-    model = GBTClassifier(maxIter=12, maxDepth=4, maxBins=32, stepSize=0.3, seed=11).fit(chosen)
-    share = min(1.0, fit_rows / max(1, n.get((True, True), 0) + n.get((False, True), 0)))
-    held = scored(model, decided.where((F.col("fold") == 0) & (slot < int(share * (1 << 20)) + 1)))
-    steps = held.groupBy("kind", F.floor(F.col("score") * 100).cast("int").alias("step")).agg(F.sum("label").alias("good"), F.count("*").alias("all")).collect()
+    chosen = common.cut(kept.groupBy("label", *FEATURES).agg(F.count("*").cast("double").alias("weight")).sortWithinPartitions("label", *FEATURES), few=False)
+    model = GBTClassifier(maxIter=12, maxDepth=4, maxBins=32, stepSize=0.3, seed=11, weightCol="weight").fit(_assembled(chosen).select("label", "features", "weight"))
+    held = scored(model, decided.where(F.col("fold") == 0).groupBy("kind", "label", *FEATURES).agg(F.count("*").alias("n")))
+    steps = held.groupBy("kind", F.floor(F.col("score") * 100).cast("int").alias("step")).agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("all")).collect()
     return model, {kind: threshold([(r.step, r.good, r["all"]) for r in steps if r.kind == kind]) for kind in range(len(KINDS))}
 
 
@@ -200,11 +195,11 @@ def scored(model: GBTClassificationModel, spans: DataFrame) -> DataFrame:
     return out.drop("features", "rawPrediction", "probability", "prediction")
 
 
-def selected(spans: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+def selected(spans: DataFrame) -> DataFrame:
     """``(row, kind, start, end, base, score)``: the base spans, and the undecided candidates that the trees select."""
     columns = ["row", "kind", "start", "end"]
     base = spans.where("passes").select(*columns, F.lit(True).alias("base"), F.lit(1.0).alias("score"))
-    learnt = boosted(spans, fit_rows)
+    learnt = boosted(spans)
     if learnt is None:
         return base
     model, least = learnt
@@ -222,30 +217,30 @@ def selected(spans: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
             .where(F.col("base") | (~F.col("any_base") & (F.col("place") == 1))).select(*columns, "base", "score"))
 
 
-def find(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+def find(docs: DataFrame) -> DataFrame:
     """``(doc_id, spans)`` for every row of ``docs(doc_id, text)``; spans are ``array<struct<kind int, start long, end long, base boolean, score double>>``.
 
     Places count code points from 0, ends are exclusive; spans are ordered by kind (as in ``KINDS``) and place. Base
     spans are the leftmost non-overlapping matches of their kind that pass its rule; all others are candidates that the
     trees have selected, and touch no base span. Where one of the classes is missing there are no trees, and base
     spans alone. A null or empty text has no spans; ids may be null or repeat; other columns are not
-    looked at; an empty table gives an empty result. ``fit_rows`` bounds what the trees are fitted to.
+    looked at; an empty table gives an empty result.
     """
     found = regions(docs)
-    spans = selected(candidates(found), fit_rows)
+    spans = selected(candidates(found))
     per = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end", "base", "score"))).alias("spans"))
     told = found.where("k = -1").select("row", "doc_id")
     none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint,base:boolean,score:double>>")
     return told.join(per, "row", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
 
 
-def redact(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+def redact(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, with every span of the text replaced by its kind in square brackets.
 
     Rows are written once with a number each, by which their spans find them again. A null text stays null.
     """
     rows = common.cut(docs.select(F.monotonically_increasing_id().alias("row"), common.together(docs).alias("rest")), few=False)
-    spans = find(rows.select(F.col("row").alias("doc_id"), F.col("rest").getField("text").alias("text")), fit_rows).where(F.size("spans") > 0)
+    spans = find(rows.select(F.col("row").alias("doc_id"), F.col("rest").getField("text").alias("text"))).where(F.size("spans") > 0)
     # overlapping spans of several kinds become one; pieces between them are cut out by place
     met = rows.join(spans.withColumnRenamed("doc_id", "row"), "row", "left")
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))

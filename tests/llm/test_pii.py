@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortline.llm import pii, queries
 
@@ -119,3 +120,15 @@ def test_redacted_rows_keep_all_columns(spark, columns):
     out = pii.redact(docs)
     assert out.schema == docs.schema
     assert Counter(map(tuple, out.collect())) == Counter([(1, "mail [email] now [ip]", 1, "r"), (1, None, 2, "r"), (None, "[phone]", 3, None), (2, "nothing", 4, "")])
+
+
+def test_trees_and_thresholds_come_from_all_decided_candidates(spark, monkeypatch):
+    n, seen, told = 130_000, {}, {}
+    rows = spark.range(n).select(
+        F.lit(0).alias("kind"), F.lit(True).alias("decided"), (F.col("id") % 2 == 0).alias("passes"), F.col("id").alias("draw"),
+        *[(F.col("id") % (i + 2)).cast("double").alias(c) for i, c in enumerate(pii.FEATURES[1:])], F.lit(0.0).alias("f_kind"))
+    fit = pii.GBTClassifier.fit
+    monkeypatch.setattr(pii.GBTClassifier, "fit", lambda self, df: seen.setdefault("rows", df.agg(F.sum("weight")).first()[0]) and fit(self, df))
+    monkeypatch.setattr(pii, "threshold", lambda steps: told.setdefault(len(told), sum(s[2] for s in steps)))
+    pii.boosted(rows)
+    assert seen["rows"] == n - n // pii.HELD_OUT and told[0] == n // pii.HELD_OUT
