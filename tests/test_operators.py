@@ -211,6 +211,14 @@ def test_names_resolve_by_exact_alias_and_spelling(spark):
                    "Mombai": ("Mumbai", "fuzzy"), "zzz": (None, "unmatched")}
 
 
+def test_names_that_match_nothing_get_the_closest_names(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "BLOCK", 2)
+    raw = spark.createDataFrame([("zzz",), ("pxnx",), ("Delhi",)], "n string")
+    names = spark.createDataFrame([(v,) for v in ("Delhi", "Mumbai", "Pune", "pine", "Agra", None)], "value string")
+    got = {r["raw"]: r["suggestions"] for r in resolve.resolve(raw, "n", names).collect()}
+    assert got == {"zzz": "Agra;Delhi;Mumbai", "pxnx": "Pune;pine;Agra", "Delhi": None}
+
+
 def test_entities_resolve_by_the_rules_of_their_type(spark):
     values = spark.createDataFrame([("district", "Agra"), ("district", "Meerut"), ("month", "11"), ("month", "12"), ("hospital", "City Care Hospital"),
                                     ("hospital_type", "PUBLIC")], "entity_type string, value string")
