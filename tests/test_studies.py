@@ -58,3 +58,16 @@ def test_median_stay_is_the_exact_median(spark, star):
     got = {tuple(r[k] for k in key): r["median_los_days"] for r in gap.hospital_performance.collect()}
     assert got == want and len({*want.values()}) > 2
     assert BoundTables(spark, star).cm_case.count() == sum(r["case_count"] for r in gap.hospital_performance.collect())
+
+
+def test_large_tables_are_read_in_small_pieces(spark, star, tmp_path):
+    spark.range(6_000_000, numPartitions=1).write.option("parquet.block.size", 4 << 20).option("compression", "none").parquet(f"{tmp_path}/large")
+    own = spark.newSession()  # as large as a core may read: not cut by the number of cores
+    own.conf.set("spark.sql.files.minPartitionNum", "1")
+    studies.study(0, "claims_per_case")(own, star)
+    assert own.read.parquet(f"{tmp_path}/large").rdd.getNumPartitions() >= 3
+
+    given = spark.newSession()
+    given.conf.set("spark.sql.files.maxPartitionBytes", "64m")
+    studies.study(0, "claims_per_case")(given, star)
+    assert given.conf.get("spark.sql.files.maxPartitionBytes") == "64m"
