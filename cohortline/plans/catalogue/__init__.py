@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from . import access, care, claims, enrolment, hospitals  # noqa: F401  (each module registers its questions)
-from .base import QUESTIONS, Model, Question
+from .base import QUESTIONS, Model, Question, StoredModel
 
-__all__ = ["QUESTIONS", "Model", "Question", "ask"]
+__all__ = ["QUESTIONS", "Model", "Question", "StoredModel", "ask"]
 
 
 def ask(tables, qid: str, dates: tuple[str, str] | None = None, **params) -> DataFrame:

@@ -66,3 +66,23 @@ def test_every_dashboard_question_is_materialised(spark, monkeypatch):
     built = foundation.dashboards(BoundTables(spark, "/root/testdata/sf0.001"))
     assert set(built) == {q for q in QUESTIONS if q.startswith("D")} and len(built) == 133
     assert all(built[q]().columns for q in built if QUESTIONS[q].params)
+
+
+def test_joins_that_dashboards_share_are_written_once(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from cohortline.plans.catalogue import Model, StoredModel, base
+
+    written = []
+    monkeypatch.setattr(base, "cut_lineage", lambda df, cut=base.cut_lineage: written.append(df.columns) or cut(df))
+    tables = SimpleNamespace(
+        cm_case=spark.createDataFrame([("C1", "B1", 1), ("C2", "B1", 2), ("C2", "B2", 2), (None, "B3", 3), ("C4", None, 4)], "case_id string, beneficiary_id string, created_at int"),
+        bm_beneficiary=spark.createDataFrame([("B1", "H1", 1, 1), ("B2", "H1", 1, 1), ("B3", None, 1, 1)], "beneficiary_id string, household_id string, created_at int, updated_at int"),
+        bm_household=spark.createDataFrame([("H1", "N", 1)], "household_id string, home_district_code string, created_at int"))
+    stored, plain = StoredModel(tables), Model(tables)
+    for _ in range(2):
+        for name in ("home_cases", "members", "cases"):
+            got, want = getattr(stored, name), getattr(plain, name)
+            assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert stored.home_cases.inputFiles() and len(written) == 3
+    assert stored.within("admission", "2024-01-01", "2024-12-31").__class__ is Model

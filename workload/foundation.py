@@ -11,7 +11,7 @@ from cohortline.functions.numbers import parse_number, rnd, safe_div
 from cohortline.functions.text import normalise
 from cohortline.operators import quality, repair, select
 from cohortline.plans import views
-from cohortline.plans.catalogue import ask
+from cohortline.plans.catalogue import StoredModel, ask
 from cohortline.plans.catalogue.base import QUESTIONS
 from cohortline.runtime import checkpoint_dir, cut_lineage
 from cohortline.sources import readers, schema, sinks
@@ -81,7 +81,8 @@ def written_view(t):
 def dashboards(t):
     """Every dashboard question, whole, with the arguments of its own query; what cannot be built or has no rows is an ERROR."""
     chosen = [q for q in QUESTIONS if q.startswith("D")]
-    return sinks.materialise(t.spark, {q: lambda q=q: ask(t, q, **arguments(q)) for q in chosen}, f"{scratch(t.spark)}/dashboards")
+    model = StoredModel(t)
+    return sinks.materialise(t.spark, {q: lambda q=q: ask(model, q, **arguments(q)) for q in chosen}, f"{scratch(t.spark)}/dashboards")
 
 
 def loaded(spark, sf_dir):
