@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterable, Iterator
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -114,53 +113,65 @@ def stretches(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, list[
 
 
 class Vocabulary:
-    """What the alignment needs of each id, looked up rather than made: its bytes, their number and the id as text."""
+    """What the alignment needs of each id, looked up rather than made: its bytes, their number and the id as text, with what follows it
+    within a group and at the end of one."""
 
-    def __init__(self, spelt: list[bytes]):
+    def __init__(self, spelt: list[bytes], end: str):
         self.spelt = spelt
         self.size = np.fromiter(map(len, spelt), np.int64, len(spelt))
-        self.name = [str(i) for i in range(len(spelt))]
-        self.open = [f"{i}|" for i in range(len(spelt))]
+        self.name = np.array([f"{i}{after}" for after in ("," + end) for i in range(len(spelt))], bytes)
 
 
-def aligned(ids_a: list[int], ids_b: list[int], one: Vocabulary, other: Vocabulary, whole: bytes) -> tuple[list[str], np.ndarray] | None:
-    """Groups as ``a1,a2|b1`` and links as ``a << 32 | b``, one for each overlapping pair; None where the tokens do not spell ``whole``."""
+def aligned(ids_a: list[int], ids_b: list[int], one: Vocabulary, other: Vocabulary, names: np.ndarray, whole: bytes) -> tuple[int, str, np.ndarray] | None:
+    """How many groups there are, these as ``a1,a2|b1;a3|b2``, and links as ``a << 32 | b``, one for each overlapping pair; None where
+    the tokens do not spell ``whole``. ``names`` are those of both vocabularies, one after the other."""
     if not ids_a or not ids_b or b"".join(map(one.spelt.__getitem__, ids_a)) != whole or b"".join(map(other.spelt.__getitem__, ids_b)) != whole:
         return None
-    own_a, own_b = np.asarray(ids_a), np.asarray(ids_b)
+    own_a, own_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
     a, b = np.cumsum(one.size[own_a]).tolist(), np.cumsum(other.size[own_b]).tolist()
-    groups: list[str] = []
-    runs: list[tuple[int, int, int]] = []
+    runs: list[int] = []
     at_a: list[int] = []
     at_b: list[int] = []
+    ends: list[int] = []
     for i, j, k, links_a, links_b in stretches(a, b):
         if k:
-            groups += map(add, map(one.open.__getitem__, ids_a[i:i + k]), map(other.name.__getitem__, ids_b[j:j + k]))
-            runs.append((i, j, k))
+            runs += (i, j, k)
         else:
-            groups.append(",".join(map(one.name.__getitem__, ids_a[i:links_a[-1] + 1])) + "|" + ",".join(map(other.name.__getitem__, ids_b[j:links_b[-1] + 1])))
             at_a += links_a
             at_b += links_b
-    first_a, first_b, many = np.asarray(runs, np.int64).reshape(-1, 3).T
+            ends.append(len(at_a))
+    first_a, first_b, many = np.array(runs, np.int64).reshape(-1, 3).T
     step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    place_a = np.concatenate([np.repeat(first_a, many) + step, np.asarray(at_a, np.int64)])
-    place_b = np.concatenate([np.repeat(first_b, many) + step, np.asarray(at_b, np.int64)])
-    return groups, own_a[place_a].astype(np.uint64) << np.uint64(32) | own_b[place_b].astype(np.uint64)
+    run_a, run_b = np.repeat(first_a, many) + step, np.repeat(first_b, many) + step
+    odd_a, odd_b, last = np.array(at_a, np.int64), np.array(at_b, np.int64), np.array(ends, np.int64) - 1
+    place_a, place_b = np.concatenate([run_a, odd_a]), np.concatenate([run_b, odd_b])
+    # the last tokens of every group, in order; a group's A tokens stand before its B tokens
+    end_a, end_b = np.sort(np.concatenate([run_a, odd_a[last]])), np.sort(np.concatenate([run_b, odd_b[last]]))
+    code_a, code_b = own_a.copy(), own_b + len(one.name)
+    code_a[end_a] += len(one.spelt)
+    code_b[end_b] += len(other.spelt)
+    many_a, many_b = np.diff(end_a, prepend=-1), np.diff(end_b, prepend=-1)
+    codes = np.empty(len(own_a) + len(own_b), np.int64)
+    codes[np.arange(len(own_a)) + np.repeat(end_b + 1 - many_b, many_a)] = code_a
+    codes[np.arange(len(own_b)) + np.repeat(end_a + 1, many_b)] = code_b
+    groups = names[codes].tobytes().translate(None, b"\0")[:-1].decode()
+    return len(end_a), groups, own_a[place_a].astype(np.uint64) << np.uint64(32) | own_b[place_b].astype(np.uint64)
 
 
 def _alignments(first: str, second: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, other = ByteLevel(first), Pieces(second)
-        first_words, second_words = Vocabulary(one.spelt), Vocabulary(other.spelt)
+        first_words, second_words = Vocabulary(one.spelt, "|"), Vocabulary(other.spelt, ";")
+        names = np.concatenate([first_words.name, second_words.name])
         gc.freeze()  # the vocabularies stay as they are: no need to look through them again and again
         for part, raw in common.chunks(batches, "text", 1 << 18):
             texts = [t.decode() for t in raw]
             columns: dict[str, list] = {f.name: [] for f in list(ALIGNED)[2:]}
             for text, ids_a, ids_b in zip(raw, one.encode(texts), other.encode(texts)):
-                found = aligned(ids_a, ids_b, first_words, second_words, b" " + text) if text else None
-                groups, links = found or ([], np.empty(0, np.uint64))
+                found = aligned(ids_a, ids_b, first_words, second_words, names, b" " + text) if text else None
+                n_groups, groups, links = found or (0, "", np.empty(0, np.uint64))
                 pairs, times = np.unique(links, return_counts=True)
-                values = (len(ids_a) if found else 0, len(ids_b) if found else 0, len(groups), len(links), ";".join(groups),
+                values = (len(ids_a) if found else 0, len(ids_b) if found else 0, n_groups, len(links), groups,
                           common.squeezed(np.diff(pairs, prepend=np.uint64(0)).tobytes()), common.squeezed(times.astype("<u4").tobytes()))
                 for column, value in zip(columns.values(), values):
                     column.append(value)

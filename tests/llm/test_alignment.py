@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +111,32 @@ def test_counts_of_tasks_that_hold_little(spark, spellings, monkeypatch):
     monkeypatch.setattr(alignment, "HELD", 4)
     rows = [(k, f"word{k % 3} and the other") for k in range(30)]
     assert result(spark.createDataFrame(rows, "doc_id long, text string")) == expected(rows, *spellings)
+
+
+def test_groups_are_written_from_ids_and_ends_of_groups():
+    """Tokens of random texts cut at random: the text of all groups, their number and the links, against the walk's definition."""
+    rng = random.Random(7)
+    spelt = [bytes(s) for n in (1, 2, 3) for s in itertools.product(b"xy", repeat=n)]
+    one, other = alignment.Vocabulary(spelt, "|"), alignment.Vocabulary(spelt[::-1], ";")
+    names = np.concatenate([one.name, other.name])
+    for _ in range(300):
+        whole = bytes(rng.choice(b"xy") for _ in range(rng.randint(1, 40)))
+
+        def cut(words, whole=whole):
+            at, ids = 0, []
+            while at < len(whole):
+                step = rng.randint(1, min(3, len(whole) - at))
+                ids.append(words.index(whole[at:at + step]))
+                at += step
+            return ids
+
+        a, b = cut(one.spelt), cut(other.spelt)
+        ra, rb = ranges(a, one.spelt), ranges(b, other.spelt)
+        groups, start = [], 0
+        for end in sorted({e for _, e in ra} & {e for _, e in rb}):
+            groups.append("|".join(",".join(str(i) for i, r in zip(ids, rs) if start < r[1] <= end) for ids, rs in ((a, ra), (b, rb))))
+            start = end
+        links = Counter((x << 32) | y for x, p in zip(a, ra) for y, q in zip(b, rb) if p[0] < q[1] and q[0] < p[1])
+        n, text, found = alignment.aligned(a, b, one, other, names, whole)
+        assert (n, text, Counter(found.tolist())) == (len(groups), ";".join(groups), links)
+    assert alignment.aligned([0], [0], one, other, names, b"y") is None
