@@ -81,7 +81,10 @@ def _members(size: int):
 
 
 def _dealt(size: int, buckets: int, known):
-    """Keys of the distinct sets, dealt by bucket. Frequent n-grams are known to be shared: with their counts they go to a bucket of their owner."""
+    """Keys of the distinct sets, dealt by bucket. Frequent n-grams are known to be shared: with their counts they go to a bucket of their owner.
+
+    So does the size of each set, as an element without owners: rows need then not be joined for it.
+    """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, degree = known.value
         passed: dict[int, np.ndarray] = {}
@@ -89,13 +92,15 @@ def _dealt(size: int, buckets: int, known):
         def owned():
             for _, sets, keys in _sets(batches, size):
                 for s, k in zip(sets, keys):
+                    if not len(s):
+                        continue
                     often = _within(s, grams)
-                    if often.any():
-                        element = np.empty(int(often.sum()), postings.ELEMENT)
-                        element["key"] = s[often]
-                        # above every count of a bucket: these come last in the order, by their own counts
-                        element["owners"] = (1 << 31) + degree[np.searchsorted(grams, s[often])]
-                        passed[set_number(k)] = element
+                    element = np.zeros(1 + int(often.sum()), postings.ELEMENT)
+                    element["key"][0] = len(s)
+                    element["key"][1:] = s[often]
+                    # above every count of a bucket: these come last in the order, by their own counts
+                    element["owners"][1:] = (1 << 31) + degree[np.searchsorted(grams, s[often])] if often.any() else 0
+                    passed[set_number(k)] = element
                     yield set_number(k), s[~often]
 
         def frequent() -> pa.RecordBatch:
@@ -121,18 +126,22 @@ def _within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 
 def _rows(threshold: int):
-    """Rows of the matrix: the shared n-grams of a set, rarest first, and how many of them its size puts into the prefix."""
+    """Rows of the matrix that can reach the threshold: the shared n-grams of a set, rarest first, and how many of them its size puts into the prefix."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column(1).to_numpy()
-            prefix, keys = [], []
-            for size, own in zip(n, batch.column(2).to_pylist()):
+            rep, n, prefix, keys = [], [], [], []
+            for owner, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 element = np.frombuffer(own, postings.ELEMENT)
                 element = element[np.lexsort((element["key"], element["owners"]))]
-                alone = int(size) - len(element)
-                prefix.append(int(size) - -(-threshold * int(size) // 100) + 1 - alone)
+                size, element = int(element["key"][0]), element[1:]  # the one without owners comes first
+                if 100 * len(element) < threshold * size:
+                    continue
+                alone = size - len(element)
+                rep.append(owner)
+                n.append(size)
+                prefix.append(size - -(-threshold * size // 100) + 1 - alone)
                 keys.append(element["key"].tobytes())
-            yield common.as_batch(ROW, rep=batch.column(0), n=batch.column(1), prefix=prefix, keys=keys)
+            yield common.as_batch(ROW, rep=rep, n=n, prefix=prefix, keys=keys)
 
     return run
 
@@ -226,18 +235,17 @@ def _classes(docs: DataFrame, size: int, threshold: int) -> DataFrame:
     known = spark.sparkContext.broadcast((grams[order], np.minimum(table[order, 1], (1 << 31) - 1).astype(np.uint32)))
 
     filled = members.where("n_shingles > 0").withColumn("rep", F.expr("conv(hex(substring(set_key, 1, 8)), 16, -10)").cast("long"))
-    sets = filled.groupBy("rep").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("least_id"))
+    sets = filled.groupBy("rep").agg(F.min("doc_id").alias("least_id"))
     shared = postings.shared_keys(texts.mapInArrow(common.tidy(_dealt(size, buckets, known)), postings.DEALT_DDL), buckets)
-    rows = (shared.withColumnsRenamed({"n": "kept", "owner": "rep"}).join(sets, "rep").where(F.col("kept") * 100 >= F.col("n") * threshold)
-            .select("rep", "n", "keys"))
-    rows = common.cut(rows.mapInArrow(common.tidy(_rows(threshold)), ROW_DDL), few=False)
+    rows = common.cut(shared.mapInArrow(common.tidy(_rows(threshold)), ROW_DDL), few=False)
 
     prefixes = rows.select("rep", "prefix", "keys").mapInArrow(_prefixes, "key long, rep long")
     least = prefixes.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
     clusters = connected(prefixes.join(least, "key").select(F.col("rep").alias("u"), F.col("first").alias("v")))
-    placed = rows.join(clusters.select(F.col("id").alias("rep"), F.col("component").alias("cluster")), "rep")
+    # where a row belongs is worked out without its n-grams: they are moved to their cluster once, and from there to their products
+    placed = rows.select("rep", "n").join(clusters.select(F.col("id").alias("rep"), F.col("component").alias("cluster")), "rep")
     blocks = placed.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    row = placed.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    row = rows.join(placed.drop("n").join(blocks, "cluster"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     pairs = (row.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "keys"))
     links = (pairs.repartition(buckets, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import io
 import math
 import os
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -300,6 +303,30 @@ def test_jaccard_classes_of_near_copies(spark, monkeypatch):
     assert classes_of(docs) == brute_classes(rows)
 
 
+def test_jaccard_moves_grams_seldom(spark, corpus, monkeypatch):
+    """The n-grams of rows are shuffled to buckets, to their owners, by row and to products; neither for sizes nor for numbers of blocks."""
+    moved = []
+
+    def seen(f):
+        def run(df, *rest, **named):
+            with contextlib.redirect_stdout(io.StringIO()) as said:
+                df.explain("formatted")
+            moved.append(len(re.findall(r"\) Exchange\nInput \[\d+\]: \[[^\]]*\bkeys#", said.getvalue())))
+            return f(df, *rest, **named)
+
+        return run
+
+    monkeypatch.setattr(jaccard, "connected", seen(jaccard.connected))
+    monkeypatch.setattr(common, "cut", seen(common.cut))
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert classes_of(corpus) == brute_classes(rows_of(corpus))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert sum(moved) == 4 and max(moved) == 2
+
+
 # repeated strings
 
 def brute_removal(rows, match=50):
