@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cohortline.operators import coverage, quality, repair, resolve, select
+from cohortline.operators import coverage, quality, repair, resolve, select, spelling
 from cohortline.operators.history import preceded_within, with_previous
 from cohortline.operators.quantiles import thresholds
 from cohortline.sources import sinks
@@ -239,6 +239,55 @@ def test_entities_resolve_by_the_rules_of_their_type(spark):
         resolve.resolve_entities(raw, values, cutoffs={"district": 49})
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_names_of_one_template_do_not_all_meet(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("every name met the whole registry")
+
+    monkeypatch.setattr(resolve, "_blockwise", refused)
+    monkeypatch.setattr(resolve, "ASKED", 40)
+    monkeypatch.setattr(resolve, "KNOWN", 200)
+    held = [f"Supplier#{i * 37:06d}" for i in range(500)]
+    asked = [f"The suplier#{i * 37 * 7:06d}" for i in range(60)] + [f"upplier#{i * 37 * 5:06d}" for i in range(60)] + [f"Clinic of Supplier#{i:06d}" for i in range(5)] + ["", "Supplier"]
+    values = spark.createDataFrame([("hospital", v) for v in held] + [(None, "x"), ("hospital", None)], "entity_type string, value string")
+    raw = spark.createDataFrame([("hospital", v) for v in asked] + [(None, "y")], "entity_type string, raw string")
+    got = {r["raw"]: r for r in resolve.resolve_entities(raw, values).collect()}
+
+    def pairs(text):
+        return {f"^{text}$"[i:i + 2] for i in range(len(text) + 1)}
+
+    known = {v: pairs(v.lower()) for v in held}
+    for name in asked:
+        low = name.lower()
+        sim, best = min((-round(1 - edits(low, v.lower()) / max(len(low), len(v)), 9), v) for v in held)
+        assert got[name]["resolved"] == (best if -sim * 100 >= 72 else None), name
+        if -sim * 100 < 72:
+            rare = sorted((n, g) for g in pairs(low) for n in [sum(g in k for k in known.values())] if n)[:3]
+            met = [v for v in held if known[v] & {g for _, g in rare}]
+            assert got[name]["suggestions"] == ";".join(sorted(met, key=lambda v: (-len(known[v] & pairs(low)), v))[:3]), name
+    assert got["y"]["confidence"] == "unmatched" and got["y"]["suggestions"] == ""
+
+
+def test_names_are_found_by_their_beginnings():
+    rng = random.Random(3)
+    names = list({"".join(rng.choices("abcé漢", k=rng.randint(1, 10))) for _ in range(300)})
+    asked = ["".join(rng.choices("abcz漢", k=rng.randint(0, 12))) for _ in range(100)]
+    values = [n.swapcase() for n in names]
+    for lost in (0.5, 0.28, 0.1):
+        got = spelling.nearest(asked, np.full(len(asked), lost), names, values)
+        for a, k in zip(asked, got):
+            near = [(-round(1 - edits(a, n) / max(len(a), len(n)), 9), v, i) for i, (n, v) in enumerate(zip(names, values)) if edits(a, n) <= lost * max(len(a), len(n)) + 1e-6]
+            assert k == (min(near)[2] if near else -1)
+
+
 def test_bigram_filter_misses_no_similar_name(spark):
     rng = random.Random(5)
     held = sorted({"".join(rng.choices("abc", k=rng.randint(0, 9))) for _ in range(150)})
