@@ -12,6 +12,17 @@ from ..functions.numbers import safe_div
 from ..operators.select import first_per_key, latest_per_key, modal_value
 
 
+def with_periods(cases: DataFrame) -> DataFrame:
+    """Cases with the month, quarter and year of admission, the length of stay and flags."""
+    at, out = "admission_datetime", "discharge_datetime"
+    return cases.withColumns({
+        "admission_month": derive.month_text(at), "admission_quarter": derive.quarter_text(at),
+        "admission_year": derive.year_text(at), "length_of_stay": derive.days_between(at, out),
+        "is_emergency": derive.flag(F.col("admission_type") == "EMERGENCY"),
+        "is_death": derive.flag(F.col("discharge_type") == "DEATH"),
+        "is_lama_dama": derive.flag(F.col("discharge_type").isin("LAMA", "DAMA"))})
+
+
 class Staged:
     """Tables with their derived columns; anything not derived here is the table itself."""
 
@@ -34,13 +45,7 @@ class Staged:
 
     @cached_property
     def cm_case(self) -> DataFrame:
-        at, out = "admission_datetime", "discharge_datetime"
-        return self._tables.cm_case.withColumns({
-            "admission_month": derive.month_text(at), "admission_quarter": derive.quarter_text(at),
-            "admission_year": derive.year_text(at), "length_of_stay": derive.days_between(at, out),
-            "is_emergency": derive.flag(F.col("admission_type") == "EMERGENCY"),
-            "is_death": derive.flag(F.col("discharge_type") == "DEATH"),
-            "is_lama_dama": derive.flag(F.col("discharge_type").isin("LAMA", "DAMA"))})
+        return with_periods(self._tables.cm_case)
 
     @cached_property
     def cm_case_diagnosis(self) -> DataFrame:
@@ -67,7 +72,11 @@ class Staged:
 
 
 def claims_lifecycle(tables) -> DataFrame:
-    """One row per case: people, place, leading diagnosis and procedure, first claim, payments."""
+    """One row per case: people, place, leading diagnosis and procedure, first claim, payments.
+
+    Requests get their line and claims their payments before they meet the cases, so that cases, with their people,
+    are shuffled by person and by case only; what follows from a case's own columns is added last.
+    """
     t = Staged(tables)
     people = t.residents.select("beneficiary_id", "gender", "age_group", F.col("home_division_name").alias("division"),
                                 F.col("home_district_code").alias("district"))
@@ -83,12 +92,15 @@ def claims_lifecycle(tables) -> DataFrame:
                            "query_count"])
     paid = t.cm_payment.groupBy("claim_id").agg(F.sum("amount_paid").alias("amount_paid")).join(
         modal_value(t.cm_payment, ["claim_id"], "payment_status"), "claim_id")
-    rows = (
-        t.cm_case.join(people, "beneficiary_id", "left").join(sites, "hospital_id", "left").join(dx, "case_id", "left")
-        .join(request.withColumnRenamed("status", "preauth_status"), "case_id", "left").join(line, "preauth_id", "left")
-        .join(procedure, "hbp_procedure_code", "left").join(claim, "case_id", "left").join(paid, "claim_id", "left")
-    )
-    return rows.select(
+    asked = request.withColumnRenamed("status", "preauth_status").join(line, "preauth_id", "left").join(
+        procedure, "hbp_procedure_code", "left").drop("preauth_id", "hbp_procedure_code")
+    claimed = claim.join(paid, "claim_id", "left").drop("claim_id")
+    cases = tables.cm_case.select("case_id", "beneficiary_id", "hospital_id", "hospital_division", "hospital_district", "admission_type", "discharge_type",
+                                  "is_portability", "admission_datetime", "discharge_datetime")
+    rows = cases.join(sites, "hospital_id", "left").join(people, "beneficiary_id", "left").drop("hospital_id", "beneficiary_id")
+    for part in (dx, asked, claimed):
+        rows = rows.join(part, "case_id", "left")
+    return with_periods(rows).select(
         "case_id", "division", "district", "hospital_division", "hospital_district", "hospital_type", "hospital_sub_type",
         "specialty_code", "specialty_name", "procedure_name", "disease_category", "icd_code", "gender", "age_group",
         "admission_type", "discharge_type", "is_portability", "claim_status", "preauth_status", "payment_status",

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import re
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +89,50 @@ def test_joins_that_dashboards_share_are_written_once(spark, monkeypatch):
             assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert stored.home_cases.inputFiles() and len(written) == 3
     assert stored.within("admission", "2024-01-01", "2024-12-31").__class__ is Model
+
+
+def test_cases_of_the_claims_lifecycle_are_shuffled_by_site_person_and_case_only(spark, capsys):
+    from cohortline.plans.views import claims_lifecycle
+    from cohortline.sources.driver_binding import BoundTables
+
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large for it
+    try:
+        claims_lifecycle(BoundTables(spark, "/root/testdata/sf0.001")).explain("formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    moved = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[([^\]]*)\]\nArguments: hashpartitioning\((\w+?)#", capsys.readouterr().out)
+    assert sorted(key for columns, key in moved if "hospital_division" in columns) == ["beneficiary_id", "case_id", "hospital_id"]
+    assert not any("admission_month" in columns for columns, _ in moved)
+
+
+def test_cases_without_parts_stay_in_the_claims_lifecycle(spark):
+    from types import SimpleNamespace
+
+    from cohortline.plans.views import claims_lifecycle
+
+    def table(rows, ddl):
+        return spark.createDataFrame(rows, ddl)
+
+    at = datetime(2024, 1, 5, 9)
+    tables = SimpleNamespace(
+        cm_case=table([(c, p, h, "D", "V", "EMERGENCY", None, True, at, at) for c, p, h in (("C1", "B1", "H1"), ("C1", "B1", "H1"), ("C2", None, None), (None, "B9", "H9"), ("C4", "B1", "H1"))],
+                      "case_id string, beneficiary_id string, hospital_id string, hospital_division string, hospital_district string, admission_type string, "
+                      "discharge_type string, is_portability boolean, admission_datetime timestamp, discharge_datetime timestamp"),
+        bm_beneficiary=table([("B1", "F", 1980, "HH")], "beneficiary_id string, gender string, yob long, household_id string"),
+        bm_household=table([("HH", "N", "R", "SECC")], "household_id string, home_district_code string, home_division_name string, entitlement_source string"),
+        hm_hospital=table([("H1", "PUBLIC", "CHC", None, 40)], "hospital_id string, hospital_type string, hospital_sub_type string, accreditation_level string, total_bed_strength long"),
+        cm_case_diagnosis=table([("C1", "I10", 1), ("C1", "I11", 1), ("C4", None, 1), ("C2", "A00", 2), (None, "I10", 1)], "case_id string, icd_code string, diagnosis_rank long"),
+        cm_preauth_request=table([("P1", "C1", "APPROVED", at), ("P2", "C4", "REJECTED", None), (None, "C2", "PENDING", at)], "preauth_id string, case_id string, status string, initiated_at timestamp"),
+        cm_preauth_procedure_line=table([("P1", "X", 1.0, 2.0, 3.0, 1), ("P1", "Y", 4.0, 5.0, 6.0, 1), ("P1", "X", 7.0, 8.0, 9.0, 2), (None, "X", 1.0, 1.0, 1.0, 1)],
+                                        "preauth_id string, hbp_procedure_code string, base_amount double, computed_final_amount double, expected_payable_amount double, procedure_rank int"),
+        ref_hbp_procedure_master=table([("X", "SP1", "Care", "Name")], "hbp_procedure_code string, specialty_code string, specialty_name string, procedure_name string"),
+        cm_claim=table([("L1", "C1", "SETTLED", at, 9.0, 8.0, 3.0, 0), (None, "C4", "PENDING", at, 7.0, None, None, 1)],
+                       "claim_id string, case_id string, claim_status string, submitted_at timestamp, amount_claimed double, amount_approved double, settlement_tat_days double, query_count long"),
+        cm_payment=table([("L1", 5.0, "SUCCESS"), ("L1", 1.0, "SUCCESS"), (None, 3.0, "FAILED")], "claim_id string, amount_paid double, payment_status string"))
+    got = sorted(str(tuple(r[c] for c in ("case_id", "division", "hospital_type", "icd_code", "disease_category", "preauth_status", "specialty_code", "base_amount", "claim_status",
+                                         "amount_paid", "admission_month", "is_emergency", "is_death"))) for r in claims_lifecycle(tables).collect())
+    one = [("C1", "R", "PUBLIC", icd, "NCD", "APPROVED", code, base, "SETTLED", 6.0, "2024-01", 1, 0) for icd in ("I10", "I11") for code, base in (("SP1", 1.0), (None, 4.0))]
+    want = [*one, *one, ("C2", None, None, None, None, "PENDING", None, None, None, None, "2024-01", 1, 0), (None, None, None, None, None, None, None, None, None, None, "2024-01", 1, 0),
+            ("C4", "R", "PUBLIC", None, "UNKNOWN", "REJECTED", None, None, "PENDING", None, "2024-01", 1, 0)]
+    assert got == sorted(map(str, want))
