@@ -91,6 +91,26 @@ def test_joins_that_dashboards_share_are_written_once(spark, monkeypatch):
     assert stored.within("admission", "2024-01-01", "2024-12-31").__class__ is Model
 
 
+def test_tables_that_dashboards_share_are_written_once(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from cohortline.plans.catalogue import Model, StoredModel, base
+
+    written = []
+    monkeypatch.setattr(base, "cut_lineage", lambda df, cut=base.cut_lineage: written.append(df.columns) or cut(df))
+    tables = SimpleNamespace(
+        cm_preauth_procedure_line=spark.createDataFrame([("P1", "X", 1), ("P1", "X", 1), (None, "Y", 2)], "preauth_id string, hbp_procedure_code string, procedure_rank int"),
+        cm_preauth_request=spark.createDataFrame([("P1", "C1"), (None, "C2")], "preauth_id string, case_id string"),
+        cm_claim=spark.createDataFrame([("L1", "C1"), ("L1", "C1"), (None, None)], "claim_id string, case_id string"),
+        ref_hbp_procedure_master=spark.createDataFrame([("X", "SP1")], "hbp_procedure_code string, specialty_code string"))
+    stored, plain = StoredModel(tables), Model(tables)
+    for _ in range(2):
+        for ask in (lambda m: m.lines, lambda m: m.preauths, lambda m: m.claims, lambda m: m.table("cm_preauth_procedure_line")):
+            got, want = ask(stored), ask(plain)
+            assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert len(written) == 3 and stored.lines.inputFiles()
+
+
 def test_cases_of_the_claims_lifecycle_are_shuffled_by_site_person_and_case_only(spark, capsys):
     from cohortline.plans.views import claims_lifecycle
     from cohortline.sources.driver_binding import BoundTables
